@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import itertools
 import os
 import tempfile
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,12 +60,17 @@ def chunks(texts: list, chars: int = 8_000_000) -> Iterator[list]:
         yield run
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir of the session, or a folder of our own where it names none (as in tests)."""
+    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "taintloom-checkpoints")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint: its files are in spark.checkpoint.dir, which all executors share, so a lost executor
-    costs no recomputation of what came before. A folder of our own is set only where the session names none."""
+    costs no recomputation of what came before."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "taintloom-checkpoints"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -80,7 +84,3 @@ def cells(df: DataFrame, key: list[str], member: list[str], most: int) -> DataFr
     own = F.pmod(F.xxhash64(F.lit(7), *member), b).cast("int")
     met = df.join(large, key, "left").withColumn("own_block", own).withColumn("met", F.explode(F.sequence(F.lit(0), b - 1)))
     return met.withColumn("cell_i", F.least("own_block", "met")).withColumn("cell_j", F.greatest("own_block", "met")).drop("blocks", "met")
-
-
-def grouped(rows: Iterable, key: Callable) -> Iterator:
-    return itertools.groupby(rows, key)
