@@ -156,8 +156,8 @@ def nearest(rows: DataFrame, queries, top: int = 20, recall: float = 0.95, leaf_
     blocks = candidates.groupBy("leaf").agg(F.ceil(F.count("*") / CELL_CANDIDATES).cast("int").alias("c")).join(searches.groupBy("leaf").agg(F.ceil(F.count("*") / CELL_QUERIES).cast("int").alias("q")), "leaf")
     blocks = F.broadcast(cut(blocks))
     own = F.xxhash64("node")
-    cand = candidates.join(blocks, "leaf").withColumn("ci", F.pmod(own, "c")).withColumn("qi", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
-    ask = searches.join(blocks, "leaf").withColumn("qi", F.pmod(own, "q")).withColumn("ci", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
+    cand = candidates.join(blocks, "leaf").withColumn("ci", F.pmod(own, "c").cast("int")).withColumn("qi", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
+    ask = searches.join(blocks, "leaf").withColumn("qi", F.pmod(own, "q").cast("int")).withColumn("ci", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
     most = top + 1
 
     def score(left, right):

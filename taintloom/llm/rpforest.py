@@ -152,8 +152,8 @@ def link_counts(points: DataFrame, roots: DataFrame, cosine: float) -> DataFrame
     by_ball = placed.where("inside").join(sums, "root").select("node", (F.col("ball") - F.col("n")).alias("near"))
     shape = sums.where("out > 0").select("root", F.ceil(F.col("out") / CELL_ROWS).cast("int").alias("u"), F.ceil(F.col("all") / CELL_ROWS).cast("int").alias("v"))
     open_roots = placed.join(shape, "root").withColumn("h", F.xxhash64("node"))
-    left = open_roots.where(~F.col("inside")).withColumn("i", F.pmod("h", "u")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("v") - 1)))
-    right = open_roots.withColumn("j", F.pmod("h", "v")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("u") - 1)))
+    left = open_roots.where(~F.col("inside")).withColumn("i", F.pmod("h", "u").cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("v") - 1)))
+    right = open_roots.withColumn("j", F.pmod("h", "v").cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("u") - 1)))
     both = left.select("root", "i", "j", "node", "n", "inside", "vector", F.lit(True).alias("left")).unionByName(right.select("root", "i", "j", "node", "n", "inside", "vector", F.lit(False).alias("left")))
 
     def compare(keys, t):
