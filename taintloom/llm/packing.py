@@ -10,15 +10,17 @@ from __future__ import annotations
 import bisect
 import functools
 import os
+import re
 import zlib
 from array import array
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from .common import Memo, cut, small_batches, tokenizer_path
+from .common import cut, small_batches, tokenizer_path
 
 ITEM = "array<struct<doc_id:{k},piece:int,start:long,length:long,ids_crc32:long,at:long>>"
 
@@ -52,37 +54,88 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-@functools.lru_cache(maxsize=2)
-def _encoder(path: str) -> tuple[object, Memo]:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_file(path)
-    tok.no_truncation()
-    tok.no_padding()
-    return tok, Memo(lambda w: array("I", tok.encode(w, add_special_tokens=False).ids).tobytes(), 500_000)
+#: A full stop or comma that ends a longer run of punctuation, which the tokenizer takes as one word.
+_RUN_END = re.compile(r"(?:[^\w \t\r\n]|_)[.,] ")
 
 
-def encode_bytes(texts: list[str], path: str) -> list[bytes]:
-    """Each text's ids as little-endian unsigned 32-bit numbers.
+class Encoder:
+    """Ids of whole texts as little-endian unsigned 32-bit numbers, by the tokenizers library.
 
-    The tokenizer drops white space and no token goes across it, so parts between blanks and newlines are encoded apart
-    by the library and kept in a bounded memo.
+    The tokenizer drops white space, and no token goes across it or between a letter and a full stop. So a text is cut
+    at blanks and newlines; parts are encoded by the library once and kept in a memo of at most `limit` parts. Texts in
+    Latin-1, where lower case and composition work letter by letter as in the library, share parts across case and
+    before full stops and commas. Words of letters only are encoded many to a call and told apart by their end mark.
     """
-    tok, memo = _encoder(path)
-    split = [t.replace("\n", " ").split(" ") for t in texts]
-    seen = set()
-    for ws in split:
-        seen.update(ws)
-    todo = [w for w in seen if w not in memo]
-    if len(memo) + len(todo) > memo.limit:
-        memo.clear()
-        todo = list(seen)
-    for k in range(0, len(todo), 20_000):
-        part = todo[k : k + 20_000]
-        for w, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            memo[w] = array("I", e.ids).tobytes()
-    return [b"".join([memo[w] for w in ws]) for ws in split]
+
+    def __init__(self, path: str, limit: int = 900_000) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_file(path)
+        self.tok.no_truncation()
+        self.tok.no_padding()
+        ids = self.tok.get_vocab()
+        self.ends = np.zeros(max(ids.values()) + 1, bool)
+        self.ends[[i for token, i in ids.items() if token.endswith("</w>")]] = True
+        self.memo: dict[str, bytes] = {}
+        self.limit = limit
+
+    @staticmethod
+    def parts(text: str) -> list[str]:
+        t = text.replace("\n", " ")
+        if "<|" not in t:
+            try:
+                t.encode("latin-1")
+            except UnicodeEncodeError:
+                return t.split(" ")
+            t = t.lower() + " "
+            if not _RUN_END.search(t):
+                t = t.replace(". ", " . ").replace(", ", " , ")
+        return t.split(" ")
+
+    def learn(self, words: list[str]) -> None:
+        if len(self.memo) + len(words) > self.limit:
+            self.memo.clear()
+        letters = [w for w in words if w.isalpha()]
+        for k in range(0, len(letters), 50_000):
+            self._learn_letters(letters[k : k + 50_000])
+        rest = [w for w in words if w not in self.memo]
+        for w, e in zip(rest, self.tok.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            self.memo[w] = array("I", e.ids).tobytes()
+
+    def _learn_letters(self, words: list[str]) -> None:
+        got = self.tok.encode_batch_fast([" ".join(words[i : i + 500]) for i in range(0, len(words), 500)], add_special_tokens=False)
+        flat = np.concatenate([np.array(e.ids, "<u4") for e in got])
+        ends = ((np.flatnonzero(self.ends[flat]) + 1) * 4).tolist()
+        if len(ends) == len(words):  # else some word is several words to the tokenizer: each by itself, then
+            raw = flat.tobytes()
+            self.memo.update(zip(words, (raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)), strict=True))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        split = [self.parts(t) for t in texts]
+        got = [list(map(self.memo.get, ws)) for ws in split]
+        missing = {ws[i] for ws, g in zip(split, got, strict=True) for i in _places(g)}
+        if missing:
+            self.learn(list(missing))
+            for ws, g in zip(split, got, strict=True):
+                for i in _places(g):
+                    g[i] = self.memo[ws[i]]
+        return [b"".join(g) for g in got]
+
+
+def _places(values: list) -> Iterator[int]:
+    at = -1
+    try:
+        while True:
+            at = values.index(None, at + 1)
+            yield at
+    except ValueError:
+        return
+
+
+@functools.lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -94,7 +147,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0, key: str
     def run(batches):
         for b in batches:
             keys, out = b.column(0), ([], [], [], [], [])
-            for n, ids in enumerate(encode_bytes([t or "" for t in b.column(1).to_pylist()], path)):
+            for n, ids in enumerate(encoder(path).encode([t or "" for t in b.column(1).to_pylist()])):
                 ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
