@@ -26,36 +26,19 @@ def supplement(existing: DataFrame, more: DataFrame, key: list[str]) -> DataFram
     return existing.unionByName(more.join(keys, cond, "left_anti"), allowMissingColumns=True)
 
 
-def band_semi(rows: DataFrame, spots: DataFrame, key: list[str], line: str, spot_line: str, width: int, extra: Column | None = None) -> DataFrame:
-    """Adds boolean `covered`: some spot of the same key lies within `width` of `line` (and meets `extra`).
+def band_covered(rows: DataFrame, spots: DataFrame, key: list[str], line: str, spot_line: str, width: int) -> DataFrame:
+    """Adds boolean `covered`: some spot of the same key lies within `width` lines.
 
-    Each side falls into buckets of `width` + 1 lines and a row looks into three of them: an equi-join on (key, bucket)
-    instead of a join of all lines of a key with each other.
+    Whether a row is covered depends on its key and line only, so each of those is looked up once. Lines fall into
+    buckets of `width` + 1 and a line looks into three of them: an equi-join on (key, bucket) instead of a join of all
+    lines of a key with each other.
     """
     size = width + 1
-    marked = rows.withColumn("__row", F.monotonically_increasing_id())
     bucket = F.floor(F.col(line) / size).cast("long")
-    probes = marked.withColumn("__bucket", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
-    near = spots.withColumn("__bucket", F.floor(F.col(spot_line) / size).cast("long"))
-    cond = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in [*key, "__bucket"]]
-    cond.append(F.abs(F.col(f"l.{line}") - F.col(f"r.{spot_line}")) <= width)
-    if extra is not None:
-        cond.append(extra)
-    on = cond[0]
-    for c in cond[1:]:
-        on &= c
-    hit = probes.alias("l").join(near.alias("r"), on, "left_semi").groupBy("__row").agg(F.lit(True).alias("__hit"))
-    return marked.join(hit, "__row", "left").withColumn("covered", F.coalesce("__hit", F.lit(False))).drop("__row", "__hit")
-
-
-def band_covered(rows: DataFrame, spots: DataFrame, key: list[str], row_id: list[str], line: str, spot_line: str, width: int) -> DataFrame:
-    """The same for rows that have a key of their own (`row_id`): no made-up id, so a recomputed task changes nothing."""
-    size = width + 1
-    bucket = F.floor(F.col(line) / size).cast("long")
-    probes = rows.select(*dict.fromkeys([*key, *row_id, line]), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("__bucket"))
+    probes = rows.select(*key, line).distinct().withColumn("__bucket", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
     near = spots.select(*key, F.col(spot_line).alias("__at"), F.floor(F.col(spot_line) / size).cast("long").alias("__bucket")).distinct()
-    hit = probes.join(near, [*key, "__bucket"]).where(F.abs(F.col(line) - F.col("__at")) <= width).select(*row_id).distinct().withColumn("__hit", F.lit(True))
-    return rows.join(hit, row_id, "left").withColumn("covered", F.coalesce("__hit", F.lit(False))).drop("__hit")
+    hit = probes.join(near, [*key, "__bucket"]).where(F.abs(F.col(line) - F.col("__at")) <= width).select(*key, line).distinct().withColumn("__hit", F.lit(True))
+    return rows.join(hit, [*key, line], "left").withColumn("covered", F.coalesce("__hit", F.lit(False))).drop("__hit")
 
 
 def proximity_first(a: DataFrame, b: DataFrame, key: list[str], at: str, width: int) -> DataFrame:
