@@ -112,11 +112,12 @@ def calibrate(tree: Tree, x: np.ndarray, top: int, recall: float, queries: int =
     return visits, got
 
 
-def nearest(rows: DataFrame, queries, top: int = 20, recall: float = 0.95, leaf_rows: int = 500, most_leaves: int = 2048, sample_rows: int = 20_000, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def nearest(rows: DataFrame, queries, top: int = 20, recall: float = 0.96, most_leaves: int = 2048, sample_rows: int = 20_000, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the `top` rows with the largest inner product for each row that the condition
     `queries` picks, the row itself aside; ties go to the smaller key.
 
-    The tree is grown and calibrated on a bounded sample (`sample_rows`, the first by a hash of the key); every vector is
+    The tree has leaves in proportion to the square root of the number of vectors, so that leaves and the number of them
+    that a query visits grow evenly. It is grown and calibrated on a bounded sample (`sample_rows`, the first by a hash of the key); every vector is
     indexed. Equal vectors are one candidate with their `top` + 1 smallest keys and one query: since ties go to smaller
     keys no other copy can be in a result, so this loses nothing and copies of a hot vector cost one search. Leaves of
     any size are scored in cells of bounded blocks. Scores are products in double precision summed the same way for
@@ -135,7 +136,7 @@ def nearest(rows: DataFrame, queries, top: int = 20, recall: float = 0.95, leaf_
     width = len(sample[0])
     points = points.where(F.size("vector") == width)
     x = matrix(sample.filter(pa.compute.equal(pa.compute.list_value_length(sample), width)))
-    tree = grow(x, min(most_leaves, math.ceil(n / leaf_rows)))
+    tree = grow(x, min(most_leaves, math.ceil(math.sqrt(n) / 4)))
     visits, _ = calibrate(tree, x, top, recall)
 
     def to_leaf(batches):
