@@ -213,7 +213,7 @@ def simhash_components(docs: DataFrame, width: int = 3, most: int = 2, key: str
     return prints.join(of, "fp").select(F.col("doc").alias(key), shown, "component_id")
 
 
-def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, tables: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, tables: int = 6, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, root) of every document that has a copy: root is the smallest key of its group, in groups linked by equal
     texts or by a Jaccard similarity of `similarity` or more between sets of `width`-word shingles.
 
