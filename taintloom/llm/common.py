@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -74,6 +75,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Tables of rounds in the shared folder. Reading them back gives plans that know true sizes: a checkpoint keeps the
+    size that was estimated for its plan, and a loop of joins multiplies such estimates until planning never ends."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.n = spark, 0
+        self.folder = f"{shared_folder(spark)}/rounds-{uuid.uuid4().hex}"
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{self.n}"
+        self.n += 1
+        df.write.parquet(path)
+        return self.spark.read.parquet(path)
+
+    def drop(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cells(df: DataFrame, key: list[str], member: list[str], most: int) -> DataFrame:
     """Adds `cell_i` and `cell_j` so that every two rows of a key share a cell (key, cell_i, cell_j) and no cell has
     much more than 2 * most rows. Rows of a key with n <= most rows stay in the one cell (0, 0); larger keys are cut

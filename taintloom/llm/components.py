@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import Scratch, cut
 
 
 def _jump(parent: DataFrame) -> DataFrame:
@@ -22,24 +22,26 @@ def components(edges: DataFrame) -> DataFrame:
 
     A round points every node at its smallest neighbour or itself, follows pointers four steps, and contracts: edges
     move to the nodes pointed at. The smallest node of a component always points at itself, so it is what remains.
-    Minima are summed map-side, so a hub's edges don't meet in one task before they are reduced; every round ends in
-    reliable checkpoints.
+    Minima are summed map-side, so a hub's edges don't meet in one task before they are reduced. Rounds are written to the
+    shared folder and go once the result is checkpointed.
     """
-    e = cut(edges.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    scratch = Scratch(edges.sparkSession)
+    e = scratch.keep(edges.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     maps = []
     while not e.isEmpty():
         seen = e.select(F.col("b").alias("node"), F.col("a").alias("root")).union(e.select(F.col("a").alias("node"), F.col("a").alias("root")))
-        parent = cut(seen.groupBy("node").agg(F.min("root").alias("root")))
-        parent = cut(_jump(_jump(parent)))
+        parent = scratch.keep(seen.groupBy("node").agg(F.min("root").alias("root")))
+        parent = scratch.keep(_jump(_jump(parent)))
         maps.append(parent)
         left, right = (parent.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in ("a", "b"))
         moved = e.join(left, "a").join(right, "b").select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b"))
-        e = cut(moved.where("a <> b").distinct())
-    if not maps:
-        return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        e = scratch.keep(moved.where("a <> b").distinct())
 
     def follow(labels: DataFrame, step: DataFrame) -> DataFrame:
         up = step.select(F.col("node").alias("root"), F.col("root").alias("above"))
         return labels.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root"))
 
-    return functools.reduce(follow, maps)
+    labels = functools.reduce(follow, maps) if maps else e.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    out = cut(labels)
+    scratch.drop()
+    return out
