@@ -18,6 +18,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Keys of a table that may be broadcast after they are counted.
+FEW = 20_000
+
+
 class Memo(dict):
     """A word's value, made once by `make` and kept while there are at most `limit` words.
 
@@ -100,7 +104,11 @@ def cells(df: DataFrame, key: list[str], member: list[str], most: int) -> DataFr
     into b = ceil(n / most) blocks by a hash of `member`, and a block meets each other block in a cell of their own.
     """
     large = df.groupBy(*key).count().where(F.col("count") > most).withColumn("blocks", F.ceil(F.col("count") / F.lit(most)).cast("int")).drop("count")
+    large = cut(large)
+    n = large.count()
+    if not n:
+        return df.withColumns({c: F.lit(0) for c in ("own_block", "cell_i", "cell_j")})
     b = F.coalesce(F.col("blocks"), F.lit(1))
     own = F.pmod(F.xxhash64(F.lit(7), *member), b).cast("int")
-    met = df.join(large, key, "left").withColumn("own_block", own).withColumn("met", F.explode(F.sequence(F.lit(0), b - 1)))
+    met = df.join(F.broadcast(large) if n <= FEW else large, key, "left").withColumn("own_block", own).withColumn("met", F.explode(F.sequence(F.lit(0), b - 1)))
     return met.withColumn("cell_i", F.least("own_block", "met")).withColumn("cell_j", F.greatest("own_block", "met")).drop("blocks", "met")

@@ -145,7 +145,13 @@ def spanning(distance: np.ndarray, near: int) -> list[tuple[int, int]]:
     return out
 
 
-def cell_links(rows: DataFrame, prints: list[str], most: int, near: int, cell_rows: int = 1000) -> DataFrame:
+def tables_of(column: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The fingerprints in a column of longs: one of 64 bits, or two of up to 32 bits, one in either half."""
+    c = column.view(np.uint64)
+    return [c] if bits > 32 else [c & np.uint64(0xFFFFFFFF), c >> np.uint64(32)]
+
+
+def cell_links(rows: DataFrame, prints: list[str], bits: int, most: int, near: int, cell_rows: int = 1000) -> DataFrame:
     """Links (a, b) per anchor: a spanning forest of every anchor's nodes, linear in them, instead of all their pairs.
 
     `rows`: anchor long, node long, and the fingerprint columns `prints`. Nodes link where one print is at most `most`
@@ -157,7 +163,7 @@ def cell_links(rows: DataFrame, prints: list[str], most: int, near: int, cell_ro
 
     def run(batches):
         for columns, starts in _runs(batches, keys):
-            node, sig = columns[3], [c.view(np.uint64) for c in columns[4:]]
+            node, sig = columns[3], [t for c in columns[4:] for t in tables_of(c, bits)]
             sizes = np.diff(np.r_[starts, len(node)])
             a, b = [], []
             two = starts[sizes == 2]
@@ -181,14 +187,14 @@ def cell_links(rows: DataFrame, prints: list[str], most: int, near: int, cell_ro
 
 
 def replicated(points: DataFrame, prints: list[str], bits: int, most: int) -> DataFrame:
-    """A row for each point (node, prints...) and anchor; prints after the first have anchors of their own."""
+    """A row for each point (node, prints...) and anchor; every table of fingerprints has anchors of its own."""
 
     def run(batches):
         for b in batches:
             columns = [c.to_numpy(zero_copy_only=False) for c in b.columns]
-            for k, _ in enumerate(prints):
-                row, made = anchors(columns[1 + k].view(np.uint64), bits, most)
-                key = made.view(np.int64) | np.int64(k << bits if len(prints) > 1 else 0)
+            for k, table in enumerate(t for c in columns[1:] for t in tables_of(c, bits)):
+                row, made = anchors(table, bits, most)
+                key = made.view(np.int64) | np.int64(k << bits if bits <= 32 else 0)
                 for at in range(0, len(row), 100_000):
                     r = row[at : at + 100_000]
                     yield pa.RecordBatch.from_arrays([pa.array(key[at : at + 100_000]), *(pa.array(c[r]) for c in columns)], names=["anchor", "node", *prints])
@@ -206,7 +212,7 @@ def simhash_components(docs: DataFrame, width: int = 3, most: int = 2, key: str
     """
     prints = cut(fingerprints(docs, width, key, text).withColumnRenamed(key, "doc"))
     points = cut(prints.groupBy("fp").agg(F.min("doc").cast("long").alias("node")))
-    edges = cell_links(replicated(points.where("node is not null"), ["fp"], 64, most), ["fp"], most, most)
+    edges = cell_links(replicated(points.where("node is not null"), ["fp"], 64, most), ["fp"], 64, most, most)
     roots = components(edges)
     of = points.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
     shown = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
@@ -217,13 +223,13 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, tables
     """(key, root) of every document that has a copy: root is the smallest key of its group, in groups linked by equal
     texts or by a Jaccard similarity of `similarity` or more between sets of `width`-word shingles.
 
-    Candidates come from `tables` 30-bit SimHashes of word pairs, each within 2 bits by anchor covering: pairs of words
+    Candidates come from `tables` (2, 4 or 6) 30-bit SimHashes of word pairs, each within 2 bits by anchor covering: pairs of words
     change less than longer shingles, so near copies are close in one of the tables. Per anchor the spanning forest of
     least distance over all tables' bits is kept (a single-linkage forest: it joins whatever a threshold on that
     distance joins), and its edges are then verified exactly. Null and empty texts are never copies of each other.
     """
     small_batches(docs.sparkSession)
-    prints = [f"p{k}" for k in range(tables)]
+    prints = [f"p{k}" for k in range(-(-tables // 2))]
     docs = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).where("doc is not null and text is not null and trim(text) <> ''")
 
     def sign(batches):
@@ -237,12 +243,12 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, tables
                 rows[1].append((digest >> 64) - (1 << 63))
                 rows[2].append((digest & ((1 << 64) - 1)) - (1 << 63))
                 for k, column in enumerate(rows[3:]):
-                    column.append(wide[k // 2] >> (32 * (k % 2)) & ((1 << 30) - 1))
+                    column.append(wide[k] & 0x3FFFFFFF3FFFFFFF)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], names=["doc", "h1", "h2", *prints])
 
     signed = cut(docs.mapInArrow(sign, "doc long, h1 long, h2 long, " + ", ".join(f"{p} long" for p in prints)))
     texts = cut(signed.groupBy("h1", "h2").agg(F.min("doc").alias("node"), *(F.first(p).alias(p) for p in prints)))
-    edges = cut(cell_links(replicated(texts, prints, 30, 2), prints, 2, 6 * tables))
+    edges = cut(cell_links(replicated(texts, prints, 30, 2), prints, 30, 2, 6 * tables))
 
     def sets(batches):
         for b in batches:

@@ -65,7 +65,7 @@ def test_large_cells_lose_nothing(spark):
     center = int(rng.integers(1 << 62))
     prints = sorted({center ^ sum(1 << int(b) for b in rng.choice(64, k, replace=False)) for k in (0, 1, 1, 2, 2, 3) for _ in range(40)})
     points = spark.createDataFrame([(i, p - (1 << 64) if p >> 63 else p) for i, p in enumerate(prints)], "node long, fp long")
-    edges = simhash.cell_links(simhash.replicated(points, ["fp"], 64, 2), ["fp"], 2, 2, cell_rows=15)
+    edges = simhash.cell_links(simhash.replicated(points, ["fp"], 64, 2), ["fp"], 64, 2, 2, cell_rows=15)
     got = {r.node: r.root for r in components.components(edges).collect()}
     pairs = [(i, j) for i in range(len(prints)) for j in range(i) if bin(prints[i] ^ prints[j]).count("1") <= 2]
     roots = united(len(prints), pairs)
