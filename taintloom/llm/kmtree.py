@@ -71,7 +71,7 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) ->
 def grow(x: np.ndarray, leaves: int, branch: int = 8, seed: int = 23) -> Tree:
     """A tree of about `leaves` leaves over the sample x."""
     rng = np.random.default_rng(seed)
-    size = max(2 * branch, math.ceil(len(x) / max(1, leaves)))
+    size = max(8, math.ceil(len(x) / max(1, leaves)))
     centroids, children, leaf, n_leaves = [], [], [], 0
     todo = [(x, -1)]
     while todo:
@@ -82,7 +82,7 @@ def grow(x: np.ndarray, leaves: int, branch: int = 8, seed: int = 23) -> Tree:
         leaf.append(-1)
         if parent >= 0:
             children[parent].append(node)
-        own = _kmeans(part, branch, rng) if len(part) > size else None
+        own = _kmeans(part, min(branch, math.ceil(len(part) / size)), rng) if len(part) > size else None
         if own is None or len(np.unique(own)) < 2:
             leaf[node] = n_leaves
             n_leaves += 1
