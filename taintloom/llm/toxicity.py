@@ -27,7 +27,7 @@ def grams(word: str) -> np.ndarray:
     """Hashed features of a word in lower case: itself and its n-grams of 4 to 6 bytes with both ends marked."""
     w = f"^{word}$".encode()
     found = {b"=" + w, *(w[i : i + k] for k in (4, 5, 6) for i in range(len(w) - k + 1))}
-    return np.array([zlib.crc32(g) & ((1 << BITS) - 1) for g in found], np.int64)
+    return np.array([zlib.crc32(g) & ((1 << BITS) - 1) for g in found], np.int32)
 
 
 @dataclass
@@ -109,9 +109,10 @@ def train(texts: list[str], toxic: list[int], keys: list[int]) -> Chain | None:
     y = np.array(toxic)
     if len(set(toxic)) < 2:
         return None
-    words = [WORD.findall(t.lower()) for t in texts]
+    pool: dict[str, str] = {}  # one object for each distinct word
+    words = [[pool.setdefault(w, w) for w in WORD.findall(t.lower())] for t in texts]
     of_word = Memo(grams, 10_000_000)
-    docs = [np.unique(np.concatenate([of_word[w] for w in set(ws)] or [np.zeros(0, np.int64)])) for ws in words]
+    docs = [np.unique(np.concatenate([of_word[w] for w in set(ws)] or [np.zeros(0, np.int32)])) for ws in words]
     fold = np.array([zlib.crc32(str(k).encode()) % FOLDS for k in keys])
 
     def look(lexicon: Lexicon, which: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
@@ -149,11 +150,12 @@ def train(texts: list[str], toxic: list[int], keys: list[int]) -> Chain | None:
     return Chain(full, weights)
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 2500, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Chain | None:
-    """Trains on a bounded sample of labelled rows: up to `most` of each class, the first by a hash of the key. Only
+def fit(docs: DataFrame, labels: DataFrame, most: int = 4000, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Chain | None:
+    """Trains on a bounded sample of labelled rows: up to `most` of the rows labelled clean
+    and half as many of those labelled toxic, the first by a hash of the key. Only
     keys and labels are ranked; texts are read for those chosen. Null keys, labels and texts aren't used."""
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.max(label).alias("__y"))
-    half = [known.where(F.col("__y") == y).orderBy(F.xxhash64(F.lit(3), key), key).limit(most) for y in (0, 1)]
+    half = [known.where(F.col("__y") == y).orderBy(F.xxhash64(F.lit(3), key), key).limit(n) for y, n in ((0, most), (1, most // 2))]
     chosen = half[0].unionByName(half[1])
     got = docs.where(F.col(text).isNotNull()).select(key, text).join(F.broadcast(chosen), key).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col("__y").alias("y")).collect()
     got.sort(key=lambda r: (r["k"], r["t"]))
