@@ -392,6 +392,65 @@ def resolved_choice(spark, sf):
     return t(spark, sf, "conversations").select("conv_id", "turn", F.coalesce(picked, "role").alias("resolved"), picked.isNotNull().alias("chosen"))
 
 
+@query(f"""SELECT doc_id, line_no, name, length(value) AS n_value FROM (SELECT doc_id, line_no, regexp_extract(code, '([a-z_]+) = "([^"]+)"', 1) AS name, regexp_extract(code, '([a-z_]+) = "([^"]+)"', 2) AS value FROM ({LINES_SQL})) WHERE (contains(name, 'token') OR contains(name, 'secret') OR contains(name, 'password') OR ends_with(name, 'key') AND length(value) >= 12) AND length(value) >= 3 AND NOT contains(lower(value), 'example')""")
+def credential_scan(spark, sf):
+    """String literals assigned to names that stand for credentials, by a chain of column predicates."""
+    rows = relational.lines(t(spark, sf, "documents").select("doc_id", "text"), ["doc_id"])
+    pattern = '([a-z_]+) = "([^"]+)"'
+    rows = rows.withColumn("name", F.regexp_extract("code", pattern, 1)).withColumn("value", F.regexp_extract("code", pattern, 2))
+    word = F.contains("name", F.lit("token")) | F.contains("name", F.lit("secret")) | F.contains("name", F.lit("password")) | (F.endswith("name", F.lit("key")) & (F.length("value") >= 12))
+    return rows.where(word & (F.length("value") >= 3) & ~F.contains(F.lower("value"), F.lit("example"))).select("doc_id", "line_no", "name", F.length("value").cast("long").alias("n_value"))
+
+
+@query("SELECT file_id, line_number, vuln_type, sink_line, first_key FROM (SELECT l_suppkey AS file_id, l_partkey % 50 AS line_number, l_returnflag AS vuln_type, coalesce(nullif(l_linenumber, 1), 0) AS sink_line, min(l_orderkey) AS first_key FROM lineitem GROUP BY 1, 2, 3, 4)")
+def final_dedup(spark, sf):
+    """First-wins dedup by file, line, type and sink line, a missing sink line counting as 0."""
+    rows = t(spark, sf, "lineitem").select(F.col("l_suppkey").alias("file_id"), (F.col("l_partkey") % 50).alias("line_number"), F.col("l_returnflag").alias("vuln_type"), F.coalesce(F.nullif("l_linenumber", F.lit(1)), F.lit(0)).alias("sink_line"), F.col("l_orderkey").alias("first_key"))
+    return relational.first_wins(rows, ["file_id", "line_number", "vuln_type", "sink_line"], ["first_key"])
+
+
+@query("""WITH f AS (SELECT user_id, bool_or(event_type = 'purchase') AS sink, bool_or(event_type = 'signup') AS source FROM events GROUP BY user_id)
+SELECT user_id AS sink_file, (SELECT min(user_id) FROM f WHERE source) AS source_file FROM f WHERE sink AND NOT source""")
+def cross_file_sources(spark, sf):
+    """Files with a sink and no source, each with the first file that has one: a join with a one-row aggregate."""
+    kind = F.col("event_type")
+    f = t(spark, sf, "events").groupBy("user_id").agg(F.bool_or(kind == "purchase").alias("sink"), F.bool_or(kind == "signup").alias("source"))
+    first = f.where("source").agg(F.min("user_id").alias("source_file"))
+    return f.where("sink and not source").select(F.col("user_id").alias("sink_file")).crossJoin(F.broadcast(first))
+
+
+@query(f"""SELECT line_no, code FROM (SELECT CAST(CASE WHEN line_no > 2 THEN line_no + 1 ELSE line_no END AS INTEGER) AS line_no, code FROM ({LINES_SQL}) WHERE doc_id = 5 AND line_no <> 2 UNION ALL SELECT 2, 'new line' FROM documents WHERE doc_id = 5 UNION ALL SELECT 3, 'and another' FROM documents WHERE doc_id = 5)""")
+def line_replacement(spark, sf):
+    """A file's second line replaced by two, lines behind it numbered anew."""
+    rows = relational.lines(t(spark, sf, "documents").where("doc_id = 5").select(F.col("doc_id").alias("path"), "text"), ["path"])
+    return report.replaced_lines(rows, 5, 2, 2, ["new line", "and another"]).select("line_no", "code")
+
+
+@query(f"SELECT line_no, printf('%4d | %s', line_no, code) AS shown FROM ({LINES_SQL}) WHERE doc_id = 7 AND line_no BETWEEN 2 AND 4")
+def file_region(spark, sf):
+    """A region of a file with numbers."""
+    rows = relational.lines(t(spark, sf, "documents").select(F.col("doc_id").alias("path"), "text"), ["path"])
+    return report.region(rows, 7, 2, 4)
+
+
+@query("SELECT o_orderkey, coalesce(n.n_name, c.c_mktsegment, 'none') AS resolved FROM orders o LEFT JOIN customer c ON c.c_custkey = o.o_custkey LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey AND n.n_regionkey < 2")
+def resolution_cascade(spark, sf):
+    """The first of several lookups that finds something: left joins and a coalesce."""
+    o, c = t(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey")), t(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    n = t(spark, sf, "nation").where("n_regionkey < 2").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    return o.join(c, "c_custkey", "left").join(n, "c_nationkey", "left").select("o_orderkey", F.coalesce("n_name", "c_mktsegment", F.lit("none")).alias("resolved"))
+
+
+@query("""WITH a AS (SELECT conv_id, turn, CAST(generate_subscripts(w, 1) AS BIGINT) - 1 AS pos, unnest(w) AS word FROM (SELECT conv_id, turn, string_split(text, ' ')[1:4] AS w FROM conversations))
+SELECT a.conv_id, a.turn, a.pos, a.word AS src, b.word AS dst FROM a JOIN a b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1 AND b.pos = a.pos""")
+def positional_join(spark, sf):
+    """Arguments meet parameters by position: both sides exploded with positions, then an equi-join."""
+    words = F.slice(F.split("text", " ", -1), 1, 4)
+    a = t(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(words).alias("pos", "word"))
+    b = a.select("conv_id", (F.col("turn") - 1).alias("turn"), "pos", F.col("word").alias("dst"))
+    return a.join(b, ["conv_id", "turn", "pos"]).select("conv_id", "turn", F.col("pos").cast("long").alias("pos"), F.col("word").alias("src"), "dst")
+
+
 @query()
 def analysis_cases(spark, sf):
     """The whole analysis over the regression projects; tests hold it against their stated outcomes."""
