@@ -27,6 +27,13 @@ SQL_CALL = r"(?:mysql_query|mysqli_query|->query|mysql_db_query)\s*\("
 GBK_LINE = r"(?i)SET\s+NAMES|mysql_set_charset|SET\s+CHARACTER"
 SQL_LINE = r"(?:mysql_query|mysqli_query|->query|addslashes)"
 
+# PDO checks.
+PDO_ANY = r"\bPDO\b|->query|->exec|->prepare"
+PDO_CONCAT = [(r"->query\s*\(\s*[\"'].*\.\s*\$", 0.9), (r"->exec\s*\(\s*[\"'].*\.\s*\$", 0.85), (r"->prepare\s*\(\s*[\"'].*\.\s*\$", 0.7)]
+EMULATE_ON = r"ATTR_EMULATE_PREPARES\s*,\s*(?:true|1|TRUE)"
+EMULATE_OFF = r"ATTR_EMULATE_PREPARES\s*,\s*(?:false|0|FALSE)"
+PDO_CHARSET = r"(?i)new\s+PDO\s*\([^)]*charset\s*=\s*(\w+)"
+
 # File-level signs of user input.
 INPUT_TYPES = ["sql_injection", "command_execution", "ssrf", "path_traversal", "arbitrary_file_read", "xss", "file_upload", "deserialization"]
 EXEMPT_TYPES = ["wide_byte_injection", "deprecated_api"]

@@ -56,6 +56,11 @@ def masked(column: Column) -> Column:
     return F.when(n <= 8, F.repeat(F.lit("*"), n)).otherwise(F.concat(F.left(column, F.lit(4)), F.repeat(F.lit("*"), n - 8), F.right(column, F.lit(4))))
 
 
+def tail_masked(column: Column) -> Column:
+    """A key of which only the last four characters show; empty text if there is none."""
+    return F.when(F.length(column) > 4, F.concat(F.lit("****"), F.right(column, F.lit(4)))).when(F.length(column) > 0, F.lit("****")).otherwise(F.lit(""))
+
+
 def safe_name(column: Column) -> Column:
     return F.regexp_replace(column, r"[^A-Za-z0-9_-]", "_")
 

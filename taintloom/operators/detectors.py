@@ -96,6 +96,29 @@ def wide_byte(lines: DataFrame) -> DataFrame:
     return same.unionByName(cross)
 
 
+def pdo(lines: DataFrame) -> DataFrame:
+    """PDO checks: concatenated queries, emulated prepares, wide-byte charsets in the file or its project, and prepared
+    calls while emulation isn't off. Flags of files and projects are one aggregate each; first lines are windows."""
+    php, code = lines.where(F.col("language") == "php"), F.col("code")
+    sql = ["sql_injection"]
+    flag = lambda p, name: F.bool_or(code.rlike(p)).alias(name)
+    per_file = php.groupBy(*KEY).agg(flag(P.PDO_ANY, "pdo"), flag(P.GBK_PROJECT, "gbk"), flag(P.EMULATE_ON, "emulate"), flag(r"->prepare\s*\(", "prepare"), flag(r"->execute\s*\(\s*\[", "bound"), flag(P.PDO_CHARSET, "charset")).where("pdo")
+    per_project = php.groupBy("project_id").agg(flag(P.GBK_PROJECT, "project_gbk"), flag(P.EMULATE_OFF, "emulate_off"))
+    rows = php.join(per_file, KEY).join(per_project, "project_id")
+    shaky = ~F.col("emulate_off")
+    concat = F.coalesce(*(F.when(code.rlike(p), F.lit(c)) for p, c in P.PDO_CONCAT))
+    out = _found(rows.where(concat.isNotNull()), "string_concat_sql", 0.0, sql).withColumn("confidence", F.coalesce(*(F.when(F.col("evidence").rlike(p), F.lit(c)) for p, c in P.PDO_CONCAT), F.lit(0.7)))
+    first = lambda hit, confidence: _found(first_wins(rows.where(hit), KEY, ["line_no"]), "dangerous_combo", confidence, sql)
+    out = out.unionByName(first(F.col("emulate") & code.contains("ATTR_EMULATE_PREPARES"), 0.8))
+    out = out.unionByName(first(F.col("gbk") & ~F.col("emulate") & code.rlike(r"(?i)charset\s*=\s*['\"]?\s*(?:gbk|gb2312|big5)"), 0.65))
+    out = out.unionByName(first(F.col("project_gbk") & shaky & code.rlike(r"new\s+PDO|->query|->exec|->prepare"), 0.85))
+    prepared = F.col("prepare") & F.col("bound") & shaky
+    out = out.unionByName(first(prepared & code.rlike(P.PDO_CHARSET), 0.7))
+    remote = rows.where(prepared & ~F.col("charset")).select("project_id").distinct()
+    opened = first_wins(rows.where(F.col("charset") & code.rlike(r"new\s+PDO\s*\(")), ["project_id"], ["path", "line_no"])
+    return out.unionByName(_found(opened.join(remote, "project_id", "left_semi"), "dangerous_combo", 0.65, sql))
+
+
 def weak_escape(lines: DataFrame) -> DataFrame:
     """addslashes of a request value with a query within five lines. An unreliable filter: noted, never a finding."""
     w = Window.partitionBy(*KEY).orderBy("line_no").rowsBetween(0, 5)
@@ -105,7 +128,7 @@ def weak_escape(lines: DataFrame) -> DataFrame:
 
 def detect(lines: DataFrame, spans: DataFrame | None = None) -> DataFrame:
     """All findings of the detectors, safe ones too."""
-    parts = [parameterized(lines), allowlists(lines), extract_overrides(lines), credentials(lines), debug_mode(lines), archive_extraction(lines), combos(lines, "php", P.PHP_COMBOS, ["command_execution", "deserialization"], spans), combos(lines, "python", P.PYTHON_COMBOS, ["code_injection"]), wide_byte(lines), weak_escape(lines)]
+    parts = [parameterized(lines), allowlists(lines), extract_overrides(lines), credentials(lines), debug_mode(lines), archive_extraction(lines), combos(lines, "php", P.PHP_COMBOS, ["command_execution", "deserialization"], spans), combos(lines, "python", P.PYTHON_COMBOS, ["code_injection"]), wide_byte(lines), pdo(lines), weak_escape(lines)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

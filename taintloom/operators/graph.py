@@ -42,6 +42,16 @@ def last_marks(marks: DataFrame, key: list[str], value: list[str]) -> DataFrame:
     return best.select(*key, "__m.*")
 
 
+def part_edges(rows: DataFrame, key: str = "project_id") -> DataFrame:
+    """Edges from every part of a concatenation (array `parts`) to its `result`, in the parts' order."""
+    return rows.select(key, "seq", F.posexplode("parts").alias("pos", "src"), F.col("result").alias("dst"))
+
+
+def argument_edges(rows: DataFrame, key: str = "project_id") -> DataFrame:
+    """Edges from an argument to its function's parameter, named function::parameter."""
+    return rows.select(key, "seq", F.col("argument").alias("src"), F.concat_ws("::", "function", "parameter").alias("dst"))
+
+
 def bfs_paths(edges: DataFrame, sources: DataFrame, most: int = MAX_PATH, key: str = "project_id") -> DataFrame:
     """(key, source, node, path, depth): the breadth-first tree of every source, first edges first, to `most` nodes.
 

@@ -31,7 +31,7 @@ def taint_findings(files: DataFrame, mode: str = "declarative") -> DataFrame:
 def pattern_findings(detected: DataFrame, files: DataFrame) -> DataFrame:
     """Detectors' findings as findings: the first related type names them; safe and unreliable ones are none."""
     kind = F.coalesce(F.get("related_types", F.lit(0)), F.lit("command_execution"))
-    grade = lookup({"dangerous_combo": "high", "extract_override": "high", "hardcoded_credentials": "high", "debug_mode": "low", "archive_extract": "medium"}, F.col("pattern"), "medium")
+    grade = lookup({"dangerous_combo": "high", "string_concat_sql": "high", "extract_override": "high", "hardcoded_credentials": "high", "debug_mode": "low", "archive_extract": "medium"}, F.col("pattern"), "medium")
     lang = files.select("project_id", F.col("path").alias("file_path"), "language")
     rows = detected.where(~F.col("is_safe") & (F.col("pattern") != "blacklist_filter"))
     rows = rows.select("project_id", "file_path", "line_number", F.col("line_number").alias("sink_line"), kind.alias("vuln_type"), grade.alias("severity"), F.col("evidence").alias("sink_code"), "confidence", F.lit("ast").alias("pipeline_stage"), F.concat_ws(" ", F.lit("pattern"), "pattern").alias("description"))

@@ -116,6 +116,22 @@ def test_region_context_and_replacement(spark):
     assert got == {1: None, 2: "SOURCE", 3: None, 4: None, 5: "SINK", 6: None}
 
 
+def test_pdo(spark):
+    rows = [
+        ("p", "db.php", "php", "<?php\n$db = new PDO('mysql:host=x;charset=gbk');\n"),
+        ("p", "a.php", "php", "<?php\n$s = $db->prepare('SELECT 1');\n$s->execute([1]);\n$db->query('SELECT ' . $x);\n"),
+        ("q", "b.php", "php", "<?php\n$db->setAttribute(PDO::ATTR_EMULATE_PREPARES, true);\n"),
+    ]
+    got = {(r.file_path, r.line_number, r.pattern, r.confidence) for r in detectors.pdo(corpus.code_lines(spark.createDataFrame(rows, corpus.FILES))).collect()}
+    assert got == {
+        ("a.php", 4, "string_concat_sql", 0.9),
+        ("a.php", 2, "dangerous_combo", 0.85),
+        ("db.php", 2, "dangerous_combo", 0.85),
+        ("db.php", 2, "dangerous_combo", 0.65),
+        ("b.php", 2, "dangerous_combo", 0.8),
+    }
+
+
 def test_large_suffix_table_gives_the_same(spark):
     rows = spark.createDataFrame([(1, "flask.request.args.get"), (2, "args.get"), (3, "other")], "id int, name string")
     table = spark.createDataFrame([("get", 0), ("args.get", 1), ("request.args.get", 2)], "suffix string, ord int")
