@@ -76,50 +76,65 @@ def without(text: str, gone: list[tuple[int, int]]) -> str:
     return "".join(out) + text[at:]
 
 
+#: A unit's number of words, kind and whether its own document has it earlier, in one int.
+WORDS, KIND, INNER = (1 << 20) - 1, 1 << 20, 1 << 21
+
+
+def version_of(text: str | None) -> int:
+    return xxhash.xxh32_intdigest((text or "").encode()) - (1 << 31)
+
+
 def repeated_units(docs: DataFrame, key: str, text: str, min_line_words: int) -> DataFrame:
-    """(doc, version, kind, start, end, words) of every unit that isn't the first of its digest by (doc, version, start).
+    """(doc, version, span, facts) of every unit that stands earlier: in its own document, or in one with a smaller key.
 
-    Digests are 128 bits. The first of a digest is a map-side minimum, so a line that a third of the documents share is
-    reduced before the shuffle; repeated occurrences are then found by a join on the digest, which Spark can split.
+    Digests are 128 bits. Repeats within a document are told in its own pass. Over documents the first of a digest is a
+    minimum of a long, summed map-side in a hash table, so a line that a third of the documents share is reduced before
+    the shuffle; the other occurrences are then found by a join on the digest, which Spark can split. span: start and
+    end in the halves of a long; facts: WORDS, KIND and INNER.
     """
     small_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:
-            rows: tuple[list, ...] = tuple([] for _ in range(8))
+            rows: tuple[list, ...] = tuple([] for _ in range(6))
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                version = xxhash.xxh64_intdigest((t or "").encode()) - (1 << 63)
+                version, seen = version_of(t), set()
+                d = (1 << 63) - 1 - (version & 0x7FFFFFFF) if d is None else d
                 for kind, a, e, n, normal in units(t or "", min_line_words):
                     h = xxhash.xxh3_128_intdigest(normal.encode(), kind)
-                    for column, value in zip(rows, ((h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63), d, version, kind, a, e, n), strict=True):
+                    facts = min(n, WORDS) | KIND * kind | INNER * (h in seen)
+                    seen.add(h)
+                    for column, value in zip(rows, ((h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63), d, version, a << 32 | e, facts), strict=True):
                         column.append(value)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int8(), pa.int32(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=["h1", "h2", "doc", "version", "kind", "start", "end", "words"])
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=["h1", "h2", "doc", "version", "span", "facts"])
 
-    schema = "h1 long, h2 long, doc long, version long, kind byte, start int, end int, words int"
+    schema = "h1 long, h2 long, doc long, version int, span long, facts int"
     all_units = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).mapInArrow(run, schema)
-    rank = F.struct(F.col("doc").isNull().alias("unnamed"), "doc", "version", "start")
-    first = all_units.groupBy("h1", "h2").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return all_units.join(first, ["h1", "h2"]).where(rank > F.col("first")).select("doc", "version", "kind", "start", "end", "words")
+    first = all_units.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    inner = F.col("facts").bitwiseAND(INNER) != 0
+    return all_units.join(first, ["h1", "h2"]).where(inner | (F.col("doc") > F.col("first"))).select("doc", "version", "span", "facts")
 
 
 def deduplicated(docs: DataFrame, min_line_words: int = 6, min_run_words: int = 25, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs` with `text` cleaned and a column `removed` array<struct<start:int,end:int>> of original offsets.
 
-    A line of `min_line_words` or more whose normal form stands earlier (by key, then offset; null keys last) goes. So
+    A line of `min_line_words` or more whose normal form stands earlier (by key, then offset; null keys last, by their
+    text) goes. So
     does a run of neighbouring sentences that each stand earlier and have `min_run_words` or more words together: that
     finds passages inside longer lines and leaves short phrases that repeat by chance. Null texts stay null with nothing
-    removed; empty texts stay. Rows that repeat both key and text are one document and get the same text. Every row and
-    column of `docs` is kept; the names `removed` and `__v` are this operator's own. The key must be an integer.
+    removed; empty texts stay. Rows that repeat a key are one document: they get
+    the same cuts where their texts are equal, and nothing is cut of one for standing in the other. Every row and
+    column of `docs` is kept; the names `removed`, `__found`, `__v` and `__d` are this operator's own. The key must be an integer.
     """
     found = repeated_units(docs, key, text, min_line_words)
-    per_doc = found.groupBy("doc", "version").agg(F.collect_list(F.struct("kind", "start", "end", "words")).alias("__found"))
-    names = [c for c in docs.columns if c not in ("removed", "__found", "__v")]
+    per_doc = found.groupBy("doc", "version").agg(F.collect_list(F.struct("span", "facts")).alias("__found"))
+    names = [c for c in docs.columns if c not in ("removed", "__found", "__v", "__d")]
 
     def hashed(batches):
         for b in batches:
-            v = [xxhash.xxh64_intdigest((t or "").encode()) - (1 << 63) for t in b.column(names.index(text)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(v, pa.int64())], names=[*b.schema.names, "__v"])
+            v = [version_of(t) for t in b.column(names.index(text)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(v, pa.int32())], names=[*b.schema.names, "__v"])
 
     def apply(batches):
         at = names.index(text)
@@ -134,7 +149,7 @@ def deduplicated(docs: DataFrame, min_line_words: int = 6, min_run_words: int =
                 every = [u for u in units(t, 1 << 30)]
                 for x, y in zip(every, every[1:], strict=False):
                     follow[x[2]] = y[1]
-                s = spans([(x["kind"], x["start"], x["end"], x["words"]) for x in f], follow, min_run_words)
+                s = spans([(x["facts"] // KIND & 1, x["span"] >> 32, x["span"] & 0xFFFFFFFF, x["facts"] & WORDS) for x in f], follow, min_run_words)
                 texts.append(without(t, s))
                 gone.append([{"start": a, "end": e} for a, e in s])
             removed = pa.array(gone, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
@@ -142,6 +157,8 @@ def deduplicated(docs: DataFrame, min_line_words: int = 6, min_run_words: int =
             yield pa.RecordBatch.from_arrays([*columns, removed], names=[*names, "removed"])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    with_version = docs.select(*names).mapInArrow(hashed, f"{kinds}, __v long")
-    joined = with_version.join(per_doc, F.col(key).cast("long").eqNullSafe(F.col("doc")) & (F.col("__v") == F.col("version")), "left")
+    with_version = docs.select(*names).mapInArrow(hashed, f"{kinds}, __v int")
+    unnamed = F.lit((1 << 63) - 1) - F.col("__v").cast("long").bitwiseAND(0x7FFFFFFF)
+    with_version = with_version.withColumn("__d", F.coalesce(F.col(key).cast("long"), unnamed))
+    joined = with_version.join(per_doc, (F.col("__d") == F.col("doc")) & (F.col("__v") == F.col("version")), "left")
     return joined.select(*names, "__found").mapInArrow(apply, f"{kinds}, removed array<struct<start:int,end:int>>")
