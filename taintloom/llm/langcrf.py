@@ -222,8 +222,8 @@ class Labeller:
         """(language, mean marginal) of each text; ties go to the first name; `und` and 0 of a text without a letter."""
         out = []
         for part in chunks(texts, 1_500_000):
-            for _, p in self.marginals(part):
-                if len(p):
+            for words, p in self.marginals(part):
+                if any(c.isalpha() for w in words for c in w):
                     mean = p.mean(0)
                     k = int(mean.argmax())
                     out.append((self.model.langs[k], float(min(1.0, mean[k]))))
