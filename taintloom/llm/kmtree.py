@@ -181,7 +181,7 @@ def nearest(rows: DataFrame, queries, top: int = 20, recall: float = 0.96, most_
 
     found = pa.list_(pa.struct([("s", pa.float64()), ("v", pa.int64())]))
     scored = ask.select("leaf", "ci", "qi", "node", "vector").groupBy("leaf", "ci", "qi").cogroup(cand.select("leaf", "ci", "qi", "node", "ids", "vector").groupBy("leaf", "ci", "qi")).applyInArrow(score, "node long, found array<struct<s:double,v:long>>")
-    best = scored.select("node", F.inline("found")).withColumn("n", F.row_number().over(Window.partitionBy("node").orderBy("s", "v"))).where(F.col("n") <= most)
-    lists = cut(best.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("s", "v"))).alias("found")))
+    # A query's lists meet in one row: as many as it visits cells, each of a bounded length.
+    lists = cut(scored.groupBy("node").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, most).alias("found")))
     each = asking.join(lists, "node").select("id", F.slice(F.filter("found", lambda f: f["v"] != F.col("id")), 1, top).alias("found"))
     return each.select(F.col("id").alias("query_id"), F.posexplode("found").alias("p", "f")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("f.v").alias("vec_id"), (-F.col("f.s")).alias("score"))
