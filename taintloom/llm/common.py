@@ -43,6 +43,16 @@ class Memo(dict):
             self.clear()
 
 
+_HOLDERS: dict[str, Callable[[], None]] = {}
+
+
+def sole_holder(name: str, clear: Callable[[], None]) -> None:
+    """Python workers serve one operator after another; what an earlier one keeps in memos goes when the next begins."""
+    for other in [n for n in _HOLDERS if n != name]:
+        _HOLDERS.pop(other)()
+    _HOLDERS[name] = clear
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

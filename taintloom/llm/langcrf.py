@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, small_batches
+from .common import chunks, small_batches, sole_holder
 
 WORD = re.compile(r"[^\W\d_]+")
 BITS = 16
@@ -275,6 +275,7 @@ def identified(docs: DataFrame, model: Model | None, text: str = "text") -> Data
     name = f"{spark.sparkContext.applicationId}-{np.random.default_rng().integers(1 << 60)}"
 
     def run(batches):
+        sole_holder("langcrf", _LABELLERS.clear)
         for b in batches:
             texts = [t or "" for t in b.column(at).to_pylist()]
             got = [("und", 0.0)] * len(texts) if shared.value is None else _labeller(name, shared).documents(texts)

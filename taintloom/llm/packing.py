@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, tokenizer_path
+from .common import cut, small_batches, sole_holder, tokenizer_path
 
 ITEM = "array<struct<doc_id:{k},piece:int,start:long,length:long,ids_crc32:long,at:long>>"
 
@@ -67,7 +67,7 @@ class Encoder:
     before full stops and commas. Words of letters only are encoded many to a call and told apart by their end mark.
     """
 
-    def __init__(self, path: str, limit: int = 900_000) -> None:
+    def __init__(self, path: str, limit: int = 700_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -145,6 +145,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0, key: str
     end = array("I", [end_id]).tobytes()
 
     def run(batches):
+        sole_holder("packing", encoder.cache_clear)
         for b in batches:
             keys, out = b.column(0), ([], [], [], [], [])
             for n, ids in enumerate(encoder(path).encode([t or "" for t in b.column(1).to_pylist()])):

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, small_batches, tokenizer_path
+from .common import Memo, small_batches, sole_holder, tokenizer_path
 from .piece_model import SPACE, PieceModel, load
 
 NONE = np.int64(1 << 40)  # rank of a pair that doesn't merge
@@ -162,6 +162,7 @@ def encoded(docs: DataFrame, path: str | None = None, key: str = "doc_id", text:
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
+        sole_holder("piece_codec", codec.cache_clear)
         c = codec(path)
         for b in batches:
             got = c.encode_texts([t or "" for t in b.column(1).to_pylist()])

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, small_batches, tokenizer_path
+from .common import Memo, small_batches, sole_holder, tokenizer_path
 from .piece_model import load
 
 
@@ -74,6 +74,7 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = 4096, ke
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
+        sole_holder("piece_count", _memo.cache_clear)
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
             n = [count_text(t, path) for t in texts]

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, small_batches
+from .common import Memo, small_batches, sole_holder
 
 WORD = re.compile(r"[^\W\d_]+")
 BITS = 18
@@ -182,6 +182,7 @@ def toxicity(docs: DataFrame, chain: Chain | None, threshold: float = 0.5, text:
 
     def run(batches):
         chain = shared.value
+        sole_holder("toxicity", _MEMOS.clear)
         if chain is not None and name not in _MEMOS:
             _MEMOS.clear()
             _MEMOS[name] = Memo(lambda w: chain.lexicon.hits(grams(w)), 500_000)
