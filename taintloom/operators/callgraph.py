@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from taintloom.functions import call_tables as C
 from taintloom.functions.catalog import severity
 
+from .graph import cut
 from .relational import first_wins
 
 DEPTH = 4  # fixed value: calls below the caller
@@ -85,19 +86,20 @@ def paths(graph: DataFrame, depth: int = DEPTH) -> DataFrame:
     reaches in at most `depth` calls; sinks end a path, and neither the source nor the caller is met again.
 
     Bounded rounds of joins: the frontier meets the call edges, nodes seen by (source, caller) go, the first arrival by
-    path wins. Calls are taken in the order of their names.
+    path wins. Calls are taken in the order of their names. A round is checkpointed, so none is computed twice.
     """
     edges = graph.select("project_id", F.col("name").alias("caller"), F.explode("called").alias("callee")).join(graph.select("project_id", F.col("name").alias("callee"), (F.size("sink_labels") > 0).alias("is_sink")), ["project_id", "callee"]).where("caller <> callee")
     starts = graph.where(F.size("source_labels") > 0).select("project_id", F.col("name").alias("source"))
     key = ["project_id", "source", "caller"]
+    edges = cut(edges)
     first = starts.join(edges.select("project_id", F.col("callee").alias("source"), "caller"), ["project_id", "source"])
-    frontier = first.withColumn("node", F.col("caller")).withColumn("path", F.array("source", "caller")).withColumn("is_sink", F.lit(False))
+    frontier = cut(first).withColumn("node", F.col("caller")).withColumn("path", F.array("source", "caller")).withColumn("is_sink", F.lit(False))
     seen = frontier.select(*key, "node").unionByName(frontier.select(*key, F.col("source").alias("node")))
     steps = edges.select("project_id", F.col("caller").alias("node"), F.col("callee").alias("next"), F.col("is_sink").alias("next_sink"))
     out = None
     for _ in range(depth):
         moved = frontier.where(~F.col("is_sink")).join(steps, ["project_id", "node"]).select(*key, F.col("next").alias("node"), F.concat("path", F.array("next")).alias("path"), F.col("next_sink").alias("is_sink"))
-        frontier = first_wins(moved.join(seen, [*key, "node"], "left_anti"), [*key, "node"], ["path"])
+        frontier = cut(first_wins(moved.join(seen, [*key, "node"], "left_anti"), [*key, "node"], ["path"]))
         seen = seen.unionByName(frontier.select(*key, "node"))
         sinks = frontier.where("is_sink").select("project_id", "source", F.col("node").alias("sink"), "path")
         out = sinks if out is None else out.unionByName(sinks)
