@@ -7,7 +7,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from dataclasses import dataclass, field
+from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import Memo, small_batches, sole_holder
 
 WORD = re.compile(r"[^\W\d_]+")
-BITS = 18
+BITS = 22
 FOLDS = 5
 #: The chain. `toxic` is labelled; the two grades behind it are weak labels made of it and of out-of-fold evidence.
 CATEGORIES = ("toxic", "toxic_repeated", "toxic_dense")
@@ -32,29 +33,29 @@ def grams(word: str) -> np.ndarray:
 
 @dataclass
 class Lexicon:
-    """Features that speak for the first category, and what a text shows of them."""
+    """Features that speak for the first category, sorted, and which of them a word has."""
 
     chosen: np.ndarray
-    place: np.ndarray = field(init=False)
-
-    def __post_init__(self) -> None:
-        self.place = np.full(1 << BITS, -1, np.int64)
-        self.place[self.chosen] = np.arange(len(self.chosen))
 
     def hits(self, word_grams: np.ndarray) -> tuple[int, ...]:
-        at = self.place[word_grams]
-        return tuple(at[at >= 0].tolist())
+        if not len(self.chosen):
+            return ()
+        at = np.minimum(np.searchsorted(self.chosen, word_grams), len(self.chosen) - 1)
+        return tuple(at[self.chosen[at] == word_grams].tolist())
 
 
-def choose(docs: list[np.ndarray], y: np.ndarray, most: int = 4000, least: int = 3) -> Lexicon:
-    """Features in `least` or more positive documents whose share there is over 8 times that in negative documents."""
-    df = [np.zeros(1 << BITS) for _ in range(2)]
+def choose(docs: list[np.ndarray], y: np.ndarray, most: int = 4000) -> Lexicon:
+    """Features whose share of positive documents is over 8 times that of negative ones, in so many positive documents that
+    of 100,000 features that are dealt over documents by chance less than one would stand in those alone."""
+    least = max(3, int(np.ceil(np.log(1e5) / -np.log(np.clip(y.mean(), 1e-9, 0.5)))))
+    df = [np.zeros(1 << BITS, np.float32) for _ in range(2)]
     for d, label in zip(docs, y, strict=True):
         df[int(label)][d] += 1
     n = max(1, int((y == 0).sum())), max(1, int((y == 1).sum()))
     score = np.log((df[1] + 0.1) / n[1]) - np.log((df[0] + 0.5) / n[0])
     ok = np.flatnonzero((df[1] >= least) & (score > np.log(8)))
-    return Lexicon(np.sort(ok[np.argsort(-score[ok] * np.log1p(df[1][ok]), kind="stable")[:most]]))
+    best = np.argsort(-score[ok] * np.log1p(df[1][ok]), kind="stable")[:most]
+    return Lexicon(np.sort(ok[best]).astype(np.int32))
 
 
 def fit_linear(rows: list[np.ndarray], extra: np.ndarray, y: np.ndarray, size: int, rounds: int = 150, l2: float = 1e-3) -> np.ndarray:
@@ -99,9 +100,11 @@ def _dense(counts: np.ndarray) -> np.ndarray:
 
 
 def _seen(words: list[str], memo: Memo) -> tuple[np.ndarray, tuple[int, int, int]]:
-    found = [(w, h) for w in words if (h := memo[w])]
-    features = np.array(sorted({i for _, h in found for i in h}), np.int64)
-    return features, (len(found), len({w for w, _ in found}), len(words))
+    """(features, (hits, distinct words with a hit, words)) of a text; a word counts five times at most, so that one that
+    is repeated throughout a text doesn't decide."""
+    found = Counter(w for w in words if memo[w])
+    features = np.array(sorted({i for w in found for i in memo[w]}), np.int64)
+    return features, (sum(min(n, 5) for n in found.values()), len(found), len(words))
 
 
 def train(texts: list[str], toxic: list[int], keys: list[int]) -> Chain | None:
