@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -219,35 +220,144 @@ def simhash_components(docs: DataFrame, width: int = 3, most: int = 2, key: str
     return prints.join(of, "fp").select(F.col("doc").alias(key), shown, "component_id")
 
 
+def parity(found: np.ndarray) -> np.ndarray:
+    """256 bits, as four longs, of a set of hashes: a bit is the parity of the number of hashes that fall on it. Two sets
+    differ in as many hashes as their bits do, or in more."""
+    odd = np.bincount((found >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def shingle_prefix(found: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
+    """The first hashes of a set (sorted), those in `common` (sorted) being last in order, that are enough to hold one of
+    any set of `similarity` or more to it."""
+    last = common[np.minimum(np.searchsorted(common, found), len(common) - 1)] == found if len(common) else np.zeros(len(found), bool)
+    return np.concatenate([found[~last], found[last]])[: len(found) - math.ceil(similarity * len(found) - 1e-9) + 1]
+
+
+def common_shingles(docs: DataFrame, n: int, width: int, sample: int = 10_000, most: int = 200_000) -> np.ndarray:
+    """Hashes, sorted, that three documents of a sample hold. They only settle an order: any choice gives the same result,
+    but with common ones last few documents meet by them."""
+
+    def run(batches):
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t, width)).view(np.int64))], names=["token"])
+
+    some = docs.where(F.pmod(F.xxhash64("doc"), F.lit(max(1, min(64, n // sample)))) == 0).select("text")
+    counted = some.mapInArrow(whole_batches(run), "token long").groupBy("token").count().where("count >= 3")
+    return np.sort(counted.orderBy(F.desc("count"), "token").limit(most).select("token").toArrow().column(0).to_numpy().view(np.uint64))
+
+
+def prefix_pairs(docs: DataFrame, nodes: DataFrame, n: int, width: int, similarity: float, cell_rows: int = 1000) -> DataFrame:
+    """Pairs (a, b) of nodes of different groups among which every pair with a Jaccard similarity of `similarity` or more
+    is: an exact prefix-filter join with length, positional and parity filters.
+
+    `docs`: doc, text; `nodes`: node, comp (its group), s0 to s3 (its parity sketch); `n`: about how many docs there are.
+    A first pass marks prefix hashes of two texts or more in a table of bits; the second passes on rows of those only.
+    """
+    common, slots = common_shingles(docs, n, width), 1 << 25
+
+    def tokens(batches):
+        for b in batches:
+            for t in b.column(1).to_pylist():
+                p = shingle_prefix(np.unique(shingle_hashes(t, width)), common, similarity)
+                own = xxhash.xxh3_64_intdigest(t.encode()) - (1 << 63)
+                yield pa.RecordBatch.from_arrays([pa.array(p.view(np.int64)), pa.array(np.full(len(p), own, np.int64))], names=["token", "own"])
+
+    met = docs.mapInArrow(whole_batches(tokens), "token long, own long").groupBy("token").agg(F.min("own").alias("least"), F.max("own").alias("most")).where("least < most")
+    bits = met.select(F.expr(f"token & {slots - 1}").alias("slot")).groupBy(F.expr("shiftright(slot, 6)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("bits")).toArrow()
+    marks = np.zeros(slots >> 6, np.uint64)
+    marks[bits.column(0).to_numpy()] = bits.column(1).to_numpy().view(np.uint64)
+    shared = docs.sparkSession.sparkContext.broadcast(marks)
+
+    def places(batches):
+        marks = shared.value
+        for b in batches:
+            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                found = np.unique(shingle_hashes(t, width))
+                p = shingle_prefix(found, common, similarity)
+                slot = p & np.uint64(slots - 1)
+                at = np.flatnonzero(marks[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1))
+                columns = [p[at].view(np.int64), np.full(len(at), d, np.int64), np.full(len(at), len(found), np.int32), at.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "node", "size", "place"])
+
+    rows = cut(docs.mapInArrow(whole_batches(places), "token long, node long, size int, place int").join(nodes.select("node", "comp"), "node"))
+    across = cut(rows.groupBy("token").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("token"))
+    rows = cut(rows.join(across, "token", "left_semi").join(nodes.drop("comp"), "node"))
+    keys = ["token", "cell_i", "cell_j"]
+    dealt = cells(rows, ["token"], ["node"], cell_rows).select(*keys, "node", "comp", "size", "place", "s0", "s1", "s2", "s3")
+    dealt = dealt.repartition(*keys).sortWithinPartitions(*keys, "node")
+
+    def run(batches):
+        for columns, starts in _runs(batches, keys):
+            node, comp, size, place, *sketch = columns[3:]
+            size, place = size.astype(np.int64), place.astype(np.int64)
+            end = np.repeat(np.r_[starts[1:], len(node)], np.diff(np.r_[starts, len(node)]))
+            i, far = np.arange(len(node)), 0
+            while len(i):
+                far += 1
+                i = i[i + far < end[i]]
+                x = i[comp[i] != comp[i + far]]
+                y = x + far
+                need = np.ceil(similarity / (1 + similarity) * (size[x] + size[y]) - 1e-9).astype(np.int64)
+                ok = np.minimum(size[x] - place[x], size[y] - place[y]) >= need
+                ok &= np.minimum(size[x], size[y]) >= need
+                ok &= sum(np.bitwise_count(s[x] ^ s[y]).astype(np.int64) for s in (c.view(np.uint64) for c in sketch)) <= size[x] + size[y] - 2 * need
+                if ok.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[x[ok]], node[y[ok]])), pa.array(np.maximum(node[x[ok]], node[y[ok]]))], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long").where("a <> b").distinct()
+
+
+def whole_batches(make, rows: int = 50_000):
+    """Joins the many small batches that `make` yields into some of about `rows` rows."""
+
+    def run(batches):
+        kept, size = [], 0
+        for b in make(batches):
+            kept.append(b)
+            size += b.num_rows
+            if size >= rows:
+                yield from pa.Table.from_batches(kept).combine_chunks().to_batches()
+                kept, size = [], 0
+        if kept:
+            yield from pa.Table.from_batches(kept).combine_chunks().to_batches()
+
+    return run
+
+
 def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, tables: int = 6, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, root) of every document that has a copy: root is the smallest key of its group, in groups linked by equal
     texts or by a Jaccard similarity of `similarity` or more between sets of `width`-word shingles.
 
-    Candidates come from `tables` (2, 4 or 6) 30-bit SimHashes of word pairs, each within 2 bits by anchor covering: pairs of words
-    change less than longer shingles, so near copies are close in one of the tables. Per anchor the spanning forest of
-    least distance over all tables' bits is kept (a single-linkage forest: it joins whatever a threshold on that
-    distance joins), and its edges are then verified exactly. Null and empty texts are never copies of each other.
+    Most are found by `tables` (2, 4 or 6) 30-bit SimHashes of the set of word pairs, each within 2 bits by anchor covering: pairs of
+    words change less than longer shingles, so near copies are close in one of the tables. Per anchor the spanning forest of
+    least distance over all tables' bits is kept, and its edges are verified exactly. What that leaves apart, `prefix_pairs`
+    finds without loss between the groups made so far, so the result is that of comparing all pairs. Null and empty texts
+    are never copies of each other.
     """
     small_batches(docs.sparkSession)
-    prints = [f"p{k}" for k in range(-(-tables // 2))]
+    prints, sketch = [f"p{k}" for k in range(-(-tables // 2))], ["s0", "s1", "s2", "s3"]
     docs = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).where("doc is not null and text is not null and trim(text) <> ''")
 
     def sign(batches):
         for b in batches:
-            rows = ([], [], [], *([] for _ in prints))
+            rows = ([], [], [], *([] for _ in prints), *([] for _ in sketch))
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                h = shingle_hashes(t, 2)
+                h = np.unique(shingle_hashes(t, 2))
                 wide = [majority(h), majority((h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)), majority((h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9))]
                 digest = xxhash.xxh3_128_intdigest(t.encode())
                 rows[0].append(d)
                 rows[1].append((digest >> 64) - (1 << 63))
                 rows[2].append((digest & ((1 << 64) - 1)) - (1 << 63))
-                for k, column in enumerate(rows[3:]):
+                for k, column in enumerate(rows[3 : 3 + len(prints)]):
                     column.append(wide[k] & 0x3FFFFFFF3FFFFFFF)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], names=["doc", "h1", "h2", *prints])
+                for column, s in zip(rows[3 + len(prints) :], parity(np.unique(shingle_hashes(t, width))).tolist(), strict=True):
+                    column.append(s)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], names=["doc", "h1", "h2", *prints, *sketch])
 
-    signed = cut(docs.mapInArrow(sign, "doc long, h1 long, h2 long, " + ", ".join(f"{p} long" for p in prints)))
-    texts = cut(signed.groupBy("h1", "h2").agg(F.min("doc").alias("node"), *(F.first(p).alias(p) for p in prints)))
+    signed = cut(docs.mapInArrow(sign, "doc long, h1 long, h2 long, " + ", ".join(f"{p} long" for p in [*prints, *sketch])))
+    texts = cut(signed.groupBy("h1", "h2").agg(F.min("doc").alias("node"), *(F.first(p).alias(p) for p in [*prints, *sketch])))
     edges = cut(cell_links(replicated(texts, prints, 30, 2), prints, 30, 2, 6 * tables))
 
     def sets(batches):
@@ -255,10 +365,17 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, tables
             found = [np.unique(shingle_hashes(t, width)).view(np.int64) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], names=["doc", "shingles"])
 
-    involved = edges.select(F.col("a").alias("doc")).union(edges.select(F.col("b").alias("doc"))).distinct()
-    shingles = cut(docs.join(involved, "doc", "left_semi").mapInArrow(sets, "doc long, shingles array<long>").groupBy("doc").agg(F.first("shingles").alias("shingles")))
-    left, right = (shingles.select(F.col("doc").alias(c), F.col("shingles").alias(f"{c}_set")) for c in ("a", "b"))
-    shared = F.size(F.array_intersect("a_set", "b_set"))
-    similar = edges.join(left, "a").join(right, "b").where(shared >= similarity * (F.size("a_set") + F.size("b_set") - shared)).select("a", "b")
+    def verified(edges):
+        involved = edges.select(F.col("a").alias("doc")).union(edges.select(F.col("b").alias("doc"))).distinct()
+        shingles = cut(docs.join(involved, "doc", "left_semi").mapInArrow(sets, "doc long, shingles array<long>").groupBy("doc").agg(F.first("shingles").alias("shingles")))
+        left, right = (shingles.select(F.col("doc").alias(c), F.col("shingles").alias(f"{c}_set")) for c in ("a", "b"))
+        shared = F.size(F.array_intersect("a_set", "b_set"))
+        return cut(edges.join(left, "a").join(right, "b").where(shared >= similarity * (F.size("a_set") + F.size("b_set") - shared)).select("a", "b"))
+
+    similar = verified(edges)
+    of = cut(texts.join(components(similar), "node", "left").select("node", F.coalesce("root", "node").alias("comp"), *sketch))
+    apart = cut(prefix_pairs(docs, of, signed.count(), width, similarity))
+    if not apart.isEmpty():
+        similar = similar.union(verified(apart))
     same = signed.join(texts.select("h1", "h2", "node"), ["h1", "h2"]).where("doc <> node").select(F.col("node").alias("a"), F.col("doc").alias("b"))
     return components(similar.union(same)).withColumnRenamed("node", key)

@@ -111,3 +111,20 @@ def test_near_copies(spark):
         assert d == root or root in texts
     assert not {2, 3, 4, 5, 6, 7, 8} & set(got)
     assert simhash.near_copies(none(spark)).count() == 0
+
+
+def test_near_copies_lose_no_block_edit(spark):
+    rng = random.Random(11)
+    make = lambda n: ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 8))) for _ in range(n)]
+    rows = []
+    for i in range(60):
+        words = make(300)
+        line = " ".join(words[100:110])
+        edited = [" ".join(words + make(72)), " ".join(words + make(60)), " ".join(words) + ("\n" + line) * 12, " ".join(words[:243]), " ".join(make(20) + words[:280])]
+        rows += [(10 * i + k, t) for k, t in enumerate([" ".join(words), *edited])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for _, t in rows]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if i // 6 == j // 6 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    roots = united(len(rows), pairs)
+    want = {rows[i][0]: rows[roots[i]][0] for p in pairs for i in p}
+    assert {r.doc_id: r.root for r in simhash.near_copies(docs).collect()} == want
