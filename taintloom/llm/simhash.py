@@ -250,7 +250,8 @@ def common_shingles(docs: DataFrame, n: int, width: int, sample: int = 10_000, m
 
 def prefix_pairs(docs: DataFrame, nodes: DataFrame, n: int, width: int, similarity: float, cell_rows: int = 1000) -> DataFrame:
     """Pairs (a, b) of nodes of different groups among which every pair with a Jaccard similarity of `similarity` or more
-    is: an exact prefix-filter join with length, positional and parity filters.
+    is: an exact prefix-filter join with length, positional and parity filters, and one of counts by 256
+    parts of the hash range: sets differ in as many hashes as their counts differ in all, or in more.
 
     `docs`: doc, text; `nodes`: node, comp (its group), s0 to s3 (its parity sketch); `n`: about how many docs there are.
     A first pass marks prefix hashes of two texts or more in a table of bits; the second passes on rows of those only.
@@ -306,7 +307,27 @@ def prefix_pairs(docs: DataFrame, nodes: DataFrame, n: int, width: int, similari
                 if ok.any():
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[x[ok]], node[y[ok]])), pa.array(np.maximum(node[x[ok]], node[y[ok]]))], names=["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long").where("a <> b").distinct()
+    pairs = cut(dealt.mapInArrow(run, "a long, b long").where("a <> b").distinct())
+
+    def counts(batches):
+        for b in batches:
+            found = [np.unique(shingle_hashes(t, width)) for t in b.column(1).to_pylist()]
+            held = [np.minimum(np.bincount((f >> np.uint64(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes() for f in found]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(f) for f in found], pa.int64()), pa.array(held, pa.binary())], names=["doc", "size", "held"])
+
+    def close(batches):
+        for b in batches:
+            a, c, x, y = (b.column(k).to_numpy() for k in range(4))
+            apart = [np.abs(np.frombuffer(p, np.uint8).astype(int) - np.frombuffer(q, np.uint8)).sum() for p, q in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)]
+            need = np.ceil(similarity / (1 + similarity) * (x + y) - 1e-9)
+            ok = np.array(apart) <= x + y - 2 * need
+            yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(c[ok])], names=["a", "b"])
+
+    involved = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+    held = cut(docs.mapInArrow(counts, "doc long, size long, held binary").join(involved, "doc", "left_semi").dropDuplicates(["doc"]))
+    left, right = (held.select(F.col("doc").alias(c), F.col("size").alias(f"{c}_size"), F.col("held").alias(f"{c}_held")) for c in ("a", "b"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "a_size", "b_size", "a_held", "b_held")
+    return both.mapInArrow(close, "a long, b long")
 
 
 def whole_batches(make, rows: int = 50_000):
