@@ -4,12 +4,16 @@ Tokens are ordered by their frequency over all blocks of the corpus, rare ones f
 a = ceil(threshold * |T|) of a template's |T| distinct tokens holds one of the first |T| - a + 1 of them (prefix filter),
 has a tokens or more (length filter), and from the first shared token on either side has enough tokens left (positional
 filter). What passes is verified, so the join finds exactly the blocks that meet the threshold.
+
+Blocks are lines and, for notices that are wrapped, runs of words across lines (blank ones too). Such a run has at most
+1 / threshold words for each of the template's, so that tokens scattered over a document make no notice; a document has
+to pass the join as one block before its runs are looked at. Words that stand before every line count as words.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import Counter, deque
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -68,17 +72,18 @@ class TemplateIndex:
     def __init__(self, templates: list[tuple[str, str]], frequency: dict[bytes, int], threshold: float) -> None:
         self.templates, self.prefix = [], {}
         for label, text in templates:
-            tokens = sorted({w for ws in block_words(text) for w in ws}, key=lambda w: (frequency.get(w, 0), w))
+            words = [w for ws in block_words(text) for w in ws]
+            tokens = sorted(set(words), key=lambda w: (frequency.get(w, 0), w))
             need = math.ceil(threshold * len(tokens) - 1e-9)
-            self.templates.append((label, frozenset(tokens), need))
+            self.templates.append((label, frozenset(tokens), need, math.floor(len(words) / threshold + 1e-9)))
             for p, w in enumerate(tokens[: len(tokens) - need + 1]):
                 self.prefix.setdefault(w, []).append((len(self.templates) - 1, p))
         self.vocabulary = frozenset().union(*(t[1] for t in self.templates))
         self.starts = frozenset(self.prefix)
         self.order = {w: k for k, w in enumerate(sorted(self.vocabulary, key=lambda w: (frequency.get(w, 0), w)))}
 
-    def matches(self, words: list[bytes]) -> list[tuple[str, float]]:
-        """(label, containment) of every template that the block meets the threshold of."""
+    def matches(self, words: list[bytes]) -> list[tuple[int, float]]:
+        """(template, containment) of every template that the block meets the threshold of."""
         if self.starts.isdisjoint(words):
             return []
         block = sorted(self.vocabulary.intersection(words), key=self.order.__getitem__)
@@ -86,15 +91,65 @@ class TemplateIndex:
         for q, w in enumerate(block):
             for t, p in self.prefix.get(w, ()):
                 if t not in seen:  # the first shared token decides: all that can still be shared stands behind it
-                    _, tokens, need = self.templates[t]
+                    _, tokens, need, _ = self.templates[t]
                     seen[t] = len(block) >= need and min(len(tokens) - p, len(block) - q) >= need
         out = []
         for t, possible in seen.items():
-            label, tokens, need = self.templates[t]
+            _, tokens, need, _ = self.templates[t]
             if possible and (shared := len(tokens.intersection(block))) >= need:
-                out.append((label, shared / len(tokens)))
+                out.append((t, shared / len(tokens)))
+        return out
+
+    def wrapped(self, lines: list[list[bytes]], template: int, met: set[int]) -> list[tuple[int, float]]:
+        """(first line, containment) of runs of words across lines that meet the template, none with a word of another or
+        of the lines in `met`, which do so by themselves."""
+        _, tokens, need, most = self.templates[template]
+        out: list[tuple[int, float]] = []
+        run: deque[tuple[int, int, bytes]] = deque()
+        held: Counter = Counter()
+        best, end, place = (0, 0), 0, 0
+
+        def leave():
+            if best[0]:
+                out.append((best[1], best[0] / len(tokens)))
+            run.clear()
+            held.clear()
+
+        for k, words in enumerate(lines):
+            if k in met:
+                leave()
+                best = (0, 0)
+                place += len(words)
+                continue
+            for w in words:
+                if best[0] and place >= end:
+                    leave()
+                    best = (0, 0)
+                if w in tokens:
+                    run.append((place, k, w))
+                    held[w] += 1
+                    while run[0][0] <= place - most:
+                        gone = run.popleft()[2]
+                        held[gone] -= 1
+                        if not held[gone]:
+                            del held[gone]
+                    if len(held) >= need and len(held) > best[0]:
+                        end = end if best[0] else run[0][0] + most
+                        best = (len(held), run[0][1])
+                place += 1
+        leave()
         return out
 
+    def blocks(self, lines: list[list[bytes]]) -> list[tuple[int, str, float]]:
+        """(first line, label, containment) of every line and run of words across lines that meets a template."""
+        found = [(k, t, share) for k, ws in enumerate(lines) for t, share in self.matches(ws)]
+        if len(lines) > 1:
+            for t, _ in self.matches([w for ws in lines for w in ws]):
+                met = {k for k, other, _ in found if other == t}
+                found += [(k, t, share) for k, share in self.wrapped(lines, t, met)]
+            found.sort(key=lambda f: f[0])
+        return [(k, self.templates[t][0], share) for k, t, share in found]
+
 
 def token_frequencies(docs: DataFrame, templates: list[tuple[str, str]], text: str = "text") -> dict[bytes, int]:
     """In how many blocks of all documents each template token stands: a bounded table, summed per task first."""
@@ -115,7 +170,8 @@ def token_frequencies(docs: DataFrame, templates: list[tuple[str, str]], text: s
 def license_scan(docs: DataFrame, threshold: float = 0.9, templates: list[tuple[str, str]] | None = None, phrases: dict[str, str] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of `docs`: (key, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks).
 
-    `blocks`: array<struct<block:int,label:string,containment:double>> of every line that meets a template. `score` is the
+    `blocks`: array<struct<block:int,label:string,containment:double>> of every line, or run of words across lines (by
+    the line that it begins in), that meets a template. `score` is the
     largest containment found, 1 where a phrase stands, else 0. Null and empty texts have no words, empty labels, null
     first_word and last_word. Repeated rows and null keys each give their own row; other columns are not read; an empty
     table gives an empty result. Two passes over the text (frequencies, then the join), no shuffle of it.
@@ -132,7 +188,7 @@ def license_scan(docs: DataFrame, threshold: float = 0.9, templates: list[tuple[
                 lines = block_words(t or "")
                 words = [w for ws in lines for w in ws]
                 n, first, last, base = phrase_places(words, phrases)
-                found = [(k, label, share) for k, ws in enumerate(lines) for label, share in index.matches(ws)]
+                found = index.blocks(lines)
                 score = max([1.0 if n else 0.0, *(f[2] for f in found)])
                 labels = sorted(base | {f[1] for f in found})
                 blocks = [{"block": k, "label": label, "containment": share} for k, label, share in found]

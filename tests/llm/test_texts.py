@@ -2,6 +2,7 @@
 
 import random
 import re
+import textwrap
 from collections import Counter
 
 import numpy as np
@@ -98,6 +99,21 @@ def test_license_scan_equals_brute_force(spark):
     assert licenses.license_scan(none(spark)).count() == 0
 
 
+def test_license_scan_finds_wrapped_notices(spark):
+    rows, want = [], {}
+    for i, (label, t) in enumerate(licenses.TEMPLATES):
+        for k, (width, lead, between) in enumerate([(72, "", ""), (80, " * ", ""), (30, "# ", "\n")]):
+            notice = ("\n" + between).join(lead + x for x in textwrap.wrap(t, width))
+            rows.append((10 * i + k, f"Some program\n\nwritten by someone {notice}\nand more text here"))
+            want[10 * i + k] = label
+    scattered = " ".join(licenses.TEMPLATES[1][1].split()[::2]) + "\n" + "other words here\n" * 40 + " ".join(licenses.TEMPLATES[1][1].split()[1::2])
+    rows.append((999, scattered))
+    got = {r.doc_id: r for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for d, label in want.items():
+        assert label in got[d].labels.split(",") and got[d].score >= 0.9
+    assert got[999].labels == "" and got[999].blocks == []
+
+
 def test_forward_backward_equals_the_plain_sums():
     rng = np.random.default_rng(0)
     for _ in range(15):
