@@ -1,174 +1,183 @@
-"""Pattern detectors over lines and files: safe patterns, dangerous pairs, credentials, debug mode, archives, charsets."""
+"""Pattern detectors over lines and files: safe patterns, dangerous pairs, credentials, debug mode, archives, charsets.
+
+Every line is read once: a line gets the tags of the patterns that it holds, and lines without any go no further. Detectors
+are conditions on tags, on tags of neighbouring lines, and on flags of files and projects (sums of tags).
+"""
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from taintloom.functions import patterns as P
 
+from .graph import cut
 from .relational import first_wins, proximity_first
 
 KEY = ["project_id", "path"]
+CODE = ["python", "php", "c", "cpp"]
+FOUND = [*KEY, "line_number", "pattern", "confidence", "related_types", "evidence", "is_safe"]
 
 
-def _found(rows: DataFrame, pattern: str, confidence: float, types: list[str], safe: bool = False) -> DataFrame:
-    return rows.select("project_id", F.col("path").alias("file_path"), F.col("line_no").alias("line_number"), F.lit(pattern).alias("pattern"), F.lit(confidence).alias("confidence"), F.array(*(F.lit(x) for x in types)).cast("array<string>").alias("related_types"), F.trim("code").alias("evidence"), F.lit(safe).alias("is_safe"))
-
-
-def parameterized(lines: DataFrame) -> DataFrame:
-    """Lines with a parameterised call and an SQL word within two lines; a window over neighbours instead of a join."""
-    w = Window.partitionBy(*KEY).orderBy("line_no").rowsBetween(-2, 2)
-    sql = F.col("code").rlike(r"(?i)\b(?:SELECT|INSERT|UPDATE|DELETE)\b")
-    near = lines.where(F.col("language") == "php").withColumn("__sql", F.max(sql).over(w))
-    return _found(near.where(F.col("__sql") & F.col("code").rlike("(?i)" + P.any_of(P.PARAMETERIZED))), "parameterized_query", 0.9, ["sql_injection"], True)
-
-
-def allowlists(lines: DataFrame) -> DataFrame:
-    return _found(lines.where((F.col("language") == "php") & F.col("code").rlike("(?i)" + P.any_of(P.ALLOWLIST))), "allowlist_check", 0.85, P.SAFE_COVERS["allowlist_check"], True)
-
-
-def extract_overrides(lines: DataFrame) -> DataFrame:
-    return _found(lines.where(F.col("code").rlike(P.EXTRACT_OVERRIDE)), "extract_override", 0.95, ["command_execution", "path_traversal"])
+def file_name(path: Column) -> Column:
+    return F.lower(F.substring_index(F.replace(path, F.lit("\\"), F.lit("/")), "/", -1))
 
 
 def test_file(path: Column) -> Column:
-    """Is a file a test or seed file, by its name or folder?"""
-    return path.rlike(r"(?i)(?:^|/)(?:tests?|fixtures?|seeds?)/|(?:^|/)(?:test_|seed)[^/]*$|_test\.[^/]*$|(?:^|/)conftest\.py$")
-
-
-def credentials(lines: DataFrame) -> DataFrame:
-    """String literals assigned to credential names; placeholders, interpolation and field names aren't credentials."""
-    name, value = F.lower(F.regexp_extract("code", P.CREDENTIAL, 1)), F.concat(F.regexp_extract("code", P.CREDENTIAL, 2), F.regexp_extract("code", P.CREDENTIAL, 3))
-    word = F.lit(False)
-    for x in P.CREDENTIAL_WORDS:
-        word |= F.contains("n", F.lit(x))
-    fake = F.lit(False)
-    for x in P.PLACEHOLDERS:
-        fake |= F.contains(F.lower("v"), F.lit(x))
-    for x in P.EXCLUDED_SUFFIXES:
-        fake |= F.endswith("n", F.lit(x))
-    rows = lines.where((F.col("language") == "python") & ~test_file(F.col("path")) & F.col("code").rlike(P.CREDENTIAL)).withColumn("n", name).withColumn("v", value)
-    long_key = F.endswith("n", F.lit("key")) & (F.length("v") >= 12)
-    real = (F.length("v") >= 3) & (word | long_key) & ~fake & ~F.col("v").rlike(r"[{}$%]") & (F.lower("v") != F.col("n"))
-    return _found(rows.where(real), "hardcoded_credentials", 0.8, ["hardcoded_credentials"])
-
-
-def debug_mode(lines: DataFrame) -> DataFrame:
-    return _found(lines.where((F.col("language") == "python") & F.col("code").rlike(P.any_of(P.DEBUG))), "debug_mode", 0.9, ["debug_mode"])
-
-
-def archive_extraction(lines: DataFrame) -> DataFrame:
-    """Unchecked archive extraction, unless the file holds a sign of member checks anywhere."""
-    safe = lines.where(F.col("code").rlike(P.ARCHIVE_SAFE)).select(*KEY).distinct()
-    hit = lines.where((F.col("language") == "python") & ~test_file(F.col("path")) & F.col("code").rlike(P.any_of(P.ARCHIVE)))
-    return _found(hit.join(safe, KEY, "left_anti"), "archive_extract", 0.7, ["path_traversal"])
-
-
-def combos(lines: DataFrame, language: str, pairs: list[tuple[str, str]], types: list[str], spans: DataFrame | None = None) -> DataFrame:
-    """The first line per file of each pair of patterns that stand within eight lines, or in one span
-    (project_id, path, start, end) such as a class body."""
-    rows = lines.where(F.col("language") == language)
-    out = None
-    for a, b in pairs:
-        left, right = (rows.where(F.col("code").rlike(f"(?i){p}")).select(*KEY, "line_no") for p in (a, b))
-        near = proximity_first(left, right, KEY, "line_no", P.COMBO_WINDOW)
-        if spans is not None:
-            held = [x.join(spans, KEY).where("line_no between start and end") for x in (left, right)]
-            both = held[0].join(held[1].select(*KEY, "start", "end").distinct(), [*KEY, "start", "end"], "left_semi")
-            near = near.unionByName(both.select(*KEY, "line_no")).groupBy(*KEY).agg(F.min("line_no").alias("line_no"))
-        hit = _found(rows.join(near, [*KEY, "line_no"], "left_semi"), "dangerous_combo", 0.7, types)
-        out = hit if out is None else out.unionByName(hit)
-    return out
-
-
-def wide_byte(lines: DataFrame) -> DataFrame:
-    """SQL under a wide-byte charset, in the file that sets it or elsewhere in its project: project flags are one small
-    aggregate that joins back; the first line of each file counts."""
-    php = lines.where(F.col("language") == "php")
-    code = F.col("code")
-    per_file = php.groupBy(*KEY).agg(F.bool_or(code.rlike(P.GBK_LOCAL)).alias("local"), F.bool_or(code.contains("addslashes") | code.rlike(P.SQL_CALL)).alias("sql"))
-    per_project = php.groupBy("project_id").agg(F.bool_or(code.rlike(P.GBK_PROJECT)).alias("project"))
-    flagged = per_file.join(per_project, "project_id").where(F.col("sql") & (F.col("local") | F.col("project")))
-    marked = php.join(flagged, KEY).where(F.when(F.col("local"), code.rlike(P.GBK_LINE)).otherwise(code.rlike(P.SQL_LINE)))
-    first = first_wins(marked, KEY, ["line_no"])
-    same, cross = _found(first.where("local"), "dangerous_combo", 0.85, ["sql_injection"]), _found(first.where("not local"), "dangerous_combo", 0.75, ["sql_injection"])
-    return same.unionByName(cross)
+    """Is a file one of tests, by its name?"""
+    name = file_name(path)
+    return name.startswith("test") | name.endswith("_test.py")
+
+
+def sample_file(path: Column) -> Column:
+    """Does a file hold sample data: tests by folder or name, seeds, checks and dummies?"""
+    name, whole = file_name(path), F.lower(F.concat(F.lit("/"), F.replace(path, F.lit("\\"), F.lit("/"))))
+    named = name.startswith("test_") | name.endswith("_test.py") | (name == "tests.py") | name.contains("seed") | name.startswith("smoke_check") | name.startswith("create_dummy")
+    return named | whole.contains("/tests/") | whole.contains("/test/")
+
+
+def credential(code: Column) -> Column:
+    """Does a line assign a string that is a credential? Placeholders, interpolation, names of fields and samples are none."""
+    name = F.lower(F.regexp_extract(code, P.CREDENTIAL, 1))
+    value = F.trim(F.concat(F.regexp_extract(code, P.CREDENTIAL, 2), F.regexp_extract(code, P.CREDENTIAL, 3)))
+    low = F.lower(value)
+    any_of = lambda tests: functools.reduce(Column.__or__, tests)
+    word = any_of([name.contains(x) for x in P.CREDENTIAL_WORDS]) | (name.endswith("key") & (F.length(value) >= 12))
+    other = any_of([*(low.contains(x) for x in P.PLACEHOLDERS), *(name.endswith(x) for x in P.EXCLUDED_SUFFIXES), *(name.startswith(x) for x in P.EXCLUDED_PREFIXES), *(low == x for x in P.PLAIN_VALUES), low == name, value.rlike(r"[${(%]")])
+    return code.rlike(P.CREDENTIAL) & (F.length(value) >= 3) & word & ~other
+
+
+def tagged(lines: DataFrame) -> DataFrame:
+    """(project_id, path, line_no, code, tags) of the lines of code that hold a pattern: the one pass over all lines."""
+    code, path = F.col("code"), F.col("path")
+    tests = {name: code.rlike(p) for name, p in P.TAGS.items()}
+    tests["debug"] &= ~test_file(path)
+    tests["archive"] &= ~test_file(path)
+    tests["credential"] = ~sample_file(path) & credential(code)
+    tags = F.filter(F.array(*(F.when(t, F.lit(name)) for name, t in tests.items())), lambda x: x.isNotNull())
+    return lines.where(F.col("language").isin(CODE)).select(*KEY, "line_no", "code", tags.alias("tags")).where(F.size("tags") > 0)
+
+
+def has(tag: str) -> Column:
+    return F.array_contains("tags", tag)
+
+
+def with_flags(hits: DataFrame) -> DataFrame:
+    """Adds what files (f_*) and projects (p_*) hold anywhere. Flags are partial sums per task before they are shuffled."""
+    flag = lambda side, tag: F.bool_or(has(tag)).alias(f"{side}_{tag}")
+    files = hits.groupBy(*KEY).agg(*(flag("f", t) for t in P.FILE_FLAGS))
+    projects = hits.groupBy("project_id").agg(*(flag("p", t) for t in P.PROJECT_FLAGS))
+    return hits.join(files, KEY).join(projects, "project_id")
+
+
+def line_checks(hits: DataFrame, of_pdo: bool | None = None) -> DataFrame:
+    """Findings of single lines with their neighbours and flags. What is told once a file keeps its first line. of_pdo: the
+    checks of PDO only, or all others."""
+    at = Window.partitionBy(*KEY).orderBy("line_no")
+    rows = with_flags(hits).withColumn("near_sql", F.max(has("sql_word")).over(at.rangeBetween(-2, 2))).withColumn("near_query", F.max(has("query_call")).over(at.rangeBetween(0, 5)))
+    f = lambda tag: F.col(f"f_{tag}")
+    sql = ["sql_injection"]
+    shaky, pdo = ~F.col("p_emulate_off"), f("pdo")
+    escaped = f("sql_call") | f("addslashes")
+    wide = F.col("p_gbk") & ~f("gbk_local")
+    once = True
+    # (condition, pattern, confidence, types, safe, once a file)
+    checks = [
+        (has("parameterized") & F.col("near_sql"), "parameterized_query", 0.85, sql, True, False),
+        (has("allowlist"), "allowlist_check", 0.85, P.SAFE_COVERS["allowlist_check"], True, False),
+        (has("blacklist"), "blacklist_filter", 0.9, ["sql_injection", "xss"], False, False),
+        (has("extract"), "extract_override", 0.95, ["command_execution", "path_traversal"], False, False),
+        (has("weak_escape") & F.col("near_query"), "blacklist_filter", 0.75, sql, False, False),
+        (has("credential"), "hardcoded_credentials", 0.9, ["hardcoded_credentials"], False, False),
+        (has("debug"), "debug_mode", 0.85, ["debug_mode"], False, False),
+        (has("archive") & ~f("archive_safe"), "archive_extract", 0.6, ["path_traversal"], False, False),
+        (pdo & has("concat_query"), "string_concat_sql", 0.9, sql, False, False),
+        (pdo & has("concat_exec") & ~has("concat_query"), "string_concat_sql", 0.85, sql, False, False),
+        (pdo & has("concat_prepare") & ~has("concat_query") & ~has("concat_exec"), "string_concat_sql", 0.7, sql, False, False),
+        (f("gbk_local") & escaped & has("charset_set"), "dangerous_combo", 0.85, sql, False, once),
+        (wide & escaped & has("sql_use"), "dangerous_combo", 0.75, sql, False, once),
+        (pdo & f("emulate_on") & has("emulate"), "dangerous_combo", 0.8, sql, False, once),
+        (pdo & f("gbk") & ~f("emulate_on") & has("charset_gbk"), "dangerous_combo", 0.65, sql, False, once),
+        (pdo & F.col("p_gbk") & shaky & has("pdo_use"), "dangerous_combo", 0.85, sql, False, once),
+        (pdo & f("prepare") & f("bound") & shaky & has("pdo_charset"), "dangerous_combo", 0.7, sql, False, once),
+    ]
+    pdo_checks = range(8, 11), range(13, 17)
+    wanted = [of_pdo is None or of_pdo == any(k in r for r in pdo_checks) for k in range(len(checks))]
+    array = F.array(*(F.when(c, F.struct(F.lit(k).alias("check"), F.lit(p).alias("pattern"), F.lit(conf).alias("confidence"), F.array(*map(F.lit, types)).alias("related_types"), F.lit(safe).alias("is_safe"), F.lit(one).alias("once"))) for k, (c, p, conf, types, safe, one) in enumerate(checks) if wanted[k]))
+    each = rows.select(*KEY, "line_no", F.trim("code").alias("evidence"), F.explode(F.filter(array, lambda x: x.isNotNull())).alias("c")).select(*KEY, "line_no", "evidence", "c.*")
+    first = first_wins(each.where("once"), [*KEY, "check"], ["line_no"])
+    return each.where("not once").unionByName(first).select(*KEY, F.col("line_no").alias("line_number"), *FOUND[3:])
+
+
+def pdo_elsewhere(hits: DataFrame) -> DataFrame:
+    """The project's first file that opens a connection with a charset, if another file prepares statements while
+    emulation isn't off."""
+    rows = with_flags(hits)
+    remote = rows.where(F.col("f_pdo") & F.col("f_prepare") & F.col("f_bound") & ~F.col("p_emulate_off") & ~F.col("f_pdo_charset")).select("project_id").distinct()
+    opened = first_wins(rows.where(F.col("f_pdo_charset") & has("pdo_new")), ["project_id"], ["path", "line_no"])
+    return opened.join(remote, "project_id", "left_semi").select(*KEY, F.col("line_no").alias("line_number"), F.lit("dangerous_combo").alias("pattern"), F.lit(0.65).alias("confidence"), F.array(F.lit("sql_injection")).alias("related_types"), F.trim("code").alias("evidence"), F.lit(False).alias("is_safe"))
 
 
 def pdo(lines: DataFrame) -> DataFrame:
     """PDO checks: concatenated queries, emulated prepares, wide-byte charsets in the file or its project, and prepared
-    calls while emulation isn't off. Flags of files and projects are one aggregate each; first lines are windows."""
-    php, code = lines.where(F.col("language") == "php"), F.col("code")
-    sql = ["sql_injection"]
-    flag = lambda p, name: F.bool_or(code.rlike(p)).alias(name)
-    per_file = php.groupBy(*KEY).agg(flag(P.PDO_ANY, "pdo"), flag(P.GBK_PROJECT, "gbk"), flag(P.EMULATE_ON, "emulate"), flag(r"->prepare\s*\(", "prepare"), flag(r"->execute\s*\(\s*\[", "bound"), flag(P.PDO_CHARSET, "charset")).where("pdo")
-    per_project = php.groupBy("project_id").agg(flag(P.GBK_PROJECT, "project_gbk"), flag(P.EMULATE_OFF, "emulate_off"))
-    rows = php.join(per_file, KEY).join(per_project, "project_id")
-    shaky = ~F.col("emulate_off")
-    concat = F.coalesce(*(F.when(code.rlike(p), F.lit(c)) for p, c in P.PDO_CONCAT))
-    out = _found(rows.where(concat.isNotNull()), "string_concat_sql", 0.0, sql).withColumn("confidence", F.coalesce(*(F.when(F.col("evidence").rlike(p), F.lit(c)) for p, c in P.PDO_CONCAT), F.lit(0.7)))
-    first = lambda hit, confidence: _found(first_wins(rows.where(hit), KEY, ["line_no"]), "dangerous_combo", confidence, sql)
-    out = out.unionByName(first(F.col("emulate") & code.contains("ATTR_EMULATE_PREPARES"), 0.8))
-    out = out.unionByName(first(F.col("gbk") & ~F.col("emulate") & code.rlike(r"(?i)charset\s*=\s*['\"]?\s*(?:gbk|gb2312|big5)"), 0.65))
-    out = out.unionByName(first(F.col("project_gbk") & shaky & code.rlike(r"new\s+PDO|->query|->exec|->prepare"), 0.85))
-    prepared = F.col("prepare") & F.col("bound") & shaky
-    out = out.unionByName(first(prepared & code.rlike(P.PDO_CHARSET), 0.7))
-    remote = rows.where(prepared & ~F.col("charset")).select("project_id").distinct()
-    opened = first_wins(rows.where(F.col("charset") & code.rlike(r"new\s+PDO\s*\(")), ["project_id"], ["path", "line_no"])
-    return out.unionByName(_found(opened.join(remote, "project_id", "left_semi"), "dangerous_combo", 0.65, sql))
-
-
-def weak_escape(lines: DataFrame) -> DataFrame:
-    """addslashes of a request value with a query within five lines. An unreliable filter: noted, never a finding."""
-    w = Window.partitionBy(*KEY).orderBy("line_no").rowsBetween(0, 5)
-    near = lines.where(F.col("language") == "php").withColumn("__q", F.max(F.col("code").rlike(r"(?:mysql_query|mysqli_query|->query)\s*\(")).over(w))
-    return _found(near.where(F.col("__q") & F.col("code").rlike(r"addslashes\s*\(\s*\$_(?:GET|POST|REQUEST|COOKIE)")), "blacklist_filter", 0.75, ["sql_injection"])
+    calls while emulation isn't off."""
+    hits = cut(tagged(lines))
+    return line_checks(hits, True).unionByName(pdo_elsewhere(hits)).withColumnRenamed("path", "file_path")
+
+
+def combos(hits: DataFrame, spans: DataFrame | None = None) -> DataFrame:
+    """The first line per file of each pair of patterns that stand within COMBO_WINDOW lines or in one span (project_id, path,
+    kind, start, end): class bodies for pairs of PHP, functions for those of Python. All pairs share one join on buckets
+    of lines and one on spans."""
+    sides = []
+    for side in ("a", "b"):
+        pairs = F.filter(F.array(*(F.when(has(f"combo_{side}{k}"), F.lit(k)) for k in range(len(P.COMBOS)))), lambda x: x.isNotNull())
+        sides.append(hits.select(*KEY, "line_no", F.explode(pairs).alias("pair")))
+    near = proximity_first(sides[0], sides[1], [*KEY, "pair"], "line_no", P.COMBO_WINDOW)
+    if spans is not None:
+        kind = F.element_at(F.array(*(F.lit(k) for _, _, k, _, _ in P.COMBOS)), F.col("pair") + 1)
+        held = [x.withColumn("kind", kind).join(spans, [*KEY, "kind"]).where("line_no between start and end").select(*KEY, "pair", "start", "end", "line_no") for x in sides]
+        both = held[0].join(held[1].drop("line_no").distinct(), [*KEY, "pair", "start", "end"], "left_semi")
+        near = near.unionByName(both.select(*KEY, "pair", "line_no")).groupBy(*KEY, "pair").agg(F.min("line_no").alias("line_no"))
+    facts = F.array(*(F.struct(F.lit(conf).alias("confidence"), F.array(*map(F.lit, types)).alias("related_types")) for _, _, _, conf, types in P.COMBOS))
+    code = hits.select(*KEY, "line_no", F.trim("code").alias("evidence"))
+    out = near.join(code, [*KEY, "line_no"]).withColumn("c", F.element_at(facts, F.col("pair") + 1))
+    return out.select(*KEY, F.col("line_no").alias("line_number"), F.lit("dangerous_combo").alias("pattern"), "c.confidence", "c.related_types", "evidence", F.lit(False).alias("is_safe"))
 
 
 def detect(lines: DataFrame, spans: DataFrame | None = None) -> DataFrame:
     """All findings of the detectors, safe ones too."""
-    parts = [parameterized(lines), allowlists(lines), extract_overrides(lines), credentials(lines), debug_mode(lines), archive_extraction(lines), combos(lines, "php", P.PHP_COMBOS, ["command_execution", "deserialization"], spans), combos(lines, "python", P.PYTHON_COMBOS, ["code_injection"]), wide_byte(lines), pdo(lines), weak_escape(lines)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def class_spans(files: DataFrame) -> DataFrame:
-    """(project_id, path, start, end): line spans of PHP class bodies; braces in strings and comments don't count."""
-    import re
-
-    import pandas as pd
+    hits = cut(tagged(lines))
+    return line_checks(hits).unionByName(pdo_elsewhere(hits)).unionByName(combos(hits, spans)).withColumnRenamed("path", "file_path")
 
-    from .code_facts import blank
 
-    def run(frames):
-        for frame in frames:
-            rows = []
-            for project, path, text in frame[["project_id", "path", "text"]].itertuples(index=False):
-                body = re.sub(r"'(?:\\.|[^'\\])*'|\"(?:\\.|[^\"\\])*\"", lambda m: re.sub(r"[^\n]", " ", m[0]), blank(text or "", True))
-                for m in re.finditer(r"\bclass\s+\w+[^{;]*\{", body):
-                    depth, at = 1, m.end()
-                    while at < len(body) and depth:
-                        depth += (body[at] == "{") - (body[at] == "}")
-                        at += 1
-                    rows.append((project, path, body.count("\n", 0, m.start()) + 1, body.count("\n", 0, at) + 1))
-            yield pd.DataFrame(rows, columns=["project_id", "path", "start", "end"])
-
-    return files.where(F.col("language") == "php").select("project_id", "path", "text").mapInPandas(run, "project_id string, path string, start int, end int")
+def block_spans(facts: DataFrame) -> DataFrame:
+    """(project_id, path, kind, start, end): lines of classes and functions, from the facts of files."""
+    return facts.where("kind = 'span'").select(*KEY, F.col("dst").alias("kind"), F.col("line").alias("start"), "end")
 
 
 def search(lines: DataFrame, pattern: str, glob: str | None = None, most: int = 50) -> DataFrame:
-    """Case-insensitive search: the first `most` hits with code cut to 200 characters, and the number of all hits."""
+    """(path, line_no, code, total, error): a case-insensitive search, the first `most` hits with code cut to 200
+    characters, and the number of all hits. A pattern that isn't one gives one row with `error`."""
+    from py4j.protocol import Py4JJavaError
+
     from taintloom.functions.text import glob_pattern
 
     from .report import top_with_total
 
+    spark = lines.sparkSession
+    try:
+        spark._jvm.java.util.regex.Pattern.compile(pattern)
+    except Py4JJavaError as e:
+        said = f"not a regular expression: {pattern} ({e.java_exception.getDescription()})"
+        return spark.createDataFrame([(None, None, None, 0, said)], "path string, line_no int, code string, total long, error string")
     hit = lines.where(F.col("code").rlike(f"(?i){pattern}"))
     if glob:
         hit = hit.where(F.col("path").rlike(glob_pattern(glob)))
-    return top_with_total(hit.select("path", "line_no", F.substring("code", 1, 200).alias("code")), ["path", "line_no"], most)
+    top = top_with_total(hit.select("path", "line_no", F.substring(F.trim("code"), 1, 200).alias("code")), ["path", "line_no"], most)
+    return top.withColumn("error", F.lit(None).cast("string"))
 
 
 def tagged_calls(lines: DataFrame, table: list[tuple[str, str]]) -> DataFrame:

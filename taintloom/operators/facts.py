@@ -1,8 +1,9 @@
 """Fact extraction: a file's text in, flat rows out. Syntax never leaves the worker; everything later is relational.
 
 Rows (FACTS): `source` and `sink` and `sanitize` marks of variables, `edge`s between them, `function`s with parameters
-and `call`s with argument variables (linked across files by joins), module `var`s, and `error` for files that can't be
-parsed. Variables carry their file and scope: path@scope:name, so equal names in different functions stay apart.
+and `call`s with argument variables (linked across files by joins), module `var`s, `alias`es of imports, `span`s (lines of
+functions and classes), `function_source`s (calls whose value a file or database gives; marks only on demand), and `error`
+for files that can't be parsed. Variables carry their file and scope: path@scope:name, so equal names in different functions stay apart.
 """
 
 from __future__ import annotations
@@ -19,32 +20,56 @@ from taintloom.functions.catalog import PYTHON_SINKS, PYTHON_SOURCES, SANITIZERS
 
 from .code_facts import c_facts, php_facts
 
-FACTS = "project_id string, path string, language string, seq long, kind string, var string, dst string, name string, vuln_type string, types array<string>, code string, line int, module string, args array<array<string>>, results array<string>, params array<string>, kwonly array<string>, prefix string"
+FACTS = "project_id string, path string, language string, seq long, kind string, var string, dst string, name string, vuln_type string, types array<string>, code string, line int, module string, args array<array<string>>, results array<string>, params array<string>, kwonly array<string>, prefix string, end int"
 COLUMNS = [c.split()[0] for c in FACTS.split(", ")]
 
 # Calls that give a database connection, and names that stand for one.
 CONNECTS = ["sqlite3.connect", "pymysql.connect", "MySQLdb.connect", "psycopg2.connect", "psycopg.connect", "mysql.connector.connect", "asyncpg.connect", "aiomysql.connect"]
-DATABASE_NAMES = ["cursor", "cur", "conn", "connection", "db", "database", "session", "engine", "c"]
+DATABASE_NAMES = ["c", "cur", "cursor", "curs", "conn", "connection", "db", "database", "con"]
 
-_SINKS = sink_rows(PYTHON_SINKS)
-_BY_NAME: dict[str, list[tuple]] = {}
-for _row in _SINKS:
-    _BY_NAME.setdefault(_row[2], []).append(_row)
-_SOURCES = set(PYTHON_SOURCES)
 _CLEAN = {k: v.split() or ["all"] for k, v in SANITIZERS["python"].items()}
-_BUILTINS = {"eval", "exec", "compile", "open", "input", "int", "float", "bool", "__import__"}
 
 
-def source_name(full: str) -> str | None:
-    """The source that a dotted name is: exactly, or the longest catalogue entry that ends with its last two parts."""
-    if full in _SOURCES:
+def _short(name: str) -> str:
+    """The last two parts of a catalogue name: its module's last part and the function."""
+    return ".".join(name.split(".")[-2:])
+
+
+def _sinks_by_name() -> dict[str, list[tuple[int, str, str, int | None]]]:
+    out: dict[str, list[tuple[int, str, str, int | None]]] = {}
+    for order, vuln, name, _, arg in sink_rows(PYTHON_SINKS):
+        for key in dict.fromkeys((name, _short(name))):
+            out.setdefault(key, []).append((order, vuln, name, arg))
+    return out
+
+
+_SINKS = _sinks_by_name()
+_SINK_NAMES = {name for rows in _SINKS.values() for _, _, name, _ in rows}
+#: Names that sources end with, and the catalogue entry of each.
+_SOURCE_ENDS = {key: name for name in PYTHON_SOURCES for key in (name, _short(name))}
+_END_LENGTHS = sorted({len(k) for k in _SOURCE_ENDS}, reverse=True)
+
+
+def source_end(name: str) -> str | None:
+    """The longest of the names that sources end with that `name` ends with: one lookup for each length there is."""
+    return next((name[-n:] for n in _END_LENGTHS if n <= len(name) and name[-n:] in _SOURCE_ENDS), None)
+
+
+def call_source(full: str, short: str) -> str | None:
+    """The source that a call is: by its full name, else by the end of its name as it is written."""
+    if full in _SOURCE_ENDS:
         return full
-    parts = full.split(".")
-    short = ".".join(parts[-3:]) if len(parts) > 2 else ".".join(parts[-2:])
-    if "." not in short:
-        return None
-    ends = [s for s in PYTHON_SOURCES if s.endswith("." + short)]
-    return max(ends, key=len) if ends else None
+    end = source_end(short)
+    return None if end is None else _SOURCE_ENDS[end]
+
+
+def attribute_source(full: str) -> str | None:
+    """The source that an attribute is: by its full name or the end of it."""
+    return full if full in _SOURCE_ENDS else source_end(full)
+
+
+def item_source(full: str) -> str | None:
+    return next((k for k in (f"{full}.__getitem__", full) if k in _SOURCE_ENDS), None)
 
 
 def dotted(node: ast.AST) -> str | None:
@@ -59,13 +84,14 @@ def dotted(node: ast.AST) -> str | None:
 
 
 class PythonFacts:
-    """One file's facts. Scopes: the module and every function; bodies of nested functions belong to those alone."""
+    """One file's facts. Scopes: the module and every function; bodies of nested functions belong to those alone.
+    `base`: the folder that all of the project's files are below, which is no part of module names."""
 
-    def __init__(self, path: str, text: str) -> None:
+    def __init__(self, path: str, text: str, base: str = "") -> None:
         self.path, self.text = path, text
         self.rows: list[dict[str, Any]] = []
         self.aliases: dict[str, str] = {}
-        parts = path.removesuffix(".py").split("/")
+        parts = path.removeprefix(base).lstrip("/").removesuffix(".py").split("/")
         self.module = ".".join(parts[:-1] if parts[-1] == "__init__" else parts)
         self.package = ".".join(parts[:-1])
         try:
@@ -88,7 +114,7 @@ class PythonFacts:
         for node in ast.walk(self.tree):
             if isinstance(node, ast.Import):
                 for a in node.names:
-                    self.aliases[a.asname or a.name.split(".")[0]] = a.name if a.asname else a.name.split(".")[0]
+                    self.alias(node, a.asname or a.name.split(".")[0], a.name if a.asname else a.name.split(".")[0])
             elif isinstance(node, ast.ImportFrom):
                 base = node.module or ""
                 if node.level:
@@ -96,13 +122,19 @@ class PythonFacts:
                     base = ".".join([*up, *([node.module] if node.module else [])])
                 for a in node.names:
                     if a.name != "*":
-                        self.aliases[a.asname or a.name] = f"{base}.{a.name}" if base else a.name
+                        self.alias(node, a.asname or a.name, f"{base}.{a.name}" if base else a.name)
+            elif isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
+                self.add("span", name=node.name, dst="function", line=node.lineno, end=node.end_lineno or node.lineno)
         self.module_vars = self.assigned(self.tree.body)
         for v in sorted(self.module_vars):
             self.add("var", name=v, var=f"{self.path}@:{v}")
         self.scope("", self.tree.body, [], None, self.module_vars)
         return self.rows
 
+    def alias(self, node: ast.AST, local: str, full: str) -> None:
+        self.aliases[local] = full
+        self.add("alias", name=local, dst=full, line=node.lineno)
+
     def assigned(self, body: list[ast.stmt]) -> set[str]:
         out: set[str] = set()
         for node in self.own(body):
@@ -138,7 +170,6 @@ class PythonFacts:
                 rest = [x.arg for x in (a.vararg, a.kwarg) if x]
                 kwonly = [x.arg for x in a.kwonlyargs]
                 self.add("function", name=name, params=every, kwonly=kwonly, prefix=f"{self.path}@{name}:", line=node.lineno)
-                Scope.code_of[id(node)] = (self.line_text(node), node.lineno)
                 self.scope_of(node, name, [*every, *kwonly, *rest], ".".join(x for x in (qual, holder) if x) or None)
 
     def scope_of(self, node: ast.FunctionDef | ast.AsyncFunctionDef, name: str, params: list[str], owner: str | None) -> None:
@@ -164,8 +195,6 @@ class PythonFacts:
 
 
 class Scope:
-    code_of: dict[int, tuple[str, int]] = {}
-
     def __init__(self, file: PythonFacts, qual: str, owner: str | None, local: set[str]) -> None:
         self.file, self.qual, self.owner, self.local = file, qual, owner, local
         self.kinds: dict[str, str] = {}
@@ -187,7 +216,7 @@ class Scope:
             return f"{self.kinds[root]}.{rest}"
         if root in self.file.aliases:
             return ".".join(x for x in (self.file.aliases[root], rest) if x)
-        return f"builtins.{root}" if not rest and root in _BUILTINS and root not in self.local else name
+        return f"builtins.{root}" if not rest and root not in self.local and root not in self.file.module_vars else name
 
     def types(self, node: ast.AST) -> None:
         """Connections and cursors of databases, by what made them."""
@@ -222,7 +251,7 @@ class Scope:
         if isinstance(node, ast.JoinedStr):
             return [n for x in node.values if isinstance(x, ast.FormattedValue) for n in f(x.value)]
         if isinstance(node, ast.Call):
-            own = [self.anon("call", node)] if source_name(self.full(dotted(node.func))) or self.is_known(node) else []
+            own = [self.anon("call", node)] if self.source_of(node) or self.is_known(node) else []
             through = f(node.func.value) if isinstance(node.func, ast.Attribute) and not own else []
             return own + through + [n for a in node.args for n in f(a)]
         if isinstance(node, ast.IfExp):
@@ -233,6 +262,10 @@ class Scope:
             return f(node.value)
         return []
 
+    def source_of(self, node: ast.Call) -> str | None:
+        name = dotted(node.func)
+        return call_source(self.full(name), name) if name else None
+
     def is_known(self, node: ast.Call) -> bool:
         """May a call be one of the project's functions? Then its result is a variable of its own."""
         name = dotted(node.func) or ""
@@ -246,7 +279,7 @@ class Scope:
         base = node.value
         chain = dotted(node if isinstance(node, ast.Attribute) else base)
         full = self.full(chain)
-        found = source_name(full) if isinstance(node, ast.Attribute) else source_name(f"{full}.__getitem__") or source_name(full)
+        found = attribute_source(full) if isinstance(node, ast.Attribute) else item_source(full)
         if found:
             self.file.add("source", var=v, name=found, code=self.file.line_text(node), line=node.lineno)
         for n in self.names(base):
@@ -286,7 +319,7 @@ class Scope:
         name = dotted(node.func) or ""
         full = self.full(name)
         result = self.anon("call", node)
-        if found := source_name(full):
+        if found := self.source_of(node):
             add("source", var=result, name=found, code=code, line=node.lineno)
         shell = any(k.arg == "shell" and isinstance(k.value, ast.Constant) and k.value.value is True for k in node.keywords)
         for vuln, sink, arg in self.sinks(name, full):
@@ -302,26 +335,37 @@ class Scope:
             add("call", name=callee, code=full, var=result, args=[self.names(a) for a in node.args], params=[k.arg or "" for k in node.keywords], kwonly=[",".join(self.names(k.value)) for k in node.keywords], line=node.lineno, dst=self.qual)
 
     def sinks(self, name: str, full: str) -> list[tuple[str, str, int | None]]:
+        """(type, sink, argument) of a call, the first of the catalogue for each type: by its full name, or by what is
+        written if that is a catalogue name or the short form of one."""
+        if name.endswith("objects.raw") and name.split(".")[-1] == "raw":
+            return [("sql_injection", "django.db.models.query.raw", 0)]
         found: dict[str, tuple[str, str, int | None]] = {}
-        for _, vuln, sink, _, arg in _BY_NAME.get(full, ()):
+        hits = [r for r in _SINKS.get(full, ()) if full == r[2]] + _SINKS.get(name, [])
+        for _, vuln, sink, arg in sorted(hits, key=lambda r: r[0]):
             found.setdefault(vuln, (vuln, sink, arg))
-        parts = full.split(".")
-        if len(parts) >= 2:
-            for _, vuln, sink, _, arg in _SINKS:
-                if sink.endswith("." + ".".join(parts[-2:])) and sink.split(".")[0] == parts[0]:
-                    found.setdefault(vuln, (vuln, sink, arg))
-        if name.endswith(".objects.raw"):
-            found.setdefault("sql_injection", ("sql_injection", "django.db.models.query.raw", 0))
         root, last = name.split(".")[0], name.split(".")[-1]
-        if "." in name and last in ("execute", "executemany", "executescript") and (root in DATABASE_NAMES or name.endswith("session.execute")):
-            found.setdefault("sql_injection", ("sql_injection", f"db.Cursor.{last}", 0))
+        if "." in name and last in ("execute", "executemany", "executescript") and root in DATABASE_NAMES:
+            found.setdefault("sql_injection", ("sql_injection", f"db.{last}", 0))
+        elif name.endswith("session.execute"):
+            found.setdefault("sql_injection", ("sql_injection", "sqlalchemy.session.execute", 0))
         return list(found.values())
 
 
-def facts_of(language: str, path: str, text: str) -> list[dict[str, Any]]:
+def facts_of(language: str, path: str, text: str, base: str = "") -> list[dict[str, Any]]:
     if language == "python":
-        return PythonFacts(path, text).run()
-    return php_facts(path, text) if language == "php" else c_facts(path, text, language)
+        return PythonFacts(path, text, base).run()
+    return php_facts(path, text) if language == "php" else c_facts(path, text)
+
+
+def common_folders(files: DataFrame) -> DataFrame:
+    """(project_id, base): the folder that all Python files of a project are in, "" or ending with a slash. What the first and
+    the last path in order share, all paths between them share too, so a minimum and a maximum are enough."""
+    folder = F.regexp_replace("path", "[^/]*$", "")
+    ends = files.where(F.col("language") == "python").groupBy("project_id").agg(F.min(folder).alias("low"), F.max(folder).alias("high"))
+    low, high = F.split("low", "/", -1), F.split("high", "/", -1)
+    same = F.transform(low, lambda x, i: F.coalesce(x == F.get(high, i), F.lit(False)))
+    n = F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)) - 1, F.size(low) - 1).cast("int")
+    return ends.select("project_id", F.concat(F.array_join(F.slice(low, 1, n), "/"), F.when(n > 0, "/").otherwise("")).alias("base"))
 
 
 def extract(files: DataFrame) -> DataFrame:
@@ -331,10 +375,10 @@ def extract(files: DataFrame) -> DataFrame:
     def run(frames):
         for frame in frames:
             rows = []
-            for project, path, language, text in frame[["project_id", "path", "language", "text"]].itertuples(index=False):
-                for r in facts_of(language, path, text) if text else []:
+            for project, path, language, text, base in frame[["project_id", "path", "language", "text", "base"]].itertuples(index=False):
+                for r in facts_of(language, path, text, base or "") if text else []:
                     rows.append([project, *(r.get(c) for c in COLUMNS[1:])])
             yield pd.DataFrame(rows, columns=COLUMNS)
 
-    code = files.where(F.col("language").isin("python", "php", "c", "cpp"))
-    return code.select("project_id", "path", "language", "text").mapInPandas(run, FACTS)
+    code = files.where(F.col("language").isin("python", "php", "c", "cpp")).select("project_id", "path", "language", "text")
+    return code.join(common_folders(files), "project_id", "left").mapInPandas(run, FACTS)

@@ -4,20 +4,22 @@ from __future__ import annotations
 
 import os
 import tempfile
-from collections import deque
-
+import uuid
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_PATH = 20  # fixed value: a path has no more nodes than this
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in spark.checkpoint.dir, or in a folder of our own where the session names none."""
+    """A reliable checkpoint in spark.checkpoint.dir. Only a local session may leave that unset, as in tests."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "taintloom-checkpoints"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "taintloom-checkpoints"))
     return df.checkpoint(eager=True)
 
 
@@ -55,30 +57,52 @@ def argument_edges(rows: DataFrame, key: str = "project_id") -> DataFrame:
 def bfs_paths(edges: DataFrame, sources: DataFrame, most: int = MAX_PATH, key: str = "project_id") -> DataFrame:
     """(key, source, node, path, depth): the breadth-first tree of every source, first edges first, to `most` nodes.
 
-    Level by level for graphs of any size: the frontier meets the edges, nodes seen by their source go, and the first
-    arrival by (rank of the parent, seq of the edge) wins. One shuffle join per level; each level is checkpointed, and an
-    empty frontier ends the search. edges: key, seq, src, dst. sources: key, source, seq.
+    Level by level for graphs of any size: the frontier meets the edges, nodes that their source has seen go, and of
+    several arrivals at a node the first wins. A queue takes nodes of one level in the order of the edges that led to
+    them, from the source on, so arrivals compare by their lists of `seq`: the first is a minimum, summed map-side, and no
+    window orders a level. One join with the edges and one with what has been seen per level; each level is
+    checkpointed, and an empty one ends the search. edges: key, seq (any type with an order, no two alike), src, dst.
+    sources: key, source.
     """
-    e = edges.select(key, "src", "dst", "seq")
-    first = sources.groupBy(key, "source").agg(F.min("seq").alias("rank"))
-    frontier = cut(first.select(key, "source", F.col("source").alias("node"), F.array("source").alias("path"), F.col("rank").cast("long").alias("rank")))
-    levels = [frontier]
+    e = edges.select(F.col(key).alias("__of"), "src", "dst", F.col("seq").alias("__seq"))
+    start = sources.select(key, "source").distinct()
+    none = F.array().cast(f"array<{edges.schema['seq'].dataType.simpleString()}>")
+    frontier = cut(start.select(key, "source", F.col("source").alias("node"), F.array("source").alias("path"), none.alias("order")))
+    seen = frontier
     for _ in range(most - 1):
-        step = frontier.join(e, (frontier[key] == e[key]) & (frontier["node"] == e["src"])).select(frontier[key], "source", F.col("dst").alias("node"), "path", "rank", "seq")
-        for seen in levels:
-            step = step.join(seen.select(key, "source", "node"), [key, "source", "node"], "left_anti")
-        w = Window.partitionBy(key, "source", "node").orderBy("rank", "seq")
-        won = step.withColumn("__n", F.row_number().over(w)).where("__n = 1")
-        order = Window.partitionBy(key, "source").orderBy("rank", "seq")
-        won = won.withColumn("__rank", F.row_number().over(order).cast("long"))
-        frontier = cut(won.select(key, "source", "node", F.concat("path", F.array("node")).alias("path"), F.col("__rank").alias("rank")))
+        step = frontier.join(e, (F.col(key) == F.col("__of")) & (F.col("node") == F.col("src")))
+        step = step.select(key, "source", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"), F.concat("order", F.array("__seq")).alias("order"))
+        fresh = step.join(seen.select(key, "source", "node"), [key, "source", "node"], "left_anti")
+        won = fresh.groupBy(key, "source", "node").agg(F.min(F.struct("order", "path")).alias("__w"))
+        frontier = cut(won.select(key, "source", "node", "__w.path", "__w.order"))
         if frontier.isEmpty():
             break
-        levels.append(frontier)
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionByName(level)
-    return out.select(key, "source", "node", "path", F.size("path").alias("depth"))
+        seen = seen.unionByName(frontier)
+    return seen.select(key, "source", "node", "path", "order", F.size("path").alias("depth"))
+
+
+def breadth_first(near: dict[str, list[str]], source: str, most: int, blocked: set[str] | frozenset[str] = frozenset()) -> dict[str, str | None]:
+    """Each node that is reached, in the order of arrival, with the node that it is reached from. Paths have `most` nodes at
+    most and none of `blocked`."""
+    tree: dict[str, str | None] = {source: None}
+    level = [source]
+    for _ in range(most - 1):
+        level_next = []
+        for node in level:
+            for n in near.get(node, ()):
+                if n not in tree and n not in blocked:
+                    tree[n] = node
+                    level_next.append(n)
+        level = level_next
+    return tree
+
+
+def path_to(tree: dict[str, str | None], node: str) -> list[str]:
+    out = []
+    while node is not None:
+        out.append(node)
+        node = tree[node]
+    return out[::-1]
 
 
 def bfs_paths_grouped(edges: DataFrame, sources: DataFrame, most: int = MAX_PATH, key: str = "project_id") -> DataFrame:
@@ -92,15 +116,8 @@ def bfs_paths_grouped(edges: DataFrame, sources: DataFrame, most: int = MAX_PATH
             for s, d in left.sort_values("seq")[["src", "dst"]].itertuples(index=False):
                 near.setdefault(s, []).append(d)
             for source in right.sort_values("seq")["source"].drop_duplicates():
-                seen, queue = {source}, deque([[source]])
-                while queue:
-                    path = queue.popleft()
-                    rows.append((k, source, path[-1], path, len(path)))
-                    if len(path) < most:
-                        for d in near.get(path[-1], ()):
-                            if d not in seen:
-                                seen.add(d)
-                                queue.append([*path, d])
+                tree = breadth_first(near, source, most)
+                rows += [(k, source, node, path := path_to(tree, node), len(path)) for node in tree]
         return pd.DataFrame(rows, columns=[key, "source", "node", "path", "depth"])
 
     kind = edges.schema[key].dataType.simpleString()
@@ -110,16 +127,22 @@ def bfs_paths_grouped(edges: DataFrame, sources: DataFrame, most: int = MAX_PATH
 
 
 def simple_paths(edges: DataFrame, source, target, most: int = MAX_PATH, src: str = "src", dst: str = "dst") -> DataFrame:
-    """(path): every path from source to target that repeats no node, of at most `most` nodes; by a recursive query."""
+    """(path): every path from source to target that repeats no node, of at most `most` nodes; by a recursive query. Views
+    have names of their own and go when the plan is made."""
     spark = edges.sparkSession
-    edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct().createOrReplaceTempView("__edges")
+    name = f"taintloom_edges_{uuid.uuid4().hex}"
+    edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct().createOrReplaceTempView(name)
     kind = edges.schema[src].dataType.simpleString()
-    a, b = F.lit(source).cast(kind), F.lit(target).cast(kind)
-    spark.range(1).select(a.alias("a"), b.alias("b")).createOrReplaceTempView("__ends")
-    return spark.sql(f"""
-        WITH RECURSIVE walk(node, path) AS (
-          SELECT a, array(a) FROM __ends
-          UNION ALL
-          SELECT e.dst, array_append(w.path, e.dst) FROM walk w JOIN __edges e ON e.src = w.node
-          WHERE size(w.path) < {int(most)} AND NOT array_contains(w.path, e.dst) AND w.node <> (SELECT b FROM __ends)
-        ) SELECT path FROM walk WHERE node = (SELECT b FROM __ends)""")
+    try:
+        return spark.sql(
+            f"""
+            WITH RECURSIVE walk(node, path) AS (
+              SELECT CAST(:a AS {kind}), array(CAST(:a AS {kind}))
+              UNION ALL
+              SELECT e.dst, array_append(w.path, e.dst) FROM walk w JOIN {name} e ON e.src = w.node
+              WHERE size(w.path) < {int(most)} AND NOT array_contains(w.path, e.dst) AND w.node <> CAST(:b AS {kind})
+            ) SELECT path FROM walk WHERE node = CAST(:b AS {kind})""",
+            args={"a": source, "b": target},
+        )
+    finally:
+        spark.catalog.dropTempView(name)

@@ -13,10 +13,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import MAX_PATH
+from .graph import MAX_PATH, bfs_paths, breadth_first, cut, path_to
 from .relational import first_wins
 
-FLOWS = "project_id string, file_path string, line_number int, source_file string, source_line int, sink_line int, vuln_type string, language string, source_func string, sink_func string, source_code string, sink_code string, data_flow string, path array<string>, seq long"
+#: `seq` sorts findings of a project: by their source, the length of the path, and the sink.
+FLOWS = "project_id string, file_path string, line_number int, source_file string, source_line int, sink_line int, vuln_type string, language string, source_func string, sink_func string, source_code string, sink_code string, data_flow string, path array<string>, seq string"
 
 
 def resolved_calls(facts: DataFrame) -> DataFrame:
@@ -50,34 +51,82 @@ def link_edges(facts: DataFrame) -> DataFrame:
     return own.unionByName(into).unionByName(by_name).unionByName(back).unionByName(attrs.select("project_id", "path", "seq", "src", "dst", "line"))
 
 
-def flows(facts: DataFrame, mode: str = "declarative", most: int = MAX_PATH) -> DataFrame:
+#: Edges of a project that a task searches by itself, and the steps that one task's sources may take.
+TASK_EDGES, TASK_STEPS = 2_000_000, 20_000_000
+
+
+def flows(facts: DataFrame, mode: str = "declarative", most: int = MAX_PATH, functions: bool = False, around_clean: bool = False, task_edges: int = TASK_EDGES, task_steps: int = TASK_STEPS) -> DataFrame:
     """Findings of every project (FLOWS): a breadth-first tree per source, the first path to each sink, of at most `most`
-    nodes. Projects are independent, so each is one task's work after one shuffle of edges and marks."""
+    nodes.
+
+    A project's sources are dealt over as many tasks as keep sources times edges at about `task_steps`, each with the
+    project's edges; a project with more than `task_edges` edges is searched level by level with joins instead, with the
+    same rows. Both need no order of facts between sources, so the mode `compat`, which folds a project's facts in order,
+    keeps a project in one task.
+
+    functions: calls that give a file's or a database's content count as sources too. around_clean: if the first path to
+    a sink is cleaned, the first one around the nodes that clean for its type is looked for.
+    """
     if mode not in ("declarative", "compat"):
         raise ValueError(f"no such mode: {mode}")
-    edges = link_edges(facts)
-    marks = facts.where("kind in ('source', 'sink', 'sanitize')").select("project_id", "path", "language", "seq", "kind", "var", "name", "vuln_type", "types", "code", "line")
+    edges = link_edges(facts).select(F.col("project_id").alias("of"), *(F.col(c).alias(c) for c in ("path", "seq", "src", "dst", "line")))
+    kinds = ["source", "sink", "sanitize", *(["function_source"] if functions else [])]
+    kind = F.when(F.col("kind") == "function_source", "source").otherwise(F.col("kind")).alias("kind")
+    marks = facts.where(F.col("kind").isin(kinds)).select("project_id", "path", "language", "seq", kind, "var", "name", "vuln_type", "types", "code", "line")
+    names = [c.split()[0] for c in FLOWS.split(", ")]
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(right):
-            return pd.DataFrame([], columns=[c.split()[0] for c in FLOWS.split(", ")])
-        project = right["project_id"].iloc[0]
-        order = ["path", "seq"]
-        rows = _search(left.sort_values(order).to_dict("records"), right.sort_values(order).to_dict("records"), mode, most)
-        return pd.DataFrame([(project, *r, n) for n, r in enumerate(rows)], columns=[c.split()[0] for c in FLOWS.split(", ")])
+            return pd.DataFrame([], columns=names)
+        project, order = right["project_id"].iloc[0], ["path", "seq"]
+        rows = _search(left.sort_values(order).to_dict("records"), right.sort_values(order).to_dict("records"), mode, most, around_clean)
+        return pd.DataFrame([(project, *r) for r in rows], columns=names)
 
-    edges = edges.select(F.col("project_id").alias("of"), *(F.col(c).alias(c) for c in ("path", "seq", "src", "dst", "line")))
-    return marks.groupBy("project_id").cogroup(edges.groupBy("of")).applyInPandas(lambda a, b: search(b, a), FLOWS)
-
-
-def _search(edges: list[dict], marks: list[dict], mode: str, most: int) -> list[tuple]:
+    if mode == "compat":
+        whole = marks.withColumn("mine", F.col("kind") == "source")
+        return whole.groupBy("project_id").cogroup(edges.groupBy("of")).applyInPandas(lambda a, b: search(b, a), FLOWS)
+
+    edges, marks = cut(edges), cut(marks)
+    sizes = edges.groupBy("of").count().select(F.col("of").alias("project_id"), F.col("count").alias("edges"))
+    found = marks.where("kind = 'source'").groupBy("project_id").agg(F.countDistinct("var").alias("sources"))
+    plan = cut(found.join(sizes, "project_id", "left").na.fill(0, ["edges"]).withColumn("shards", F.greatest(F.ceil(F.col("sources") * F.col("edges") / task_steps), F.lit(1)).cast("int")))
+    small, large = plan.where(F.col("edges") <= task_edges), plan.where(F.col("edges") > task_edges)
+    dealt = marks.join(small.select("project_id", "shards"), "project_id").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+    dealt = dealt.withColumn("mine", (F.col("kind") == "source") & (F.pmod(F.xxhash64("var"), "shards") == F.col("shard"))).drop("shards")
+    spread = edges.join(small.select(F.col("project_id").alias("of"), "shards"), "of").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).drop("shards")
+    out = dealt.repartition("project_id", "shard").groupBy("project_id", "shard").cogroup(spread.repartition("of", "shard").groupBy("of", "shard")).applyInPandas(lambda a, b: search(b, a), FLOWS)
+    if large.isEmpty():
+        return out
+    if around_clean:
+        raise ValueError(f"paths around cleaned nodes need projects of at most {task_edges} edges")
+    of_large = large.select("project_id")
+    return out.unionByName(_large_flows(edges.join(of_large.withColumnRenamed("project_id", "of"), "of", "left_semi"), marks.join(of_large, "project_id", "left_semi"), most))
+
+
+def _large_flows(edges: DataFrame, marks: DataFrame, most: int) -> DataFrame:
+    """What `_search` finds, by joins: the level search of all sources, and sinks that no node of a path cleans."""
+    sources = first_wins(marks.where("kind = 'source'"), ["project_id", "var"], ["path", "seq"])
+    sources = sources.select("project_id", F.col("var").alias("source"), F.struct("path", "line", "name", "code", "seq").alias("s"))
+    tree = bfs_paths(edges.select(F.col("of").alias("project_id"), F.struct("path", "seq", "src", "dst").alias("seq"), "src", "dst"), sources, most)
+    sinks = marks.where("kind = 'sink'").select("project_id", F.col("var").alias("node"), F.struct("path", "line", "vuln_type", "language", "name", "code", "seq").alias("t"))
+    met = cut(tree.join(sinks, ["project_id", "node"]).drop("order").withColumnRenamed("path", "nodes"))
+    clean = marks.where("kind = 'sanitize'").select("project_id", F.col("var").alias("on"), F.explode("types").alias("type")).distinct()
+    gone = met.select("project_id", "source", "node", F.col("t.vuln_type").alias("vuln_type"), F.explode("nodes").alias("on")).distinct().join(clean, ["project_id", "on"]).where("type = 'all' or type = vuln_type")
+    kept = met.withColumn("vuln_type", F.col("t.vuln_type")).join(gone.select("project_id", "source", "node", "vuln_type").distinct(), ["project_id", "source", "node", "vuln_type"], "left_anti")
+    rows = kept.join(sources, ["project_id", "source"])
+    pad = lambda c: F.format_string("%012d", c.cast("long"))
+    order = F.concat_ws("\0", "s.path", pad(F.col("s.seq")), pad(F.size("nodes")), "t.path", pad(F.col("t.seq")))
+    return rows.select("project_id", F.col("t.path").alias("file_path"), F.col("t.line").alias("line_number"), F.col("s.path").alias("source_file"), F.col("s.line").alias("source_line"), F.col("t.line").alias("sink_line"), "vuln_type", F.col("t.language").alias("language"), F.col("s.name").alias("source_func"), F.col("t.name").alias("sink_func"), F.col("s.code").alias("source_code"), F.col("t.code").alias("sink_code"), F.array_join("nodes", " → ").alias("data_flow"), F.col("nodes").alias("path"), order.alias("seq"))
+
+
+def _search(edges: list[dict], marks: list[dict], mode: str, most: int, around_clean: bool) -> list[tuple]:
     near: dict[str, list[str]] = {}
     for e in edges:
         near.setdefault(e["src"], []).append(e["dst"])
     sources, sinks, clean = {}, {}, {}
     for m in marks:
         if m["kind"] == "source":
-            if mode == "compat" or m["var"] not in sources:
+            if m["mine"] and (mode == "compat" or m["var"] not in sources):
                 sources[m["var"]] = m
         elif m["kind"] == "sink":
             if mode == "compat":
@@ -91,22 +140,25 @@ def _search(edges: list[dict], marks: list[dict], mode: str, most: int) -> list[
         tainted, clean = _fold(edges, marks, sources, near)
     out = []
     for start, source in list(sources.items()):
-        seen, queue = {start}, deque([[start]])
-        while queue:
-            path = queue.popleft()
-            for sink in sinks.get(path[-1], ()):
+        tree = breadth_first(near, start, most)
+        around: dict[str, dict[str, str | None]] = {}
+        for node in [n for n in tree if n in sinks]:
+            path = path_to(tree, node)
+            for sink in sinks[node]:
+                kind, way = sink["vuln_type"], path
                 if mode == "compat":
-                    ok = all(tainted.get(n) for n in path) and sink["vuln_type"] not in clean.get(path[-1], ())
+                    ok = all(tainted.get(n) for n in path) and kind not in clean.get(node, ())
                 else:
-                    held = set().union(*(clean.get(n, ()) for n in path))
-                    ok = "all" not in held and sink["vuln_type"] not in held
+                    ok = not any(kind in clean[n] or "all" in clean[n] for n in path if n in clean)
+                    if not ok and around_clean:
+                        if kind not in around:
+                            blocked = {n for n, types in clean.items() if kind in types or "all" in types}
+                            around[kind] = {} if start in blocked else breadth_first(near, start, most, blocked)
+                        if ok := node in around[kind]:
+                            way = path_to(around[kind], node)
                 if ok:
-                    out.append((sink["path"], int(sink["line"]), source["path"], int(source["line"]), int(sink["line"]), sink["vuln_type"], sink["language"], source["name"], sink["name"], source["code"], sink["code"], " → ".join(path), path))
-            if len(path) < most:
-                for n in near.get(path[-1], ()):
-                    if n not in seen:
-                        seen.add(n)
-                        queue.append([*path, n])
+                    seq = "\0".join([source["path"], f"{int(source['seq']):012}", f"{len(way):012}", sink["path"], f"{int(sink['seq']):012}"])
+                    out.append((sink["path"], int(sink["line"]), source["path"], int(source["line"]), int(sink["line"]), kind, sink["language"], source["name"], sink["name"], source["code"], sink["code"], " → ".join(way), way, seq))
     return out
 
 
