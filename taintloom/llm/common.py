@@ -57,9 +57,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Whole texts can be long: Arrow batches of few rows bound what a Python worker holds."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "64m") -> None:
+    """Whole texts can be long: Arrow batches of few rows and bytes bound what a Python worker holds.
+
+    The settings are read when a plan runs, after the operator that built it has returned, so they can't be put back
+    here; they stay with the session. A smaller number of rows that a user has set is kept.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    spark.conf.set(name, str(min(now, rows) if now > 0 else rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def chunks(texts: list, chars: int = 8_000_000) -> Iterator[list]:
@@ -76,8 +83,12 @@ def chunks(texts: list, chars: int = 8_000_000) -> Iterator[list]:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session, or a folder of our own where it names none (as in tests)."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "taintloom-checkpoints")
+    """spark.checkpoint.dir of the session. Only a local session may leave it unset, as in tests: its folder is then one
+    of this machine, which on a cluster no other executor would see."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named or os.path.join(tempfile.gettempdir(), "taintloom-checkpoints")
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -104,8 +115,33 @@ class Scratch:
         return self.spark.read.parquet(path)
 
     def drop(self) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(self.spark, self.folder)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.drop()
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: list[str], weight: str, total: int, hot_keys: int = 20_000) -> DataFrame:
+    """Inner join of `rows` with `table`, which holds each key once with the number of its rows in `weight`; `total` is the
+    number of all rows. No key's rows meet in one task.
+
+    A key with over total / hot_keys rows is hot, so there are fewer than `hot_keys` of those at any size: they are
+    broadcast and meet their rows where these lie. Each other key has at most that share of the rows and is joined by a
+    shuffle. `rows` is read twice, so it should be a table or a checkpoint.
+    """
+    bound = total / hot_keys
+    hot = cut(table.where(F.col(weight) > bound).drop(weight))
+    near = rows.join(F.broadcast(hot), key)
+    far = rows.join(F.broadcast(hot.select(*key)), key, "left_anti").join(table.where(F.col(weight) <= bound).drop(weight), key)
+    return near.unionByName(far)
 
 
 def cells(df: DataFrame, key: list[str], member: list[str], most: int) -> DataFrame:

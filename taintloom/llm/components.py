@@ -25,7 +25,11 @@ def components(edges: DataFrame) -> DataFrame:
     Minima are summed map-side, so a hub's edges don't meet in one task before they are reduced. Rounds are written to the
     shared folder and go once the result is checkpointed.
     """
-    scratch = Scratch(edges.sparkSession)
+    with Scratch(edges.sparkSession) as scratch:
+        return _components(edges, scratch)
+
+
+def _components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     e = scratch.keep(edges.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     maps = []
     while not e.isEmpty():
@@ -42,6 +46,4 @@ def components(edges: DataFrame) -> DataFrame:
         return labels.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root"))
 
     labels = functools.reduce(follow, maps) if maps else e.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    out = cut(labels)
-    scratch.drop()
-    return out
+    return cut(labels)

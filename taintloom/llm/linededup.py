@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import Scratch, cut, small_batches, spread_join
 
 LINE, SENTENCE = 0, 1
 
@@ -84,13 +84,13 @@ def version_of(text: str | None) -> int:
     return xxhash.xxh32_intdigest((text or "").encode()) - (1 << 31)
 
 
-def repeated_units(docs: DataFrame, key: str, text: str, min_line_words: int) -> DataFrame:
+def repeated_units(docs: DataFrame, key: str, text: str, min_line_words: int, scratch: Scratch) -> DataFrame:
     """(doc, version, span, facts) of every unit that stands earlier: in its own document, or in one with a smaller key.
 
-    Digests are 128 bits. Repeats within a document are told in its own pass. Over documents the first of a digest is a
-    minimum of a long, summed map-side in a hash table, so a line that a third of the documents share is reduced before
-    the shuffle; the other occurrences are then found by a join on the digest, which Spark can split. span: start and
-    end in the halves of a long; facts: WORDS, KIND and INNER.
+    Digests are 128 bits. Repeats within a document are told in its own pass. Units are written once; over documents the
+    first of a digest is a minimum of a long, summed map-side in a hash table, so a line that a third of the documents
+    share is reduced before the shuffle. The other occurrences are found by a join on the digest in which no digest's
+    units meet in one task. span: start and end in the halves of a long; facts: WORDS, KIND and INNER.
     """
     small_batches(docs.sparkSession)
 
@@ -110,10 +110,11 @@ def repeated_units(docs: DataFrame, key: str, text: str, min_line_words: int) ->
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=["h1", "h2", "doc", "version", "span", "facts"])
 
     schema = "h1 long, h2 long, doc long, version int, span long, facts int"
-    all_units = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).mapInArrow(run, schema)
-    first = all_units.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    all_units = scratch.keep(docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).mapInArrow(run, schema))
+    first = scratch.keep(all_units.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1"))
     inner = F.col("facts").bitwiseAND(INNER) != 0
-    return all_units.join(first, ["h1", "h2"]).where(inner | (F.col("doc") > F.col("first"))).select("doc", "version", "span", "facts")
+    met = spread_join(all_units, first, ["h1", "h2"], "n", all_units.count())
+    return met.where(inner | (F.col("doc") > F.col("first"))).select("doc", "version", "span", "facts")
 
 
 def deduplicated(docs: DataFrame, min_line_words: int = 6, min_run_words: int = 25, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -127,8 +128,9 @@ def deduplicated(docs: DataFrame, min_line_words: int = 6, min_run_words: int =
     the same cuts where their texts are equal, and nothing is cut of one for standing in the other. Every row and
     column of `docs` is kept; the names `removed`, `__found`, `__v` and `__d` are this operator's own. The key must be an integer.
     """
-    found = repeated_units(docs, key, text, min_line_words)
-    per_doc = found.groupBy("doc", "version").agg(F.collect_list(F.struct("span", "facts")).alias("__found"))
+    with Scratch(docs.sparkSession) as scratch:
+        found = repeated_units(docs, key, text, min_line_words, scratch)
+        per_doc = cut(found.groupBy("doc", "version").agg(F.collect_list(F.struct("span", "facts")).alias("__found")))
     names = [c for c in docs.columns if c not in ("removed", "__found", "__v", "__d")]
 
     def hashed(batches):

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, small_batches, sole_holder, tokenizer_path
+from .common import small_batches, sole_holder, tokenizer_path
 from .piece_model import SPACE, PieceModel, load
 
 NONE = np.int64(1 << 40)  # rank of a pair that doesn't merge
@@ -32,7 +32,6 @@ class Codec:
         self.raw = [bytes([model.byte_of[i]]) if i in model.byte_of else p.replace(SPACE, " ").encode() if i in model.rank else b"" for i, p in enumerate(model.pieces)]
         self.raw[0] = " ⁇ ".encode()
         self.memo: dict[str, tuple[str, int]] = {}
-        self.texts = Memo(lambda ids: b"".join([self.raw[int(i)] for i in ids.split(",")]), limit)
         self.limit = limit
 
     def pair(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
