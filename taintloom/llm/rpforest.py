@@ -9,13 +9,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cells, cut
+from .common import cells, cut, spread_join
 from .components import components
 
 #: Rows of a leaf's cell; with the vectors of two blocks a task holds a few MB.
@@ -42,12 +44,50 @@ def distinct_vectors(rows: DataFrame, key: str, vector: str) -> tuple[DataFrame,
     return good.select("key", "h1", "h2"), points
 
 
-def grow(sample: np.ndarray, trees: int, depth: int, spill: float, seed: int = 17) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per tree: directions (nodes x dims) and (low, high) of each node: below high goes left, from low on right."""
+#: Bytes that the forests of all vector lengths may have together; they are broadcast.
+FOREST_BYTES = 64 << 20
+
+
+@dataclass
+class Tree:
+    """`depth` levels of nodes with directions and (low, high) borders at the sample's quantiles: below high goes left, from
+    low on right. Below them, levels that need no sample: one direction a level, with the border at the projection of the
+    leaf's center and a margin of its radius, which is how far projections of the leaf scatter."""
+
+    depth: int
+    directions: np.ndarray
+    borders: np.ndarray
+    centers: np.ndarray
+    margins: np.ndarray
+    more: np.ndarray
+
+    def leaves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, leaf) of unit vectors; a row that is near splits has several leaves."""
+        row, node = np.arange(len(x)), np.zeros(len(x), np.int64)
+        for _ in range(self.depth):
+            v = np.einsum("nd,nd->n", x[row], self.directions[node])
+            left, right = v < self.borders[node, 1], v >= self.borders[node, 0]
+            right |= ~left
+            row, node = np.r_[row[left], row[right]], np.r_[2 * node[left] + 1, 2 * node[right] + 2]
+        if not len(self.more):
+            return row, node
+        top = node - (2**self.depth - 1)
+        here, middle = x @ self.more.T, self.centers @ self.more.T
+        for k in range(len(self.more)):
+            v, margin = here[row, k] - middle[top, k], self.margins[top]
+            left, right = v < margin, v >= -margin
+            right |= ~left
+            row, top, node = np.r_[row[left], row[right]], np.r_[top[left], top[right]], np.r_[2 * node[left] + 1, 2 * node[right] + 2]
+        return row, node
+
+
+def grow(sample: np.ndarray, trees: int, depth: int, extra: int, spill: float, seed: int = 17) -> list[Tree]:
+    """Trees of `depth` levels at the sample's medians and `extra` ones below."""
     rng = np.random.default_rng(seed)
+    scatter = NormalDist().inv_cdf(0.5 + spill)
     out = []
     for _ in range(trees):
-        directions = rng.standard_normal((2**depth - 1, sample.shape[1]))
+        directions = rng.standard_normal((2**depth - 1, sample.shape[1])).astype(np.float32)
         borders = np.zeros((2**depth - 1, 2))
         held = {0: sample}
         for node in range(2**depth - 1):
@@ -57,22 +97,16 @@ def grow(sample: np.ndarray, trees: int, depth: int, spill: float, seed: int = 1
                 low, mid, high = np.quantile(v, [0.5 - spill, 0.5, 0.5 + spill])
                 borders[node] = low, high
                 held[2 * node + 1], held[2 * node + 2] = x[v < mid], x[v >= mid]
-        out.append((directions, borders))
+        centers, margins = np.zeros((2**depth, sample.shape[1]), np.float32), np.zeros(2**depth)
+        for k in range(2**depth):
+            x = held.get(2**depth - 1 + k, sample[:0])
+            if len(x):
+                centers[k] = x.mean(0)
+                margins[k] = scatter * np.sqrt(((x - centers[k]) ** 2).sum(1).mean())
+        out.append(Tree(depth, directions, borders, centers, margins, rng.standard_normal((extra, sample.shape[1])).astype(np.float32)))
     return out
 
 
-def leaves(x: np.ndarray, tree: tuple[np.ndarray, np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, leaf) of unit vectors in one tree; a row that is near splits has several leaves."""
-    directions, borders = tree
-    row, node = np.arange(len(x)), np.zeros(len(x), np.int64)
-    for _ in range(depth):
-        v = np.einsum("nd,nd->n", x[row], directions[node])
-        left, right = v < borders[node, 1], v >= borders[node, 0]
-        right |= ~left
-        row, node = np.r_[row[left], row[right]], np.r_[2 * node[left] + 1, 2 * node[right] + 2]
-    return row, node
-
-
 def _unit(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
@@ -92,43 +126,59 @@ def _forest(similar: Callable[[np.ndarray, np.ndarray], np.ndarray], n: int) ->
     return out
 
 
+def _meets(one: np.ndarray, others: np.ndarray, cosine: float) -> np.ndarray:
+    """Which of the unit vectors `others` have that cosine with `one`. The last bits of a product depend on the matrix that
+    it is made in, so those at the border are summed by themselves, as for any other pair."""
+    v = others @ one
+    hit = v >= cosine
+    close = np.flatnonzero(np.abs(v - cosine) < 1e-9)
+    hit[close] = (others[close] * one).sum(1) >= cosine
+    return hit
+
+
 def links(points: DataFrame, cosine: float, trees: int = 12, leaf: int = 256, spill: float = 0.04, sample_rows: int = 30_000, most_depth: int = 12) -> DataFrame:
     """(a, b): per leaf a spanning forest of the pairs (node, vector) with at least that cosine, linear in its rows.
 
-    Trees are grown on a bounded sample (`sample_rows`, the first by a hash of the node); every vector is then dealt to
-    its leaves. A leaf with more rows than CELL_ROWS is compared in blocks, whatever its size.
+    The upper levels of trees are grown on a bounded sample (`sample_rows`, the first by a hash of the node), at most
+    `most_depth` of them and so many that FOREST_BYTES hold them; the levels below need none, so there are as many as
+    bring leaves to about `leaf` rows at any number of vectors. Every vector is dealt to its leaves. A leaf with more
+    rows than CELL_ROWS is compared in blocks, whatever its size.
     """
     n = points.count()
-    empty = points.sparkSession.createDataFrame([], "a long, b long")
+    spark = points.sparkSession
     if n < 2:
-        return empty
+        return spark.createDataFrame([], "a long, b long")
     taken = points.orderBy(F.xxhash64(F.lit(5), "node")).limit(sample_rows).select("vector").toArrow().column(0)
     widths = np.array([len(v) for v in taken.to_pylist()]) if len(taken) else np.zeros(0, int)
-    depth = int(min(most_depth, max(0, math.ceil(math.log2(n / leaf)))))
+    depth = max(0, math.ceil(math.log2(n / leaf)))
     forests = {}
-    for w in np.unique(widths).tolist():
-        forests[w] = grow(_unit(matrix(taken.filter(pa.array(widths == w)))), trees, depth, spill)
+    for w, held in zip(*(x.tolist() for x in np.unique(widths, return_counts=True)), strict=True):
+        share = FOREST_BYTES // len(np.unique(widths)) // (8 * trees * w)
+        top = max(0, min(depth, most_depth, math.floor(math.log2(max(1, share))) - 1, math.floor(math.log2(held))))
+        forests[w] = grow(_unit(matrix(taken.filter(pa.array(widths == w)))), trees, top, depth - top, spill)
+    shared = spark.sparkContext.broadcast(forests)
 
     def deal(batches):
+        forests = shared.value
         for b in batches:
             width = np.diff(b.column(1).offsets.to_numpy())
             for w in np.unique(width).tolist():
                 part = b.filter(pa.array(width == w))
                 x = _unit(matrix(part.column(1)))
                 for t in range(trees):
-                    row, at = leaves(x, forests[w][t], depth) if w in forests else (np.arange(len(x)), np.zeros(len(x), np.int64))
+                    row, at = forests[w][t].leaves(x) if w in forests else (np.arange(len(x)), np.zeros(len(x), np.int64))
                     part_t = part.take(pa.array(row))
                     yield pa.RecordBatch.from_arrays([pa.array((at << 32) | (w << 8) | t), *part_t.columns], names=["leaf", "node", "vector"])
 
     def compare(keys, t):
         node, x = t["node"].to_numpy(), _unit(matrix(t["vector"]))
-        edges = np.array(_forest(lambda i, free: x[free] @ x[i] >= cosine, len(x)), np.int64).reshape(-1, 2)
-        exact = (x[edges[:, 0]] * x[edges[:, 1]]).sum(1) >= cosine
-        return pa.table({"a": node[edges[exact, 0]], "b": node[edges[exact, 1]]})
+        edges = np.array(_forest(lambda i, free: _meets(x[i], x[free], cosine), len(x)), np.int64).reshape(-1, 2)
+        return pa.table({"a": node[edges[:, 0]], "b": node[edges[:, 1]]})
 
     dealt = points.select("node", "vector").mapInArrow(deal, "leaf long, node long, vector array<double>")
-    dealt = cells(dealt, ["leaf"], ["node"], CELL_ROWS)
-    return dealt.select("leaf", "cell_i", "cell_j", "node", "vector").groupBy("leaf", "cell_i", "cell_j").applyInArrow(compare, "a long, b long").distinct()
+    keys = ["leaf", "cell_i", "cell_j"]
+    dealt = cells(dealt, ["leaf"], ["node"], CELL_ROWS).select(*keys, "node", "vector").repartition(*keys)
+    return dealt.groupBy(*keys).applyInArrow(compare, "a long, b long").distinct()
 
 
 def link_counts(points: DataFrame, roots: DataFrame, cosine: float) -> DataFrame:
@@ -136,22 +186,25 @@ def link_counts(points: DataFrame, roots: DataFrame, cosine: float) -> DataFrame
 
     Vectors within half the angle of the component's first vector link with each other without a comparison (the angle
     is a metric), so a dense group costs what its members outside that ball cost: those are compared with all members,
-    in cells of blocks.
+    in cells of blocks. A component with m members outside of n costs m * n products, so one that is a chain of very
+    many vectors is dear; the README has figures. No component's members meet in one task.
     """
     half = math.cos(math.acos(cosine) / 2) + 1e-9
     members = cut(points.join(roots, "node").select("root", "node", "n", "vector"))
-    first = members.where("root = node").select("root", F.col("vector").alias("middle"))
+    total = members.count()
+    middles = members.where("root = node").select("root", F.col("vector").alias("middle")).join(members.groupBy("root").count(), "root")
 
     def inside(batches):
         for b in batches:
             x, y = _unit(matrix(b.column(3))), _unit(matrix(b.column(4)))
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array((x * y).sum(1) >= half)], names=["root", "node", "n", "vector", "inside"])
 
-    placed = cut(members.join(first, "root").where(F.size("vector") == F.size("middle")).mapInArrow(inside, "root long, node long, n long, vector array<double>, inside boolean"))
-    sums = placed.groupBy("root").agg(F.sum(F.when(F.col("inside"), F.col("n"))).alias("ball"), F.count("*").alias("all"), F.count_if(~F.col("inside")).alias("out"))
-    by_ball = placed.where("inside").join(sums, "root").select("node", (F.col("ball") - F.col("n")).alias("near"))
-    shape = sums.where("out > 0").select("root", F.ceil(F.col("out") / CELL_ROWS).cast("int").alias("u"), F.ceil(F.col("all") / CELL_ROWS).cast("int").alias("v"))
-    open_roots = placed.join(shape, "root").withColumn("h", F.xxhash64("node"))
+    paired = spread_join(members, middles, ["root"], "count", total, 2000).where(F.size("vector") == F.size("middle"))
+    placed = cut(paired.select("root", "node", "n", "vector", "middle").mapInArrow(inside, "root long, node long, n long, vector array<double>, inside boolean"))
+    sums = cut(placed.groupBy("root").agg(F.sum(F.when(F.col("inside"), F.col("n"))).alias("ball"), F.count("*").alias("all"), F.count_if(~F.col("inside")).alias("out")))
+    by_ball = spread_join(placed.where("inside").select("root", "node", "n"), sums.select("root", "ball", "all"), ["root"], "all", total).select("node", (F.col("ball") - F.col("n")).alias("near"))
+    shape = sums.where("out > 0").select("root", "all", F.ceil(F.col("out") / CELL_ROWS).cast("int").alias("u"), F.ceil(F.col("all") / CELL_ROWS).cast("int").alias("v"))
+    open_roots = spread_join(placed, shape, ["root"], "all", total).withColumn("h", F.xxhash64("node"))
     left = open_roots.where(~F.col("inside")).withColumn("i", F.pmod("h", "u").cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("v") - 1)))
     right = open_roots.withColumn("j", F.pmod("h", "v").cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("u") - 1)))
     both = left.select("root", "i", "j", "node", "n", "inside", "vector", F.lit(True).alias("left")).unionByName(right.select("root", "i", "j", "node", "n", "inside", "vector", F.lit(False).alias("left")))
@@ -160,16 +213,16 @@ def link_counts(points: DataFrame, roots: DataFrame, cosine: float) -> DataFrame
         side = t["left"].to_numpy()
         node, n, within, x = t["node"].to_numpy(), t["n"].to_numpy(), t["inside"].to_numpy(), _unit(matrix(t["vector"]))
         a, b = np.flatnonzero(side), np.flatnonzero(~side)
-        hit = x[a] @ x[b].T >= cosine
-        close = np.abs(x[a] @ x[b].T - cosine) < 1e-12
-        for i, j in zip(*np.nonzero(close), strict=True):  # the last bits of a product depend on its place in the matrix
+        v = x[a] @ x[b].T
+        hit = v >= cosine
+        for i, j in zip(*np.nonzero(np.abs(v - cosine) < 1e-9), strict=True):  # as in _meets
             hit[i, j] = (x[a[i]] * x[b[j]]).sum() >= cosine
         hit &= node[a][:, None] != node[b][None, :]
         back = hit & within[b][None, :]  # vectors in the ball get their links outside it from here
         near = np.r_[hit @ n[b], n[a] @ back]
         return pa.table({"node": np.r_[node[a], node[b]], "near": near.astype(np.int64)}).filter(pa.array(near > 0))
 
-    across = both.groupBy("root", "i", "j").applyInArrow(compare, "node long, near long")
+    across = both.repartition("root", "i", "j").groupBy("root", "i", "j").applyInArrow(compare, "node long, near long")
     return by_ball.unionByName(across).groupBy("node").agg(F.sum("near").alias("near"))
 
 
