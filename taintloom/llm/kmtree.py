@@ -4,6 +4,7 @@ traversal. The number of leaves that a query visits is widened until recall on c
 
 from __future__ import annotations
 
+import functools
 import heapq
 import math
 from dataclasses import dataclass
@@ -45,14 +46,16 @@ class Tree:
                 c = self.centroids[kids]
                 node[at] = kids[((c * c).sum(1) - 2 * x[at] @ c.T).argmin(1)]
 
-    def visit(self, q: np.ndarray, most: int) -> list[int]:
-        """Leaves in best-bin-first order: a priority queue of nodes by the inner product of query and centroid."""
+    def visit(self, q: np.ndarray, most: int, held: np.ndarray | None = None, least: int = 0) -> list[int]:
+        """Leaves in best-bin-first order, by a priority queue of nodes by the inner product of query and centroid: `most`
+        of them, and more until they hold `least` candidates (`held`: those of each leaf) or there are none left."""
         score = self.centroids @ q
-        queue, out = [(0.0, 0)], []
-        while queue and len(out) < most:
+        queue, out, n = [(0.0, 0)], [], 0
+        while queue and (len(out) < most or n < least):
             _, node = heapq.heappop(queue)
             if self.leaf[node] >= 0:
                 out.append(int(self.leaf[node]))
+                n += least if held is None else int(held[self.leaf[node]])
             for kid in self.children[node]:
                 heapq.heappush(queue, (-float(score[kid]), kid))
         return out
@@ -112,54 +115,74 @@ def calibrate(tree: Tree, x: np.ndarray, top: int, recall: float, queries: int =
     return visits, got
 
 
+#: So many lengths of vectors are searched, each by itself.
+MOST_WIDTHS = 64
+
+
 def nearest(rows: DataFrame, queries, top: int = 20, recall: float = 0.96, most_leaves: int = 2048, sample_rows: int = 20_000, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the `top` rows with the largest inner product for each row that the condition
     `queries` picks, the row itself aside; ties go to the smaller key.
 
-    The tree has leaves in proportion to the square root of the number of vectors, so that leaves and the number of them
-    that a query visits grow evenly. It is grown and calibrated on a bounded sample (`sample_rows`, the first by a hash of the key); every vector is
-    indexed. Equal vectors are one candidate with their `top` + 1 smallest keys and one query: since ties go to smaller
-    keys no other copy can be in a result, so this loses nothing and copies of a hot vector cost one search. Leaves of
-    any size are scored in cells of bounded blocks. Scores are products in double precision summed the same way for
-    every pair. Unusable vectors (null, empty, zero, or with null or non-finite numbers) and null keys take no part;
-    vectors of another length than the first of the sample don't either. An empty table gives an empty result.
+    Vectors of one length make an index: an inner product needs equal lengths, so queries find rows of theirs only. More
+    than MOST_WIDTHS lengths are an error. Unusable vectors (null, empty, zero, or with null or non-finite numbers) and
+    null keys take no part; rows that repeat a key and a vector count once; an empty table gives an empty result; extra
+    columns are not read.
     """
     good = rows.where(usable(vector) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.coalesce(queries, F.lit(False)).alias("asks"), F.xxhash64(F.lit(1), vector).alias("h1"), F.xxhash64(F.lit(2), vector).alias("h2"), F.col(vector).cast("array<double>").alias("vector"))
     good = good.dropDuplicates(["id", "h1", "h2"])
     order = Window.partitionBy("h1", "h2").orderBy("id")
     first = good.select("h1", "h2", "id", "vector").withColumn("n", F.row_number().over(order)).where(F.col("n") <= top + 1)
     points = cut(first.groupBy("h1", "h2").agg(F.min("id").alias("node"), F.array_sort(F.collect_list("id")).alias("ids"), F.first("vector").alias("vector")))
-    sample = points.orderBy(F.xxhash64(F.lit(5), "node")).limit(sample_rows).select("vector").toArrow().column(0)
-    n = points.count()
-    if not n:
+    asking = cut(good.where("asks").select("id", "h1", "h2").join(points.select("h1", "h2", "node"), ["h1", "h2"]).select("id", "node"))
+    widths = sorted(r[0] for r in points.select(F.size("vector")).distinct().limit(MOST_WIDTHS + 1).collect())
+    if len(widths) > MOST_WIDTHS:
+        raise ValueError(f"vectors have more than {MOST_WIDTHS} lengths")
+    if not widths:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    width = len(sample[0])
-    points = points.where(F.size("vector") == width)
-    x = matrix(sample.filter(pa.compute.equal(pa.compute.list_value_length(sample), width)))
-    tree = grow(x, min(most_leaves, math.ceil(math.sqrt(n) / 4)))
+    found = [_search(points.where(F.size("vector") == w), asking, top, recall, most_leaves, sample_rows) for w in widths]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def _search(points: DataFrame, asking: DataFrame, top: int, recall: float, most_leaves: int, sample_rows: int) -> DataFrame:
+    """The result for points (node, ids, vector) of one length and the rows (id, node) that ask.
+
+    The tree has leaves in proportion to the square root of the number of vectors, so that leaves and the number of them
+    that a query visits grow evenly. It is grown and calibrated on a bounded sample (`sample_rows`, the first by a hash of the key); every vector is
+    indexed. Equal vectors are one candidate with their `top` + 1 smallest keys and one query: since ties go to smaller
+    keys no other copy can be in a result, so this loses nothing and copies of a hot vector cost one search. Leaves of
+    any size are scored in cells of bounded blocks. A query visits the calibrated number of leaves, and more where these
+    hold too few candidates. Scores are products in double precision summed the same way for every pair.
+    """
+    most = top + 1
+    sample = points.orderBy(F.xxhash64(F.lit(5), "node")).limit(sample_rows).select("vector").toArrow().column(0)
+    x = matrix(sample)
+    tree = grow(x, min(most_leaves, math.ceil(math.sqrt(points.count()) / 4)))
     visits, _ = calibrate(tree, x, top, recall)
 
     def to_leaf(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array(tree.assign(matrix(b.column(2)))), *b.columns], names=["leaf", "node", "ids", "vector"])
 
+    candidates = cut(points.select("node", "ids", "vector").mapInArrow(to_leaf, "leaf long, node long, ids array<long>, vector array<double>"))
+    # One row per leaf of the tree, which has a bounded number of them.
+    sizes = candidates.groupBy("leaf").agg(F.sum(F.size("ids")).alias("ids"), F.ceil(F.count("*") / CELL_CANDIDATES).cast("int").alias("c"))
+    held = np.zeros(tree.n_leaves, np.int64)
+    for r in sizes.collect():
+        held[r["leaf"]] = r["ids"]
+
     def to_visits(batches):
         for b in batches:
             q = matrix(b.column(1))
-            found = [tree.visit(v, visits) for v in q]
+            found = [tree.visit(v, visits, held, most) for v in q]
             part = b.take(pa.array(np.repeat(np.arange(len(q)), [len(f) for f in found])))
             yield pa.RecordBatch.from_arrays([pa.array([k for f in found for k in f], pa.int64()), *part.columns], names=["leaf", "node", "vector"])
 
-    asking = cut(good.where("asks").select("id", "h1", "h2").join(points.select("h1", "h2", "node"), ["h1", "h2"]).select("id", "node"))
-    candidates = cut(points.select("node", "ids", "vector").mapInArrow(to_leaf, "leaf long, node long, ids array<long>, vector array<double>"))
     searches = points.join(asking.select("node").distinct(), "node", "left_semi").select("node", "vector").mapInArrow(to_visits, "leaf long, node long, vector array<double>")
-    # One row per leaf of the tree, which has a bounded number of them.
-    blocks = candidates.groupBy("leaf").agg(F.ceil(F.count("*") / CELL_CANDIDATES).cast("int").alias("c")).join(searches.groupBy("leaf").agg(F.ceil(F.count("*") / CELL_QUERIES).cast("int").alias("q")), "leaf")
+    blocks = sizes.drop("ids").join(searches.groupBy("leaf").agg(F.ceil(F.count("*") / CELL_QUERIES).cast("int").alias("q")), "leaf")
     blocks = F.broadcast(cut(blocks))
     own = F.xxhash64("node")
     cand = candidates.join(blocks, "leaf").withColumn("ci", F.pmod(own, "c").cast("int")).withColumn("qi", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
     ask = searches.join(blocks, "leaf").withColumn("qi", F.pmod(own, "q").cast("int")).withColumn("ci", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
-    most = top + 1
 
     def score(left, right):
         node, ids = left["node"].to_numpy(), right["ids"].to_pylist()
