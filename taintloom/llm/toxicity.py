@@ -20,8 +20,9 @@ from .common import Memo, small_batches, sole_holder
 WORD = re.compile(r"[^\W\d_]+")
 BITS = 22
 FOLDS = 5
-#: The chain. `toxic` is labelled; the two grades behind it are weak labels made of it and of out-of-fold evidence.
-CATEGORIES = ("toxic", "toxic_repeated", "toxic_dense")
+#: The chain, in its order. `toxic`, the last and the one that decides, is labelled; the two grades before it are weak
+#: labels made of it and of out-of-fold evidence.
+CATEGORIES = ("toxic_dense", "toxic_repeated", "toxic")
 
 
 def grams(word: str) -> np.ndarray:
@@ -44,8 +45,8 @@ class Lexicon:
         return tuple(at[self.chosen[at] == word_grams].tolist())
 
 
-def choose(docs: list[np.ndarray], y: np.ndarray, most: int = 4000) -> Lexicon:
-    """Features whose share of positive documents is over 8 times that of negative ones, in so many positive documents that
+def choose(docs: list[np.ndarray], y: np.ndarray, most: int) -> Lexicon:
+    """The `most` best features whose share of positive documents is over 8 times that of negative ones, in so many positive documents that
     of 100,000 features that are dealt over documents by chance less than one would stand in those alone."""
     least = max(3, int(np.ceil(np.log(1e5) / -np.log(np.clip(y.mean(), 1e-9, 0.5)))))
     df = [np.zeros(1 << BITS, np.float32) for _ in range(2)]
@@ -81,6 +82,7 @@ def fit_linear(rows: list[np.ndarray], extra: np.ndarray, y: np.ndarray, size: i
 class Chain:
     lexicon: Lexicon
     weights: list[np.ndarray]
+    repeats: int
 
     def probabilities(self, rows: list[np.ndarray], counts: np.ndarray) -> np.ndarray:
         """rows: a text's distinct features; counts: (words with a hit, distinct ones of them, words)."""
@@ -99,15 +101,15 @@ def _dense(counts: np.ndarray) -> np.ndarray:
     return np.c_[np.log1p(hits), np.log1p(distinct), 30 * hits / np.maximum(words, 30)]
 
 
-def _seen(words: list[str], memo: Memo) -> tuple[np.ndarray, tuple[int, int, int]]:
-    """(features, (hits, distinct words with a hit, words)) of a text; a word counts five times at most, so that one that
-    is repeated throughout a text doesn't decide."""
+def _seen(words: list[str], memo: Memo, repeats: int) -> tuple[np.ndarray, tuple[int, int, int]]:
+    """(features, (hits, distinct words with a hit, words)) of a text; a word makes `repeats` hits at most, so that one
+    that is repeated throughout a text doesn't decide."""
     found = Counter(w for w in words if memo[w])
     features = np.array(sorted({i for w in found for i in memo[w]}), np.int64)
-    return features, (sum(min(n, 5) for n in found.values()), len(found), len(words))
+    return features, (sum(min(n, repeats) for n in found.values()), len(found), len(words))
 
 
-def train(texts: list[str], toxic: list[int], keys: list[int]) -> Chain | None:
+def train(texts: list[str], toxic: list[int], keys: list[int], most_features: int = 4000, repeats: int = 5) -> Chain | None:
     """The chain of labelled texts; None if a class is missing. Folds are a hash of the key."""
     y = np.array(toxic)
     if len(set(toxic)) < 2:
@@ -120,7 +122,7 @@ def train(texts: list[str], toxic: list[int], keys: list[int]) -> Chain | None:
 
     def look(lexicon: Lexicon, which: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
         memo = Memo(lambda w: lexicon.hits(of_word[w]), 10_000_000)
-        got = [_seen(words[i], memo) for i in which]
+        got = [_seen(words[i], memo, repeats) for i in which]
         return [g[0] for g in got], np.array([g[1] for g in got], np.int64).reshape(-1, 3)
 
     parts = []
@@ -129,14 +131,14 @@ def train(texts: list[str], toxic: list[int], keys: list[int]) -> Chain | None:
         rest, held = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
         if len(set(y[rest])) < 2 or not len(held):
             continue
-        lexicon = choose([docs[i] for i in rest], y[rest])
+        lexicon = choose([docs[i] for i in rest], y[rest], most_features)
         rows, c = look(lexicon, np.arange(len(y)))
         counts[held] = c[held]
         parts.append((rest, held, lexicon, rows, c))
     hits = counts[:, 0] * y
     share = hits / np.maximum(counts[:, 2], 1)
-    grades = [y, y * (hits >= 4), y * ((share >= np.median(share[y == 1])) & (hits > 0))]
-    full = choose(docs, y)
+    grades = [y * ((share >= np.median(share[y == 1])) & (hits > 0)), y * (hits >= 4), y]
+    full = choose(docs, y, most_features)
     rows_full, counts_full = look(full, np.arange(len(y)))
     outside: list[np.ndarray] = []
     weights = []
@@ -150,26 +152,30 @@ def train(texts: list[str], toxic: list[int], keys: list[int]) -> Chain | None:
             oof[held] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         weights.append(fit_linear(rows_full, np.c_[_dense(counts_full), *outside], grade, len(full.chosen)))
         outside.append(oof)
-    return Chain(full, weights)
+    return Chain(full, weights, repeats)
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 4000, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Chain | None:
-    """Trains on a bounded sample of labelled rows: up to `most` of the rows labelled clean
-    and half as many of those labelled toxic, the first by a hash of the key. Only
-    keys and labels are ranked; texts are read for those chosen. Null keys, labels and texts aren't used."""
+def fit(docs: DataFrame, labels: DataFrame, most: int = 4000, most_chars: int = 200_000, most_features: int = 4000, repeats: int = 5, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Chain | None:
+    """Trains on a bounded sample of labelled rows: up to `most` of the rows labelled clean and half as many of those
+    labelled toxic, the first by a hash of the key; texts of over `most_chars` characters are not learned from. Only keys
+    and labels are ranked; texts are read for those chosen. Null keys, labels and texts aren't used.
+
+    `most_features` bounds the hashed features that the chain weighs, `repeats` the hits that one word makes in a text.
+    """
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.max(label).alias("__y"))
     half = [known.where(F.col("__y") == y).orderBy(F.xxhash64(F.lit(3), key), key).limit(n) for y, n in ((0, most), (1, most // 2))]
     chosen = half[0].unionByName(half[1])
-    got = docs.where(F.col(text).isNotNull()).select(key, text).join(F.broadcast(chosen), key).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col("__y").alias("y")).collect()
+    got = docs.where(F.length(text) <= most_chars).select(key, text).join(F.broadcast(chosen), key).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col("__y").alias("y")).collect()
     got.sort(key=lambda r: (r["k"], r["t"]))
-    return train([r["t"] for r in got], [int(r["y"]) for r in got], [r["k"] for r in got])
+    return train([r["t"] for r in got], [int(r["y"]) for r in got], [r["k"] for r in got], most_features, repeats)
 
 
 _MEMOS: dict[str, Memo] = {}
 
 
 def toxicity(docs: DataFrame, chain: Chain | None, threshold: float = 0.5, text: str = "text") -> DataFrame:
-    """`docs` with a probability column p_<category> for each category of the chain and `toxic` (p_toxic >= threshold).
+    """`docs` with a probability column p_<category> for each category of the chain and `toxic`, the decision of its last
+    link, which is fed the probabilities of the links before it (p_toxic >= threshold).
 
     Whole texts, one pass, no shuffle. Null and empty texts, and all texts without a trained chain, get probability 0.
     Every row and column is kept but columns with the names made here, which are replaced; repeated rows and null keys
@@ -193,10 +199,10 @@ def toxicity(docs: DataFrame, chain: Chain | None, threshold: float = 0.5, text:
             texts = b.column(at).to_pylist()
             p = np.zeros((len(texts), len(CATEGORIES)))
             if chain is not None and texts:
-                got = [_seen(WORD.findall(t.lower()) if t else [], _MEMOS[name]) for t in texts]
+                got = [_seen(WORD.findall(t.lower()) if t else [], _MEMOS[name], chain.repeats) for t in texts]
                 p = chain.probabilities([g[0] for g in got], np.array([g[1] for g in got]))
                 p[[not g[1][2] for g in got]] = 0
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(p[:, k]) for k in range(p.shape[1])), pa.array(p[:, 0] >= threshold)], names=[*names, *made])
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(p[:, k]) for k in range(p.shape[1])), pa.array(p[:, -1] >= threshold)], names=[*names, *made])
 
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names), *(f"{c} double" for c in made[:-1]), "toxic boolean"])
     return docs.select(*names).mapInArrow(run, schema)
