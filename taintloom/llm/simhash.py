@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cells, cut, small_batches
+from .common import Memo, Scratch, cells, cut, small_batches, sole_holder
 from .components import components
 
 GOLAY = 0b110001110101  # fixed value: generator polynomial of the binary Golay code of length 23
@@ -220,6 +220,33 @@ def simhash_components(docs: DataFrame, width: int = 3, most: int = 2, key: str
     return prints.join(of, "fp").select(F.col("doc").alias(key), shown, "component_id")
 
 
+_WORDS: dict[str, Memo] = {}
+_BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """64-bit hashes of a text's words (as in `shingle_hashes`); a worker keeps those that it has met, a bounded number."""
+    if "words" not in _WORDS:
+        sole_holder("simhash", _WORDS.clear)
+        _WORDS["words"] = Memo(xxhash.xxh64_intdigest, 300_000)
+    words = text.encode().lower().split()
+    return np.fromiter(map(_WORDS["words"].__getitem__, words), np.uint64, len(words))
+
+
+def shingle_set(words: np.ndarray, width: int) -> np.ndarray:
+    """Distinct hashes, sorted, of every run of `width` words, or of the whole sequence if there are fewer: made of the words'
+    hashes, all runs at once."""
+    if not len(words):
+        return words
+    width = min(width, len(words))
+    h = words[: len(words) - width + 1].copy()
+    for k in range(1, width):
+        h = h * _BASE + words[k : len(words) - width + 1 + k]
+    for shift, factor in ((33, _MIX[0]), (29, _MIX[1])):
+        h = (h ^ (h >> np.uint64(shift))) * factor
+    return np.unique(h ^ (h >> np.uint64(32)))
+
+
 def parity(found: np.ndarray) -> np.ndarray:
     """256 bits, as four longs, of a set of hashes: a bit is the parity of the number of hashes that fall on it. Two sets
     differ in as many hashes as their bits do, or in more."""
@@ -227,64 +254,77 @@ def parity(found: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
+#: Bits of a table that marks hashes. More hashes than that only make its answers less sharp; none depends on them.
+SLOTS = 1 << 26
+
+
+def marked(hashes: DataFrame, column: str) -> np.ndarray:
+    """A table of SLOTS bits with those of a column's hashes set: a bounded number of words reaches the driver."""
+    slot = F.expr(f"`{column}` & {SLOTS - 1}L").alias("slot")
+    words = hashes.select(slot).groupBy(F.expr("shiftright(slot, 6)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("bits")).toArrow()
+    marks = np.zeros(SLOTS >> 6, np.uint64)
+    marks[words.column(0).to_numpy()] = words.column(1).to_numpy().view(np.uint64)
+    return marks
+
+
+def in_marks(marks: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    slot = hashes & np.uint64(SLOTS - 1)
+    return (marks[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
 def shingle_prefix(found: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
-    """The first hashes of a set (sorted), those in `common` (sorted) being last in order, that are enough to hold one of
-    any set of `similarity` or more to it."""
-    last = common[np.minimum(np.searchsorted(common, found), len(common) - 1)] == found if len(common) else np.zeros(len(found), bool)
+    """The first hashes of a set (sorted), those marked in `common` being last in order, that are enough to hold one of any
+    set of `similarity` or more to it."""
+    last = in_marks(common, found)
     return np.concatenate([found[~last], found[last]])[: len(found) - math.ceil(similarity * len(found) - 1e-9) + 1]
 
 
-def common_shingles(docs: DataFrame, n: int, width: int, sample: int = 10_000, most: int = 200_000) -> np.ndarray:
-    """Hashes, sorted, that three documents of a sample hold. They only settle an order: any choice gives the same result,
-    but with common ones last few documents meet by them."""
+def common_shingles(docs: DataFrame, width: int, part: int = 16) -> np.ndarray:
+    """Marks of the hashes that two documents of one in `part` hold. They only settle an order: any choice gives the same
+    result, but with common ones last few documents meet by them."""
 
     def run(batches):
         for b in batches:
             for t in b.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t, width)).view(np.int64))], names=["token"])
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(word_hashes(t), width).view(np.int64))], names=["token"])
 
-    some = docs.where(F.pmod(F.xxhash64("doc"), F.lit(max(1, min(64, n // sample)))) == 0).select("text")
-    counted = some.mapInArrow(whole_batches(run), "token long").groupBy("token").count().where("count >= 3")
-    return np.sort(counted.orderBy(F.desc("count"), "token").limit(most).select("token").toArrow().column(0).to_numpy().view(np.uint64))
+    some = docs.where(F.pmod(F.xxhash64("doc"), F.lit(part)) == 0).select("text")
+    return marked(some.mapInArrow(whole_batches(run), "token long").groupBy("token").count().where("count > 1"), "token")
 
 
-def prefix_pairs(docs: DataFrame, nodes: DataFrame, n: int, width: int, similarity: float, cell_rows: int = 1000) -> DataFrame:
+def prefix_pairs(docs: DataFrame, nodes: DataFrame, width: int, similarity: float, scratch: Scratch, cell_rows: int = 1000) -> DataFrame:
     """Pairs (a, b) of nodes of different groups among which every pair with a Jaccard similarity of `similarity` or more
     is: an exact prefix-filter join with length, positional and parity filters, and one of counts by 256
     parts of the hash range: sets differ in as many hashes as their counts differ in all, or in more.
 
-    `docs`: doc, text; `nodes`: node, comp (its group), s0 to s3 (its parity sketch); `n`: about how many docs there are.
-    A first pass marks prefix hashes of two texts or more in a table of bits; the second passes on rows of those only.
+    `docs`: doc, text; `nodes`: node, comp (its group), s0 to s3 (its parity sketch). A first pass marks prefix hashes of two
+    texts or more in a table of bits; the second passes on rows of those only.
     """
-    common, slots = common_shingles(docs, n, width), 1 << 25
+    context = docs.sparkSession.sparkContext
+    order = context.broadcast(common_shingles(docs, width))
 
     def tokens(batches):
         for b in batches:
             for t in b.column(1).to_pylist():
-                p = shingle_prefix(np.unique(shingle_hashes(t, width)), common, similarity)
+                p = shingle_prefix(shingle_set(word_hashes(t), width), order.value, similarity)
                 own = xxhash.xxh3_64_intdigest(t.encode()) - (1 << 63)
                 yield pa.RecordBatch.from_arrays([pa.array(p.view(np.int64)), pa.array(np.full(len(p), own, np.int64))], names=["token", "own"])
 
     met = docs.mapInArrow(whole_batches(tokens), "token long, own long").groupBy("token").agg(F.min("own").alias("least"), F.max("own").alias("most")).where("least < most")
-    bits = met.select(F.expr(f"token & {slots - 1}").alias("slot")).groupBy(F.expr("shiftright(slot, 6)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("bits")).toArrow()
-    marks = np.zeros(slots >> 6, np.uint64)
-    marks[bits.column(0).to_numpy()] = bits.column(1).to_numpy().view(np.uint64)
-    shared = docs.sparkSession.sparkContext.broadcast(marks)
+    shared = context.broadcast(marked(met, "token"))
 
     def places(batches):
-        marks = shared.value
         for b in batches:
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found = np.unique(shingle_hashes(t, width))
-                p = shingle_prefix(found, common, similarity)
-                slot = p & np.uint64(slots - 1)
-                at = np.flatnonzero(marks[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1))
+                found = shingle_set(word_hashes(t), width)
+                p = shingle_prefix(found, order.value, similarity)
+                at = np.flatnonzero(in_marks(shared.value, p))
                 columns = [p[at].view(np.int64), np.full(len(at), d, np.int64), np.full(len(at), len(found), np.int32), at.astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "node", "size", "place"])
 
-    rows = cut(docs.mapInArrow(whole_batches(places), "token long, node long, size int, place int").join(nodes.select("node", "comp"), "node"))
-    across = cut(rows.groupBy("token").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("token"))
-    rows = cut(rows.join(across, "token", "left_semi").join(nodes.drop("comp"), "node"))
+    rows = scratch.keep(docs.mapInArrow(whole_batches(places), "token long, node long, size int, place int").join(nodes.select("node", "comp"), "node"))
+    across = scratch.keep(rows.groupBy("token").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("token"))
+    rows = scratch.keep(rows.join(across, "token", "left_semi").join(nodes.drop("comp"), "node"))
     keys = ["token", "cell_i", "cell_j"]
     dealt = cells(rows, ["token"], ["node"], cell_rows).select(*keys, "node", "comp", "size", "place", "s0", "s1", "s2", "s3")
     dealt = dealt.repartition(*keys).sortWithinPartitions(*keys, "node")
@@ -307,13 +347,16 @@ def prefix_pairs(docs: DataFrame, nodes: DataFrame, n: int, width: int, similari
                 if ok.any():
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[x[ok]], node[y[ok]])), pa.array(np.maximum(node[x[ok]], node[y[ok]]))], names=["a", "b"])
 
-    pairs = cut(dealt.mapInArrow(run, "a long, b long").where("a <> b").distinct())
+    pairs = scratch.keep(dealt.mapInArrow(run, "a long, b long").where("a <> b").distinct())
+    wanted = context.broadcast(marked(pairs.select(F.explode(F.array(F.xxhash64("a"), F.xxhash64("b"))).alias("h")), "h"))
 
     def counts(batches):
         for b in batches:
-            found = [np.unique(shingle_hashes(t, width)) for t in b.column(1).to_pylist()]
+            keep = in_marks(wanted.value, b.column(2).to_numpy().view(np.uint64))
+            part = b.filter(pa.array(keep))
+            found = [shingle_set(word_hashes(t), width) for t in part.column(1).to_pylist()]
             held = [np.minimum(np.bincount((f >> np.uint64(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes() for f in found]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(f) for f in found], pa.int64()), pa.array(held, pa.binary())], names=["doc", "size", "held"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(f) for f in found], pa.int64()), pa.array(held, pa.binary())], names=["doc", "size", "held"])
 
     def close(batches):
         for b in batches:
@@ -323,11 +366,10 @@ def prefix_pairs(docs: DataFrame, nodes: DataFrame, n: int, width: int, similari
             ok = np.array(apart) <= x + y - 2 * need
             yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(c[ok])], names=["a", "b"])
 
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    held = cut(docs.mapInArrow(counts, "doc long, size long, held binary").join(involved, "doc", "left_semi").dropDuplicates(["doc"]))
+    held = scratch.keep(docs.withColumn("h", F.xxhash64("doc")).mapInArrow(counts, "doc long, size long, held binary").dropDuplicates(["doc"]))
     left, right = (held.select(F.col("doc").alias(c), F.col("size").alias(f"{c}_size"), F.col("held").alias(f"{c}_held")) for c in ("a", "b"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "a_size", "b_size", "a_held", "b_held")
-    return both.mapInArrow(close, "a long, b long")
+    return cut(both.mapInArrow(close, "a long, b long"))
 
 
 def whole_batches(make, rows: int = 50_000):
@@ -354,18 +396,26 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, tables
     Most are found by `tables` (2, 4 or 6) 30-bit SimHashes of the set of word pairs, each within 2 bits by anchor covering: pairs of
     words change less than longer shingles, so near copies are close in one of the tables. Per anchor the spanning forest of
     least distance over all tables' bits is kept, and its edges are verified exactly. What that leaves apart, `prefix_pairs`
-    finds without loss between the groups made so far, so the result is that of comparing all pairs. Null and empty texts
-    are never copies of each other.
+    finds without loss between the groups made so far, so the result is that of comparing all pairs.
+
+    Null, empty and blank texts and rows without a key are never copies. Rows that repeat a key are one document: of
+    several texts, the one with the smallest hash stands for it. An empty table gives an empty result; extra columns,
+    whatever their names, are not read. The key must be an integer.
     """
     small_batches(docs.sparkSession)
     prints, sketch = [f"p{k}" for k in range(-(-tables // 2))], ["s0", "s1", "s2", "s3"]
     docs = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).where("doc is not null and text is not null and trim(text) <> ''")
+    hashed = F.xxhash64(F.lit(3), "text")
+    several = cut(docs.groupBy("doc").agg(F.min(hashed).alias("low"), F.max(hashed).alias("high")).where("low <> high").select("doc", "low"))
+    if not several.isEmpty():
+        docs = docs.join(several, "doc", "left").where(F.col("low").isNull() | (hashed == F.col("low"))).select("doc", "text")
 
     def sign(batches):
         for b in batches:
             rows = ([], [], [], *([] for _ in prints), *([] for _ in sketch))
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                h = np.unique(shingle_hashes(t, 2))
+                words = word_hashes(t)
+                h = shingle_set(words, 2)
                 wide = [majority(h), majority((h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)), majority((h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9))]
                 digest = xxhash.xxh3_128_intdigest(t.encode())
                 rows[0].append(d)
@@ -373,7 +423,7 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, tables
                 rows[2].append((digest & ((1 << 64) - 1)) - (1 << 63))
                 for k, column in enumerate(rows[3 : 3 + len(prints)]):
                     column.append(wide[k] & 0x3FFFFFFF3FFFFFFF)
-                for column, s in zip(rows[3 + len(prints) :], parity(np.unique(shingle_hashes(t, width))).tolist(), strict=True):
+                for column, s in zip(rows[3 + len(prints) :], parity(shingle_set(words, width)).tolist(), strict=True):
                     column.append(s)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], names=["doc", "h1", "h2", *prints, *sketch])
 
@@ -381,21 +431,26 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, tables
     texts = cut(signed.groupBy("h1", "h2").agg(F.min("doc").alias("node"), *(F.first(p).alias(p) for p in [*prints, *sketch])))
     edges = cut(cell_links(replicated(texts, prints, 30, 2), prints, 30, 2, 6 * tables))
 
-    def sets(batches):
-        for b in batches:
-            found = [np.unique(shingle_hashes(t, width)).view(np.int64) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], names=["doc", "shingles"])
-
     def verified(edges):
-        involved = edges.select(F.col("a").alias("doc")).union(edges.select(F.col("b").alias("doc"))).distinct()
-        shingles = cut(docs.join(involved, "doc", "left_semi").mapInArrow(sets, "doc long, shingles array<long>").groupBy("doc").agg(F.first("shingles").alias("shingles")))
-        left, right = (shingles.select(F.col("doc").alias(c), F.col("shingles").alias(f"{c}_set")) for c in ("a", "b"))
-        shared = F.size(F.array_intersect("a_set", "b_set"))
-        return cut(edges.join(left, "a").join(right, "b").where(shared >= similarity * (F.size("a_set") + F.size("b_set") - shared)).select("a", "b"))
+        """The edges whose documents' sets are similar enough. Sets are made of the documents that have an edge."""
+        wanted = docs.sparkSession.sparkContext.broadcast(marked(edges.select(F.explode(F.array(F.xxhash64("a"), F.xxhash64("b"))).alias("h")), "h"))
+
+        def sets(batches):
+            for b in batches:
+                part = b.filter(pa.array(in_marks(wanted.value, b.column(2).to_numpy().view(np.uint64))))
+                found = [shingle_set(word_hashes(t), width).view(np.int64) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], names=["doc", "shingles"])
+
+        with Scratch(docs.sparkSession) as scratch:
+            shingles = scratch.keep(docs.withColumn("h", F.xxhash64("doc")).mapInArrow(sets, "doc long, shingles array<long>").dropDuplicates(["doc"]))
+            left, right = (shingles.select(F.col("doc").alias(c), F.col("shingles").alias(f"{c}_set")) for c in ("a", "b"))
+            both = F.size(F.array_intersect("a_set", "b_set"))
+            return cut(edges.join(left, "a").join(right, "b").where(both >= similarity * (F.size("a_set") + F.size("b_set") - both)).select("a", "b"))
 
     similar = verified(edges)
     of = cut(texts.join(components(similar), "node", "left").select("node", F.coalesce("root", "node").alias("comp"), *sketch))
-    apart = cut(prefix_pairs(docs, of, signed.count(), width, similarity))
+    with Scratch(docs.sparkSession) as scratch:
+        apart = prefix_pairs(docs, of, width, similarity, scratch)
     if not apart.isEmpty():
         similar = similar.union(verified(apart))
     same = signed.join(texts.select("h1", "h2", "node"), ["h1", "h2"]).where("doc <> node").select(F.col("node").alias("a"), F.col("doc").alias("b"))
