@@ -109,3 +109,13 @@ TRANSFORMS = {
 # Searches over a project's lines.
 USER_INPUTS = [("get", r"\$_GET"), ("post", r"\$_POST"), ("request", r"\$_REQUEST"), ("cookie", r"\$_COOKIE"), ("files", r"\$_FILES"), ("server", r"\$_SERVER"), ("session", r"\$_SESSION"), ("env", r"\$_ENV|getenv\s*\("), ("raw", r"php://input"), ("headers", r"getallheaders\s*\("), ("argv", r"\$argv\b")]
 DANGEROUS_CALLS = [("command", r"\b(?:system|exec|shell_exec|passthru|popen|proc_open)\s*\("), ("code", r"\b(?:eval|assert|create_function)\s*\("), ("sql", r"(?:mysql_query|mysqli_query|->query|pg_query)\s*\("), ("include", r"\b(?:include|require)(?:_once)?\b[\s(]*\$"), ("file", r"\b(?:file_get_contents|fopen|readfile|unlink)\s*\("), ("deserialize", r"\bunserialize\s*\("), ("request", r"\b(?:curl_exec|fsockopen)\s*\(")]
+
+# Templates. Output of a variable, of one that is marked safe, and blocks with escaping off.
+TEMPLATE_VARIABLE = r"\{\{\s*([A-Za-z_][\w.]*)\s*(?:\|[^}]*)?\}\}"
+SAFE_FILTER = r"\{\{\s*(.*?)\s*\|\s*safe\s*\}\}"
+ESCAPE_OFF = r"(?i)\{%\s*autoescape\s+(?:off|false)\s*%\}"
+ESCAPE_END = r"(?i)\{%\s*endautoescape\s*%\}"
+# What a source looks like where it is written, and calls whose result can be shown.
+SOURCE_MARKERS = ["request.args", "request.form", "request.values", "request.json", "request.cookies", "request.headers", "request.data", "request.files", "request.get_json", "request.get_data", "api.payload", "parse_args", "sys.argv", "input(", "os.environ", "os.getenv", "request.POST", "request.GET", "request.COOKIES", "request.META"]
+TEMPLATE_SANITIZERS = ["escape", "clean", "escapejs", "int", "float", "round", "abs"]
+RENDER_CALLS = ["render_template", "render", "render_template_string"]

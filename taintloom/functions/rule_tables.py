@@ -112,3 +112,20 @@ SIGNATURES = {
     ],
 }
 DEFAULT_VERSION = {"php": "5.0", "python": "3.6", "c": "c89", "cpp": "c++98"}
+
+# PHP versions that can be chosen: (version, label, note).
+PHP_VERSIONS = [
+    ("5.0", "PHP 5.0 ~ 5.3.5", "DSN charset is ignored"),
+    ("5.3", "PHP 5.3.6 ~ 5.4.x", "DSN charset works"),
+    ("5.5", "PHP 5.5 ~ 5.6.x", "mysql_* is deprecated"),
+    ("7.0", "PHP 7.0 ~ 7.1.x", "mysql_* is gone"),
+    ("7.2", "PHP 7.2 ~ 7.3.x", "create_function is deprecated"),
+    ("7.4", "PHP 7.4.x", "create_function is gone"),
+    ("8.0", "PHP 8.0+", "the latest"),
+]
+# Versions of the other languages.
+VERSIONS = {
+    "python": ["2.7", "3.6", "3.7", "3.8", "3.9", "3.10", "3.11", "3.12", "3.13"],
+    "c": ["c89", "c99", "c11", "c17", "c23"],
+    "cpp": ["c++98", "c++11", "c++14", "c++17", "c++20", "c++23"],
+}

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ast
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,46 +15,47 @@ from taintloom.functions.catalog import severity
 
 from .graph import cut
 from .relational import first_wins
+from .syntax import spans
 
 DEPTH = 4  # fixed value: calls below the caller
 FUNCTIONS = "project_id string, path string, language string, seq int, name string, line int, source_labels array<string>, sink_labels array<string>, vuln_type string, called array<string>"
 
 
-def body_of(text: str, name: str, language: str) -> str:
-    """A function's body: for Python up to the first line that isn't indented, else up to the closing brace."""
-    if language == "python":
-        m = re.search(rf"^\s*def\s+{re.escape(name)}\s*\([^)]*\)\s*(?:->.*?)?\s*:(.*?)(?:^\S|\Z)", text, re.MULTILINE | re.DOTALL)
-        return m[1] if m else ""
-    m = re.search(rf"{'' if name.startswith('$') else chr(92) + 'b'}{re.escape(name)}\s*(?:=\s*function\s*)?\([^)]*\)\s*(?:const\s*)?\{{", text)
-    if not m:
-        return ""
-    depth, at = 1, m.end()
-    for b in re.finditer(r"[{}]", text[at:]):
-        depth += 1 if b[0] == "{" else -1
-        if not depth:
-            return text[at : at + b.start()]
-    return text[at:]
+def _python(text: str) -> Iterator[tuple[str, int, str, list[str]]]:
+    """(name, line, body, calls by plain names) of every function, in order; of a text that can't be parsed, none."""
+    try:
+        tree = ast.parse(text)
+    except (SyntaxError, ValueError, RecursionError):
+        return
+    lines = text.split("\n")
+    for node in sorted((n for n in ast.walk(tree) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))), key=lambda n: (n.lineno, n.col_offset)):
+        first = node.body[0]
+        body = "\n".join([lines[first.lineno - 1][first.col_offset :], *lines[first.lineno : node.end_lineno]])
+        yield node.name, node.lineno, body, sorted({c.func.id for c in ast.walk(node) if isinstance(c, ast.Call) and isinstance(c.func, ast.Name)})
 
 
-def functions_of(path: str, text: str, language: str) -> list[tuple]:
+def _braced(text: str, php: bool) -> Iterator[tuple[str, int, str, list[str]]]:
+    for s in spans(text, php):
+        if s.kind == "function":
+            yield s.name, s.line, text[s.start : s.end], s.calls
+
+
+def labels(name: str, body: str, family: str) -> tuple[list[str], list[str], str | None]:
+    """(source labels, sink labels, type) of a function by its name and body; the first sink that has a type gives it."""
+    low = name.lower()
+    by_name = [(w, v) for w, v in C.SINK_WORDS[family] if w in low][:1]
+    by_body = [(label, v) for p, label, v in C.SINK_BODY[family] if re.search(p, body, re.IGNORECASE)]
+    sources = [f"name:{w}" for w in C.SOURCE_WORDS[family] if w in low][:1]
+    sources += [label for p, label in C.SOURCE_BODY[family] if re.search(p, body, re.IGNORECASE)]
+    types = [v for _, v in by_name + by_body]
+    return sources, [*(f"name:{w}" for w, _ in by_name), *(label for label, _ in by_body)], types[0] if types else None
+
+
+def functions_of(text: str, language: str) -> list[tuple]:
+    """Functions of a file in one pass: syntax gives bodies and calls, tables give labels."""
     family = "c" if language == "cpp" else language
-    out = []
-    for m in re.finditer(C.DEFINITION[family], text, re.MULTILINE):
-        name = next((g for g in m.groups() if g), None)
-        if not name:
-            continue
-        body, lower = body_of(text, name, family), name.lower()
-        words = [(w, v) for v, ws in C.SINK_WORDS[family].items() for w in ws.split() if w in lower]
-        sinks, vuln = [f"name:{w}" for w, _ in words[:1]], words[0][1] if words else None
-        sources = [f"name:{w}" for w in C.SOURCE_WORDS[family] if w in lower][:1]
-        sources += [label for p, label in C.SOURCE_BODY[family] if re.search(p, body, re.IGNORECASE)]
-        for p, label, v in C.SINK_BODY[family]:
-            if re.search(p, body, re.IGNORECASE):
-                sinks.append(label)
-                vuln = vuln or v
-        called = sorted(set(re.findall(C.CALL[family], body)))
-        out.append((len(out), name, text.count("\n", 0, m.start(m.lastindex or 0)) + 1, sources, sinks, vuln, called))
-    return out
+    found = _python(text) if language == "python" else _braced(text, language == "php")
+    return [(n, name, line, *labels(name, body, family), calls) for n, (name, line, body, calls) in enumerate(found)]
 
 
 def functions(files: DataFrame) -> DataFrame:
@@ -60,7 +63,7 @@ def functions(files: DataFrame) -> DataFrame:
 
     def run(frames):
         for frame in frames:
-            rows = [(p, f, lang, *x) for p, f, lang, t in frame[["project_id", "path", "language", "text"]].itertuples(index=False) if t for x in functions_of(f, t, lang)]
+            rows = [(p, f, lang, *x) for p, f, lang, t in frame[["project_id", "path", "language", "text"]].itertuples(index=False) if t for x in functions_of(t, lang)]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in FUNCTIONS.split(", ")])
 
     code = files.where(F.col("language").isin("python", "php", "c", "cpp"))

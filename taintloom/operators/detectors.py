@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from taintloom.functions import patterns as P
@@ -158,20 +158,25 @@ def block_spans(facts: DataFrame) -> DataFrame:
     return facts.where("kind = 'span'").select(*KEY, F.col("dst").alias("kind"), F.col("line").alias("start"), "end")
 
 
+def _is_pattern(spark: SparkSession, pattern: str) -> bool:
+    """Is it a regular expression to the JVM? Whatever its error is there, the answer is no."""
+    try:
+        spark._jvm.java.util.regex.Pattern.compile(pattern)
+    except Exception:  # the class differs with the way the JVM's error comes over
+        return False
+    return True
+
+
 def search(lines: DataFrame, pattern: str, glob: str | None = None, most: int = 50) -> DataFrame:
     """(path, line_no, code, total, error): a case-insensitive search, the first `most` hits with code cut to 200
     characters, and the number of all hits. A pattern that isn't one gives one row with `error`."""
-    from py4j.protocol import Py4JJavaError
-
     from taintloom.functions.text import glob_pattern
 
     from .report import top_with_total
 
     spark = lines.sparkSession
-    try:
-        spark._jvm.java.util.regex.Pattern.compile(pattern)
-    except Py4JJavaError as e:
-        said = f"not a regular expression: {pattern} ({e.java_exception.getDescription()})"
+    if not _is_pattern(spark, pattern):
+        said = f"not a regular expression: {pattern}"
         return spark.createDataFrame([(None, None, None, 0, said)], "path string, line_no int, code string, total long, error string")
     hit = lines.where(F.col("code").rlike(f"(?i){pattern}"))
     if glob:

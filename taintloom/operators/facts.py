@@ -27,7 +27,7 @@ COLUMNS = [c.split()[0] for c in FACTS.split(", ")]
 CONNECTS = ["sqlite3.connect", "pymysql.connect", "MySQLdb.connect", "psycopg2.connect", "psycopg.connect", "mysql.connector.connect", "asyncpg.connect", "aiomysql.connect"]
 DATABASE_NAMES = ["c", "cur", "cursor", "curs", "conn", "connection", "db", "database", "con"]
 
-_CLEAN = {k: v.split() or ["all"] for k, v in SANITIZERS["python"].items()}
+_CLEAN = {k: v or ["all"] for k, v in SANITIZERS["python"].items()}
 
 
 def _short(name: str) -> str:
@@ -252,7 +252,7 @@ class Scope:
             return [n for x in node.values if isinstance(x, ast.FormattedValue) for n in f(x.value)]
         if isinstance(node, ast.Call):
             own = [self.anon("call", node)] if self.source_of(node) or self.is_known(node) else []
-            through = f(node.func.value) if isinstance(node.func, ast.Attribute) and not own else []
+            through = f(node.func.value) if isinstance(node.func, ast.Attribute) and (not own or node.func.attr == "get") else []
             return own + through + [n for a in node.args for n in f(a)]
         if isinstance(node, ast.IfExp):
             return f(node.body) + f(node.orelse)
@@ -324,7 +324,7 @@ class Scope:
         shell = any(k.arg == "shell" and isinstance(k.value, ast.Constant) and k.value.value is True for k in node.keywords)
         for vuln, sink, arg in self.sinks(name, full):
             at = arg or 0
-            value = node.args[at] if at < len(node.args) else next((k.value for k in node.keywords), None) if not node.args else None
+            value = node.args[at] if at < len(node.args) else None
             if vuln == "command_execution" and full.startswith("subprocess.") and isinstance(value, (ast.List, ast.Tuple)) and not shell:
                 continue
             for v in dict.fromkeys(self.names(value)):

@@ -56,16 +56,19 @@ def within_spans(points: DataFrame, spans: DataFrame, key: list[str], at: str, s
     return points.join(spans, key).where((F.col(at) >= F.col(start)) & (F.col(at) <= F.col(end)))
 
 
-def longest_suffix(rows: DataFrame, suffixes: DataFrame, text: str, suffix: str, order: str, most: int = 10_000) -> DataFrame:
+def longest_suffix(rows: DataFrame, suffixes: DataFrame | list[tuple[str, int]], text: str, suffix: str, order: str = "", most: int = 10_000) -> DataFrame:
     """Left join of each row with the longest suffix that its text ends with; ties go to the smaller `order`.
 
-    The suffix table is a catalogue. Its number of rows is checked: up to `most` rows it is folded into one array literal
-    that each row searches (no join at all), beyond that rows join on every suffix of their text (an equi-join).
+    A list of (suffix, order) is a literal that each row searches, without a join. A table's number of rows is checked: up
+    to `most` rows it becomes such a literal, beyond that rows join on every suffix of their text (an equi-join).
     """
-    table = [(r[suffix], r[order]) for r in suffixes.select(suffix, order).limit(most + 1).collect()]
-    if len(table) <= most:
-        table.sort(key=lambda r: (-len(r[0]), r[1]))
-        found = F.filter(F.array(*(F.lit(s) for s, _ in table)), lambda s: F.endswith(F.col(text), s)) if table else F.array().cast("array<string>")
+    if isinstance(suffixes, list):
+        table = suffixes
+    else:
+        table = [(r[suffix], r[order]) for r in suffixes.select(suffix, order).limit(most + 1).collect()]
+    if isinstance(suffixes, list) or len(table) <= most:
+        ranked = sorted(table, key=lambda r: (-len(r[0]), r[1]))
+        found = F.filter(F.array(*(F.lit(s) for s, _ in ranked)), lambda s: F.endswith(F.col(text), s)) if ranked else F.array().cast("array<string>")
         return rows.withColumn(suffix, F.get(found, F.lit(0)))
     every = rows.select(text).distinct().withColumn("__s", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda k: F.substring(F.col(text), k, F.length(text)))))
     hit = every.join(suffixes.select(suffix, order), F.col("__s") == F.col(suffix))
@@ -89,11 +92,46 @@ def pattern_hits(rows: DataFrame, rules: list[tuple[str, str]], text: str = "cod
     return rows.where(F.col(text).rlike(any_rule)).withColumn("rule_id", first)
 
 
-def rule_join(rows: DataFrame, rules: DataFrame, text: str = "code", most: int = 1000) -> DataFrame:
-    """Every (row, rule) pair whose `pattern` the text holds. The rules' number is checked before they are broadcast;
-    a larger table is joined without a broadcast hint."""
-    small = rules.limit(most + 1).count() <= most
-    return rows.join(F.broadcast(rules) if small else rules, F.expr(f"rlike({text}, pattern)"))
+def rule_join(rows: DataFrame, rules: DataFrame | list[tuple[str, str]], text: str = "code") -> DataFrame:
+    """Every (row, rule) pair whose pattern the text holds. Rules of a list (rule_id, pattern) are literals: one alternation
+    filters rows, and each that is left gives its rules as an array. A table (with `pattern`) is joined."""
+    if not isinstance(rules, list):
+        return rows.join(rules, F.expr(f"rlike({text}, pattern)"))
+    any_rule = "|".join(f"(?:{p})" for _, p in rules)
+    held = F.array_compact(F.array(*(F.when(F.col(text).rlike(p), F.lit(r)) for r, p in rules)))
+    return rows.where(F.col(text).rlike(any_rule)).withColumn("rule_id", F.explode(held))
+
+
+def blocks(rows: DataFrame, key: list[str], starts: Column, line: str = "line_no", whole: bool = True) -> DataFrame:
+    """(key, block_start, block_end): from each line that starts a block to the line before the next one, or the last line. A
+    key without a start is one block, or none if not `whole`."""
+    last = rows.groupBy(*key).agg(F.max(line).alias("__last"), F.min(line).alias("__first"))
+    begun = rows.where(starts).select(*key, F.col(line).alias("block_start")).withColumn("__next", F.lead("block_start").over(Window.partitionBy(*key).orderBy("block_start")))
+    some = last.join(begun, key, "left" if whole else "inner")
+    return some.select(*key, F.coalesce("block_start", "__first").alias("block_start"), F.coalesce(F.col("__next") - 1, "__last").alias("block_end"))
+
+
+def first_found(rows: DataFrame, lookups: list[tuple[DataFrame, list[str], str]], name: str, default: Column | None = None) -> DataFrame:
+    """Adds `name`: the value of the first of several lookups (table with unique keys, keys, value) that has one."""
+    found = []
+    for k, (table, keys, value) in enumerate(lookups):
+        rows = rows.join(table.select(*keys, F.col(value).alias(f"__v{k}")), keys, "left")
+        found.append(F.col(f"__v{k}"))
+    out = rows.withColumn(name, F.coalesce(*found, *([default] if default is not None else [])))
+    return out.drop(*(f"__v{k}" for k in range(len(lookups))))
+
+
+def with_first(rows: DataFrame, table: DataFrame, value: str, name: str) -> DataFrame:
+    """Adds `name`: the smallest `value` of a table, on every row. A join with an aggregate, which is one row."""
+    return rows.crossJoin(F.broadcast(table.agg(F.min(value).alias(name))))
+
+
+def by_position(left: DataFrame, right: DataFrame, key: list[str], args: str, params: str) -> DataFrame:
+    """(key, pos, src, dst): elements of two arrays that meet by key and position; both sides are exploded with their
+    positions, so it is an equi-join."""
+    a = left.select(*key, F.posexplode(args).alias("pos", "src"))
+    b = right.select(*key, F.posexplode(params).alias("pos", "dst"))
+    return a.join(b, [*key, "pos"]).select(*key, "pos", "src", "dst")
 
 
 def has_flag(rows: DataFrame, key: str, condition: Column, name: str = "has_flag") -> DataFrame:

@@ -78,23 +78,26 @@ def as_json(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.select(F.to_json(F.struct(*columns)).alias("json"))
 
 
-def replaced_lines(lines: DataFrame, path: str, first: int, last: int, code: list[str]) -> DataFrame:
-    """A file's lines with first..last replaced, numbered anew; other files are untouched. Nothing is written."""
+def replaced_lines(lines: DataFrame, path: object, first: int, last: int, code: list[str]) -> DataFrame:
+    """A file's lines first..last replaced, numbered anew; other files are untouched, and so is one without line `first`.
+    path None: in every file. Nothing is written."""
     shift = len(code) - (last - first + 1)
-    kept = lines.where((F.col("path") != path) | ~F.col("line_no").between(first, last))
-    moved = kept.withColumn("line_no", F.when((F.col("path") == path) & (F.col("line_no") > last), F.col("line_no") + shift).otherwise(F.col("line_no")))
+    here = F.lit(True) if path is None else F.col("path") == F.lit(path)
     keys = [c for c in lines.columns if c not in ("line_no", "code")]
+    kept = lines.where(~here | ~F.col("line_no").between(first, last))
+    moved = kept.withColumn("line_no", F.when(here & (F.col("line_no") > last), F.col("line_no") + shift).otherwise(F.col("line_no")))
     if not code:
         return moved
-    new = lines.where(F.col("path") == path).select(*keys).distinct().withColumn("__new", F.array(*(F.lit(c) for c in code)))
-    new = new.select(*keys, F.posexplode("__new").alias("__p", "code")).withColumn("line_no", (F.col("__p") + first).cast("int")).drop("__p")
+    new = lines.where(here & (F.col("line_no") == first)).select(*keys, F.posexplode(F.array(*(F.lit(c) for c in code))).alias("__p", "code"))
+    new = new.withColumn("line_no", (F.col("__p") + first).cast("int")).drop("__p")
     return moved.unionByName(new)
 
 
-def region(lines: DataFrame, path: str, first: int, last: int) -> DataFrame:
-    """A file's lines first..last as `   n | code`."""
-    part = lines.where((F.col("path") == path) & F.col("line_no").between(first, last))
-    return part.select("line_no", F.format_string("%4d | %s", F.col("line_no"), F.col("code")).alias("shown"))
+def region(lines: DataFrame, path: object, first: int, last: int) -> DataFrame:
+    """A file's lines first..last as `   n | code`; path None: every file's."""
+    here = F.lit(True) if path is None else F.col("path") == F.lit(path)
+    part = lines.where(here & F.col("line_no").between(first, last))
+    return part.select("path", "line_no", F.format_string("%4d | %s", F.col("line_no"), F.col("code")).alias("shown"))
 
 
 def context(lines: DataFrame, findings: DataFrame, around: int) -> DataFrame:
@@ -127,3 +130,43 @@ def scores(findings: DataFrame, truth: DataFrame, tolerance: int = 10) -> DataFr
     fp = F.col("n") - F.col("good")
     p, r = F.col("tp") / F.nullif(F.col("tp") + fp, F.lit(0)), F.col("tp") / F.nullif(F.col("labels"), F.lit(0))
     return one.select("tp", fp.alias("fp"), "labels", "trap_hits", p.alias("precision"), r.alias("recall"), (5 * p * r / F.nullif(4 * p + r, F.lit(0.0))).alias("f2"))
+
+
+def listed_files(files: DataFrame, key: list[str], path: str = "path", most: int = 200) -> DataFrame:
+    """(key, ext, n_files, files): files by suffix with the first `most` of their names; the limit is the listing's, the number
+    counts all. Names are cut per task before they meet, so no suffix's files are collected."""
+    ext = F.lower(F.regexp_extract(path, r"\.[^./]*$", 0)).alias("ext")
+    rows = files.select(*key, ext, F.col(path).alias("__path"))
+    n = rows.groupBy(*key, "ext").agg(F.count("*").alias("n_files"))
+    first = rows.withColumn("__r", F.row_number().over(Window.partitionBy(*key, "ext").orderBy("__path"))).where(F.col("__r") <= most)
+    shown = first.groupBy(*key, "ext").agg(F.array_sort(F.collect_list("__path")).alias("files"))
+    return n.join(shown, [*key, "ext"])
+
+
+def resolved_paths(asked: DataFrame, files: DataFrame, root: str) -> DataFrame:
+    """(asked, path): the file that each asked path means: the path itself, else below `root`, else the first file in order
+    that ends with it, in lower case and with forward slashes. Three lookups; the last is an equi-join on ends of paths,
+    of the lengths that were asked."""
+    from .relational import first_found, first_wins
+
+    plain = lambda c: F.lower(F.replace(c, F.lit("\\"), F.lit("/")))
+    want = asked.select("asked").distinct().withColumn("__below", F.concat(F.lit(root.rstrip("/") + "/"), F.ltrim(F.col("asked"), F.lit("/")))).withColumn("__end", plain(F.col("asked")))
+    known = files.select("path").distinct()
+    lengths = want.select(F.length("__end").alias("__n")).distinct().where("__n > 0")
+    ends = known.join(lengths, F.length("path") >= F.col("__n")).select("path", F.right(plain(F.col("path")), F.col("__n")).alias("__end"))
+    ends = first_wins(ends.join(want.select("__end").distinct(), "__end", "left_semi"), ["__end"], ["path"])
+    exact = known.select(F.col("path").alias("asked"), F.col("path").alias("p"))
+    below = known.select(F.col("path").alias("__below"), F.col("path").alias("p"))
+    return first_found(want, [(exact, ["asked"], "p"), (below, ["__below"], "p"), (ends.withColumnRenamed("path", "p"), ["__end"], "p")], "path").select("asked", "path")
+
+
+def parse_failures(answers: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, text, failed_at): answers that hold no JSON even after repair; append them to a table with `append_failures`."""
+    from taintloom.functions.text import json_repair
+
+    bad = answers.where(F.col(text).isNotNull() & (F.col(text) != "")).withColumn("__json", json_repair(F.col(text))).where("__json is null")
+    return bad.select(key, F.col(text).alias("text"), F.current_timestamp().alias("failed_at"))
+
+
+def append_failures(failures: DataFrame, path: str) -> None:
+    failures.write.mode("append").parquet(path)

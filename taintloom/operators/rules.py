@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taintloom.functions import text as T
-from taintloom.functions.rule_tables import DEFAULT_VERSION, RULES, SIGNATURES
+from taintloom.functions.patterns import any_of
+from taintloom.functions.rule_tables import DEFAULT_VERSION, PHP_VERSIONS, RULES, SIGNATURES, VERSIONS
 
 SCHEMA = "language string, ord int, rule_id string, category string, default_severity string, min_version string, max_version string, severity_overrides map<string,string>, pattern string, confidence double"
 
@@ -33,16 +34,50 @@ def active(table: DataFrame, version: str = "version") -> DataFrame:
     return table.where(held).withColumn("severity", T.overridden(F.col("severity_overrides"), v, F.col("default_severity")))
 
 
-def scan(lines: DataFrame, table: DataFrame, versions: DataFrame | None = None) -> DataFrame:
+def scan(lines: DataFrame, table: DataFrame | None = None, versions: DataFrame | None = None) -> DataFrame:
     """(project_id, path, line_no, rule_id, category, severity, confidence, code) of lines that hold an active rule.
 
-    The rule table is a catalogue of a few dozen rows (its size is checked before it is broadcast); a line meets only the
-    rules of its language. versions: project_id, language, version.
+    Which rules are active for a project's version (versions: project_id, language, version) is settled before any line is
+    matched; an unknown version passes everything. Without a `table` the rules are those of this package: literal
+    patterns, compiled once, behind one alternation that most lines fail. With one, lines meet the table's rows of their
+    language by a join.
     """
-    known = table.count() <= 10_000
-    hit = lines.join(F.broadcast(table) if known else table, "language").where(F.expr("rlike(code, pattern)"))
-    hit = hit.withColumn("version", F.lit(None).cast("string")) if versions is None else hit.join(versions, ["project_id", "language"], "left")
-    return active(hit).select("project_id", "path", "line_no", "rule_id", "category", "severity", "confidence", F.trim("code").alias("code"))
+    if table is None:
+        return _scan_literal(lines, versions)
+    if versions is None:
+        ready = active(table.withColumn("version", F.lit(None).cast("string"))).drop("version")
+        hit = lines.join(ready, "language")
+    else:
+        known = versions.select("project_id", "language", "version")
+        told = lines.select("project_id", "language").distinct().join(known, ["project_id", "language"], "left")
+        ready = active(told.join(table, "language")).drop("version")
+        hit = lines.join(ready, ["project_id", "language"])
+    hit = hit.where(F.expr("rlike(code, pattern)"))
+    return hit.select("project_id", "path", "line_no", "rule_id", "category", "severity", "confidence", F.trim("code").alias("code"))
+
+
+def _scan_literal(lines: DataFrame, versions: DataFrame | None) -> DataFrame:
+    """Which rules a project's version has is an array of their places in the table, one row a project and language; a line
+    tests a rule's pattern only where its place is in there."""
+    version = F.col("version")
+    if versions is None:
+        rows = lines.withColumn("version", F.lit(None).cast("string"))
+    else:
+        rows = lines.join(versions.select("project_id", "language", "version"), ["project_id", "language"], "left")
+    out = None
+    for family, languages in (("php", ["php"]), ("python", ["python"]), ("c", ["c", "cpp"])):
+        found = []
+        for rule_id, category, severity, low, high, overrides, pattern, confidence in RULES[family]:
+            bounds = F.lit(low).cast("string"), F.lit(high).cast("string")
+            held = T.standard_in_range(version, *bounds) if family == "c" else T.version_in_range(version, *bounds)
+            ok = F.col("code").rlike(pattern) & (F.coalesce(held, F.lit(True)) if low or high else F.lit(True))
+            grade = F.coalesce(*(F.when(version == v, F.lit(g)) for v, g in overrides.items()), F.lit(severity))
+            found.append(F.when(ok, F.struct(F.lit(rule_id).alias("rule_id"), F.lit(category).alias("category"), grade.alias("severity"), F.lit(float(confidence)).alias("confidence"))))
+        some = rows.where(F.col("language").isin(languages) & F.col("code").rlike(any_of([r[6] for r in RULES[family]])))
+        each = some.select("project_id", "path", "line_no", F.explode(F.array_compact(F.array(*found))).alias("r"), F.trim("code").alias("code"))
+        part = each.select("project_id", "path", "line_no", "r.*", "code")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def detected_versions(files: DataFrame) -> DataFrame:
@@ -73,15 +108,29 @@ def resolved_versions(detected: DataFrame, chosen: DataFrame) -> DataFrame:
     return both.select("project_id", "language", F.coalesce("chosen", "detected").alias("version"), F.col("chosen").isNull().alias("detected_by_code"))
 
 
-def php_context(version):
-    """What a PHP version has: states of its old APIs, and whether its defaults are modern."""
+def php_context(version: Column) -> Column:
+    """What a PHP version has: states of its old APIs, what its connections trust, and whether its defaults are modern."""
     v = T.version_array(version)
     at_least = lambda x: v >= F.array(*(F.lit(int(n)) for n in x.split(".")))
     state = lambda gone, old: F.when(at_least(gone), "removed").when(at_least(old), "deprecated").otherwise("available")
-    return F.struct(state("7.0", "5.5").alias("mysql_functions"), state("8.0", "7.2").alias("create_function"), state("7.0", "5.5").alias("preg_replace_e"), state("8.0", "7.2").alias("assert_string"), at_least("7.0").alias("is_php7"), at_least("8.0").alias("is_php8"))
+    trusted = at_least("5.3.6")
+    return F.struct(trusted.alias("dsn_charset_trusted"), F.when(trusted, "medium").otherwise("critical").alias("emulate_risk_level"), state("7.0", "5.5").alias("mysql_functions"), state("7.0", "5.5").alias("preg_replace_e"), state("7.4", "7.2").alias("create_function"), at_least("7.0").alias("is_php7"), at_least("8.0").alias("is_php8"))
+
+
+def python_context(version: Column) -> Column:
+    """What a Python version has."""
+    v = T.version_array(version)
+    at_least = lambda *x: v >= F.array(*(F.lit(n) for n in x))
+    return F.struct((~at_least(3)).alias("is_python2"), at_least(3, 6).alias("has_fstring"), at_least(3, 8).alias("has_walrus"), at_least(3, 10).alias("has_match"), at_least(3).alias("input_is_safe"))
+
+
+def c_context(standard: Column) -> Column:
+    """What a C or C++ standard has. Standards compare by their order, in which every C++ stands behind every C."""
+    at_least = lambda x: T.standard_rank(standard) >= T.standard_rank(F.lit(x))
+    return F.struct(standard.startswith("c++").alias("is_cpp"), at_least("c++11").alias("has_nullptr"), at_least("c++11").alias("has_smart_ptr"), at_least("c++17").alias("has_string_view"), at_least("c11").alias("gets_removed"))
 
 
 def labels(spark: SparkSession) -> DataFrame:
-    """(language, version): the versions that a user can choose from."""
-    rows = [(lang, v) for lang, vs in (("php", "5.0 5.3 5.4 5.5 5.6 7.0 7.1 7.2 7.3 7.4 8.0 8.1 8.2 8.3"), ("python", "2.7 3.6 3.7 3.8 3.9 3.10 3.11 3.12 3.13"), ("c", "c89 c99 c11 c17 c23"), ("cpp", "c++98 c++11 c++14 c++17 c++20 c++23")) for v in vs.split()]
-    return spark.createDataFrame(rows, "language string, version string")
+    """(language, version, label, note): the versions that a user can choose from."""
+    rows = [("php", *r) for r in PHP_VERSIONS] + [(lang, v, "", "") for lang, vs in VERSIONS.items() for v in vs]
+    return spark.createDataFrame(rows, "language string, version string, label string, note string")

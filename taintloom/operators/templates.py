@@ -1,51 +1,165 @@
-"""Template checks: unsafe output filters, switched-off escaping and output inside scripts."""
+"""Template checks: unsafe output filters, switched-off escaping and output inside scripts, for the variables that views pass."""
 
 from __future__ import annotations
 
+import ast
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .relational import running_state
+from taintloom.functions import patterns as P
+
+KEY = ["project_id", "path"]
+MODES = ("lenient", "strict", "unlinked")
+
+
+def call_name(node: ast.AST) -> str:
+    f = getattr(node, "func", None)
+    return f.id if isinstance(f, ast.Name) else f.attr if isinstance(f, ast.Attribute) else ""
+
+
+def carries(expression: ast.AST | None, tainted: set[str], text: str) -> bool:
+    """May an expression's value hold user input? Names in `tainted` do, calls of sanitizers don't, other calls do if they are
+    written with a source in them or get such a value; what has no rule does if a source is written in it."""
+    stack = [expression] if expression is not None else []
+    while stack:
+        e = stack.pop()
+        if isinstance(e, ast.Name):
+            if e.id in tainted:
+                return True
+        elif isinstance(e, ast.Call):
+            if call_name(e) in P.TEMPLATE_SANITIZERS:
+                continue
+            if names_source(e, text):
+                return True
+            stack += [*e.args, *(k.value for k in e.keywords)]
+        elif isinstance(e, (ast.Attribute, ast.Subscript, ast.FormattedValue)):
+            stack.append(e.value)
+        elif isinstance(e, ast.BinOp):
+            stack += [e.left, e.right]
+        elif isinstance(e, (ast.BoolOp, ast.Dict)):
+            stack += [v for v in e.values if v is not None]
+        elif isinstance(e, ast.JoinedStr):
+            stack += [v for v in e.values if isinstance(v, ast.FormattedValue)]
+        elif isinstance(e, ast.IfExp):
+            stack += [e.body, e.orelse]
+        elif isinstance(e, (ast.List, ast.Tuple, ast.Set)):
+            stack += e.elts
+        elif not isinstance(e, (ast.Lambda, ast.Constant)) and names_source(e, text):
+            return True
+    return False
+
+
+def names_source(e: ast.AST, text: str) -> bool:
+    written = ast.get_source_segment(text, e) or ""
+    return any(m in written for m in P.SOURCE_MARKERS)
+
+
+def _own(function: ast.AST) -> Iterator[ast.AST]:
+    """Nodes of a function in source order, without those of functions in it."""
+    stack = list(reversed(list(ast.iter_child_nodes(function))))
+    while stack:
+        n = stack.pop()
+        yield n
+        if not isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)):
+            stack += reversed(list(ast.iter_child_nodes(n)))
 
-OUTPUT = r"\{\{.*?\}\}"
-SAFE_FILTER = r"\{\{[^}]*\|\s*safe\b[^}]*\}\}"
-LITERAL_SAFE = r"\{\{\s*(?:\"[^\"]*\"|'[^']*'|\d+)\s*\|\s*safe\s*\}\}"
-SOURCE = r"request\.|args|form|cookies|session|input|param|query"
+
+def passed_variables(text: str) -> list[tuple[str, list[str]]]:
+    """(template, variables with user input that it gets) of every call that renders a template, in source order."""
+    try:
+        tree = ast.parse(text)
+    except (SyntaxError, ValueError, RecursionError):
+        return []
+    out = []
+    for scope in [tree, *(n for n in ast.walk(tree) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)))]:
+        tainted = set() if scope is tree else {a.arg for a in scope.args.args} - {"self", "cls"}
+        nodes = list(_own(scope))
+        for n in nodes if scope is not tree else []:
+            targets = n.targets if isinstance(n, ast.Assign) else [n.target] if isinstance(n, ast.AnnAssign) else []
+            if targets and carries(n.value, tainted, text):
+                tainted |= {t.id for t in targets if isinstance(t, ast.Name)}
+        for n in nodes:
+            if isinstance(n, ast.Call) and call_name(n) in P.RENDER_CALLS and n.args:
+                name = n.args[1] if call_name(n) == "render" and len(n.args) > 1 and not isinstance(n.args[0], ast.Constant) else n.args[0]
+                if isinstance(name, ast.Constant) and isinstance(name.value, str) and name.value:
+                    given = [(k.arg, k.value) for k in n.keywords if k.arg]
+                    if len(n.args) >= 3 and isinstance(n.args[2], ast.Dict):
+                        given += [(k.value, v) for k, v in zip(n.args[2].keys, n.args[2].values, strict=True) if isinstance(k, ast.Constant) and isinstance(k.value, str)]
+                    out.append((name.value, [k for k, v in given if carries(v, tainted, text)]))
+    return out
+
+
+def view_variables(files: DataFrame) -> DataFrame:
+    """(project_id, name, variables): the templates that a project's views render, each with the variables with user input
+    that any of them passes."""
+
+    def run(frames):
+        for f in frames:
+            rows = [(p, name, names) for p, t in f[["project_id", "text"]].itertuples(index=False) if t for name, names in passed_variables(t)]
+            yield pd.DataFrame(rows, columns=["project_id", "name", "variables"])
+
+    views = files.where((F.col("language") == "python") & F.col("text").rlike(r"\brender")).select("project_id", "text")
+    each = views.mapInPandas(run, "project_id string, name string, variables array<string>")
+    return each.groupBy("project_id", "name").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("variables")))).alias("variables"))
 
 
 def linked(template: Column, name: Column) -> Column:
-    """Is a template the one that a view names? By either path ending with the other's last part."""
-    return template.endswith(name) | name.endswith(F.substring_index(template, "/", -1))
+    """Is a template the one that a view names? Its path ends with the name, or the name with its file name."""
+    bare = F.ltrim(F.replace(name, F.lit("\\"), F.lit("/")), F.lit("/"))
+    path = F.replace(template, F.lit("\\"), F.lit("/"))
+    return path.endswith(bare) | bare.endswith(F.substring_index(path, "/", -1))
 
 
-def view_templates(files: DataFrame) -> DataFrame:
-    """(project_id, name): templates that a project's Python views render."""
-    names = F.explode(F.regexp_extract_all("text", F.lit(r"render(?:_template)?\s*\((?:\s*request\s*,)?\s*['\"]([^'\"]+)['\"]"), F.lit(1)))
-    return files.where(F.col("language") == "python").select("project_id", names.alias("name")).distinct()
+def template_variables(files: DataFrame) -> DataFrame:
+    """(project_id, path, variables) of the templates that some view passes user input to: the union over views."""
+    pages = files.where(F.col("language") == "template").select(*KEY)
+    met = pages.join(view_variables(files).where(F.size("variables") > 0), "project_id").where(linked(F.col("path"), F.col("name")))
+    return met.groupBy(*KEY).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("variables")))).alias("variables"))
+
+
+def script_lines(lines: DataFrame) -> DataFrame:
+    """Adds `in_script`: an opening mark counts for its own line, a closing one from the next; what comes last holds."""
+    code = F.col("code")
+    opens, closes = code.rlike("(?i)<script[^>]*>"), code.contains("</script>")
+    before = Window.partitionBy(*KEY).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    state = F.last(F.when(closes, False).when(opens, True), ignorenulls=True).over(before)
+    return lines.withColumn("in_script", opens | F.coalesce(state, F.lit(False)))
 
 
 def escape_blocks(lines: DataFrame) -> DataFrame:
-    """Adds `unescaped`: lines between a line that switches escaping off (from the next one) and the end mark."""
-    off, end = F.col("code").rlike(r"\{%-?\s*autoescape\s+(?:false|off)"), F.col("code").rlike(r"\{%-?\s*endautoescape")
-    w = Window.partitionBy("project_id", "path").orderBy("line_no")
-    before = F.coalesce(F.sum(off.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    closed = F.sum(end.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return lines.withColumn("unescaped", before > closed)
+    """Adds `block`, the line that switched escaping off, on the lines behind it up to the next such line or the end mark."""
+    code = F.col("code")
+    off, end = code.rlike(P.ESCAPE_OFF), code.rlike(P.ESCAPE_END)
+    upto = Window.partitionBy(*KEY).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    rows = lines.withColumn("__start", F.last(F.when(off, F.col("line_no")), ignorenulls=True).over(upto))
+    inside = Window.partitionBy(*KEY, "__start").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    closed = F.max(end & ~off).over(inside)
+    return rows.withColumn("block", F.when(~off & ~closed, F.col("__start"))).drop("__start")
 
 
 def findings(files: DataFrame, mode: str = "lenient") -> DataFrame:
-    """XSS findings of templates. mode: `lenient` takes a template that no view renders as tainted, `strict` as clean;
-    a linked one needs an expression that names a source or any variable at all."""
+    """XSS findings of templates, one a line: a variable with user input that is marked safe, that stands in a script, or in
+    a block with escaping off (at the line that begins it). What views pass tells which variables those are. mode, for
+    templates that no view passes any to: `lenient` takes all their variables as user input, `strict` none; `unlinked`
+    asks no view and takes all variables of all templates."""
     from taintloom.sources.corpus import code_lines
 
-    pages = files.where(F.col("language") == "template")
-    lines = escape_blocks(code_lines(pages))
-    state = running_state(lines.withColumn("__k", F.concat_ws("\0", "project_id", "path")), "__k", "line_no", F.col("code").rlike("(?i)<script"), F.col("code").rlike("(?i)</script")).drop("__k")
+    if mode not in MODES:
+        raise ValueError(f"no such mode: {mode}")
+    lines = escape_blocks(script_lines(code_lines(files.where(F.col("language") == "template"))))
+    if mode == "unlinked":
+        lines = lines.withColumn("variables", F.lit(None).cast("array<string>"))
+    else:
+        lines = lines.join(template_variables(files), KEY, "inner" if mode == "strict" else "left")
     code = F.col("code")
-    unsafe = code.rlike(SAFE_FILTER) & ~code.rlike(LITERAL_SAFE)
-    hit = state.where(unsafe | (F.col("unescaped") & code.rlike(OUTPUT)) | (F.col("inside") & code.rlike(OUTPUT) & ~code.rlike(r"\|\s*(?:tojson|escape|e)\b")))
-    if mode == "strict":
-        views = view_templates(files)
-        known = pages.select("project_id", "path").join(views, "project_id").where(linked(F.col("path"), F.col("name"))).select("project_id", "path").distinct()
-        hit = hit.join(known, ["project_id", "path"], "left_semi")
-    return hit.select("project_id", F.col("path").alias("file_path"), F.col("line_no").alias("line_number"), F.col("line_no").alias("sink_line"), F.lit("xss").alias("vuln_type"), F.lit("medium").alias("severity"), F.lit("template").alias("language"), F.trim("code").alias("sink_code"), F.lit(0.7).alias("confidence"), F.lit("ast").alias("pipeline_stage"))
+    user = lambda e: F.col("variables").isNull() | F.arrays_overlap("variables", F.array(F.regexp_extract(F.trim(e), r"^[A-Za-z_]\w*", 0)))
+    shown = F.exists(F.regexp_extract_all("code", F.lit(P.TEMPLATE_VARIABLE), F.lit(1)), user)
+    marked = F.exists(F.regexp_extract_all("code", F.lit(P.SAFE_FILTER), F.lit(1)), lambda e: ~e.rlike(r"^\s*(?:['\"]|$)") & user(e))
+    at = F.when(marked | F.col("in_script") & shown, F.col("line_no"))
+    hit = lines.withColumn("at", F.explode(F.array_compact(F.array(at, F.when(shown, F.col("block"))))))
+    told = hit.select(*KEY, F.col("at").alias("line_no")).distinct()
+    hit = told.join(lines.select(*KEY, "line_no", F.trim(code).alias("sink_code")), [*KEY, "line_no"])
+    return hit.select("project_id", F.col("path").alias("file_path"), F.col("line_no").alias("line_number"), F.col("line_no").alias("sink_line"), F.lit("xss").alias("vuln_type"), F.lit("medium").alias("severity"), F.lit("template").alias("language"), "sink_code", F.lit(0.7).alias("confidence"), F.lit("ast").alias("pipeline_stage"))

@@ -10,11 +10,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from taintloom.functions import patterns as P
 from taintloom.functions import text as T
 from taintloom.functions.catalog import CWE, SEVERITY, cwe, severity, severity_rank
-from taintloom.operators import graph, relational, report
+from taintloom.operators import detectors, graph, relational, report, rules
 
-from . import cases
+from . import engine_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -77,9 +78,8 @@ def line_rule_first(spark, sf):
 @query("SELECT l.doc_id, l.line_no, r.rule_id FROM (" + LINES_SQL + ") l JOIN (VALUES " + ", ".join(f"('{r}', '{p}')" for r, p, _ in LINE_RULES) + ") r(rule_id, pattern) ON regexp_matches(l.code, r.pattern)")
 def line_rule_join(spark, sf):
     """Every pair of a line and a rule of a rule table whose pattern it holds."""
-    rules = spark.createDataFrame([(r, p) for r, p, _ in LINE_RULES], "rule_id string, pattern string")
     rows = relational.lines(t(spark, sf, "documents").select("doc_id", "text"), ["doc_id"])
-    return relational.rule_join(rows, rules).select("doc_id", "line_no", "rule_id")
+    return relational.rule_join(rows, [(r, p) for r, p, _ in LINE_RULES]).select("doc_id", "line_no", "rule_id")
 
 
 @query("""WITH l AS (SELECT page_id, CAST(generate_subscripts(a, 1) AS INTEGER) AS line_no, unnest(a) AS code FROM (SELECT page_id, string_split(html, chr(10)) AS a FROM pages)),
@@ -92,20 +92,20 @@ def script_state(spark, sf):
     return state.groupBy("page_id").agg(F.count("*").alias("n_lines"), F.count_if("inside").alias("n_inside"))
 
 
-FINDINGS_SQL = "SELECT l_orderkey, l_linenumber, l_orderkey % 500 AS file_id, l_partkey % 400 AS line_number, CASE l_returnflag WHEN 'R' THEN 'sql_injection' WHEN 'A' THEN 'command_execution' ELSE 'xss' END AS vuln_type, l_linestatus FROM lineitem"
-SPOTS_SQL = "SELECT o_orderkey % 500 AS file_id, o_custkey % 400 AS line_number, CASE o_orderstatus WHEN 'F' THEN 'parameterized_query' ELSE 'allowlist_check' END AS pattern FROM orders WHERE o_orderkey % 7 = 0"
+FINDINGS_SQL = "SELECT l_orderkey, l_linenumber, l_orderkey % 2000 AS file_id, (l_partkey * 7 + l_suppkey) % 2000 AS line_number, CASE l_returnflag WHEN 'R' THEN 'sql_injection' WHEN 'A' THEN 'command_execution' ELSE 'xss' END AS vuln_type, l_linestatus FROM lineitem"
+SPOTS_SQL = "SELECT o_orderkey % 2000 AS file_id, o_custkey % 2000 AS line_number, CASE o_orderstatus WHEN 'F' THEN 'parameterized_query' ELSE 'allowlist_check' END AS pattern FROM orders"
 
 
 def findings(spark, sf):
     kind = F.when(F.col("l_returnflag") == "R", "sql_injection").when(F.col("l_returnflag") == "A", "command_execution").otherwise("xss")
-    return t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_orderkey") % 500).alias("file_id"), (F.col("l_partkey") % 400).alias("line_number"), kind.alias("vuln_type"), "l_linestatus")
+    return t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_orderkey") % 2000).alias("file_id"), ((F.col("l_partkey") * 7 + F.col("l_suppkey")) % 2000).alias("line_number"), kind.alias("vuln_type"), "l_linestatus")
 
 
 @query(f"""SELECT l_orderkey, l_linenumber, CASE WHEN covered THEN 'info' ELSE 'high' END AS severity, CASE WHEN covered THEN 'safe: ' || vuln_type ELSE vuln_type END AS data_flow FROM (
 SELECT *, EXISTS (SELECT 1 FROM ({SPOTS_SQL}) s WHERE s.file_id = f.file_id AND abs(s.line_number - f.line_number) <= 3 AND (f.vuln_type = 'sql_injection' OR (f.vuln_type = 'command_execution' AND s.pattern = 'allowlist_check'))) AS covered FROM ({FINDINGS_SQL}) f)""")
 def safe_band_downgrade(spark, sf):
     """Findings with a safe pattern that covers their type within three lines of their file become info."""
-    spots = t(spark, sf, "orders").where("o_orderkey % 7 = 0").select((F.col("o_orderkey") % 500).alias("file_id"), (F.col("o_custkey") % 400).alias("line_number"), F.when(F.col("o_orderstatus") == "F", "parameterized_query").otherwise("allowlist_check").alias("pattern"))
+    spots = t(spark, sf, "orders").select((F.col("o_orderkey") % 2000).alias("file_id"), (F.col("o_custkey") % 2000).alias("line_number"), F.when(F.col("o_orderstatus") == "F", "parameterized_query").otherwise("allowlist_check").alias("pattern"))
     covers = F.when(F.col("pattern") == "parameterized_query", F.array(F.lit("sql_injection"))).otherwise(F.array(F.lit("sql_injection"), F.lit("command_execution"), F.lit("path_traversal")))
     spots = spots.select("file_id", "line_number", F.explode(covers).alias("vuln_type"))
     rows = relational.band_covered(findings(spark, sf), spots, ["file_id", "vuln_type"], "line_number", "line_number", 3)
@@ -178,14 +178,33 @@ def reach_paths(spark, sf):
     return paths.select(F.array_join("path", " → ").alias("data_flow"), F.size("path").alias("n_nodes"))
 
 
+PATHS_SQL = f"""WITH RECURSIVE e AS (SELECT CAST(src AS VARCHAR) AS src, CAST(dst AS VARCHAR) AS dst, n_nationkey * 2 + k AS seq FROM (SELECT n_regionkey, n_nationkey, k, n_nationkey AS src, (n_nationkey * 7 + k * 3 + 1) % 25 AS dst FROM nation, (VALUES (0), (1)) v(k))), w(source, node, path, seqs) AS (
+SELECT CAST(n_nationkey AS VARCHAR), CAST(n_nationkey AS VARCHAR), [CAST(n_nationkey AS VARCHAR)], CAST([] AS BIGINT[]) FROM nation WHERE n_nationkey IN (0, 3) UNION ALL
+SELECT w.source, e.dst, list_append(w.path, e.dst), list_append(w.seqs, CAST(e.seq AS BIGINT)) FROM w JOIN e ON e.src = w.node WHERE len(w.path) < 9 AND NOT list_contains(w.path, e.dst))
+SELECT source, node, array_to_string(path, ' → ') AS data_flow, CAST(len(path) AS INTEGER) AS depth FROM w QUALIFY row_number() OVER (PARTITION BY source, node ORDER BY len(path), seqs) = 1"""
+
+
+@query(PATHS_SQL)
+def reach_bfs_paths(spark, sf):
+    """The first path to every node, level by level: of the shortest ones, the one whose edges come first."""
+    found = graph.bfs_paths(edges(spark, sf), sources(spark), 9)
+    return found.select("source", "node", F.array_join("path", " → ").alias("data_flow"), "depth")
+
+
+@query(PATHS_SQL)
+def reach_bfs_paths_grouped(spark, sf):
+    """The same with one task per project."""
+    found = graph.bfs_paths_grouped(edges(spark, sf), sources(spark), 9)
+    return found.select("source", "node", F.array_join("path", " → ").alias("data_flow"), "depth")
+
+
 SUFFIXES = [("html", 0), (".html", 1), ("/index.html", 2), ("1.html", 3), (".org", 4), ("9", 5), ("99", 6), ("com", 7)]
 
 
 @query("SELECT page_id, (SELECT s FROM (VALUES " + ", ".join(f"('{s}', {o})" for s, o in SUFFIXES) + ") v(s, o) WHERE ends_with(url, s) ORDER BY length(s) DESC, o LIMIT 1) AS suffix FROM pages")
 def suffix_longest(spark, sf):
     """The longest catalogue entry that a name ends with."""
-    table = spark.createDataFrame(SUFFIXES, "suffix string, ord int")
-    return relational.longest_suffix(t(spark, sf, "pages").select("page_id", "url"), table, "url", "suffix", "ord").select("page_id", "suffix")
+    return relational.longest_suffix(t(spark, sf, "pages").select("page_id", "url"), SUFFIXES, "url", "suffix").select("page_id", "suffix")
 
 
 VERSIONS = [("r1", "5.4", "8.2", "7.4"), ("r1", "5.4", "8.2", "5.3.6"), ("r2", None, "7.1", "7.2"), ("r2", None, "7.1", "7.0.33"), ("r3", "8.0", None, "8.0"), ("r3", "8.0", None, "10.1"), ("r4", None, None, "x"), ("r5", "3.6", "3.12", "3.9"), ("r5", "3.6", "3.12", ""), ("r6", "3.10", None, "3.9")]
@@ -218,15 +237,15 @@ SEVERITY_SQL = "CASE event_type WHEN 'error' THEN 'critical' WHEN 'purchase' THE
 def scans(spark, sf):
     kind = F.col("event_type")
     sev = F.when(kind == "error", "critical").when(kind == "purchase", "high").when(kind == "signup", "medium").when(kind == "click", "low").otherwise("info")
-    return t(spark, sf, "events").select("event_id", "user_id", "ts", "event_type", sev.alias("severity"), (F.col("user_id") % 50).alias("line_number"))
+    return t(spark, sf, "events").select("event_id", "user_id", "ts", "event_type", sev.alias("severity"), (F.col("user_id") % 50).alias("line_number"), F.when(kind == "view", "note").otherwise("finding").alias("kind"))
 
 
-@query(f"SELECT event_id, severity, line_number, CAST(row_number() OVER (ORDER BY {RANK.format('severity')}, line_number, event_id) AS INTEGER) AS place FROM (SELECT event_id, user_id, {SEVERITY_SQL} AS severity, user_id % 50 AS line_number FROM events WHERE user_id = 7)")
+@query(f"SELECT user_id, event_id, severity, line_number, CAST(row_number() OVER (PARTITION BY user_id ORDER BY {RANK.format('severity')}, line_number, event_id) AS INTEGER) AS place FROM (SELECT event_id, user_id, {SEVERITY_SQL} AS severity, event_id % 50 AS line_number FROM events WHERE event_type <> 'view')")
 def severity_listing(spark, sf):
-    """One user's findings as they are listed: severity rank, line, id. Filters that aren't given are left out."""
-    rows = report.optional_filter(scans(spark, sf), user_id=7, event_type="", severity=None)
+    """Every user's findings as they are listed: severity rank, line, id. Filters that aren't given are left out."""
+    rows = report.optional_filter(scans(spark, sf), user_id=None, event_type="", kind="finding").withColumn("line_number", F.col("event_id") % 50)
     w = Window.partitionBy("user_id").orderBy(severity_rank(F.col("severity")), "line_number", "event_id")
-    return rows.withColumn("place", F.row_number().over(w)).select("event_id", "severity", "line_number", "place")
+    return rows.withColumn("place", F.row_number().over(w)).select("user_id", "event_id", "severity", "line_number", "place")
 
 
 @query(f"SELECT event_id, severity, (SELECT count(*) FROM events) AS total FROM (SELECT event_id, ts, {SEVERITY_SQL} AS severity FROM events) ORDER BY ts DESC, event_id LIMIT 50")
@@ -246,11 +265,10 @@ def mode_group(spark, sf):
     return report.most_common(t(spark, sf, "documents"), ["source"], "lang")
 
 
-@query("SELECT ext, count(*) AS n_files, min(url) AS first_file FROM (SELECT url, lower(regexp_extract(url, '[.][^./]*$')) AS ext FROM pages) GROUP BY ext")
+@query("SELECT ext, count(*) AS n_files, list_sort(list(url))[1:200] AS files FROM (SELECT url, lower(regexp_extract(url, '[.][^./]*$')) AS ext FROM pages) GROUP BY ext")
 def ext_group(spark, sf):
-    """Files by suffix."""
-    ext = F.lower(F.regexp_extract("url", "[.][^./]*$", 0))
-    return t(spark, sf, "pages").select("url", ext.alias("ext")).groupBy("ext").agg(F.count("*").alias("n_files"), F.min("url").alias("first_file"))
+    """Files by suffix, with the names of the first 200."""
+    return report.listed_files(t(spark, sf, "pages").select(F.col("url").alias("path")), []).select("ext", "n_files", "files")
 
 
 @query("SELECT d.doc_id, d.source FROM documents d JOIN (SELECT source, bool_or(contains(text, 'worthless pathetic')) AS f FROM documents GROUP BY source) s ON s.source = d.source WHERE NOT f OR lang <> 'en'")
@@ -273,14 +291,14 @@ def json_kind(spark, sf):
     return t(spark, sf, "events").select("event_id", F.coalesce(F.try_variant_get(F.try_parse_json("props"), "$.k", "string").isNotNull(), F.lit(False)).alias("is_analysis"))
 
 
-@query(f"""WITH l AS ({LINES_SQL}), h AS (SELECT doc_id, line_no AS hit_line FROM l WHERE contains(code, 'icensed under'))
-SELECT h.doc_id, h.hit_line, l.line_no, length(l.code) AS n_chars, CASE WHEN l.line_no = h.hit_line THEN 'SINK' END AS tag FROM h JOIN l ON l.doc_id = h.doc_id AND abs(l.line_no - h.hit_line) <= 2""")
+@query(f"""WITH l AS ({LINES_SQL}), h AS (SELECT doc_id, line_no AS sink_line, line_no - 3 AS source_line, doc_id * 100000 + line_no AS finding_id FROM l WHERE contains(code, 'icensed under'))
+SELECT h.finding_id, l.line_no, l.code, CASE WHEN l.line_no = h.source_line THEN 'SOURCE' WHEN l.line_no = h.sink_line THEN 'SINK' END AS tag FROM h JOIN l ON l.doc_id = h.doc_id AND (abs(l.line_no - h.sink_line) <= 1 OR abs(l.line_no - h.source_line) <= 1)""")
 def context_slice(spark, sf):
-    """Two lines around every hit, the hit tagged: an equi-join on exploded line numbers."""
-    rows = relational.lines(t(spark, sf, "documents").select("doc_id", "text"), ["doc_id"])
-    at = rows.where(F.col("code").contains("icensed under")).select("doc_id", F.col("line_no").alias("hit_line"))
-    near = at.withColumn("line_no", F.explode(F.sequence(F.col("hit_line") - 2, F.col("hit_line") + 2)))
-    return near.join(rows, ["doc_id", "line_no"]).select("doc_id", "hit_line", "line_no", F.length("code").cast("long").alias("n_chars"), F.when(F.col("line_no") == F.col("hit_line"), "SINK").alias("tag"))
+    """A line around the source and the sink of every finding, both tagged: an equi-join on exploded line numbers."""
+    rows = relational.lines(t(spark, sf, "documents").select(F.col("doc_id").alias("path"), "text"), ["path"])
+    sink = F.col("line_no")
+    found = rows.where(F.col("code").contains("icensed under")).select((F.col("path") * 100_000 + sink).alias("finding_id"), F.col("path").alias("file_path"), (sink - 3).alias("source_line"), sink.alias("sink_line"))
+    return report.context(rows, found, 1)
 
 
 @query("""SELECT doc_id, verdict, confidence, CASE verdict WHEN 'confirmed' THEN 'confirmed' WHEN 'false_positive' THEN 'false_positive' ELSE 'pending' END AS status, CASE verdict WHEN 'confirmed' THEN 'true' WHEN 'false_positive' THEN 'false' ELSE 'uncertain' END AS is_vulnerable FROM (
@@ -326,10 +344,7 @@ SELECT doc_id, line_no AS block_start, coalesce(next - 1, (SELECT max(line_no) F
 def block_segments(spark, sf):
     """Blocks from each starting line to the line before the next one, or to the last line."""
     rows = relational.lines(t(spark, sf, "documents").select("doc_id", "text"), ["doc_id"]).where("code <> ''")
-    last = rows.groupBy("doc_id").agg(F.max("line_no").alias("last"))
-    starts = rows.where(F.col("code").rlike("^(?:The|Der|La|El)[^a-z]"))
-    w = Window.partitionBy("doc_id").orderBy("line_no")
-    return starts.withColumn("next", F.lead("line_no").over(w)).join(last, "doc_id").select("doc_id", F.col("line_no").alias("block_start"), F.coalesce(F.col("next") - 1, "last").alias("block_end"))
+    return relational.blocks(rows, ["doc_id"], F.col("code").rlike("^(?:The|Der|La|El)[^a-z]"), whole=False)
 
 
 @query("""SELECT o_orderkey, vuln_type, CASE vuln_type """ + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SEVERITY["python"].items()) + """ ELSE 'medium' END AS severity, CASE vuln_type """ + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in CWE.items()) + """ ELSE '' END AS cwe FROM (SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'command_execution' WHEN '2-HIGH' THEN 'ssrf' WHEN '3-MEDIUM' THEN 'xss' ELSE 'other' END AS vuln_type FROM orders)""")
@@ -369,11 +384,11 @@ def json_rows(spark, sf):
     return report.as_json(rows, ["orderkey", "status", "at"])
 
 
-@query("SELECT doc_id, quality, coalesce(v.verdict, 'pending') AS status FROM labels LEFT JOIN (SELECT doc_id, CASE WHEN n_chars > 2000 THEN 'confirmed' ELSE 'rejected' END AS verdict FROM documents WHERE source <> 'src0') v USING (doc_id)")
+@query("SELECT doc_id, quality, coalesce(v.verdict, 'pending') AS status FROM labels LEFT JOIN (SELECT doc_id, CASE WHEN n_chars > 2000 THEN 'confirmed' WHEN n_chars < 600 THEN 'rejected' END AS verdict FROM documents) v USING (doc_id)")
 def verdict_join(spark, sf):
     """Verdicts meet findings by key; findings without one keep their status."""
     found = t(spark, sf, "labels").select("doc_id", "quality", F.lit("pending").alias("status"))
-    verdicts = t(spark, sf, "documents").where("source <> 'src0'").select("doc_id", F.when(F.col("n_chars") > 2000, "confirmed").otherwise("rejected").alias("status"))
+    verdicts = t(spark, sf, "documents").select("doc_id", F.when(F.col("n_chars") > 2000, "confirmed").when(F.col("n_chars") < 600, "rejected").alias("status"))
     return report.with_verdicts(found, verdicts, "doc_id").select("doc_id", "quality", "status")
 
 
@@ -387,19 +402,22 @@ def cascade_delete(spark, sf):
 @query("SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'en' ELSE role END AS resolved, turn % 3 = 0 AS chosen FROM conversations")
 def resolved_choice(spark, sf):
     """A user's choice, else what was detected, and which of them it is."""
-    choice = F.when(F.col("turn") % 3 == 0, F.lit("en")).otherwise(F.lit(""))
-    picked = F.nullif(choice, F.lit(""))
-    return t(spark, sf, "conversations").select("conv_id", "turn", F.coalesce(picked, "role").alias("resolved"), picked.isNotNull().alias("chosen"))
+    rows = t(spark, sf, "conversations").select(F.col("conv_id").alias("project_id"), F.col("turn").cast("string").alias("language"), F.col("role").alias("detected"))
+    chosen = rows.select("project_id", "language", F.when(F.col("language").cast("int") % 3 == 0, "en").otherwise("").alias("chosen"))
+    out = rules.resolved_versions(rows, chosen)
+    return out.select(F.col("project_id").alias("conv_id"), F.col("language").cast("long").alias("turn"), F.col("version").alias("resolved"), (~F.col("detected_by_code")).alias("chosen"))
+
 
+CREDENTIAL_SQL = f"""SELECT doc_id, line_no, code FROM (SELECT doc_id, line_no, code, lower(regexp_extract(code, '^([a-z_]+) = "([^"'']*)"', 1)) AS n, trim(regexp_extract(code, '^([a-z_]+) = "([^"'']*)"', 2)) AS v FROM (SELECT doc_id, line_no, regexp_extract(code, '[a-z_]+ = "[^"'']+"') AS code FROM ({LINES_SQL})) WHERE code <> '')
+WHERE length(v) >= 3 AND (regexp_matches(n, '{"|".join(P.CREDENTIAL_WORDS)}') OR ends_with(n, 'key') AND length(v) >= 12) AND NOT regexp_matches(n, '^(?:{"|".join(P.EXCLUDED_PREFIXES)})|(?:{"|".join(P.EXCLUDED_SUFFIXES)})$') AND NOT regexp_matches(v, '[${{(%]') AND lower(v) <> n AND lower(v) NOT IN ({", ".join(f"'{x}'" for x in P.PLAIN_VALUES)}) AND NOT ({" OR ".join(f"contains(lower(v), '{x}')" for x in P.PLACEHOLDERS)})"""
 
-@query(f"""SELECT doc_id, line_no, name, length(value) AS n_value FROM (SELECT doc_id, line_no, regexp_extract(code, '([a-z_]+) = "([^"]+)"', 1) AS name, regexp_extract(code, '([a-z_]+) = "([^"]+)"', 2) AS value FROM ({LINES_SQL})) WHERE (contains(name, 'token') OR contains(name, 'secret') OR contains(name, 'password') OR ends_with(name, 'key') AND length(value) >= 12) AND length(value) >= 3 AND NOT contains(lower(value), 'example')""")
+
+@query(CREDENTIAL_SQL)
 def credential_scan(spark, sf):
-    """String literals assigned to names that stand for credentials, by a chain of column predicates."""
+    """The first string assignment of every line, where it is a credential."""
     rows = relational.lines(t(spark, sf, "documents").select("doc_id", "text"), ["doc_id"])
-    pattern = '([a-z_]+) = "([^"]+)"'
-    rows = rows.withColumn("name", F.regexp_extract("code", pattern, 1)).withColumn("value", F.regexp_extract("code", pattern, 2))
-    word = F.contains("name", F.lit("token")) | F.contains("name", F.lit("secret")) | F.contains("name", F.lit("password")) | (F.endswith("name", F.lit("key")) & (F.length("value") >= 12))
-    return rows.where(word & (F.length("value") >= 3) & ~F.contains(F.lower("value"), F.lit("example"))).select("doc_id", "line_no", "name", F.length("value").cast("long").alias("n_value"))
+    rows = rows.withColumn("code", F.regexp_extract("code", """[a-z_]+ = "[^"']+\"""", 0)).where("code <> ''")
+    return rows.where(detectors.credential(F.col("code")))
 
 
 @query("SELECT file_id, line_number, vuln_type, sink_line, first_key FROM (SELECT l_suppkey AS file_id, l_partkey % 50 AS line_number, l_returnflag AS vuln_type, coalesce(nullif(l_linenumber, 1), 0) AS sink_line, min(l_orderkey) AS first_key FROM lineitem GROUP BY 1, 2, 3, 4)")
@@ -409,52 +427,50 @@ def final_dedup(spark, sf):
     return relational.first_wins(rows, ["file_id", "line_number", "vuln_type", "sink_line"], ["first_key"])
 
 
-@query("""WITH f AS (SELECT user_id, bool_or(event_type = 'purchase') AS sink, bool_or(event_type = 'signup') AS source FROM events GROUP BY user_id)
+@query("""WITH f AS (SELECT user_id, bool_or(event_type = 'purchase' AND value > 90) AS sink, bool_or(event_type = 'signup' AND value > 90) AS source FROM events GROUP BY user_id)
 SELECT user_id AS sink_file, (SELECT min(user_id) FROM f WHERE source) AS source_file FROM f WHERE sink AND NOT source""")
 def cross_file_sources(spark, sf):
-    """Files with a sink and no source, each with the first file that has one: a join with a one-row aggregate."""
-    kind = F.col("event_type")
-    f = t(spark, sf, "events").groupBy("user_id").agg(F.bool_or(kind == "purchase").alias("sink"), F.bool_or(kind == "signup").alias("source"))
-    first = f.where("source").agg(F.min("user_id").alias("source_file"))
-    return f.where("sink and not source").select(F.col("user_id").alias("sink_file")).crossJoin(F.broadcast(first))
+    """Files with a sink and no source, each with the first file that has one."""
+    kind, large = F.col("event_type"), F.col("value") > 90
+    f = t(spark, sf, "events").groupBy("user_id").agg(F.bool_or((kind == "purchase") & large).alias("sink"), F.bool_or((kind == "signup") & large).alias("source"))
+    return relational.with_first(f.where("sink and not source").select(F.col("user_id").alias("sink_file")), f.where("source"), "user_id", "source_file")
 
 
-@query(f"""SELECT line_no, code FROM (SELECT CAST(CASE WHEN line_no > 2 THEN line_no + 1 ELSE line_no END AS INTEGER) AS line_no, code FROM ({LINES_SQL}) WHERE doc_id = 5 AND line_no <> 2 UNION ALL SELECT 2, 'new line' FROM documents WHERE doc_id = 5 UNION ALL SELECT 3, 'and another' FROM documents WHERE doc_id = 5)""")
+@query(f"""WITH l AS ({LINES_SQL}) SELECT doc_id, line_no, code FROM (SELECT doc_id, CAST(CASE WHEN line_no > 2 THEN line_no + 1 ELSE line_no END AS INTEGER) AS line_no, code FROM l WHERE line_no <> 2 UNION ALL SELECT doc_id, 2, 'new line' FROM l WHERE line_no = 2 UNION ALL SELECT doc_id, 3, 'and another' FROM l WHERE line_no = 2)""")
 def line_replacement(spark, sf):
-    """A file's second line replaced by two, lines behind it numbered anew."""
-    rows = relational.lines(t(spark, sf, "documents").where("doc_id = 5").select(F.col("doc_id").alias("path"), "text"), ["path"])
-    return report.replaced_lines(rows, 5, 2, 2, ["new line", "and another"]).select("line_no", "code")
+    """Every file's second line replaced by two, lines behind it numbered anew."""
+    rows = relational.lines(t(spark, sf, "documents").select(F.col("doc_id").alias("path"), "text"), ["path"])
+    return report.replaced_lines(rows, None, 2, 2, ["new line", "and another"]).select(F.col("path").alias("doc_id"), "line_no", "code")
 
 
-@query(f"SELECT line_no, printf('%4d | %s', line_no, code) AS shown FROM ({LINES_SQL}) WHERE doc_id = 7 AND line_no BETWEEN 2 AND 4")
+@query(f"SELECT doc_id AS path, line_no, printf('%4d | %s', line_no, code) AS shown FROM ({LINES_SQL}) WHERE line_no BETWEEN 2 AND 4")
 def file_region(spark, sf):
-    """A region of a file with numbers."""
+    """A region of every file with numbers."""
     rows = relational.lines(t(spark, sf, "documents").select(F.col("doc_id").alias("path"), "text"), ["path"])
-    return report.region(rows, 7, 2, 4)
+    return report.region(rows, None, 2, 4)
 
 
 @query("SELECT o_orderkey, coalesce(n.n_name, c.c_mktsegment, 'none') AS resolved FROM orders o LEFT JOIN customer c ON c.c_custkey = o.o_custkey LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey AND n.n_regionkey < 2")
 def resolution_cascade(spark, sf):
     """The first of several lookups that finds something: left joins and a coalesce."""
-    o, c = t(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey")), t(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    o = t(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey")).join(t(spark, sf, "customer").select("c_custkey", "c_nationkey"), "c_custkey", "left")
     n = t(spark, sf, "nation").where("n_regionkey < 2").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
-    return o.join(c, "c_custkey", "left").join(n, "c_nationkey", "left").select("o_orderkey", F.coalesce("n_name", "c_mktsegment", F.lit("none")).alias("resolved"))
+    c = t(spark, sf, "customer").select("c_custkey", "c_mktsegment")
+    found = relational.first_found(o, [(n, ["c_nationkey"], "n_name"), (c, ["c_custkey"], "c_mktsegment")], "resolved", F.lit("none"))
+    return found.select("o_orderkey", "resolved")
 
 
-@query("""WITH a AS (SELECT conv_id, turn, CAST(generate_subscripts(w, 1) AS BIGINT) - 1 AS pos, unnest(w) AS word FROM (SELECT conv_id, turn, string_split(text, ' ')[1:4] AS w FROM conversations))
+@query("""WITH a AS (SELECT conv_id, turn, CAST(generate_subscripts(w, 1) AS BIGINT) - 1 AS pos, unnest(w) AS word FROM (SELECT conv_id, turn, string_split(text, ' ') AS w FROM conversations))
 SELECT a.conv_id, a.turn, a.pos, a.word AS src, b.word AS dst FROM a JOIN a b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1 AND b.pos = a.pos""")
 def positional_join(spark, sf):
     """Arguments meet parameters by position: both sides exploded with positions, then an equi-join."""
-    words = F.slice(F.split("text", " ", -1), 1, 4)
-    a = t(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(words).alias("pos", "word"))
-    b = a.select("conv_id", (F.col("turn") - 1).alias("turn"), "pos", F.col("word").alias("dst"))
-    return a.join(b, ["conv_id", "turn", "pos"]).select("conv_id", "turn", F.col("pos").cast("long").alias("pos"), F.col("word").alias("src"), "dst")
+    rows = t(spark, sf, "conversations").select("conv_id", "turn", F.split("text", " ", -1).alias("words"))
+    later = rows.select("conv_id", (F.col("turn") - 1).alias("turn"), "words")
+    return relational.by_position(rows, later, ["conv_id", "turn"], "words", "words").withColumn("pos", F.col("pos").cast("long"))
 
 
-@query()
-def analysis_cases(spark, sf):
-    """The whole analysis over the regression projects; tests hold it against their stated outcomes."""
-    return cases.findings(spark)
+QUERIES |= engine_queries.QUERIES
+ORACLES |= {name: engine_queries.sql(name) for name in engine_queries.QUERIES}
 
 
 def queries() -> dict[str, Query]:

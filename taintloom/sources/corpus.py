@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taintloom.functions.catalog import EXCLUDED_FOLDERS, SUFFIXES
+from taintloom.functions.catalog import COLLECTORS
 
 # Limits of an archive.
 MAX_FILES, MAX_TOTAL, MAX_FILE = 10_000, 200 * 1024 * 1024, 50 * 1024 * 1024
@@ -24,25 +24,27 @@ def decoded(content: Column) -> Column:
     return F.replace(F.make_valid_utf8(content.cast("string")), F.lit("�"), F.lit(""))
 
 
-def in_scope(relative: Column, language: str, excluded: list[str] | None = None, prefixes: tuple[str, ...] = ()) -> Column:
-    """Has the path one of the language's suffixes, any case, and no excluded folder or folder prefix in it?
-
-    Parts are those below the project's root: a project that is itself stored below a folder named build is scanned.
-    """
+def in_scope(relative: Column, language: str, collector: str = "pipeline") -> Column:
+    """Does a collector take a path? It has suffixes for each language (in any case, or as they are written), and folders and
+    beginnings of folders that it leaves out. Parts are those below the project's root: a project that is itself stored
+    below a folder named build is scanned."""
+    c = COLLECTORS[collector]
     parts = F.split(relative, "/")
-    suffix = F.lower(F.regexp_extract(relative, r"(\.[^./]+)$", 1))
-    ok = suffix.isin(SUFFIXES[language]) & ~F.arrays_overlap(parts, F.array(*(F.lit(x) for x in excluded or EXCLUDED_FOLDERS)))
-    for p in prefixes:
-        ok &= ~F.exists(parts, lambda x, p=p: x.startswith(p))
+    folders = F.slice(parts, 1, F.size(parts) - 1) if c["folders_only"] else parts
+    suffix = F.regexp_extract(relative, r"(\.[^./]+)$", 1)
+    ok = (F.lower(suffix) if c["any_case"] else suffix).isin(c["suffixes"].get(language, [])) & ~F.arrays_overlap(folders, F.array(*(F.lit(x) for x in c["excluded"])))
+    if c["excluded_beginnings"]:
+        ok &= ~F.exists(folders, lambda x: x.rlike("^(?:" + "|".join(map(re.escape, c["excluded_beginnings"])) + ")"))
     return ok
 
 
-def read_files(spark: SparkSession, root: str, project_id: str, language: str, excluded: list[str] | None = None) -> DataFrame:
-    """The files of one language below a folder. Suffix and folder filters run before any file's bytes are read into text."""
+def read_files(spark: SparkSession, root: str, project_id: str, language: str, collector: str = "pipeline") -> DataFrame:
+    """The files of one language below a folder that a collector takes. Suffix and folder filters run before any file's bytes
+    are read into text."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = re.sub(r"^\w+:/*", "/", root).rstrip("/") + "/"
     relative = F.substring_index(F.col("path"), base, -1)
-    return raw.where(in_scope(relative, language, excluded)).select(F.lit(project_id).alias("project_id"), relative.alias("path"), F.lit(language).alias("language"), decoded(F.col("content")).alias("text"))
+    return raw.where(in_scope(relative, language, collector)).select(F.lit(project_id).alias("project_id"), relative.alias("path"), F.lit(language).alias("language"), decoded(F.col("content")).alias("text"))
 
 
 def member_fault(name: str) -> str | None:

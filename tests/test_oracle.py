@@ -26,12 +26,13 @@ def rows_of(rows):
 def test_query_against_sql(spark, duck, sf, name):
     df = entry.queries()[name](spark, sf)
     names = sorted(df.columns)
-    theirs = duck.execute(f"SELECT {', '.join(names)} FROM ({entry.oracle_sql()[name]})")
+    quoted = ", ".join(f'"{n}"' for n in names)
+    theirs = duck.execute(f"SELECT {quoted} FROM ({entry.oracle_sql()[name]})")
     kinds = {d[0]: str(d[1]) for d in theirs.description}
     assert len(kinds) == len(names)
     want = rows_of(theirs.fetchall())
     got = rows_of(tuple(r) for r in df.select(*names).collect())
     assert len(got) == len(want)
     assert got == want
-    types = {r[0]: r[1] for r in duck.execute(f"DESCRIBE SELECT {', '.join(names)} FROM ({entry.oracle_sql()[name]})").fetchall()}
+    types = {r[0]: r[1] for r in duck.execute(f"DESCRIBE SELECT {quoted} FROM ({entry.oracle_sql()[name]})").fetchall()}
     assert {n: SAME.get(t, t) for n, t in df.dtypes} == types
