@@ -71,5 +71,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own}
 
 
+#: Every pair of vectors compared, and components by a walk over the links. What the forest might miss would show here.
+NEAR_VECTORS_SQL = """WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+good AS (SELECT vec_id, e FROM v WHERE len(e) > 0 AND len([x FOR x IN e IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN e IF x <> 0]) > 0),
+pairs AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id < b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+walk(start, node) AS (SELECT vec_id, vec_id FROM v UNION SELECT w.start, l.b FROM walk w JOIN links l ON l.a = w.node)
+SELECT v.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, r.root AS component_id, v.vec_id = r.root AS kept
+FROM v LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) n ON n.a = v.vec_id JOIN (SELECT start, min(node) AS root FROM walk GROUP BY start) r ON r.start = v.vec_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_embedding_near_dedup": NEAR_VECTORS_SQL}

@@ -187,3 +187,61 @@ def test_pipeline_stages(spark, sf):
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == kept
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), sf).count() == 0, name
+
+
+def test_the_chain_equals_plain_sums(spark, sf):
+    """Every probability by plain loops over words and features; the last link decides."""
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    chain = toxicity.fit(docs, labels)
+    if chain is None:
+        pytest.skip("one class only")
+    chosen = {int(v): k for k, v in enumerate(chain.lexicon.chosen)}
+    for r in toxicity.toxicity(docs, chain).limit(60).collect():
+        words = re.findall(r"[^\W\d_]+", (r.text or "").lower())
+        hits = {w: {chosen[g] for g in toxicity.grams(w).tolist() if g in chosen} for w in set(words)}
+        counted = Counter(w for w in words if hits[w])
+        n = sum(min(c, chain.repeats) for c in counted.values())
+        dense = [np.log1p(n), np.log1p(len(counted)), 30 * n / max(len(words), 30)]
+        features, before = set().union(*(hits[w] for w in counted)) if counted else set(), []
+        for w in chain.weights:
+            z = sum(w[f] for f in features) + sum(a * b for a, b in zip([*dense, *before, 1.0], w[len(chosen) :], strict=True))
+            before.append(1 / (1 + np.exp(-max(-30, min(30, z)))) if words else 0.0)
+        assert np.allclose([r.p_toxic_dense, r.p_toxic_repeated, r.p_toxic], before)
+        assert r.toxic == (before[-1] >= 0.5)
+
+
+def test_the_gradient_of_the_chain_field_is_that_of_the_likelihood():
+    rng = np.random.default_rng(4)
+    emit, t = rng.normal(size=(2, 5, 3)), rng.normal(size=(3, 3))
+    gold = rng.integers(0, 3, (2, 5))
+
+    def likelihood(e, w):
+        total = 0.0
+        for k in range(2):
+            score = lambda y, k=k: sum(e[k, i, y[i]] for i in range(5)) + sum(w[y[i], y[i + 1]] for i in range(4))
+            every = [score(y) for y in np.ndindex(3, 3, 3, 3, 3)]
+            total += score(gold[k]) - np.log(np.exp(every).sum())
+        return total
+
+    p, pair = langcrf._expected(emit, t)
+    seen = np.zeros((3, 3))
+    np.add.at(seen, (gold[:, :-1].reshape(-1), gold[:, 1:].reshape(-1)), 1)
+    for at in ((0, 0, 1), (1, 4, 2), (0, 2, 0)):
+        d = np.zeros_like(emit)
+        d[at] = 1e-5
+        slope = (likelihood(emit + d, t) - likelihood(emit - d, t)) / 2e-5
+        assert abs(slope - ((gold[at[0], at[1]] == at[2]) - p[at])) < 1e-6
+    for at in ((0, 1), (2, 2)):
+        d = np.zeros_like(t)
+        d[at] = 1e-5
+        assert abs((likelihood(emit, t + d) - likelihood(emit, t - d)) / 2e-5 - (seen[at] - pair[at])) < 1e-6
+
+
+def test_a_hot_line_and_many_others(spark):
+    """A line that all documents share is cut from all but the first, as by brute force, whatever tasks it lies in."""
+    hot = "this very common line stands in every document"
+    rows = [(i, f"{hot}\nthe own line of document {i} stands here\n{hot}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = {r.doc_id: (r.text, len(r.removed)) for r in linededup.deduplicated(docs).collect()}
+    assert got[0] == (f"{hot}\nthe own line of document 0 stands here\n", 1)
+    assert all(got[i] == (f"the own line of document {i} stands here\n", 2) for i in range(1, 400))

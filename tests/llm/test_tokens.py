@@ -4,7 +4,7 @@ import hashlib
 import random
 import zlib
 from array import array
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import sentencepiece
 from hypothesis import given, settings
@@ -136,3 +136,40 @@ def test_large_items_that_do_not_pair(spark):
     docs = spark.createDataFrame(rows, awkward(spark).schema)
     placed = packing.pack(packing.pieces(docs, WORDS, 512), 512, group_items=50, fan_in=2).collect()
     assert len({r.sequence_id for r in placed}) == 300
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(4, 60).flatmap(lambda c: st.tuples(st.just(c), st.lists(st.integers(1, c - 1), max_size=80))))
+def test_counted_fit_equals_the_fit_of_items(case):
+    capacity, sizes = case
+    bins, ranks = defaultdict(list), defaultdict(list)
+    for size, rank, n, first, at in packing.fit_counts(Counter(sizes), capacity):
+        for k in range(n):
+            bins[first + k].append((at, size))
+            ranks[size].append(rank + k)
+    assert {s: sorted(r) for s, r in ranks.items()} == {s: list(range(n)) for s, n in Counter(sizes).items()}
+    for parts in bins.values():
+        ends = [at + size for at, size in sorted(parts)]
+        assert [at for at, _ in sorted(parts)] == [0, *ends[:-1]] and ends[-1] <= capacity
+    plain = sorted(sorted(sizes[i] for i in b) for b in packing.best_fit(sizes, capacity))
+    assert sorted(sorted(s for _, s in b) for b in bins.values()) == plain
+
+
+def test_the_root_merges_what_groups_leave(spark):
+    """Bins that never meet in a group: the root still packs them, whatever the number of groups."""
+    rng = random.Random(3)
+    rows = [(i, 0, 0, rng.choice([150, 170, 200, 260, 300, 340]), i) for i in range(4000)]
+    parts = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    at_once = len(packing.best_fit([r[3] for r in rows], 512))
+    for options in ({"group_items": 20, "fan_in": 1}, {"group_items": 20, "fan_in": 2}, {"group_pieces": 40, "group_items": 100}):
+        placed = packing.pack(parts, 512, **options).collect()
+        seqs = defaultdict(list)
+        for r in placed:
+            seqs[r.sequence_id].append((r.offset, r.length))
+        assert sorted(r.doc_id for r in placed) == list(range(4000))
+        for s in seqs.values():
+            ends = [a + n for a, n in sorted(s)]
+            assert [a for a, _ in sorted(s)] == [0, *ends[:-1]] and ends[-1] <= 512
+        fills = sorted(sum(n for _, n in s) for s in seqs.values())
+        assert fills[0] + fills[1] > 512  # no two sequences fit in one
+        assert len(seqs) <= 1.08 * at_once  # groups of some 20 to 100 pieces fit worse than all pieces at once

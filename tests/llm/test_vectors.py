@@ -81,3 +81,69 @@ def test_fewer_candidates_than_asked(spark):
     df = spark.createDataFrame([(20, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [1.0, 0.0])], "vec_id long, embedding array<float>")
     rows = kmtree.nearest(df, F.col("vec_id") % 20 == 0, 20).collect()
     assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in rows] == [(20, 1, 2, 1.0), (20, 2, 1, 0.5)]
+
+
+def planted(seed, n, pairs, dims=64):
+    """Unit vectors and, beside the first `pairs` of them, others at cosines from 0.902 to 0.93."""
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((n, dims))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    other = rng.standard_normal((pairs, dims))
+    other -= (other * x[:pairs]).sum(1, keepdims=True) * x[:pairs]
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    c = rng.uniform(0.902, 0.93, (pairs, 1))
+    return np.r_[x, c * x[:pairs] + np.sqrt(1 - c * c) * other]
+
+
+def test_recall_on_planted_pairs(spark):
+    """Pairs near the threshold, in trees whose levels are all of the sample's, and in trees most of whose levels are below."""
+    x = planted(7, 4000, 800)
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    for options in ({"leaf": 64}, {"leaf": 64, "most_depth": 2}, {"leaf": 64, "sample_rows": 60}):
+        rows = {r.vec_id: r for r in rpforest.near_vectors(df, 0.9, **options).collect()}
+        found = sum(rows[4000 + i].component_id == i for i in range(800))
+        assert found >= 0.99 * 800, options
+        assert sum(r.n_links for r in rows.values()) == 2 * found
+
+
+def test_leaves_below_the_sample_are_small_and_spill():
+    x = planted(3, 6000, 0)
+    tree = rpforest.grow(x[:500], 1, 3, 4, 0.04)[0]
+    row, leaf = tree.leaves(x)
+    assert set(row.tolist()) == set(range(len(x)))
+    sizes = np.bincount(leaf - (2**7 - 1))
+    assert len(sizes) <= 128 and sizes.max() < 4 * len(row) / 128
+    assert len(x) < len(row) < 2 * len(x)
+
+
+def test_a_pair_at_the_threshold_links(spark):
+    """cosine exactly 0.9 in doubles, whatever the last bits of a matrix product are."""
+    a, b = [0.9, 0.4358898943540674] + [0.0] * 14, [1.0] + [0.0] * 15
+    rest = np.random.default_rng(2).standard_normal((30, 16)).tolist()
+    df = spark.createDataFrame([(1, a), (2, b), *((10 + i, r) for i, r in enumerate(rest))], "vec_id long, embedding array<double>")
+    u, v = (rpforest._unit(np.array([r]))[0] for r in (a, b))
+    want = int((u * v).sum() >= 0.9)
+    assert [r.n_links for r in rpforest.near_vectors(df).where("vec_id < 3").orderBy("vec_id").collect()] == [want, want]
+
+
+def test_each_length_is_searched_by_itself(spark):
+    rng = np.random.default_rng(5)
+    x = {i: rng.standard_normal(16 if i % 3 else 8) for i in range(300)}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in x.items()], "vec_id long, embedding array<double>")
+    rows = kmtree.nearest(df, F.col("vec_id") % 20 == 0, 5, recall=1.0).collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    for q in range(0, 300, 20):
+        best = sorted((-float((v * x[q]).sum()), i) for i, v in x.items() if i != q and len(v) == len(x[q]))[:5]
+        assert {i for _, i in best} == {i for _, i in got[q]}
+
+
+def test_small_leaves_are_not_the_end_of_a_search(spark):
+    """Clusters smaller than the number asked for: a query goes on until it has met enough candidates."""
+    rng = np.random.default_rng(9)
+    centers = rng.standard_normal((60, 16)) * 20
+    x = np.repeat(centers, 6, axis=0) + 0.01 * rng.standard_normal((360, 16))
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    rows = kmtree.nearest(df, F.col("vec_id") % 20 == 0, 20, recall=0.1).groupBy("query_id").count().collect()
+    assert len(rows) == 18 and {r["count"] for r in rows} == {20}
