@@ -84,13 +84,53 @@ def nodes(found: DataFrame) -> DataFrame:
     )
 
 
-def paths(graph: DataFrame, depth: int = DEPTH) -> DataFrame:
+def paths(graph: DataFrame, depth: int = DEPTH, task_nodes: int = 1_000_000) -> DataFrame:
     """(project_id, source, sink, path): for each source and each function that calls it, the sinks that this function
-    reaches in at most `depth` calls; sinks end a path, and neither the source nor the caller is met again.
+    reaches in at most `depth` calls; sinks end a path, and neither the source nor the caller is met again. Of several
+    paths of one length the first in order counts.
 
-    Bounded rounds of joins: the frontier meets the call edges, nodes seen by (source, caller) go, the first arrival by
-    path wins. Calls are taken in the order of their names. A round is checkpointed, so none is computed twice.
+    A project is one task's work as long as it has at most `task_nodes` functions; if any has more, all are searched in
+    bounded rounds of joins, with the same rows.
     """
+    largest = graph.groupBy("project_id").count().agg(F.max("count")).first()[0] or 0
+    if largest > task_nodes:
+        return _paths_by_rounds(graph, depth)
+
+    def search(frame: pd.DataFrame) -> pd.DataFrame:
+        rows = [(frame["project_id"].iloc[0], *r) for r in _paths_of(frame, depth)]
+        return pd.DataFrame(rows, columns=["project_id", "source", "sink", "path"])
+
+    nodes = graph.select("project_id", "name", "called", (F.size("source_labels") > 0).alias("is_source"), (F.size("sink_labels") > 0).alias("is_sink"))
+    return nodes.groupBy("project_id").applyInPandas(search, "project_id string, source string, sink string, path array<string>")
+
+
+def _paths_of(frame: pd.DataFrame, depth: int) -> Iterator[tuple[str, str, list[str]]]:
+    known = set(frame["name"])
+    calls = {n: sorted({c for c in called if c in known and c != n}) for n, called in zip(frame["name"], frame["called"], strict=True)}
+    sinks = set(frame["name"][frame["is_sink"]])
+    callers: dict[str, list[str]] = {}
+    for n in sorted(calls):
+        for c in calls[n]:
+            callers.setdefault(c, []).append(n)
+    for source in sorted(frame["name"][frame["is_source"]]):
+        for caller in callers.get(source, ()):
+            seen, level = {source, caller}, [[source, caller]]
+            for _ in range(depth):
+                further = []
+                for path in level:
+                    for n in calls[path[-1]]:
+                        if n not in seen:
+                            seen.add(n)
+                            if n in sinks:
+                                yield source, n, [*path, n]
+                            else:
+                                further.append([*path, n])
+                level = further
+
+
+def _paths_by_rounds(graph: DataFrame, depth: int) -> DataFrame:
+    """The frontier meets the call edges, nodes seen by (source, caller) go, the first arrival by path wins. A round is
+    checkpointed, so none is computed twice."""
     edges = graph.select("project_id", F.col("name").alias("caller"), F.explode("called").alias("callee")).join(graph.select("project_id", F.col("name").alias("callee"), (F.size("sink_labels") > 0).alias("is_sink")), ["project_id", "callee"]).where("caller <> callee")
     starts = graph.where(F.size("source_labels") > 0).select("project_id", F.col("name").alias("source"))
     key = ["project_id", "source", "caller"]

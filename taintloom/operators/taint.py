@@ -86,16 +86,17 @@ def flows(facts: DataFrame, mode: str = "declarative", most: int = MAX_PATH, fun
         whole = marks.withColumn("mine", F.col("kind") == "source")
         return whole.groupBy("project_id").cogroup(edges.groupBy("of")).applyInPandas(lambda a, b: search(b, a), FLOWS)
 
-    edges, marks = cut(edges), cut(marks)
+    edges = cut(edges)
     sizes = edges.groupBy("of").count().select(F.col("of").alias("project_id"), F.col("count").alias("edges"))
     found = marks.where("kind = 'source'").groupBy("project_id").agg(F.countDistinct("var").alias("sources"))
-    plan = cut(found.join(sizes, "project_id", "left").na.fill(0, ["edges"]).withColumn("shards", F.greatest(F.ceil(F.col("sources") * F.col("edges") / task_steps), F.lit(1)).cast("int")))
+    plan = found.join(sizes, "project_id", "left").na.fill(0, ["edges"]).withColumn("shards", F.greatest(F.ceil(F.col("sources") * F.col("edges") / task_steps), F.lit(1)).cast("int"))
     small, large = plan.where(F.col("edges") <= task_edges), plan.where(F.col("edges") > task_edges)
+    largest = sizes.agg(F.max("edges")).first()[0] or 0
     dealt = marks.join(small.select("project_id", "shards"), "project_id").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
     dealt = dealt.withColumn("mine", (F.col("kind") == "source") & (F.pmod(F.xxhash64("var"), "shards") == F.col("shard"))).drop("shards")
     spread = edges.join(small.select(F.col("project_id").alias("of"), "shards"), "of").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).drop("shards")
     out = dealt.repartition("project_id", "shard").groupBy("project_id", "shard").cogroup(spread.repartition("of", "shard").groupBy("of", "shard")).applyInPandas(lambda a, b: search(b, a), FLOWS)
-    if large.isEmpty():
+    if largest <= task_edges:
         return out
     if around_clean:
         raise ValueError(f"paths around cleaned nodes need projects of at most {task_edges} edges")
