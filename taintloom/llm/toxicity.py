@@ -109,21 +109,40 @@ def _seen(words: list[str], memo: Memo, repeats: int) -> tuple[np.ndarray, tuple
     return features, (sum(min(n, repeats) for n in found.values()), len(found), len(words))
 
 
+def _ranges(ends: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The places ends[i] to ends[i + 1] of each i of `which`, one behind the other."""
+    sizes = ends[which + 1] - ends[which]
+    return np.arange(sizes.sum()) + np.repeat(ends[which] - np.cumsum(sizes) + sizes, sizes)
+
+
 def train(texts: list[str], toxic: list[int], keys: list[int], most_features: int = 4000, repeats: int = 5) -> Chain | None:
     """The chain of labelled texts; None if a class is missing. Folds are a hash of the key."""
     y = np.array(toxic)
     if len(set(toxic)) < 2:
         return None
-    pool: dict[str, str] = {}  # one object for each distinct word
-    words = [[pool.setdefault(w, w) for w in WORD.findall(t.lower())] for t in texts]
-    of_word = Memo(grams, 10_000_000)
-    docs = [np.unique(np.concatenate([of_word[w] for w in set(ws)] or [np.zeros(0, np.int32)])) for ws in words]
+    vocabulary: dict[str, int] = {}
+    words = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in WORD.findall(t.lower())], np.int64) for t in texts]
+    every = [grams(w) for w in vocabulary]
+    flat = np.concatenate([*every, np.zeros(0, np.int32)])
+    ends = np.r_[0, np.cumsum([len(g) for g in every], dtype=np.int64)]
+    docs = [np.unique(flat[_ranges(ends, np.unique(w))]) for w in words]
     fold = np.array([zlib.crc32(str(k).encode()) % FOLDS for k in keys])
 
     def look(lexicon: Lexicon, which: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-        memo = Memo(lambda w: lexicon.hits(of_word[w]), 10_000_000)
-        got = [_seen(words[i], memo, repeats) for i in which]
-        return [g[0] for g in got], np.array([g[1] for g in got], np.int64).reshape(-1, 3)
+        """What `_seen` gives for the texts, for all words of the vocabulary at once."""
+        index = np.full(1 << BITS, -1, np.int32)
+        index[lexicon.chosen] = np.arange(len(lexicon.chosen))
+        at = index[flat]
+        of = np.repeat(np.arange(len(every)), np.diff(ends))[at >= 0]
+        held = at[at >= 0].astype(np.int64)
+        borders = np.searchsorted(of, np.arange(len(every) + 1))
+        speaks = np.diff(borders) > 0
+        rows, counts = [], []
+        for i in which:
+            found, n = np.unique(words[i][speaks[words[i]]], return_counts=True)
+            rows.append(np.unique(held[_ranges(borders, found)]))
+            counts.append((np.minimum(n, repeats).sum(), len(found), len(words[i])))
+        return rows, np.array(counts, np.int64).reshape(-1, 3)
 
     parts = []
     counts = np.zeros((len(y), 3), np.int64)
