@@ -10,9 +10,8 @@ from taintloom.functions import patterns as P
 from .relational import band_covered
 
 
-def between(text: Column, a: Column, b: Column) -> Column:
-    """Lines from the smaller to the larger of two line numbers."""
-    rows = F.split(text, "\n", -1)
+def between(rows: Column, a: Column, b: Column) -> Column:
+    """Text of the lines (an array) from the smaller to the larger of two line numbers."""
     start = F.greatest(F.least(a, b), F.lit(1))
     n = F.greatest(F.greatest(a, b) - start + 1, F.lit(0))
     return F.coalesce(F.array_join(F.slice(rows, start, n), "\n"), F.lit(""))
@@ -51,11 +50,18 @@ def notes(level: Column, transforms: Column) -> Column:
 def enrich(findings: DataFrame, files: DataFrame) -> DataFrame:
     """Adds protection_level, transforms, is_exploitable, exploit_difficulty, data_flow_notes, and moves the stage on.
 
-    The text joins in only for files with findings, and nothing of it stays in the result.
+    The text joins in once for each file with findings, with all pairs of lines that they ask for; what stands between
+    each pair becomes names of categories, which is all that goes back to the findings.
     """
-    text = files.select("project_id", F.col("path").alias("file_path"), "text")
-    joined = findings.join(text, ["project_id", "file_path"], "left").withColumn("__c", between(F.col("text"), F.col("source_line"), F.col("sink_line")))
-    joined = joined.withColumn("__p", categories(F.col("__c"), P.PROTECTIONS)).withColumn("__t", categories(F.col("__c"), P.TRANSFORMS)).drop("__c", "text")
+    key, spot = ["project_id", "file_path"], ["source_line", "sink_line"]
+    text = files.select("project_id", F.col("path").alias("file_path"), F.split("text", "\n", -1).alias("__rows"))
+    asked = findings.select(*key, F.struct(*spot).alias("__s")).distinct().groupBy(*key).agg(F.collect_list("__s").alias("__s"))
+    read = asked.join(text, key).select(*key, F.explode(F.transform("__s", lambda s: F.struct(s["source_line"].alias("source_line"), s["sink_line"].alias("sink_line"), between(F.col("__rows"), s["source_line"], s["sink_line"]).alias("c")))).alias("__x"))
+    found = [F.col("project_id"), F.col("file_path"), F.col("__x.source_line"), F.col("__x.sink_line")]
+    seen = read.select(*(c.alias(f"__k{n}") for n, c in enumerate(found)), categories(F.col("__x.c"), P.PROTECTIONS).alias("__p"), categories(F.col("__x.c"), P.TRANSFORMS).alias("__t"))
+    none = F.array().cast("array<string>")
+    same = [F.col(c).eqNullSafe(F.col(f"__k{n}")) for n, c in enumerate(key + spot)]
+    joined = findings.join(seen, same[0] & same[1] & same[2] & same[3], "left").withColumns({c: F.coalesce(c, none) for c in ("__p", "__t")}).drop(*(f"__k{n}" for n in range(4)))
     out = joined.withColumn("protection_level", protection_level(F.col("__p"), F.col("vuln_type"))).withColumn("transforms", F.when(F.size("__t") > 0, F.col("__t")).otherwise(F.array(F.lit("none")))).drop("__p", "__t")
     level = F.col("protection_level")
     return out.withColumns({"is_exploitable": level != "strong", "exploit_difficulty": difficulty(level), "data_flow_notes": notes(level, F.col("transforms")), "pipeline_stage": F.lit("data_flow"), "source_var": F.get("path", F.lit(0)), "sink_var": F.try_element_at("path", F.lit(-1))})

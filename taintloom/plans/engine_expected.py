@@ -794,4 +794,56 @@ EXPECTED = {
             ("x.hpp", "pipeline/cpp,c/c,tools/c"),
         ],
     ),
+    "archive_members": (
+        "archive string, name string, size long, text string, fault string",
+        [
+            ("a.zip", "src/x.py", 16, "text of src/x.py", None),
+            ("a.zip", "y.py", 12, "text of y.py", None),
+            ("b.tar.gz", None, None, None, "escaping member name"),
+            ("c.tar.xz", "z.c", 11, "text of z.c", None),
+            ("d.zip", None, None, None, "the archive is empty"),
+            ("e.bin", None, None, None, "not a zip or tar archive"),
+        ],
+    ),
+    "files_decoded": (
+        "id int, text string",
+        [
+            (1, "plain"),
+            (2, "été"),
+            (3, "x = '1'"),
+            (4, ""),
+        ],
+    ),
+    "numbered_lines": (
+        "path string, line_no int, code string",
+        [
+            ("a.py", 1, "x"),
+            ("a.py", 2, ""),
+            ("a.py", 3, "y"),
+            ("a.py", 4, ""),
+            ("b.c", 1, ""),
+        ],
+    ),
+    "catalogue_sizes": (
+        "what string, language string, n long",
+        [
+            ("rule", "c", 15),
+            ("rule", "cpp", 15),
+            ("rule", "php", 11),
+            ("rule", "python", 16),
+            ("sink", "c", 35),
+            ("sink", "php", 53),
+            ("sink", "python", 90),
+            ("source", "c", 17),
+            ("source", "php", 24),
+            ("source", "python", 37),
+        ],
+    ),
+    "record_answers": (
+        "id string, description string",
+        [
+            ("CVE-1", "a"),
+            ("CVE-2", None),
+        ],
+    ),
 }

@@ -286,6 +286,64 @@ def taint_grades(spark, sf):
     return pipeline.taint_findings(facts.extract(files)).select("file_path", "line_number", "vuln_type", "severity", "cwe", "language")
 
 
+# sources
+
+
+@stated
+def archive_members(spark, sf):
+    """Members of archives; a refused archive is one row with its fault."""
+    import io
+    import tarfile
+    import zipfile
+
+    def packed(kind: str, *names: str) -> bytes:
+        out = io.BytesIO()
+        if kind == "zip":
+            with zipfile.ZipFile(out, "w") as z:
+                for n in names:
+                    z.writestr(n, f"text of {n}")
+        else:
+            with tarfile.open(fileobj=out, mode=f"w:{kind}") as t:
+                for n in names:
+                    info = tarfile.TarInfo(n)
+                    info.size = len(f"text of {n}")
+                    t.addfile(info, io.BytesIO(f"text of {n}".encode()))
+        return out.getvalue()
+
+    rows = [("a.zip", packed("zip", "src/x.py", "y.py")), ("b.tar.gz", packed("gz", "../up.py")), ("c.tar.xz", packed("xz", "z.c")), ("d.zip", packed("zip")), ("e.bin", b"no archive")]
+    found = corpus.unpacked(spark.createDataFrame(rows, "path string, content binary"))
+    return found.select("archive", "name", "size", F.col("content").cast("string").alias("text"), F.split("fault", ":")[0].alias("fault"))
+
+
+@stated
+def files_decoded(spark, sf):
+    """Bytes that are no UTF-8 are deleted."""
+    rows = [(1, b"plain"), (2, "\u00e9t\u00e9".encode()), (3, b"x = '\xff\xfe1'"), (4, b"")]
+    return spark.createDataFrame(rows, "id int, content binary").select("id", corpus.decoded(F.col("content")).alias("text"))
+
+
+@stated
+def numbered_lines(spark, sf):
+    """Lines from 1; a last newline begins an empty line."""
+    return corpus.code_lines(sources(spark, ("a.py", "python", "x\n\ny\n"), ("b.c", "c", ""))).select("path", "line_no", "code")
+
+
+@stated
+def catalogue_sizes(spark, sf):
+    """How many sources, sinks and rules the catalogues hold."""
+    from taintloom.functions import catalog
+
+    n = lambda df, what: df.groupBy("language").agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "language", "n")
+    return n(catalog.sources(spark), "source").unionByName(n(catalog.sinks(spark), "sink")).unionByName(n(rules.rules(spark), "rule"))
+
+
+@stated
+def record_answers(spark, sf):
+    """Records of saved answers; a text that is no answer has none."""
+    rows = [('{"vulnerabilities": [{"cve": {"id": "CVE-1", "descriptions": [{"lang": "en", "value": "a"}]}}, {"cve": {"id": "CVE-2"}}]}',), ("no json",), ("{}",)]
+    return cve.answered(spark.createDataFrame(rows, "text string"), "text").select("id", F.get(F.col("descriptions"), F.lit(0))["value"].alias("description"))
+
+
 # enrichment
 
 

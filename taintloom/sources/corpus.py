@@ -97,6 +97,11 @@ def _check(found: list[tuple[str, int]]) -> None:
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """(archive, name, size, content, fault) of archives' members, an archive to a task; nothing is written to disk. A
     refused archive gives one row with its fault instead of an error, so one bad upload doesn't fail a batch."""
+    return unpacked(spark.read.format("binaryFile").load(path).select("path", "content"))
+
+
+def unpacked(archives: DataFrame) -> DataFrame:
+    """The same for archives (path, content) that are rows already."""
 
     def unpack(frames):
         import pandas as pd
@@ -109,7 +114,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                     rows = [(archive, None, None, None, str(e))]
                 yield pd.DataFrame(rows, columns=["archive", "name", "size", "content", "fault"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(unpack, "archive string, name string, size long, content binary, fault string")
+    return archives.select("path", "content").mapInPandas(unpack, "archive string, name string, size long, content binary, fault string")
 
 
 def archive_guard(found: DataFrame, key: str = "archive") -> DataFrame:
