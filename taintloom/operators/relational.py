@@ -111,6 +111,20 @@ def blocks(rows: DataFrame, key: list[str], starts: Column, line: str = "line_no
     return some.select(*key, F.coalesce("block_start", "__first").alias("block_start"), F.coalesce(F.col("__next") - 1, "__last").alias("block_end"))
 
 
+def brace_blocks(rows: DataFrame, key: list[str], starts: Column, line: str = "line_no", code: str = "code") -> DataFrame:
+    """(key, block_start, block_end) in languages with braces: a block runs from a line that starts one to the line before the
+    next, if all braces since its start are closed there; the last block runs to the last line. Closing braces without an
+    opening one don't count. A key without a start is one block."""
+    at = Window.partitionBy(*key).orderBy(line)
+    braces = F.length(F.regexp_replace(code, r"[^{]", "")) - F.length(F.regexp_replace(code, r"[^}]", ""))
+    counted = rows.select(*key, line, starts.alias("__start"), braces.alias("__b")).withColumn("__block", F.sum(F.col("__start").cast("int")).over(at))
+    inside = Window.partitionBy(*key, "__block").orderBy(line)
+    depth = counted.withColumn("__s", F.sum("__b").over(inside)).withColumn("__d", F.col("__s") - F.least(F.lit(0), F.min("__s").over(inside)))
+    each = depth.groupBy(*key, "__block").agg(F.min(line).alias("block_start"), F.max(line).alias("block_end"), F.max_by("__d", line).alias("__d"))
+    last = F.max("__block").over(Window.partitionBy(*key))
+    return each.withColumn("__last", last).where(((F.col("__block") > 0) & ((F.col("__d") == 0) | (F.col("__block") == F.col("__last")))) | (F.col("__last") == 0)).select(*key, "block_start", "block_end")
+
+
 def first_found(rows: DataFrame, lookups: list[tuple[DataFrame, list[str], str]], name: str, default: Column | None = None) -> DataFrame:
     """Adds `name`: the value of the first of several lookups (table with unique keys, keys, value) that has one."""
     found = []

@@ -14,6 +14,7 @@ from taintloom.functions import patterns as P
 from taintloom.functions import text as T
 from taintloom.functions.catalog import CWE, SEVERITY, cwe, severity, severity_rank
 from taintloom.operators import detectors, graph, relational, report, rules
+from taintloom.sources.tables import read_table
 
 from . import engine_queries
 
@@ -35,7 +36,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return read_table(spark, sf, name)
 
 
 #: (rule, portable pattern, severity) of the line scans below.

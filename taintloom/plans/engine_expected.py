@@ -846,4 +846,13 @@ EXPECTED = {
             ("CVE-2", None),
         ],
     ),
+    "braced_blocks": (
+        "path string, block_start int, block_end int",
+        [
+            ("a.php", 2, 4),
+            ("a.php", 6, 8),
+            ("a.php", 9, 9),
+            ("b.c", 1, 3),
+        ],
+    ),
 }

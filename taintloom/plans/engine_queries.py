@@ -727,6 +727,14 @@ def text_blocks(spark, sf):
     return relational.blocks(rows, ["path"], F.col("code").rlike(r"^\s*(?:def|class)\s+")).select("path", "block_start", "block_end")
 
 
+@stated
+def braced_blocks(spark, sf):
+    """Blocks in languages with braces: one that isn't closed where the next begins is none."""
+    php = "<?php\nfunction f() {\n  x();\n}\nfunction g() {\nfunction h() {\n}\n}\nfunction k() {"
+    rows = corpus.code_lines(sources(spark, ("a.php", "php", php), ("b.c", "c", "int x;\n}\nint y;")))
+    return relational.brace_blocks(rows, ["path"], F.col("code").rlike(r"(?:function|void|int|char|bool|string|class)\s+\w+\s*\(")).select("path", "block_start", "block_end")
+
+
 @stated
 def analysis_cases(spark, sf):
     """The whole analysis over the regression projects."""
