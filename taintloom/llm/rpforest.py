@@ -126,13 +126,13 @@ def _forest(similar: Callable[[np.ndarray, np.ndarray], np.ndarray], n: int) ->
     return out
 
 
-def _meets(one: np.ndarray, others: np.ndarray, cosine: float) -> np.ndarray:
-    """Which of the unit vectors `others` have that cosine with `one`. The last bits of a product depend on the matrix that
-    it is made in, so those at the border are summed by themselves, as for any other pair."""
-    v = others @ one
+def _meets(a: np.ndarray, b: np.ndarray, cosine: float) -> np.ndarray:
+    """Which of the unit vectors `a` and `b` have that cosine. The last bits of a product depend on the matrix that it is made
+    in, so pairs at the border are summed by themselves, as anywhere else."""
+    v = a @ b.T
     hit = v >= cosine
-    close = np.flatnonzero(np.abs(v - cosine) < 1e-9)
-    hit[close] = (others[close] * one).sum(1) >= cosine
+    i, j = np.nonzero(np.abs(v - cosine) < 1e-9)
+    hit[i, j] = (a[i] * b[j]).sum(1) >= cosine
     return hit
 
 
@@ -172,7 +172,8 @@ def links(points: DataFrame, cosine: float, trees: int = 12, leaf: int = 256, sp
 
     def compare(keys, t):
         node, x = t["node"].to_numpy(), _unit(matrix(t["vector"]))
-        edges = np.array(_forest(lambda i, free: _meets(x[i], x[free], cosine), len(x)), np.int64).reshape(-1, 2)
+        hit = _meets(x, x, cosine)  # a cell has some 2 * CELL_ROWS rows at most
+        edges = np.array(_forest(lambda i, free: hit[i, free], len(x)), np.int64).reshape(-1, 2)
         return pa.table({"a": node[edges[:, 0]], "b": node[edges[:, 1]]})
 
     dealt = points.select("node", "vector").mapInArrow(deal, "leaf long, node long, vector array<double>")
@@ -213,10 +214,7 @@ def link_counts(points: DataFrame, roots: DataFrame, cosine: float) -> DataFrame
         side = t["left"].to_numpy()
         node, n, within, x = t["node"].to_numpy(), t["n"].to_numpy(), t["inside"].to_numpy(), _unit(matrix(t["vector"]))
         a, b = np.flatnonzero(side), np.flatnonzero(~side)
-        v = x[a] @ x[b].T
-        hit = v >= cosine
-        for i, j in zip(*np.nonzero(np.abs(v - cosine) < 1e-9), strict=True):  # as in _meets
-            hit[i, j] = (x[a[i]] * x[b[j]]).sum() >= cosine
+        hit = _meets(x[a], x[b], cosine)
         hit &= node[a][:, None] != node[b][None, :]
         back = hit & within[b][None, :]  # vectors in the ball get their links outside it from here
         near = np.r_[hit @ n[b], n[a] @ back]
