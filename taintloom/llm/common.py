@@ -69,6 +69,13 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: str = "64m") -> N
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """`name`, with underscores before it until it is none of the columns."""
+    while name in columns:
+        name = "_" + name
+    return name
+
+
 def chunks(texts: list, chars: int = 8_000_000) -> Iterator[list]:
     """Runs of texts with at most `chars` characters together, or one longer text."""
     run, size = [], 0

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, cut, small_batches, spread_join
+from .common import Scratch, cut, free_name, small_batches, spread_join
 
 LINE, SENTENCE = 0, 1
 
@@ -126,17 +126,18 @@ def deduplicated(docs: DataFrame, min_line_words: int = 6, min_run_words: int =
     finds passages inside longer lines and leaves short phrases that repeat by chance. Null texts stay null with nothing
     removed; empty texts stay. Rows that repeat a key are one document: they get
     the same cuts where their texts are equal, and nothing is cut of one for standing in the other. Every row and
-    column of `docs` is kept; the names `removed`, `__found`, `__v` and `__d` are this operator's own. The key must be an integer.
+    column of `docs` is kept but a column named `removed`, which is replaced. The key must be an integer.
     """
+    names = [c for c in docs.columns if c != "removed"]
+    hits, v, d = (free_name(docs.columns, n) for n in ("__found", "__v", "__d"))
     with Scratch(docs.sparkSession) as scratch:
         found = repeated_units(docs, key, text, min_line_words, scratch)
-        per_doc = cut(found.groupBy("doc", "version").agg(F.collect_list(F.struct("span", "facts")).alias("__found")))
-    names = [c for c in docs.columns if c not in ("removed", "__found", "__v", "__d")]
+        per_doc = cut(found.groupBy("doc", "version").agg(F.collect_list(F.struct("span", "facts")).alias(hits)))
 
     def hashed(batches):
         for b in batches:
-            v = [version_of(t) for t in b.column(names.index(text)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(v, pa.int32())], names=[*b.schema.names, "__v"])
+            versions = [version_of(t) for t in b.column(names.index(text)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(versions, pa.int32())], names=[*b.schema.names, v])
 
     def apply(batches):
         at = names.index(text)
@@ -159,8 +160,9 @@ def deduplicated(docs: DataFrame, min_line_words: int = 6, min_run_words: int =
             yield pa.RecordBatch.from_arrays([*columns, removed], names=[*names, "removed"])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    with_version = docs.select(*names).mapInArrow(hashed, f"{kinds}, __v int")
-    unnamed = F.lit((1 << 63) - 1) - F.col("__v").cast("long").bitwiseAND(0x7FFFFFFF)
-    with_version = with_version.withColumn("__d", F.coalesce(F.col(key).cast("long"), unnamed))
-    joined = with_version.join(per_doc, (F.col("__d") == F.col("doc")) & (F.col("__v") == F.col("version")), "left")
-    return joined.select(*names, "__found").mapInArrow(apply, f"{kinds}, removed array<struct<start:int,end:int>>")
+    with_version = docs.select(*names).mapInArrow(hashed, f"{kinds}, `{v}` int")
+    unnamed = F.lit((1 << 63) - 1) - F.col(v).cast("long").bitwiseAND(0x7FFFFFFF)
+    with_version = with_version.withColumn(d, F.coalesce(F.col(key).cast("long"), unnamed))
+    per_doc = per_doc.select(*(F.col(c).alias(free_name(docs.columns, f"__of_{c}")) for c in ("doc", "version")), hits)
+    joined = with_version.join(per_doc, (with_version[d] == per_doc[per_doc.columns[0]]) & (with_version[v] == per_doc[per_doc.columns[1]]), "left")
+    return joined.select(*(with_version[c] for c in names), hits).mapInArrow(apply, f"{kinds}, removed array<struct<start:int,end:int>>")
