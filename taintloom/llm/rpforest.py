@@ -173,7 +173,9 @@ def links(points: DataFrame, cosine: float, trees: int = 12, leaf: int = 256, sp
     def compare(keys, t):
         node, x = t["node"].to_numpy(), _unit(matrix(t["vector"]))
         hit = _meets(x, x, cosine)  # a cell has some 2 * CELL_ROWS rows at most
-        edges = np.array(_forest(lambda i, free: hit[i, free], len(x)), np.int64).reshape(-1, 2)
+        np.fill_diagonal(hit, False)
+        some = np.flatnonzero(hit.any(1))
+        edges = some[np.array(_forest(lambda i, free: hit[some[i], some[free]], len(some)), np.int64).reshape(-1, 2)]
         return pa.table({"a": node[edges[:, 0]], "b": node[edges[:, 1]]})
 
     dealt = points.select("node", "vector").mapInArrow(deal, "leaf long, node long, vector array<double>")
