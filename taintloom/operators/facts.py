@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from taintloom.functions.catalog import PYTHON_SINKS, PYTHON_SOURCES, SANITIZERS, sink_rows
 
 from .code_facts import c_facts, php_facts
+from .graph import cut
 
 FACTS = "project_id string, path string, language string, seq long, kind string, var string, dst string, name string, vuln_type string, types array<string>, code string, line int, module string, args array<array<string>>, results array<string>, params array<string>, kwonly array<string>, prefix string, end int"
 COLUMNS = [c.split()[0] for c in FACTS.split(", ")]
@@ -357,6 +358,10 @@ def facts_of(language: str, path: str, text: str, base: str = "") -> list[dict[s
     return php_facts(path, text) if language == "php" else c_facts(path, text)
 
 
+#: Projects whose folders may be broadcast: some 10 MB of names.
+MOST_PROJECTS = 100_000
+
+
 def common_folders(files: DataFrame) -> DataFrame:
     """(project_id, base): the folder that all Python files of a project are in, "" or ending with a slash. What the first and
     the last path in order share, all paths between them share too, so a minimum and a maximum are enough."""
@@ -370,7 +375,8 @@ def common_folders(files: DataFrame) -> DataFrame:
 
 def extract(files: DataFrame) -> DataFrame:
     """Facts of every file (project_id, path, language, text), one file at a time. A file that can't be parsed gives an
-    `error` row and nothing else; null and empty texts give nothing."""
+    `error` row and nothing else; null and empty texts give nothing. Projects are counted first, so that their folders are
+    broadcast and no text is shuffled, unless there are more than MOST_PROJECTS of them."""
 
     def run(frames):
         for frame in frames:
@@ -381,4 +387,6 @@ def extract(files: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=COLUMNS)
 
     code = files.where(F.col("language").isin("python", "php", "c", "cpp")).select("project_id", "path", "language", "text")
-    return code.join(common_folders(files), "project_id", "left").mapInPandas(run, FACTS)
+    folders = cut(common_folders(files))
+    few = folders.count() <= MOST_PROJECTS
+    return code.join(F.broadcast(folders) if few else folders, "project_id", "left").mapInPandas(run, FACTS)

@@ -17,12 +17,11 @@ def scan_stream(spark: SparkSession, folder: str, out: str, checkpoint: str, mos
     Lines and rule hits are stateless, so batches need no watermark. A batch that is run again after a failure overwrites
     its own folder (batch=<id>) instead of appending twice.
     """
-    table = rules.rules(spark).cache()
     files = spark.readStream.schema(FILES).option("maxFilesPerTrigger", most_files).parquet(folder)
     lines = files.select("project_id", "path", "language", F.posexplode(F.split("text", "\n", -1)).alias("__p", "code")).select("project_id", "path", "language", (F.col("__p") + 1).alias("line_no"), "code")
 
     def store(batch: DataFrame, number: int) -> None:
-        hits = rules.scan(batch, table).dropDuplicates(["project_id", "path", "line_no", "rule_id"])
+        hits = rules.scan(batch).dropDuplicates(["project_id", "path", "line_no", "rule_id"])
         hits.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return lines.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
