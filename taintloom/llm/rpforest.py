@@ -14,6 +14,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -149,7 +150,7 @@ def links(points: DataFrame, cosine: float, trees: int = 12, leaf: int = 256, sp
     if n < 2:
         return spark.createDataFrame([], "a long, b long")
     taken = points.orderBy(F.xxhash64(F.lit(5), "node")).limit(sample_rows).select("vector").toArrow().column(0)
-    widths = np.array([len(v) for v in taken.to_pylist()]) if len(taken) else np.zeros(0, int)
+    widths = pc.list_value_length(taken).to_numpy()
     depth = max(0, math.ceil(math.log2(n / leaf)))
     forests = {}
     for w, held in zip(*(x.tolist() for x in np.unique(widths, return_counts=True)), strict=True):
