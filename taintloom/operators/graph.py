@@ -54,8 +54,8 @@ def argument_edges(rows: DataFrame, key: str = "project_id") -> DataFrame:
     return rows.select(key, "seq", F.col("argument").alias("src"), F.concat_ws("::", "function", "parameter").alias("dst"))
 
 
-def bfs_paths(edges: DataFrame, sources: DataFrame, most: int = MAX_PATH, key: str = "project_id") -> DataFrame:
-    """(key, source, node, path, depth): the breadth-first tree of every source, first edges first, to `most` nodes.
+def bfs_paths(edges: DataFrame, sources: DataFrame, most: int = MAX_PATH, key: str = "project_id", label: str | None = None, blocked: DataFrame | None = None) -> DataFrame:
+    """(key, source, node, path, order, depth): the breadth-first tree of every source, first edges first, to `most` nodes.
 
     Level by level for graphs of any size: the frontier meets the edges, nodes that their source has seen go, and of
     several arrivals at a node the first wins. A queue takes nodes of one level in the order of the edges that led to
@@ -63,22 +63,30 @@ def bfs_paths(edges: DataFrame, sources: DataFrame, most: int = MAX_PATH, key: s
     window orders a level. One join with the edges and one with what has been seen per level; each level is
     checkpointed, and an empty one ends the search. edges: key, seq (any type with an order, no two alike), src, dst.
     sources: key, source.
+
+    label, blocked: sources have a column `label` too, a tree of its own each, and a tree's paths avoid the nodes that
+    `blocked` (key, label, node) has for its label; a source among them has no tree. The result has the column as well.
     """
+    labels = [label] if label else []
+    of = [key, *labels, "source"]
     e = edges.select(F.col(key).alias("__of"), "src", "dst", F.col("seq").alias("__seq"))
-    start = sources.select(key, "source").distinct()
+    start = sources.select(*of).distinct()
+    closed = blocked.select(key, *labels, "node").distinct() if blocked is not None else None
     none = F.array().cast(f"array<{edges.schema['seq'].dataType.simpleString()}>")
-    frontier = cut(start.select(key, "source", F.col("source").alias("node"), F.array("source").alias("path"), none.alias("order")))
+    first = start.select(*of, F.col("source").alias("node"), F.array("source").alias("path"), none.alias("order"))
+    open_ = lambda rows: rows if closed is None else rows.join(closed, [key, *labels, "node"], "left_anti")
+    frontier = cut(open_(first).select(*first.columns))
     seen = frontier
     for _ in range(most - 1):
         step = frontier.join(e, (F.col(key) == F.col("__of")) & (F.col("node") == F.col("src")))
-        step = step.select(key, "source", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"), F.concat("order", F.array("__seq")).alias("order"))
-        fresh = step.join(seen.select(key, "source", "node"), [key, "source", "node"], "left_anti")
-        won = fresh.groupBy(key, "source", "node").agg(F.min(F.struct("order", "path")).alias("__w"))
-        frontier = cut(won.select(key, "source", "node", "__w.path", "__w.order"))
+        step = step.select(*of, F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"), F.concat("order", F.array("__seq")).alias("order"))
+        fresh = open_(step).join(seen.select(*of, "node"), [*of, "node"], "left_anti")
+        won = fresh.groupBy(*of, "node").agg(F.min(F.struct("order", "path")).alias("__w"))
+        frontier = cut(won.select(*of, "node", "__w.path", "__w.order"))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
-    return seen.select(key, "source", "node", "path", "order", F.size("path").alias("depth"))
+    return seen.select(*of, "node", "path", "order", F.size("path").alias("depth"))
 
 
 def breadth_first(near: dict[str, list[str]], source: str, most: int, blocked: set[str] | frozenset[str] = frozenset()) -> dict[str, str | None]:

@@ -51,28 +51,60 @@ def proximity_first(a: DataFrame, b: DataFrame, key: list[str], at: str, width:
     return near.groupBy(*key).agg(F.min(at).alias(at))
 
 
-def within_spans(points: DataFrame, spans: DataFrame, key: list[str], at: str, start: str, end: str) -> DataFrame:
-    """Inner join of points with the spans of their key that hold them (start <= at <= end)."""
-    return points.join(spans, key).where((F.col(at) >= F.col(start)) & (F.col(at) <= F.col(end)))
+def whole_number(c: Column, kind: str) -> Column:
+    """A long that keeps the order of numbers, dates and times (numbers and times are rounded down)."""
+    if kind == "date":
+        return F.unix_date(c).cast("long")
+    if kind == "timestamp":
+        return F.unix_micros(c)
+    if kind == "timestamp_ntz":
+        return F.unix_micros(c.cast("timestamp"))
+    return F.floor(c).cast("long")
+
 
+def within_spans(points: DataFrame, spans: DataFrame, key: list[str], at: str, start: str, end: str) -> DataFrame:
+    """Inner join of points with the spans of their key that hold them (start <= at <= end), on numbers, dates or times.
 
-def longest_suffix(rows: DataFrame, suffixes: DataFrame | list[tuple[str, int]], text: str, suffix: str, order: str = "", most: int = 10_000) -> DataFrame:
+    A span belongs to the size class 2^k that is its length or more, and covers at most two blocks of that width. A point
+    looks into one block of each class that occurs (at most 64, counted first), so it is an equi-join on (key, class,
+    block) whose pairs are bounded by those of spans near the point, not by all spans of its key. A key with very many
+    spans and points is dealt out by blocks. Spans with a null bound or that end before they start hold nothing.
+    """
+    kind = lambda df, c: df.schema[c].dataType.typeName()
+    low, high = whole_number(F.col(start), kind(spans, start)), whole_number(F.col(end), kind(spans, end))
+    # bit_length of the length: 2^k > length for k = 64 - leading zeros.
+    wide = F.greatest(high - low, F.lit(0))
+    size = F.when(wide == 0, 0).otherwise(F.length(F.bin(wide))).cast("int")
+    block = lambda c, k: F.shiftright(c, k) if isinstance(k, int) else F.call_function("shiftright", c, k)
+    held = spans.where(F.col(start) <= F.col(end)).withColumns({"__k": size, "__low": low, "__high": high})
+    held = held.withColumn("__block", F.explode(F.array_distinct(F.array(block(F.col("__low"), F.col("__k")), block(F.col("__high"), F.col("__k")))))).drop("__low", "__high")
+    sizes = sorted(r[0] for r in held.select("__k").distinct().collect())
+    if not sizes:
+        return points.join(spans, key).where("1 = 0")
+    p = whole_number(F.col(at), kind(points, at))
+    places = F.array(*(F.struct(F.lit(k).alias("__k"), block(p, k).alias("__block")) for k in sizes))
+    asked = points.where(F.col(at).isNotNull()).withColumn("__place", F.explode(places)).select(*points.columns, "__place.*")
+    met = asked.join(held, [*key, "__k", "__block"]).where((F.col(at) >= F.col(start)) & (F.col(at) <= F.col(end)))
+    return met.drop("__k", "__block")
+
+
+def longest_suffix(rows: DataFrame, suffixes: DataFrame | list[tuple[str, int]], text: str, suffix: str, order: str = "") -> DataFrame:
     """Left join of each row with the longest suffix that its text ends with; ties go to the smaller `order`.
 
-    A list of (suffix, order) is a literal that each row searches, without a join. A table's number of rows is checked: up
-    to `most` rows it becomes such a literal, beyond that rows join on every suffix of their text (an equi-join).
+    A list of (suffix, order) is a literal that each row searches, without a join. A table of any size is an equi-join: a
+    text gives as many keys as suffixes have lengths (the lengths are collected; there are few of them at any number of
+    suffixes), each the end of the text of that length. Texts are looked up once each, and the best is a minimum, summed
+    map-side. Null texts and texts without a suffix get null; null suffixes are none.
     """
     if isinstance(suffixes, list):
-        table = suffixes
-    else:
-        table = [(r[suffix], r[order]) for r in suffixes.select(suffix, order).limit(most + 1).collect()]
-    if isinstance(suffixes, list) or len(table) <= most:
-        ranked = sorted(table, key=lambda r: (-len(r[0]), r[1]))
+        ranked = sorted(suffixes, key=lambda r: (-len(r[0]), r[1]))
         found = F.filter(F.array(*(F.lit(s) for s, _ in ranked)), lambda s: F.endswith(F.col(text), s)) if ranked else F.array().cast("array<string>")
         return rows.withColumn(suffix, F.get(found, F.lit(0)))
-    every = rows.select(text).distinct().withColumn("__s", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda k: F.substring(F.col(text), k, F.length(text)))))
-    hit = every.join(suffixes.select(suffix, order), F.col("__s") == F.col(suffix))
-    best = first_wins(hit, [text], [F.length(suffix).desc(), F.col(order)]).select(text, suffix)
+    table = suffixes.where(F.col(suffix).isNotNull()).groupBy(F.col(suffix).alias("__s")).agg(F.min(order).alias("__o"))
+    lengths = sorted(r[0] for r in table.select(F.length("__s")).distinct().collect())
+    ends = F.array_compact(F.array(*(F.when(F.length(text) >= n, F.right(F.col(text), F.lit(n))) for n in lengths))) if lengths else F.array().cast("array<string>")
+    keys = rows.select(text).where(F.col(text).isNotNull()).distinct().withColumn("__s", F.explode(ends))
+    best = keys.join(table, "__s").groupBy(text).agg(F.min_by("__s", F.struct(-F.length("__s"), F.col("__o"))).alias(suffix))
     return rows.join(best, text, "left")
 
 
@@ -94,9 +126,11 @@ def pattern_hits(rows: DataFrame, rules: list[tuple[str, str]], text: str = "cod
 
 def rule_join(rows: DataFrame, rules: DataFrame | list[tuple[str, str]], text: str = "code") -> DataFrame:
     """Every (row, rule) pair whose pattern the text holds. Rules of a list (rule_id, pattern) are literals: one alternation
-    filters rows, and each that is left gives its rules as an array. A table (with `pattern`) is joined."""
+    filters rows, and each that is left gives its rules as an array. A table (with `pattern`) goes by `literals.indexed_join`."""
     if not isinstance(rules, list):
-        return rows.join(rules, F.expr(f"rlike({text}, pattern)"))
+        from .literals import indexed_join
+
+        return indexed_join(rows, rules, text)
     any_rule = "|".join(f"(?:{p})" for _, p in rules)
     held = F.array_compact(F.array(*(F.when(F.col(text).rlike(p), F.lit(r)) for r, p in rules)))
     return rows.where(F.col(text).rlike(any_rule)).withColumn("rule_id", F.explode(held))

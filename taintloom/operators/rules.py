@@ -9,6 +9,8 @@ from taintloom.functions import text as T
 from taintloom.functions.patterns import any_of
 from taintloom.functions.rule_tables import DEFAULT_VERSION, PHP_VERSIONS, RULES, SIGNATURES, VERSIONS
 
+from .literals import indexed_join
+
 SCHEMA = "language string, ord int, rule_id string, category string, default_severity string, min_version string, max_version string, severity_overrides map<string,string>, pattern string, confidence double"
 
 
@@ -37,23 +39,20 @@ def active(table: DataFrame, version: str = "version") -> DataFrame:
 def scan(lines: DataFrame, table: DataFrame | None = None, versions: DataFrame | None = None) -> DataFrame:
     """(project_id, path, line_no, rule_id, category, severity, confidence, code) of lines that hold an active rule.
 
-    Which rules are active for a project's version (versions: project_id, language, version) is settled before any line is
-    matched; an unknown version passes everything. Without a `table` the rules are those of this package: literal
-    patterns, compiled once, behind one alternation that most lines fail. With one, lines meet the table's rows of their
-    language by a join.
+    versions: project_id, language, version; which rules are active is settled before a literal pattern is matched; an unknown
+    version passes everything. Without a `table` the rules are those of this package: literal
+    patterns, compiled once, behind one alternation that most lines fail. With one, of any size, lines meet those rules of
+    their language whose literals they hold by an equi-join (`literals.indexed_join`), and what matches is held against the
+    project's version.
     """
     if table is None:
         return _scan_literal(lines, versions)
+    hit = indexed_join(lines, table, "code", ["language"])
     if versions is None:
-        ready = active(table.withColumn("version", F.lit(None).cast("string"))).drop("version")
-        hit = lines.join(ready, "language")
+        hit = hit.withColumn("version", F.lit(None).cast("string"))
     else:
-        known = versions.select("project_id", "language", "version")
-        told = lines.select("project_id", "language").distinct().join(known, ["project_id", "language"], "left")
-        ready = active(told.join(table, "language")).drop("version")
-        hit = lines.join(ready, ["project_id", "language"])
-    hit = hit.where(F.expr("rlike(code, pattern)"))
-    return hit.select("project_id", "path", "line_no", "rule_id", "category", "severity", "confidence", F.trim("code").alias("code"))
+        hit = hit.join(versions.select("project_id", "language", "version"), ["project_id", "language"], "left")
+    return active(hit).select("project_id", "path", "line_no", "rule_id", "category", "severity", "confidence", F.trim("code").alias("code"))
 
 
 def _scan_literal(lines: DataFrame, versions: DataFrame | None) -> DataFrame:

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import ordered
 from .graph import MAX_PATH, bfs_paths, breadth_first, cut, path_to
 from .relational import first_wins
 
@@ -61,11 +62,11 @@ def flows(facts: DataFrame, mode: str = "declarative", most: int = MAX_PATH, fun
 
     A project's sources are dealt over as many tasks as keep sources times edges at about `task_steps`, each with the
     project's edges; a project with more than `task_edges` edges is searched level by level with joins instead, with the
-    same rows. Both need no order of facts between sources, so the mode `compat`, which folds a project's facts in order,
-    keeps a project in one task.
+    same rows. In the mode `compat`, which folds a project's facts in order, a project of at most `task_edges` edges is one
+    task; larger ones are folded by ranges (`ordered.folded`), with the same rows.
 
-    functions: calls that give a file's or a database's content count as sources too. around_clean: if the first path to
-    a sink is cleaned, the first one around the nodes that clean for its type is looked for.
+    functions: calls that give a file's or a database's content count as sources too. around_clean (declarative): if the
+    first path to a sink is cleaned, the first one around the nodes that clean for its type is looked for.
     """
     if mode not in ("declarative", "compat"):
         raise ValueError(f"no such mode: {mode}")
@@ -82,39 +83,85 @@ def flows(facts: DataFrame, mode: str = "declarative", most: int = MAX_PATH, fun
         rows = _search(left.sort_values(order).to_dict("records"), right.sort_values(order).to_dict("records"), mode, most, around_clean)
         return pd.DataFrame([(project, *r) for r in rows], columns=names)
 
-    if mode == "compat":
-        whole = marks.withColumn("mine", F.col("kind") == "source")
-        return whole.groupBy("project_id").cogroup(edges.groupBy("of")).applyInPandas(lambda a, b: search(b, a), FLOWS)
-
     edges = cut(edges)
     sizes = edges.groupBy("of").count().select(F.col("of").alias("project_id"), F.col("count").alias("edges"))
-    found = marks.where("kind = 'source'").groupBy("project_id").agg(F.countDistinct("var").alias("sources"))
-    plan = found.join(sizes, "project_id", "left").na.fill(0, ["edges"]).withColumn("shards", F.greatest(F.ceil(F.col("sources") * F.col("edges") / task_steps), F.lit(1)).cast("int"))
-    small, large = plan.where(F.col("edges") <= task_edges), plan.where(F.col("edges") > task_edges)
     largest = sizes.agg(F.max("edges")).first()[0] or 0
-    dealt = marks.join(small.select("project_id", "shards"), "project_id").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+    of_large = sizes.where(F.col("edges") > task_edges).select("project_id")
+    small_marks, small_edges = marks, edges
+    if largest > task_edges:
+        large_marks = marks.join(of_large, "project_id", "left_semi")
+        large_edges = edges.withColumnRenamed("of", "project_id").join(of_large, "project_id", "left_semi")
+        small_marks = marks.join(of_large, "project_id", "left_anti")
+        small_edges = edges.join(of_large.withColumnRenamed("project_id", "of"), "of", "left_anti").select(*edges.columns)
+
+    if mode == "compat":
+        whole = small_marks.withColumn("mine", F.col("kind") == "source")
+        out = whole.groupBy("project_id").cogroup(small_edges.groupBy("of")).applyInPandas(lambda a, b: search(b, a), FLOWS)
+        return out if largest <= task_edges else out.unionByName(_large_folded(large_edges, large_marks, most))
+
+    found = small_marks.where("kind = 'source'").groupBy("project_id").agg(F.countDistinct("var").alias("sources"))
+    plan = found.join(sizes, "project_id", "left").na.fill(0, ["edges"]).withColumn("shards", F.greatest(F.ceil(F.col("sources") * F.col("edges") / task_steps), F.lit(1)).cast("int"))
+    shards = plan.select("project_id", "shards")
+    dealt = small_marks.join(shards, "project_id").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
     dealt = dealt.withColumn("mine", (F.col("kind") == "source") & (F.pmod(F.xxhash64("var"), "shards") == F.col("shard"))).drop("shards")
-    spread = edges.join(small.select(F.col("project_id").alias("of"), "shards"), "of").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).drop("shards")
+    spread = small_edges.join(shards.withColumnRenamed("project_id", "of"), "of").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).drop("shards")
     out = dealt.repartition("project_id", "shard").groupBy("project_id", "shard").cogroup(spread.repartition("of", "shard").groupBy("of", "shard")).applyInPandas(lambda a, b: search(b, a), FLOWS)
-    if largest <= task_edges:
-        return out
-    if around_clean:
-        raise ValueError(f"paths around cleaned nodes need projects of at most {task_edges} edges")
-    of_large = large.select("project_id")
-    return out.unionByName(_large_flows(edges.join(of_large.withColumnRenamed("project_id", "of"), "of", "left_semi"), marks.join(of_large, "project_id", "left_semi"), most))
-
-
-def _large_flows(edges: DataFrame, marks: DataFrame, most: int) -> DataFrame:
-    """What `_search` finds, by joins: the level search of all sources, and sinks that no node of a path cleans."""
-    sources = first_wins(marks.where("kind = 'source'"), ["project_id", "var"], ["path", "seq"])
-    sources = sources.select("project_id", F.col("var").alias("source"), F.struct("path", "line", "name", "code", "seq").alias("s"))
-    tree = bfs_paths(edges.select(F.col("of").alias("project_id"), F.struct("path", "seq", "src", "dst").alias("seq"), "src", "dst"), sources, most)
-    sinks = marks.where("kind = 'sink'").select("project_id", F.col("var").alias("node"), F.struct("path", "line", "vuln_type", "language", "name", "code", "seq").alias("t"))
-    met = cut(tree.join(sinks, ["project_id", "node"]).drop("order").withColumnRenamed("path", "nodes"))
+    return out if largest <= task_edges else out.unionByName(_large_flows(large_edges, large_marks, most, around_clean))
+
+
+def _tree_edges(edges: DataFrame) -> DataFrame:
+    return edges.select("project_id", F.struct("path", "seq", "src", "dst").alias("seq"), "src", "dst")
+
+
+def _sinks(marks: DataFrame) -> DataFrame:
+    return marks.where("kind = 'sink'").select("project_id", F.col("var").alias("node"), F.struct("path", "line", "vuln_type", "language", "name", "code", "seq").alias("t"))
+
+
+def _sources(marks: DataFrame) -> DataFrame:
+    return marks.select("project_id", F.col("var").alias("source"), F.struct("path", "line", "name", "code", "seq").alias("s"))
+
+
+def _large_flows(edges: DataFrame, marks: DataFrame, most: int, around_clean: bool) -> DataFrame:
+    """What `_search` finds, by joins: the level search of all sources, and sinks that no node of a path cleans. Paths around
+    cleaned nodes are a second level search, of the pairs of a source and a type that lost a path: a tree for each, which
+    the nodes that clean for its type are kept out of."""
+    sources = _sources(first_wins(marks.where("kind = 'source'"), ["project_id", "var"], ["path", "seq"]))
+    sinks, lost = _sinks(marks), ["project_id", "source", "node", "vuln_type"]
+    tree = bfs_paths(_tree_edges(edges), sources, most)
+    met = cut(tree.join(sinks, ["project_id", "node"]).drop("order").withColumnRenamed("path", "nodes").withColumn("vuln_type", F.col("t.vuln_type")))
     clean = marks.where("kind = 'sanitize'").select("project_id", F.col("var").alias("on"), F.explode("types").alias("type")).distinct()
-    gone = met.select("project_id", "source", "node", F.col("t.vuln_type").alias("vuln_type"), F.explode("nodes").alias("on")).distinct().join(clean, ["project_id", "on"]).where("type = 'all' or type = vuln_type")
-    kept = met.withColumn("vuln_type", F.col("t.vuln_type")).join(gone.select("project_id", "source", "node", "vuln_type").distinct(), ["project_id", "source", "node", "vuln_type"], "left_anti")
-    rows = kept.join(sources, ["project_id", "source"])
+    gone = met.select(*lost, F.explode("nodes").alias("on")).distinct().join(clean, ["project_id", "on"]).where("type = 'all' or type = vuln_type").select(*lost).distinct()
+    gone = cut(gone)
+    kept = met.join(gone, lost, "left_anti").select("project_id", "source", "nodes", "t", "vuln_type")
+    if around_clean:
+        again = gone.select("project_id", "source", "vuln_type").distinct()
+        kinds = again.select("project_id", "vuln_type").distinct()
+        blocked = clean.join(kinds, "project_id").where("type = 'all' or type = vuln_type").select("project_id", "vuln_type", F.col("on").alias("node")).distinct()
+        around = bfs_paths(_tree_edges(edges), again, most, label="vuln_type", blocked=cut(blocked)).withColumnRenamed("path", "nodes")
+        more = around.join(gone, lost, "left_semi").join(sinks, ["project_id", "node"]).where(F.col("t.vuln_type") == F.col("vuln_type"))
+        kept = kept.unionByName(more.select(*kept.columns))
+    return _rows(kept.join(sources, ["project_id", "source"]))
+
+
+def _large_folded(edges: DataFrame, marks: DataFrame, most: int) -> DataFrame:
+    """What `_search` finds in the mode `compat`, by joins: labels from the fold by ranges, taint spread from what are sources
+    at the end, and of the paths of the level search those whose nodes are all tainted, to the last sink of a variable."""
+    labels = ordered.folded(marks, edges)
+    starts = cut(ordered.last_sources(marks, edges))
+    tainted = labels.where(F.col("label") == ordered.TAINT).select("project_id", "node")
+    closed = labels.where("label = 'all'").select("project_id", "node")
+    tainted = ordered.spread(tainted, closed, edges, starts.select("project_id", F.col("var").alias("node")))
+    sources = _sources(starts)
+    sinks = _sinks(first_wins(marks.where("kind = 'sink'"), ["project_id", "var"], [F.col("path").desc(), F.col("seq").desc()]))
+    met = cut(bfs_paths(_tree_edges(edges), sources, most).join(sinks, ["project_id", "node"]).drop("order").withColumnRenamed("path", "nodes").withColumn("vuln_type", F.col("t.vuln_type")))
+    pure = met.select("project_id", "source", "node", F.explode("nodes").alias("on")).join(tainted.withColumnRenamed("node", "on"), ["project_id", "on"], "left_anti")
+    kept = met.join(pure.select("project_id", "source", "node").distinct(), ["project_id", "source", "node"], "left_anti")
+    kept = kept.join(labels.withColumnRenamed("label", "vuln_type"), ["project_id", "node", "vuln_type"], "left_anti")
+    return _rows(kept.join(sources, ["project_id", "source"]))
+
+
+def _rows(rows: DataFrame) -> DataFrame:
+    """FLOWS of rows (project_id, source, s, t, vuln_type, nodes)."""
     pad = lambda c: F.format_string("%012d", c.cast("long"))
     order = F.concat_ws("\0", "s.path", pad(F.col("s.seq")), pad(F.size("nodes")), "t.path", pad(F.col("t.seq")))
     return rows.select("project_id", F.col("t.path").alias("file_path"), F.col("t.line").alias("line_number"), F.col("s.path").alias("source_file"), F.col("s.line").alias("source_line"), F.col("t.line").alias("sink_line"), "vuln_type", F.col("t.language").alias("language"), F.col("s.name").alias("source_func"), F.col("t.name").alias("sink_func"), F.col("s.code").alias("source_code"), F.col("t.code").alias("sink_code"), F.array_join("nodes", " → ").alias("data_flow"), F.col("nodes").alias("path"), order.alias("seq"))
@@ -167,8 +214,8 @@ def _fold(edges: list[dict], marks: list[dict], sources: dict, near: dict) -> tu
     """Flags after all facts in order, then spread from the sources; nodes cleaned of everything stop the spread."""
     tainted: dict[str, bool] = {}
     clean: dict[str, set] = {}
-    steps = sorted([(m["path"], m["seq"], 0, m) for m in marks] + [(e["path"], e["seq"], 1, e) for e in edges], key=lambda s: s[:3])
-    for _, _, _, x in steps:
+    steps = [(m["path"], m["seq"], 0, m["var"], "", m["kind"], m) for m in marks] + [(e["path"], e["seq"], 1, e["src"], e["dst"], "", e) for e in edges]
+    for *_, x in sorted(steps, key=lambda s: s[:6]):
         if "src" in x:
             a, b = x["src"], x["dst"]
             tainted[b] = tainted.get(b, False) or tainted.setdefault(a, False)

@@ -113,10 +113,35 @@ def linked(template: Column, name: Column) -> Column:
     return path.endswith(bare) | bare.endswith(F.substring_index(path, "/", -1))
 
 
+def linked_pairs(pages: DataFrame, names: DataFrame, key: list[str], path: str = "path", name: str = "name") -> DataFrame:
+    """(key, path, name): templates and the names that mean them (`linked`), each pair once, by equi-joins on path ends.
+
+    Two texts one of which ends with the other have the same characters at the end: the shorter one's last few. So a name's
+    end of each length that the file names of its project have, and a path's end of each length that names have, are
+    keys; what meets is held against the rule itself. Lengths are few at any number of paths, so a path gives a bounded
+    number of keys; a short end that very many paths share costs what it truly joins.
+    """
+    paths = pages.select(*key, path).distinct().withColumn("__path", F.replace(path, F.lit("\\"), F.lit("/")))
+    bare = names.select(*key, name).where(F.col(name).isNotNull()).distinct().withColumn("__bare", F.ltrim(F.replace(name, F.lit("\\"), F.lit("/")), F.lit("/")))
+    last = paths.withColumn("__last", F.substring_index("__path", "/", -1))
+
+    def ends(text: str, lengths: list[int]) -> Column:
+        return F.explode(F.array_compact(F.array(*(F.when(F.length(text) >= n, F.right(F.col(text), F.lit(n))) for n in lengths))) if lengths else F.array().cast("array<string>"))
+
+    def lengths(df: DataFrame, c: str) -> list[int]:
+        return sorted(r[0] for r in df.select(F.length(c)).where(F.col(c).isNotNull()).distinct().collect())
+
+    by_name = paths.withColumn("__end", ends("__path", lengths(bare, "__bare"))).join(bare.withColumnRenamed("__bare", "__end"), [*key, "__end"])
+    by_file = bare.withColumn("__end", ends("__bare", lengths(last, "__last"))).join(last.withColumnRenamed("__last", "__end"), [*key, "__end"])
+    return by_name.select(*key, path, name).unionByName(by_file.select(*key, path, name)).distinct()
+
+
 def template_variables(files: DataFrame) -> DataFrame:
-    """(project_id, path, variables) of the templates that some view passes user input to: the union over views."""
+    """(project_id, path, variables) of the templates that some view passes user input to: the union over views. Views and
+    templates meet by the ends of their paths, so a project's pages don't all meet all its views."""
     pages = files.where(F.col("language") == "template").select(*KEY)
-    met = pages.join(view_variables(files).where(F.size("variables") > 0), "project_id").where(linked(F.col("path"), F.col("name")))
+    views = view_variables(files).where(F.size("variables") > 0)
+    met = linked_pairs(pages, views, ["project_id"]).join(views, ["project_id", "name"])
     return met.groupBy(*KEY).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("variables")))).alias("variables"))
 
 

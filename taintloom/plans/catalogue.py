@@ -16,7 +16,7 @@ from taintloom.functions.catalog import CWE, SEVERITY, cwe, severity, severity_r
 from taintloom.operators import detectors, graph, relational, report, rules
 from taintloom.sources.tables import read_table
 
-from . import engine_queries
+from . import code_queries, engine_queries, scale_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -470,6 +470,9 @@ def positional_join(spark, sf):
     return relational.by_position(rows, later, ["conv_id", "turn"], "words", "words").withColumn("pos", F.col("pos").cast("long"))
 
 
+for module in (code_queries, scale_queries):
+    QUERIES |= module.QUERIES
+    ORACLES |= module.ORACLES
 QUERIES |= engine_queries.QUERIES
 ORACLES |= {name: engine_queries.sql(name) for name in engine_queries.QUERIES}
 
