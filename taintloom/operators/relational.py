@@ -72,11 +72,10 @@ def within_spans(points: DataFrame, spans: DataFrame, key: list[str], at: str, s
     """
     kind = lambda df, c: df.schema[c].dataType.typeName()
     low, high = whole_number(F.col(start), kind(spans, start)), whole_number(F.col(end), kind(spans, end))
-    # bit_length of the length: 2^k > length for k = 64 - leading zeros.
-    wide = F.greatest(high - low, F.lit(0))
-    size = F.when(wide == 0, 0).otherwise(F.length(F.bin(wide))).cast("int")
+    wide = F.try_subtract(F.col("__high"), F.col("__low"))
+    size = F.when(wide == 0, 0).otherwise(F.coalesce(F.length(F.bin(wide)), F.lit(63))).cast("int")  # binary digits
     block = lambda c, k: F.shiftright(c, k) if isinstance(k, int) else F.call_function("shiftright", c, k)
-    held = spans.where(F.col(start) <= F.col(end)).withColumns({"__k": size, "__low": low, "__high": high})
+    held = spans.where(F.col(start) <= F.col(end)).withColumns({"__low": low, "__high": high}).withColumn("__k", size)
     held = held.withColumn("__block", F.explode(F.array_distinct(F.array(block(F.col("__low"), F.col("__k")), block(F.col("__high"), F.col("__k")))))).drop("__low", "__high")
     sizes = sorted(r[0] for r in held.select("__k").distinct().collect())
     if not sizes:

@@ -154,3 +154,26 @@ def facts_sql(language: str, kinds: list[str], columns: str) -> str:
     return f"""SELECT {columns} FROM (SELECT path, kind, line, {put("var")} AS variable, {put("dst")} AS target, name, vuln_type, types
 FROM (SELECT 'o' || o || '.{SUFFIX[language]}' AS path, k + {len(HEADS[language])} AS line, v, w, pick FROM ({LINES_SQL})) l
 JOIN (VALUES {values}) f(form, kind, var, dst, name, vuln_type, types) ON f.form = l.pick % {len(FORMS[language])})"""
+
+
+def made_files(rows: DataFrame, project, files: list[tuple[str, str, str]]) -> DataFrame:
+    """Files (path, language, text) for each row, with the row's columns (strings) put in for {their names}."""
+    put = {c: F.col(c) for c in rows.columns}
+    each = F.array(*(F.struct(filled(F.lit(p), **put).alias("path"), F.lit(lang).alias("language"), filled(F.lit(x), **put).alias("text")) for p, lang, x in files))
+    return rows.select(project.alias("project_id"), F.explode(each).alias("f")).select("project_id", "f.*")
+
+
+def each_row_sql(rows_sql: str, put: list[str], values: list[tuple], columns: list[str], kinds: dict[str, str] | None = None) -> str:
+    """What is stated for each row as SQL: VALUES with {names} of `put` filled in, for every row of `rows_sql`. A last value
+    of each is a condition on the row. kinds: types of columns that aren't text."""
+    kinds = kinds or {}
+    lit = ", ".join("(" + ", ".join([*(text(str(x) if x is not None else None) for x in v[:-1]), str(k)]) + ")" for k, v in enumerate(values))
+
+    def filled_sql(c: str) -> str:
+        out = f"v.{c}"
+        for p in put:
+            out = f"replace({out}, '{{{p}}}', CAST(r.{p} AS VARCHAR))"
+        return f"CAST({out} AS {kinds[c]}) AS {c}" if c in kinds else f"{out} AS {c}"
+
+    held = " OR ".join(f"(v.k = {k} AND ({v[-1]}))" for k, v in enumerate(values))
+    return f"SELECT {', '.join(map(filled_sql, columns))} FROM ({rows_sql}) r JOIN (VALUES {lit}) v({', '.join(columns)}, k) ON {held}"

@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taintloom.operators import facts
+from taintloom.functions import patterns as P
+from taintloom.functions import text as T
+from taintloom.operators import callgraph, detectors, facts, rules, taint, templates
+from taintloom.sources import corpus
+from taintloom.sources.tables import read_table
 
 from . import code_forms as C
+from . import pipeline
 
 QUERIES = {}
 ORACLES = {}
@@ -42,3 +47,298 @@ def _fact_queries() -> None:
 
 
 _fact_queries()
+
+
+def rows_of(spark, sf, table: str, **columns: str) -> DataFrame:
+    """Columns of a table by SQL expressions, as text."""
+    return read_table(spark, sf, table).select(*(F.expr(e).cast("string").alias(c) for c, e in columns.items()))
+
+
+# Modules of customers: a class, a function, imports.
+
+CUSTOMERS_SQL = "SELECT c_custkey AS c, c_nationkey AS n, 'src/n' || c_nationkey || '/m' || c_custkey || '.py' AS p, c_custkey % 2 = 0 AS even FROM customer"
+MODULE = """import os.path as p{c}
+from . import near{c}
+from ..up import far{c}
+top{c} = 1
+class K{c}:
+    {word} m{c}(self, a{c}, *, k=None):
+        return a{c}
+def f{c}(x{c}{slash}, y):
+    return x{c}
+r{c} = f{c}(q{c}, 5)
+"""
+
+
+def modules(spark, sf) -> DataFrame:
+    rows = rows_of(spark, sf, "customer", c="c_custkey", n="c_nationkey", word="CASE WHEN c_custkey % 3 = 0 THEN 'async def' ELSE 'def' END", slash="CASE WHEN c_custkey % 2 = 0 THEN ', /' ELSE '' END")
+    return C.made_files(rows, F.concat(F.lit("p"), (F.col("c").cast("long") % 5).cast("string")), [("src/n{n}/m{c}.py", "python", MODULE), ("src/base{c}.py", "python", "z = 1\n")])
+
+
+SCOPES = [
+    ("function", "6", "K{c}.m{c}", None, "self,a{c}", "k", "{p}@K{c}.m{c}:", "true"),
+    ("function", "8", "f{c}", None, "x{c},y", "", "{p}@f{c}:", "true"),
+    ("source", "6", "function.parameter", "{p}@K{c}.m{c}:a{c}", None, None, None, "true"),
+    ("source", "6", "function.parameter", "{p}@K{c}.m{c}:k", None, None, None, "true"),
+    ("source", "8", "function.parameter", "{p}@f{c}:x{c}", None, None, None, "true"),
+    ("source", "8", "function.parameter", "{p}@f{c}:y", None, None, None, "true"),
+    ("var", None, "top{c}", "{p}@:top{c}", None, None, None, "true"),
+    ("var", None, "r{c}", "{p}@:r{c}", None, None, None, "true"),
+]
+
+
+@query(C.each_row_sql(CUSTOMERS_SQL, ["c", "p"], SCOPES, ["kind", "line", "name", "variable", "params", "kwonly", "prefix"], {"line": "INTEGER"}))
+def code_scopes(spark, sf):
+    """Functions with qualified names, parameters as sources, and module variables, of every customer's module."""
+    rows = facts.extract(modules(spark, sf)).where("kind in ('function', 'var') or name = 'function.parameter'").where("path like 'src/n%'")
+    join = lambda c: F.when(F.col("kind") == "function", F.array_join(c, ",")).alias(c)
+    return rows.select("kind", "line", "name", F.col("var").alias("variable"), join("params"), join("kwonly"), "prefix")
+
+
+@query(C.each_row_sql(CUSTOMERS_SQL, ["c", "n", "p"], [("{p}", "1", "p{c}", "os.path", "true"), ("{p}", "2", "near{c}", "n{n}.near{c}", "true"), ("{p}", "3", "far{c}", "up.far{c}", "true")], ["path", "line", "name", "target"], {"line": "INTEGER"}))
+def code_imports(spark, sf):
+    """Aliases of imports: renamed, and relative ones of the own and the next higher package."""
+    return facts.extract(modules(spark, sf)).where("kind = 'alias'").select("path", "line", "name", F.col("dst").alias("target"))
+
+
+@query(C.each_row_sql(CUSTOMERS_SQL, ["c", "n", "p"], [("{p}", "n{n}.m{c}", "top{c}", "true"), ("{p}", "n{n}.m{c}", "r{c}", "true"), ("src/base{c}.py", "base{c}", "z", "true")], ["path", "module", "name"]))
+def code_modules(spark, sf):
+    """Names of modules, below the folder that all files of a project share."""
+    return facts.extract(modules(spark, sf)).where("kind = 'var'").select("path", "module", "name")
+
+
+@query(C.each_row_sql(CUSTOMERS_SQL, ["c", "p"], [("{p}", "7", "{p}@K{c}.m{c}:a{c}", "{p}@K{c}.m{c}:#ret", "true"), ("{p}", "9", "{p}@f{c}:x{c}", "{p}@f{c}:#ret", "true")], ["path", "line", "variable", "target"], {"line": "INTEGER"}))
+def code_returns(spark, sf):
+    """Edges from what functions return to their results."""
+    return facts.extract(modules(spark, sf)).where("kind = 'edge' and name = 'return'").select("path", "line", F.col("var").alias("variable"), F.col("dst").alias("target"))
+
+
+@query(C.each_row_sql("SELECT s_suppkey AS c, s_suppkey % 3 = 0 AS bad FROM supplier", ["c"], [("b{c}.py", "error", None, "bad"), ("b{c}.py", "var", "x", "NOT bad")], ["path", "kind", "name"]))
+def code_errors(spark, sf):
+    """A file that can't be parsed is an error row, and no file beside it suffers."""
+    rows = rows_of(spark, sf, "supplier", c="s_suppkey", code="CASE WHEN s_suppkey % 3 = 0 THEN 'def f(:' ELSE 'x = 1' END")
+    files = C.made_files(rows, F.lit("p"), [("b{c}.py", "python", "{code}\n")])
+    return facts.extract(files).where("kind in ('error', 'var')").select("path", "kind", F.when(F.col("kind") == "var", F.col("name")).alias("name"))
+
+
+# A library and its user for each customer.
+
+LIBRARY = "limit{c} = 3\ndef f{c}(x, y, *, k=0):\n    return y\n"
+USER = "import l{c}\nfrom l{c} import f{c} as g{c}\nr = l{c}.f{c}(p, q, k=s)\nn = l{c}.limit{c}\nt = g{c}(p)\nz = other{c}.f{c}(p)\n"
+
+
+def libraries(spark, sf) -> DataFrame:
+    rows = rows_of(spark, sf, "customer", c="c_custkey")
+    return C.made_files(rows, F.concat(F.lit("p"), (F.col("c").cast("long") % 7).cast("string")), [("l{c}.py", "python", LIBRARY), ("u{c}.py", "python", USER)])
+
+
+@query(C.each_row_sql("SELECT c_custkey AS c FROM customer", ["c"], [("u{c}.py", "3", "l{c}.f{c}", "l{c}.py@f{c}:", "true"), ("u{c}.py", "5", "g{c}", "l{c}.py@f{c}:", "true")], ["path", "line", "name", "prefix"], {"line": "INTEGER"}))
+def code_calls(spark, sf):
+    """Calls with the project function that each means, through the imports of the file; none of an unknown object."""
+    rows = taint.resolved_calls(facts.extract(libraries(spark, sf)))
+    return rows.select("path", "line", "name", F.col("target.prefix").alias("prefix"))
+
+
+LINKS = [
+    ("u{c}.py@:p", "l{c}.py@f{c}:x", "3", "true"),
+    ("u{c}.py@:q", "l{c}.py@f{c}:y", "3", "true"),
+    ("u{c}.py@:s", "l{c}.py@f{c}:k", "3", "true"),
+    ("l{c}.py@f{c}:#ret", "u{c}.py@:call@3:4", "3", "true"),
+    ("l{c}.py@:limit{c}", "u{c}.py@:attr@4:4", "4", "true"),
+    ("u{c}.py@:p", "l{c}.py@f{c}:x", "5", "true"),
+    ("l{c}.py@f{c}:#ret", "u{c}.py@:call@5:4", "5", "true"),
+]
+
+
+@query(C.each_row_sql("SELECT c_custkey AS c FROM customer", ["c"], LINKS, ["variable", "target", "line"], {"line": "INTEGER"}))
+def code_links(spark, sf):
+    """Edges between files: arguments to parameters by position and by name, results, attributes of modules."""
+    rows = taint.link_edges(facts.extract(libraries(spark, sf)))
+    return rows.where("left(src, 1) <> left(dst, 1)").select(F.col("src").alias("variable"), F.col("dst").alias("target"), "line")
+
+
+# Flows through whole files: an order's lines hand a value on, clean it or not, up to a sink.
+
+CHAIN_SQL = f"""WITH l AS (SELECT *, pick % 5 AS form, max(k) OVER (PARTITION BY o) AS last FROM ({C.LINES_SQL}))
+SELECT 'o' || o || '.py' AS file_path, CAST(last + 3 AS INTEGER) AS line_number, 'command_execution' AS vuln_type, 'critical' AS severity, 'CWE-78' AS cwe, 'builtins.input' AS source_func FROM l GROUP BY o, last HAVING count(*) FILTER (WHERE form IN (2, 3)) = 0"""
+
+
+@query(CHAIN_SQL)
+def code_chains(spark, sf):
+    """Findings of every order's file with grades: input, then a step a line (plain, joined, cleaned of everything or of
+    commands, cleaned of scripts only), then a shell."""
+    lines = C.order_lines(spark, sf)
+    step = F.concat(F.lit("x"), F.col("k").cast("string"))
+    before = F.concat(F.lit("x"), (F.col("k") - 1).cast("string"))
+    forms = F.array(*(F.lit(s) for s in ("{x} = {b}", "{x} = {b} + 'a'", "{x} = int({b})", "{x} = shlex.quote({b})", "{x} = html.escape({b})")))
+    code = C.filled(F.get(forms, (F.col("pick") % 5).cast("int")), x=step, b=before)
+    last = lines.groupBy("o").agg(F.max("k").alias("k")).select("o", (F.col("k") + 1).alias("k"), F.concat(F.lit("os.system(x"), F.col("k").cast("string"), F.lit(")")).alias("code"))
+    path = F.concat(F.lit("o"), F.col("o"), F.lit(".py"))
+    files = C.as_files(lines.select("o", "k", code.alias("code")).unionByName(last), F.concat(F.lit("p"), F.col("o") % 97), path, "python", ["import html, os, shlex", "x0 = input()"])
+    found = pipeline.taint_findings(facts.extract(files))
+    return found.select("file_path", "line_number", "vuln_type", "severity", "cwe", F.col("source_func"))
+
+
+# Tools over lines of PHP.
+
+
+def php_lines(spark, sf) -> DataFrame:
+    return corpus.code_lines(C.code_files(spark, sf, "php"))
+
+
+PHP_LINES_SQL = f"SELECT 'o' || o || '.php' AS path, k + 1 AS line_no, replace(replace(f.code, '{{v}}', v), '{{w}}', w) AS code, v FROM ({C.LINES_SQL}) l JOIN (VALUES {', '.join(f'({k}, {C.text(s)})' for k, (s, _) in enumerate(C.FORMS['php']))}) f(form, code) ON f.form = pick % {len(C.FORMS['php'])}"
+
+
+@query(f"SELECT path, line_no, CASE WHEN code LIKE '%system(%' THEN 'command' WHEN code LIKE 'mysqli_query(%' OR code LIKE '$db->query(%' THEN 'sql' WHEN code LIKE 'unserialize(%' THEN 'deserialize' ELSE 'code' END AS category FROM ({PHP_LINES_SQL}) WHERE regexp_matches(code, 'system\\(|mysqli_query\\(|db->query\\(|unserialize\\(|eval\\(')")
+def tool_calls_of_orders(spark, sf):
+    """Dangerous calls of every line, by category."""
+    return detectors.tagged_calls(php_lines(spark, sf), P.DANGEROUS_CALLS).select("path", "line_no", "category")
+
+
+@query(f"SELECT path, line_no, lower(regexp_extract(code, '\\$_(GET|POST|COOKIE|SERVER)', 1)) AS category FROM ({PHP_LINES_SQL}) WHERE regexp_matches(code, '\\$_(GET|POST|COOKIE|SERVER)')")
+def tool_inputs_of_orders(spark, sf):
+    """User inputs of every line, by category."""
+    return detectors.user_inputs(php_lines(spark, sf)).select("path", "line_no", "category")
+
+
+@query(f"SELECT path, line_no, code, count(*) OVER () AS total FROM ({PHP_LINES_SQL}) WHERE contains(lower(code), 'escapeshell') ORDER BY path, line_no LIMIT 50")
+def tool_search_of_orders(spark, sf):
+    """A search over all lines: the first fifty, and how many there are."""
+    return detectors.search(php_lines(spark, sf), "EscapeShell", "*.php").select("path", "line_no", "code", "total")
+
+
+@query(f"WITH t AS (SELECT '$' || min(v) AS name FROM ({PHP_LINES_SQL})) SELECT path, line_no FROM ({PHP_LINES_SQL}), t WHERE contains(code, name)")
+def tool_trace_of_a_part(spark, sf):
+    """Where a variable stands: that of the first part."""
+    name = C.order_lines(spark, sf).agg(F.min("v")).first()[0]
+    return detectors.variable_trace(php_lines(spark, sf), f"${name}").select("path", "line_no")
+
+
+# Rules by versions, versions by code.
+
+RULE_FORMS = ["mysql_query($x);", "$f = create_function('', $x);", "unserialize($x);", "$y = 1;", "preg_replace('/x/e', $x, 'y');"]
+VERSION_SQL = "CASE o % 97 % 4 WHEN 0 THEN '5.3' WHEN 1 THEN '7.0' WHEN 2 THEN '8.1' END"
+
+
+def rule_lines(spark, sf) -> tuple[DataFrame, DataFrame]:
+    lines = C.order_lines(spark, sf)
+    code = F.get(F.array(*map(F.lit, RULE_FORMS)), (F.col("pick") % len(RULE_FORMS)).cast("int"))
+    files = C.as_files(lines.select("o", "k", code.alias("code")), F.concat(F.lit("p"), F.col("o") % 97), F.concat(F.lit("o"), F.col("o"), F.lit(".php")), "php", ["<?php"])
+    versions = lines.select((F.col("o") % 97).alias("o")).distinct().select(F.concat(F.lit("p"), F.col("o")).alias("project_id"), F.lit("php").alias("language"), F.expr("CASE o % 4 WHEN 0 THEN '5.3' WHEN 1 THEN '7.0' WHEN 2 THEN '8.1' END").alias("version"))
+    return corpus.code_lines(files), versions.where("version is not null")
+
+
+RULES_SQL = f"""WITH l AS (SELECT 'o' || o || '.php' AS path, k + 1 AS line_no, pick % {len(RULE_FORMS)} AS form, {VERSION_SQL} AS version FROM ({C.LINES_SQL}))
+SELECT path, line_no, 'DEPRECATED_MYSQL_FUNCTIONS' AS rule_id, CASE version WHEN '7.0' THEN 'critical' ELSE 'high' END AS severity FROM l WHERE form = 0
+UNION ALL SELECT path, line_no, 'DEPRECATED_CREATE_FUNCTION', 'high' FROM l WHERE form = 1 AND version IS DISTINCT FROM '8.1'
+UNION ALL SELECT path, line_no, 'DESERIALIZE_UNSAFE', 'high' FROM l WHERE form = 2
+UNION ALL SELECT path, line_no, 'DEPRECATED_PREG_REPLACE_E', 'critical' FROM l WHERE form = 4 AND (version IS NULL OR version = '5.3')"""
+
+
+@query(RULES_SQL)
+def rules_of_orders(spark, sf):
+    """Lines with a rule that is active for their project's version, and its severity there."""
+    lines, versions = rule_lines(spark, sf)
+    return rules.scan(lines, versions=versions).select("path", "line_no", "rule_id", "severity")
+
+
+@query(RULES_SQL)
+def rules_of_orders_by_table(spark, sf):
+    """The same with the rules as a table, by the automaton of their literals."""
+    lines, versions = rule_lines(spark, sf)
+    return rules.scan(lines, rules.rules(spark), versions).select("path", "line_no", "rule_id", "severity")
+
+
+SIGNS = [("$x = $a ?? 1;", 2), ("$f = fn($x) => 1;", 3), ("echo 1;", 0), ("$x?->y();", 4), ("// fn($x) ?->z", 0), ("function g($x): void {}", 2.5), ("echo 2;", 0), ("echo 3;", 0), ("echo 4;", 0)]
+
+
+@query(f"""SELECT 'p' || o AS project_id, CASE max(f.rank) WHEN 4 THEN '8.0' WHEN 3 THEN '7.4' WHEN 2.5 THEN '7.2' WHEN 2 THEN '7.0' ELSE '5.0' END AS detected FROM ({C.LINES_SQL}) l JOIN (VALUES {', '.join(f'({k}, {r})' for k, (_, r) in enumerate(SIGNS))}) f(form, rank) ON f.form = pick % {len(SIGNS)} GROUP BY o""")
+def versions_of_orders(spark, sf):
+    """The highest version that an order's code gives away; comments don't count."""
+    lines = C.order_lines(spark, sf)
+    code = F.get(F.array(*(F.lit(s) for s, _ in SIGNS)), (F.col("pick") % len(SIGNS)).cast("int"))
+    files = C.as_files(lines.select("o", "k", code.alias("code")), F.concat(F.lit("p"), F.col("o")), F.lit("a.php"), "php", ["<?php"])
+    return rules.detected_versions(files).select("project_id", "detected")
+
+
+V = "(c_custkey % 5 + 4)", "(c_custkey % 11)"
+
+
+@query(f"""SELECT c_custkey, v >= [5, 3, 6] AS trusted, CASE WHEN v >= [7, 0] THEN 'removed' WHEN v >= [5, 5] THEN 'deprecated' ELSE 'available' END AS mysql_functions, CASE WHEN v >= [7, 4] THEN 'removed' WHEN v >= [7, 2] THEN 'deprecated' ELSE 'available' END AS create_function, v >= [7, 0] AS is_php7, v >= [8, 0] AS is_php8 FROM (SELECT c_custkey, [{V[0]}, {V[1]}, c_custkey % 9] AS v FROM customer)""")
+def version_contexts_of_customers(spark, sf):
+    """What a version has, for versions of three numbers."""
+    rows = read_table(spark, sf, "customer").select("c_custkey", F.concat_ws(".", F.expr(V[0]).cast("string"), F.expr(V[1]).cast("string"), (F.col("c_custkey") % 9).cast("string")).alias("version"))
+    c = rules.php_context(F.col("version"))
+    return rows.select("c_custkey", c["dsn_charset_trusted"].alias("trusted"), c["mysql_functions"].alias("mysql_functions"), c["create_function"].alias("create_function"), c["is_php7"].alias("is_php7"), c["is_php8"].alias("is_php8"))
+
+
+@query("SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'critical' WHEN '2-HIGH' THEN 'low' ELSE 'high' END AS severity FROM orders")
+def overrides_of_orders(spark, sf):
+    """Severities by version where a rule states some, else the rule's own."""
+    table = F.create_map(F.lit("1-URGENT"), F.lit("critical"), F.lit("2-HIGH"), F.lit("low"))
+    return read_table(spark, sf, "orders").select("o_orderkey", T.overridden(table, F.col("o_orderpriority"), F.lit("high")).alias("severity"))
+
+
+# Call graphs of customers.
+
+GRAPH = "def get_input{c}():\n    return input()\n\ndef run{c}(c):\n    os.system(c)\n\ndef main{c}():\n    x = get_input{c}()\n    {step}\n"
+
+
+def graph_files(spark, sf) -> DataFrame:
+    rows = rows_of(spark, sf, "customer", c="c_custkey", step="CASE WHEN c_custkey % 3 = 0 THEN 'pass' ELSE concat('run', c_custkey, '(x)') END")
+    return C.made_files(rows, F.concat(F.lit("p"), F.col("c")), [("c{c}.py", "python", GRAPH)])
+
+
+FUNCTIONS = [
+    ("c{c}.py", "get_input{c}", "1", "name:get_input,stdin", "", None, "input", "true"),
+    ("c{c}.py", "run{c}", "4", "", "Command execution", "command_execution", "", "true"),
+    ("c{c}.py", "main{c}", "7", "", "", None, "get_input{c},run{c}", "c % 3 <> 0"),
+    ("c{c}.py", "main{c}", "7", "", "", None, "get_input{c}", "c % 3 = 0"),
+]
+
+
+@query(C.each_row_sql("SELECT c_custkey AS c FROM customer", ["c"], FUNCTIONS, ["path", "name", "line", "source_labels", "sink_labels", "vuln_type", "called"], {"line": "INTEGER"}))
+def call_functions_of_customers(spark, sf):
+    """Functions with what their names and bodies say of them, and what they call."""
+    rows = callgraph.functions(graph_files(spark, sf))
+    return rows.select("path", "name", "line", F.array_join("source_labels", ",").alias("source_labels"), F.array_join("sink_labels", ",").alias("sink_labels"), "vuln_type", F.array_join("called", ",").alias("called"))
+
+
+@query(C.each_row_sql("SELECT c_custkey AS c FROM customer", ["c"], [("c{c}.py", "4", "1", "command_execution", "critical", "get_input{c} → main{c} → run{c}", "c % 3 <> 0")], ["file_path", "line_number", "source_line", "vuln_type", "severity", "data_flow"], {"line_number": "INTEGER", "source_line": "INTEGER"}))
+def call_findings_of_customers(spark, sf):
+    """A caller of a source that reaches a sink."""
+    rows = callgraph.findings(callgraph.nodes(callgraph.functions(graph_files(spark, sf))))
+    return rows.select("file_path", "line_number", "source_line", "vuln_type", "severity", "data_flow")
+
+
+# Templates of customers.
+
+VIEW = "from flask import request, render_template\ndef v(q):\n    a{c} = request.args.get('x')\n    return render_template('page{c}.html', a={given}, b='x')\n"
+PAGE = "{{ a|safe }}\n{{ b|safe }}\n<script>\nx = {{ a }};\n</script>\n{{ a }}\n{% autoescape off %}\n{{ a }}\n{% endautoescape %}\n"
+
+
+def template_files(spark, sf) -> DataFrame:
+    rows = rows_of(spark, sf, "customer", c="c_custkey", given="CASE WHEN c_custkey % 3 = 0 THEN '''y''' ELSE concat('a', c_custkey) END")
+    return C.made_files(rows, F.concat(F.lit("p"), (F.col("c").cast("long") % 5).cast("string")), [("app/views{c}.py", "python", VIEW), ("t/page{c}.html", "template", PAGE)])
+
+
+@query(C.each_row_sql("SELECT c_custkey AS c FROM customer", ["c"], [("t/page{c}.html", "a", "c % 3 <> 0")], ["path", "variables"]))
+def template_variables_of_customers(spark, sf):
+    """Templates with the variables with user input that views pass to them."""
+    rows = templates.template_variables(template_files(spark, sf))
+    return rows.select("path", F.array_join("variables", ",").alias("variables"))
+
+
+PLACES = [("t/page{c}.html", line, code) for line, code in (("1", "{{ a|safe }}"), ("4", "x = {{ a }};"), ("7", "{% autoescape off %}"))]
+
+
+@query(C.each_row_sql("SELECT c_custkey AS c FROM customer", ["c"], [(*p, "c % 3 <> 0") for p in PLACES], ["file_path", "line_number", "sink_code"], {"line_number": "INTEGER"}))
+def template_findings_strict(spark, sf):
+    """Variables that views pass user input in, marked safe, in a script, or in a block without escaping."""
+    return templates.findings(template_files(spark, sf), "strict").select("file_path", "line_number", "sink_code")
+
+
+@query(C.each_row_sql("SELECT c_custkey AS c FROM customer", ["c"], [*((*p, "true") for p in PLACES), ("t/page{c}.html", "2", "{{ b|safe }}", "c % 3 = 0")], ["file_path", "line_number", "sink_code"], {"line_number": "INTEGER"}))
+def template_findings_lenient(spark, sf):
+    """The same, with all variables of templates that no view passes any to."""
+    return templates.findings(template_files(spark, sf), "lenient").select("file_path", "line_number", "sink_code")
