@@ -60,8 +60,8 @@ def flows(facts: DataFrame, mode: str = "declarative", most: int = MAX_PATH, fun
     """Findings of every project (FLOWS): a breadth-first tree per source, the first path to each sink, of at most `most`
     nodes.
 
-    A project's sources are dealt over as many tasks as keep sources times edges at about `task_steps`, each with the
-    project's edges; a project with more than `task_edges` edges is searched level by level with joins instead, with the
+    A project's sources are dealt over as many shards as keep sources times edges at about `task_steps`, each with the
+    project's edges, and small projects share a call; a project with more than `task_edges` edges is searched level by level with joins instead, with the
     same rows. In the mode `compat`, which folds a project's facts in order, a project of at most `task_edges` edges is one
     task; larger ones are folded by ranges (`ordered.folded`), with the same rows.
 
@@ -77,11 +77,9 @@ def flows(facts: DataFrame, mode: str = "declarative", most: int = MAX_PATH, fun
     names = [c.split()[0] for c in FLOWS.split(", ")]
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(right):
-            return pd.DataFrame([], columns=names)
-        project, order = right["project_id"].iloc[0], ["path", "seq"]
-        rows = _search(left.sort_values(order).to_dict("records"), right.sort_values(order).to_dict("records"), mode, most, around_clean)
-        return pd.DataFrame([(project, *r) for r in rows], columns=names)
+        of = _by_project(left)
+        rows = [(k[0], *r) for k, mine in _by_project(right).items() for r in _search(of.get(k, []), mine, mode, most, around_clean)]
+        return pd.DataFrame(rows, columns=names)
 
     edges = cut(edges)
     sizes = edges.groupBy("of").count().select(F.col("of").alias("project_id"), F.col("count").alias("edges"))
@@ -94,19 +92,37 @@ def flows(facts: DataFrame, mode: str = "declarative", most: int = MAX_PATH, fun
         small_marks = marks.join(of_large, "project_id", "left_anti")
         small_edges = edges.join(of_large.withColumnRenamed("project_id", "of"), "of", "left_anti").select(*edges.columns)
 
+    sizes = sizes.join(of_large, "project_id", "left_anti")
     if mode == "compat":
-        whole = small_marks.withColumn("mine", F.col("kind") == "source")
-        out = whole.groupBy("project_id").cogroup(small_edges.groupBy("of")).applyInPandas(lambda a, b: search(b, a), FLOWS)
-        return out if largest <= task_edges else out.unionByName(_large_folded(large_edges, large_marks, most))
-
-    found = small_marks.where("kind = 'source'").groupBy("project_id").agg(F.countDistinct("var").alias("sources"))
-    plan = found.join(sizes, "project_id", "left").na.fill(0, ["edges"]).withColumn("shards", F.greatest(F.ceil(F.col("sources") * F.col("edges") / task_steps), F.lit(1)).cast("int"))
+        plan = sizes.withColumn("shards", F.lit(1))
+    else:
+        found = small_marks.where("kind = 'source'").groupBy("project_id").agg(F.countDistinct("var").alias("sources"))
+        plan = found.join(sizes, "project_id", "left").na.fill(0, ["edges"]).withColumn("shards", F.greatest(F.ceil(F.col("sources") * F.col("edges") / task_steps), F.lit(1)).cast("int"))
+    # Projects are dealt over groups of some 250,000 edges, so that very many small ones don't cost a call each.
+    total = plan.agg(F.sum(F.col("edges") * F.col("shards"))).first()[0] or 0
+    groups = max(int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // 250_000))
     shards = plan.select("project_id", "shards")
-    dealt = small_marks.join(shards, "project_id").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
-    dealt = dealt.withColumn("mine", (F.col("kind") == "source") & (F.pmod(F.xxhash64("var"), "shards") == F.col("shard"))).drop("shards")
-    spread = small_edges.join(shards.withColumnRenamed("project_id", "of"), "of").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).drop("shards")
-    out = dealt.repartition("project_id", "shard").groupBy("project_id", "shard").cogroup(spread.repartition("of", "shard").groupBy("of", "shard")).applyInPandas(lambda a, b: search(b, a), FLOWS)
-    return out if largest <= task_edges else out.unionByName(_large_flows(large_edges, large_marks, most, around_clean))
+    spread = lambda df: df.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).drop("shards").withColumn("group", F.pmod(F.xxhash64("project_id", "shard"), F.lit(groups)))
+    mine = F.col("kind") == "source"
+    if mode == "compat":
+        dealt = spread(small_marks.withColumn("shards", F.lit(1)))
+    else:
+        mine &= F.pmod(F.xxhash64("var"), "all_shards") == F.col("shard")
+        dealt = spread(small_marks.join(shards.withColumn("all_shards", F.col("shards")), "project_id"))
+    dealt = dealt.withColumn("mine", mine).drop("all_shards")
+    near = spread(small_edges.withColumnRenamed("of", "project_id").join(shards, "project_id"))
+    out = dealt.groupBy("group").cogroup(near.groupBy("group")).applyInPandas(lambda a, b: search(b, a), FLOWS)
+    if largest <= task_edges:
+        return out
+    return out.unionByName(_large_folded(large_edges, large_marks, most) if mode == "compat" else _large_flows(large_edges, large_marks, most, around_clean))
+
+
+def _by_project(frame: pd.DataFrame) -> dict[tuple, list[dict]]:
+    """{(project, shard): rows in order}."""
+    out: dict[tuple, list[dict]] = {}
+    for r in frame.sort_values(["path", "seq"], kind="stable").to_dict("records"):
+        out.setdefault((r["project_id"], r["shard"]), []).append(r)
+    return out
 
 
 def _tree_edges(edges: DataFrame) -> DataFrame:

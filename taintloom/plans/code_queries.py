@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from taintloom.functions import patterns as P
 from taintloom.functions import text as T
-from taintloom.operators import callgraph, detectors, facts, rules, taint, templates
+from taintloom.operators import callgraph, cve, detectors, enrich, facts, graph, report, rules, taint, templates
 from taintloom.sources import corpus
 from taintloom.sources.tables import read_table
 
@@ -27,6 +27,11 @@ def query(sql: str):
     return add
 
 
+def extracted(files: DataFrame) -> DataFrame:
+    """Facts that several joins read: extracted once."""
+    return graph.cut(facts.extract(files))
+
+
 def shown(rows: DataFrame, kinds: list[str]) -> DataFrame:
     return rows.where(F.col("kind").isin(kinds)).select("path", "kind", F.col("line").cast("int").alias("line"), F.col("var").alias("variable"), F.col("dst").alias("target"), "name", "vuln_type", F.array_join("types", ",").alias("types"))
 
@@ -135,7 +140,7 @@ def libraries(spark, sf) -> DataFrame:
 @query(C.each_row_sql("SELECT c_custkey AS c FROM customer", ["c"], [("u{c}.py", "3", "l{c}.f{c}", "l{c}.py@f{c}:", "true"), ("u{c}.py", "5", "g{c}", "l{c}.py@f{c}:", "true")], ["path", "line", "name", "prefix"], {"line": "INTEGER"}))
 def code_calls(spark, sf):
     """Calls with the project function that each means, through the imports of the file; none of an unknown object."""
-    rows = taint.resolved_calls(facts.extract(libraries(spark, sf)))
+    rows = taint.resolved_calls(extracted(libraries(spark, sf)))
     return rows.select("path", "line", "name", F.col("target.prefix").alias("prefix"))
 
 
@@ -153,7 +158,7 @@ LINKS = [
 @query(C.each_row_sql("SELECT c_custkey AS c FROM customer", ["c"], LINKS, ["variable", "target", "line"], {"line": "INTEGER"}))
 def code_links(spark, sf):
     """Edges between files: arguments to parameters by position and by name, results, attributes of modules."""
-    rows = taint.link_edges(facts.extract(libraries(spark, sf)))
+    rows = taint.link_edges(extracted(libraries(spark, sf)))
     return rows.where("left(src, 1) <> left(dst, 1)").select(F.col("src").alias("variable"), F.col("dst").alias("target"), "line")
 
 
@@ -175,7 +180,7 @@ def code_chains(spark, sf):
     last = lines.groupBy("o").agg(F.max("k").alias("k")).select("o", (F.col("k") + 1).alias("k"), F.concat(F.lit("os.system(x"), F.col("k").cast("string"), F.lit(")")).alias("code"))
     path = F.concat(F.lit("o"), F.col("o"), F.lit(".py"))
     files = C.as_files(lines.select("o", "k", code.alias("code")).unionByName(last), F.concat(F.lit("p"), F.col("o") % 97), path, "python", ["import html, os, shlex", "x0 = input()"])
-    found = pipeline.taint_findings(facts.extract(files))
+    found = pipeline.taint_findings(extracted(files))
     return found.select("file_path", "line_number", "vuln_type", "severity", "cwe", F.col("source_func"))
 
 
@@ -342,3 +347,251 @@ def template_findings_strict(spark, sf):
 def template_findings_lenient(spark, sf):
     """The same, with all variables of templates that no view passes any to."""
     return templates.findings(template_files(spark, sf), "lenient").select("file_path", "line_number", "sink_code")
+
+
+# Detections, a line of a form for each order line; forms that another line could change are left out.
+
+DETECTED = {
+    "python": [("DEBUG = True", "debug_mode", "debug_mode"), ("app.run(host='x', debug=True)", "debug_mode", "debug_mode"), ("z.extractall(path)", "archive_extract", "path_traversal"), ("x = 1", None, None), ("DEBUG = False", None, None), ("z.extract2(path)", None, None)],
+    "php": [
+        ("extract($_POST);", "extract_override", "command_execution,path_traversal"),
+        ("extract($data);", None, None),
+        ("if (in_array($a, ['x', 'y'])) {}", "allowlist_check", "command_execution,path_traversal,sql_injection"),
+        ("$c = str_replace('select', '', $c);", "blacklist_filter", "sql_injection,xss"),
+        ("$d = strip_tags($d);", "blacklist_filter", "sql_injection,xss"),
+        ("$db->query('q ' . $x);", "string_concat_sql", "sql_injection"),
+        ("$s->bindValue(1, $x); // SELECT", "parameterized_query", "sql_injection"),
+        ("$y = 1;", None, None),
+        ("$allowed = ['a'];", "allowlist_check", "command_execution,path_traversal,sql_injection"),
+        ("$e = str_replace('a', 'b', $e);", None, None),
+    ],
+}
+
+
+def _detections() -> None:
+    for language, forms in DETECTED.items():
+        suffix, head = C.SUFFIX[language], {"python": ["import app"], "php": ["<?php"]}[language]
+        values = ", ".join(f"({k}, {C.text(p)}, {C.text(types)})" for k, (_, p, types) in enumerate(forms) if p)
+
+        def run(spark, sf, forms=forms, language=language, suffix=suffix, head=head):
+            lines = C.order_lines(spark, sf)
+            code = F.get(F.array(*(F.lit(s) for s, _, _ in forms)), (F.col("pick") % len(forms)).cast("int"))
+            path = F.concat(F.lit("o"), F.col("o"), F.lit("." + suffix))
+            files = C.as_files(lines.select("o", "k", code.alias("code")), F.concat(F.lit("p"), F.col("o") % 97), path, language, head)
+            rows = detectors.detect(corpus.code_lines(files))
+            return rows.select("file_path", "line_number", "pattern", F.array_join(F.array_sort("related_types"), ",").alias("types"))
+
+        run.__name__ = f"detections_of_{language}"
+        run.__doc__ = f"What the detectors see in every order's {language} file."
+        query(f"SELECT 'o' || o || '.{suffix}' AS file_path, k + 1 AS line_number, pattern, types FROM ({C.LINES_SQL}) l JOIN (VALUES {values}) f(form, pattern, types) ON f.form = pick % {len(forms)}")(run)
+
+
+_detections()
+
+NAMES = ["password", "api_key", "monkey", "demo_password", "password_field", "token", "label"]
+NAME_SQL = "CASE c_custkey % 7 " + " ".join(f"WHEN {k} THEN '{n}'" for k, n in enumerate(NAMES)) + " END"
+VALUE_SQL = "CASE c_custkey % 4 WHEN 0 THEN 'changeme' WHEN 1 THEN 'ab' ELSE c_name END"
+
+
+@query(f"SELECT 'k' || c_custkey || '.py' AS file_path, 1 AS line_number FROM (SELECT c_custkey, {NAME_SQL} AS n, {VALUE_SQL} AS v FROM customer) WHERE length(v) >= 3 AND v <> 'changeme' AND n NOT IN ('demo_password', 'password_field', 'token', 'label')")
+def credentials_of_customers(spark, sf):
+    """Credentials in assignments, by the name and the value; samples and placeholders are none."""
+    rows = rows_of(spark, sf, "customer", c="c_custkey", n=NAME_SQL, v=VALUE_SQL)
+    files = C.made_files(rows, F.lit("p"), [("k{c}.py", "python", '{n} = "{v}"\n'), ("tests/k{c}.py", "python", '{n} = "{v}"\n')])
+    found = detectors.detect(corpus.code_lines(files)).where("pattern = 'hardcoded_credentials'")
+    return found.select("file_path", F.col("line_number").cast("int").alias("line_number"))
+
+
+# Lines and blocks of functions and classes; comments; text of lines.
+
+BLOCKS = "<?php\nclass A{c} {\n  // }\n  function f() {\n{body}    return '}';\n  }\n}\n$g = 1;\n"
+
+
+@query("""SELECT 's' || c_custkey || '.php' AS path, kind, CAST(a AS INTEGER) AS first_line, CAST(b + c_custkey % 4 AS INTEGER) AS last_line FROM customer, (VALUES ('class', 2, 7), ('function', 4, 6)) v(kind, a, b)""")
+def spans_of_code(spark, sf):
+    """Lines of classes and functions, with braces in strings and comments left out, bodies of different lengths."""
+    rows = rows_of(spark, sf, "customer", c="c_custkey", body="repeat('    x();\n', int(c_custkey % 4))")
+    found = detectors.block_spans(facts.extract(C.made_files(rows, F.lit("p"), [("s{c}.php", "php", BLOCKS)])))
+    return found.select("path", "kind", F.col("start").alias("first_line"), F.col("end").alias("last_line"))
+
+
+@query("SELECT c_custkey, 'a' || c_custkey || ' ' || chr(10) || 'c ' || CASE WHEN c_custkey % 2 = 0 THEN '# d' ELSE '' END || chr(10) || 'f' AS text FROM customer")
+def comments_of_customers(spark, sf):
+    """Code without its comments: `#` begins one in PHP, but not in C."""
+    rows = read_table(spark, sf, "customer").select("c_custkey", F.concat(F.lit("a"), F.col("c_custkey"), F.lit(" // b\nc # d\n/* e\n*/f")).alias("text"))
+    return rows.select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, T.strip_c_comments(F.col("text"))).otherwise(T.strip_php_comments(F.col("text"))).alias("text"))
+
+
+@query("SELECT 'd' || doc_id AS path, CAST(generate_subscripts(a, 1) AS INTEGER) AS line_no, unnest(a) AS code FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents)")
+def lines_of_documents(spark, sf):
+    """Every line of every text with its number, from 1."""
+    files = read_table(spark, sf, "documents").select(F.lit("p").alias("project_id"), F.concat(F.lit("d"), F.col("doc_id")).alias("path"), F.lit("text").alias("language"), "text")
+    return corpus.code_lines(files).select("path", F.col("line_no").cast("int").alias("line_no"), "code")
+
+
+# Paths.
+
+ENDS = ["py", "PY", "php", "phps", "c", "hpp", "h++", "html", "txt"]
+FOLDERS = ["src", "env", "vendor", "static", "tmp"]
+PATHS_SQL = "SELECT c_custkey, '/w/p/' || CASE c_custkey % 5 " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(FOLDERS)) + " END || '/f' || c_custkey || '.' || CASE c_custkey % 9 " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(ENDS)) + " END AS path FROM customer"
+
+
+def paths(spark, sf) -> DataFrame:
+    pick = lambda xs: F.get(F.array(*map(F.lit, xs)), (F.col("c_custkey") % len(xs)).cast("int"))
+    return read_table(spark, sf, "customer").select("c_custkey", F.concat(F.lit("/w/p/"), pick(FOLDERS), F.lit("/f"), F.col("c_custkey"), F.lit("."), pick(ENDS)).alias("path"))
+
+
+@query(f"SELECT c_custkey, CASE WHEN e = 'py' THEN 'python' WHEN e = 'php' THEN 'php' WHEN e = 'c' THEN 'c' WHEN e IN ('hpp', 'h++') THEN 'cpp' ELSE '' END AS language FROM (SELECT c_custkey, lower(regexp_extract(path, '[.]([^.]*)$', 1)) AS e FROM ({PATHS_SQL}))")
+def languages_of_paths(spark, sf):
+    """Languages by suffix, in any case."""
+    return paths(spark, sf).select("c_custkey", T.suffix_language(F.col("path")).alias("language"))
+
+
+@query(f"""SELECT c_custkey, concat_ws(',', CASE WHEN lower(e) = 'py' AND f NOT IN ('env', 'vendor') THEN 'python' END, CASE WHEN lower(e) = 'php' AND f NOT IN ('env', 'vendor') THEN 'php' END) AS taken
+FROM (SELECT c_custkey, regexp_extract(path, '[.]([^.]*)$', 1) AS e, split_part(path, '/', 4) AS f FROM ({PATHS_SQL}))""")
+def collected_of_paths(spark, sf):
+    """Which of the pipeline's collectors takes which path, by suffix and folder."""
+    relative = F.substring_index("path", "/", -2)
+    names = F.array_compact(F.array(*(F.when(corpus.in_scope(relative, lang, "pipeline"), F.lit(lang)) for lang in ("python", "php"))))
+    return paths(spark, sf).select("c_custkey", F.array_join(names, ",").alias("taken"))
+
+
+@query(f"""WITH p AS ({PATHS_SQL}) SELECT asked, CASE WHEN m = 3 THEN NULL ELSE path END AS path FROM (SELECT path, c_custkey % 4 AS m, CASE c_custkey % 4 WHEN 0 THEN path WHEN 1 THEN substr(path, 6) WHEN 2 THEN upper(regexp_extract(path, '[^/]*$')) ELSE 'none' || c_custkey END AS asked FROM p)""")
+def resolved_of_paths(spark, sf):
+    """The file that a path means: itself, below the root, or the first that ends with it, in any case."""
+    p = paths(spark, sf)
+    m = F.col("c_custkey") % 4
+    asked = F.when(m == 0, F.col("path")).when(m == 1, F.expr("substr(path, 6)")).when(m == 2, F.upper(F.substring_index("path", "/", -1))).otherwise(F.concat(F.lit("none"), F.col("c_custkey")))
+    return report.resolved_paths(p.select(asked.alias("asked")), p.select("path"), "/w/p")
+
+
+# Records of vulnerabilities, one a part.
+
+PRODUCTS = [("wordpress", "PHP"), ("scikit_learn", "Python"), ("php", "PHP"), ("unknown_thing", None)]
+TOPICS = [("SQL injection in {x}", "CWE-89", "sql_injection"), ("path traversal in {x}", "CWE-22", "path_traversal"), ("stored xss in {x}", None, "xss")]
+PARTS_SQL = f"""SELECT 'CVE-' || p_partkey AS cve_id, p_name, p_partkey % 3 AS topic, p_partkey % 4 AS product, p_retailprice / 200 AS score FROM part"""
+RECORDS_SQL = f"""SELECT cve_id, CASE product {' '.join(f"WHEN {k} THEN '{e}'" for k, (_, e) in enumerate(PRODUCTS) if e)} END AS ecosystem, CASE topic {' '.join(f"WHEN {k} THEN '{c}'" for k, (_, _, c) in enumerate(TOPICS))} END AS category, CASE WHEN score >= 9 THEN 'critical' WHEN score >= 7 THEN 'high' ELSE 'medium' END AS severity, score AS cvss_score, CASE product {' '.join(f"WHEN {k} THEN '{p}'" for k, (p, _) in enumerate(PRODUCTS))} END AS product, 'v' AS vendor FROM ({PARTS_SQL}) WHERE product < 3 AND score >= 4"""
+
+
+def part_records(spark, sf) -> DataFrame:
+    part = read_table(spark, sf, "part")
+    pick = lambda xs: F.get(F.array(*(F.lit(x) for x in xs)), (F.col("p_partkey") % len(xs)).cast("int"))
+    text = F.replace(pick([d for d, _, _ in TOPICS]), F.lit("{x}"), F.col("p_name"))
+    cwe = pick([c or "NVD-CWE-noinfo" for _, c, _ in TOPICS])
+    answer = F.struct(
+        F.concat(F.lit("CVE-"), F.col("p_partkey")).alias("id"),
+        F.array(F.struct(F.lit("de").alias("lang"), F.lit("x").alias("value")), F.struct(F.lit("en").alias("lang"), text.alias("value"))).alias("descriptions"),
+        F.struct(F.array(F.struct(F.struct((F.col("p_retailprice") / 200).alias("baseScore")).alias("cvssData"))).alias("cvssMetricV2")).alias("metrics"),
+        F.array(F.struct(F.array(F.struct(F.lit("en").alias("lang"), cwe.alias("value"))).alias("description"))).alias("weaknesses"),
+        F.array(F.struct(F.array(F.struct(F.array(F.struct(F.concat(F.lit("cpe:2.3:a:v:"), pick([p for p, _ in PRODUCTS]), F.lit(":1")).alias("criteria"))).alias("cpeMatch"))).alias("nodes"))).alias("configurations"),
+    )
+    return cve.answered(part.select(F.to_json(F.struct(F.array(F.struct(answer.alias("cve"))).alias("vulnerabilities"))).alias("text")), "text")
+
+
+@query(RECORDS_SQL)
+def records_of_parts(spark, sf):
+    """Relevant records, flat, out of saved answers: ecosystem by product, category by weakness or words, severity by score."""
+    return cve.parsed(part_records(spark, sf)).select("cve_id", "ecosystem", "category", "severity", "cvss_score", "product", "vendor")
+
+
+@query(f"SELECT ecosystem, category, count(*) AS n FROM ({RECORDS_SQL}) GROUP BY ecosystem, category")
+def record_counts_of_parts(spark, sf):
+    return cve.counts(cve.parsed(part_records(spark, sf)))
+
+
+@query(f"SELECT CASE ecosystem WHEN 'PHP' THEN 'php' ELSE 'python' END AS language, replace(cve_id, '-', '_') AS rule_id, category, severity AS default_severity FROM ({RECORDS_SQL})")
+def record_rules_of_parts(spark, sf):
+    """Records with a search pattern as rows of the rule table."""
+    return cve.as_rules(cve.parsed(part_records(spark, sf))).select("language", "rule_id", "category", "default_severity")
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE s_name END AS vendor, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE 'p' || s_suppkey END AS product FROM supplier")
+def cpe_of_suppliers(spark, sf):
+    """Vendor and product of a CPE; one of another form has none."""
+    s = read_table(spark, sf, "supplier").withColumn("cpe", F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("cpe:/a:"), F.col("s_name"))).otherwise(F.concat(F.lit("cpe:2.3:a:"), F.col("s_name"), F.lit(":p"), F.col("s_suppkey"), F.lit(":1"))))
+    return s.select("s_suppkey", T.cpe_part(F.col("cpe"), 3).alias("vendor"), T.cpe_part(F.col("cpe"), 4).alias("product"))
+
+
+# Answers and stored rows.
+
+ANSWERS = ["props", "concat('Sure:\n```json\n', replace(props, '}', ', }'), '\n```')", "concat('so ', replace(props, '}', ''))", "concat('no value here ', event_id)"]
+
+
+@query("SELECT event_id, CASE WHEN event_id % 4 < 3 THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k FROM events")
+def repaired_of_events(spark, sf):
+    """The JSON value in an answer: plain, fenced with a comma too many, cut off, or none."""
+    rows = read_table(spark, sf, "events").select("event_id", F.expr("CASE event_id % 4 " + " ".join(f"WHEN {k} THEN {e}" for k, e in enumerate(ANSWERS)) + " END").alias("text"))
+    return rows.select("event_id", F.from_json(T.json_repair(F.col("text")), "k long")["k"].alias("k"))
+
+
+@query("SELECT event_id, 'no value here ' || event_id AS text FROM events WHERE event_id % 4 = 3")
+def failures_of_events(spark, sf):
+    """Answers that hold no JSON even after repair."""
+    rows = read_table(spark, sf, "events").select("event_id", F.expr("CASE event_id % 4 " + " ".join(f"WHEN {k} THEN {e}" for k, e in enumerate(ANSWERS)) + " END").alias("text"))
+    return report.parse_failures(rows, "event_id").select("event_id", "text")
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN '' ELSE '[\"' || role || '\"]' END AS json FROM conversations")
+def fields_of_conversations(spark, sf):
+    """Lists as JSON; an empty one is empty text."""
+    rows = read_table(spark, sf, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, F.array().cast("array<string>")).otherwise(F.array("role")).alias("x"))
+    return rows.select("conv_id", "turn", T.json_field(F.col("x")).alias("json"))
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'error' THEN 'critical' ELSE 'medium' END AS severity, 'pending' AS status, CASE WHEN event_id % 3 = 0 THEN user_id % 50 ELSE user_id END AS line_number FROM events")
+def stored_events(spark, sf):
+    """What storing a finding fills in: severity, stage and status, and the sink's line where a line is missing."""
+    e = read_table(spark, sf, "events")
+    rows = e.select(F.col("event_id").alias("finding_id"), F.when(F.col("event_type") == "error", "critical").alias("severity"), F.lit(None).cast("string").alias("pipeline_stage"), F.lit(None).cast("string").alias("status"), F.when(F.col("event_id") % 3 != 0, F.col("user_id").cast("int")).alias("line_number"), (F.col("user_id") % 50).cast("int").alias("sink_line"))
+    out = report.stored(rows)
+    return out.select(F.col("finding_id").alias("event_id"), "severity", "status", F.col("line_number").cast("long").alias("line_number"))
+
+
+@query("SELECT event_id, event_type = 'error' AS analysed FROM events")
+def analysed_events(spark, sf):
+    """Rows with and without a verdict, told apart by null tests."""
+    rows = read_table(spark, sf, "events").select("event_id", F.when(F.col("event_type") == "error", F.lit("x")).alias("verdict"))
+    one, other = report.analysed(rows, "verdict"), report.analysed(rows, "verdict", False)
+    return one.select("event_id", F.lit(True).alias("analysed")).unionByName(other.select("event_id", F.lit(False).alias("analysed")))
+
+
+@query("SELECT conv_id, turn, CAST(generate_subscripts(w, 1) AS BIGINT) - 1 AS pos, unnest(w) AS src, 'r' || turn AS dst FROM (SELECT conv_id, turn, string_split(text, ' ') AS w FROM conversations)")
+def parts_of_conversations(spark, sf):
+    """Edges from every part of a concatenation to its result, in the parts' order."""
+    rows = read_table(spark, sf, "conversations").select("conv_id", F.col("turn").alias("seq"), F.split("text", " ", -1).alias("parts"), F.concat(F.lit("r"), F.col("turn")).alias("result"))
+    return graph.part_edges(rows, "conv_id").select("conv_id", F.col("seq").alias("turn"), F.col("pos").cast("long").alias("pos"), "src", "dst")
+
+
+@query("SELECT l_orderkey AS project_id, 'p' || l_partkey AS src, 's' || l_suppkey || '::x' || l_linenumber AS dst FROM lineitem")
+def arguments_of_lines(spark, sf):
+    """Edges from an argument to its function's parameter."""
+    n = lambda p, c: F.concat(F.lit(p), F.col(c))
+    rows = read_table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("project_id"), F.col("l_linenumber").alias("seq"), n("p", "l_partkey").alias("argument"), n("s", "l_suppkey").alias("function"), n("x", "l_linenumber").alias("parameter"))
+    return graph.argument_edges(rows).select("project_id", "src", "dst")
+
+
+# Sessions and function sources of PHP, and what lies between source and sink.
+
+
+@query(C.each_row_sql("SELECT c_custkey AS c FROM customer", ["c"], [("bad.php", "4", "xss", "$_SESSION", "c % 2 = 0")], ["file_path", "line_number", "vuln_type", "source_func"], {"line_number": "INTEGER"}).replace("v.file_path", "r.c || '/' || v.file_path", 1))
+def sessions_of_customers(spark, sf):
+    """Session values are shown harmlessly until a user's value has been written to the session."""
+    rows = rows_of(spark, sf, "customer", c="c_custkey", value="CASE WHEN c_custkey % 2 = 0 THEN '$u' ELSE '''me''' END")
+    files = C.made_files(rows, F.concat(F.lit("p"), F.col("c")), [("{c}/bad.php", "php", "<?php\n$u = $_POST['u'];\n$_SESSION['n'] = {value};\necho $_SESSION['n'];\n")])
+    return taint.flows(extracted(files)).select("file_path", "line_number", "vuln_type", "source_func").distinct()
+
+
+@query(C.each_row_sql("SELECT c_custkey AS c, 'g' || c_custkey || '.php' AS p FROM customer", ["p"], [("{p}@:getenv()@2:5", "getenv()", "true")], ["variable", "name"]))
+def function_sources_of_customers(spark, sf):
+    """Calls whose value the environment, a file or a database gives."""
+    files = C.made_files(rows_of(spark, sf, "customer", c="c_custkey"), F.lit("p"), [("g{c}.php", "php", "<?php\n$h = getenv('X{c}');\n$k = strlen('X{c}');\n")])
+    return facts.extract(files).where("kind = 'function_source'").select(F.col("var").alias("variable"), "name")
+
+
+@query("SELECT c_custkey AS finding_id, CASE WHEN c_custkey % 2 = 0 THEN 'call_graph' ELSE 'taint' END AS stage FROM customer WHERE c_custkey % 2 = 1 OR c_custkey % 3 = 0")
+def sourceless_of_customers(spark, sf):
+    """Findings of the call graph go where their file shows no user input."""
+    rows = rows_of(spark, sf, "customer", c="c_custkey", code="CASE WHEN c_custkey % 3 = 0 THEN '$_GET[''a'']' ELSE 'f()' END")
+    files = C.made_files(rows, F.lit("p"), [("i{c}.php", "php", "<?php\n{code};\n")])
+    found = read_table(spark, sf, "customer").select(F.lit("p").alias("project_id"), F.concat(F.lit("i"), F.col("c_custkey"), F.lit(".php")).alias("file_path"), F.lit("php").alias("language"), F.lit("xss").alias("vuln_type"), F.when(F.col("c_custkey") % 2 == 0, "call_graph").otherwise("taint").alias("pipeline_stage"), F.col("c_custkey").alias("finding_id"))
+    return enrich.without_sourceless(found, files).select("finding_id", F.col("pipeline_stage").alias("stage"))
