@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from taintloom.functions.catalog import severity_rank
 
+from .graph import cut
+
 # Defaults of a stored finding.
 DEFAULTS = {"severity": "medium", "pipeline_stage": "taint", "status": "pending"}
 
@@ -60,6 +62,33 @@ def persist(findings: DataFrame, path: str, partition: str = "project_id") -> No
     stored(findings).write.mode("append").partitionBy(partition).parquet(path)
 
 
+def replace_partitions(rows: DataFrame, path: str, partition: str = "project_id") -> None:
+    """Writes rows over the folders of the partitions that they have; others aren't touched. The rows may come from the table
+    itself: they are checkpointed before it is written."""
+    cut(rows).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+
+
+def store_verdicts(spark: SparkSession, path: str, verdicts: DataFrame, key: str = "finding_id", partition: str = "project_id") -> None:
+    """Verdicts (key, partition, columns) put into the stored findings that have their key. Only the partitions that verdicts
+    name are read (their values prune the scan as the join runs) and written; verdicts that find nothing change nothing."""
+    stored_rows = spark.read.parquet(path)
+    touched = verdicts.select(partition).distinct()
+    mine = stored_rows.join(touched, partition, "left_semi")
+    judged = with_verdicts(mine, verdicts.drop(partition), key)
+    replace_partitions(judged.select(*stored_rows.columns), path, partition)
+
+
+def delete_partitions(spark: SparkSession, path: str, gone: DataFrame, partition: str = "project_id") -> int:
+    """Deletes the folders of the partitions that `gone` names, and gives their number: no other file is read or written."""
+    files = spark.read.parquet(path).select(partition, F.regexp_replace("_metadata.file_path", "/[^/]*$", "").alias("folder")).distinct()
+    folders = files.join(gone.select(partition).distinct(), partition, "left_semi").select("folder").distinct()
+    found = [r["folder"] for r in folders.collect()]  # one for each deleted project
+    for folder in found:
+        at = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(folder))
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return len(found)
+
+
 def with_verdicts(findings: DataFrame, verdicts: DataFrame, key: str = "finding_id") -> DataFrame:
     """Verdict columns of the report that has the finding's key; findings without one keep theirs."""
     fresh = [c for c in verdicts.columns if c != key]

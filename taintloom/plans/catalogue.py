@@ -16,7 +16,7 @@ from taintloom.functions.catalog import CWE, SEVERITY, cwe, severity, severity_r
 from taintloom.operators import detectors, graph, relational, report, rules
 from taintloom.sources.tables import read_table
 
-from . import code_queries, engine_queries, scale_queries
+from . import code_queries, scale_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -208,30 +208,6 @@ def suffix_longest(spark, sf):
     return relational.longest_suffix(t(spark, sf, "pages").select("page_id", "url"), SUFFIXES, "url", "suffix").select("page_id", "suffix")
 
 
-VERSIONS = [("r1", "5.4", "8.2", "7.4"), ("r1", "5.4", "8.2", "5.3.6"), ("r2", None, "7.1", "7.2"), ("r2", None, "7.1", "7.0.33"), ("r3", "8.0", None, "8.0"), ("r3", "8.0", None, "10.1"), ("r4", None, None, "x"), ("r5", "3.6", "3.12", "3.9"), ("r5", "3.6", "3.12", ""), ("r6", "3.10", None, "3.9")]
-SQL_VERSIONS = ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" for x in v) + ")" for v in VERSIONS)
-NUMBERS = "CAST(regexp_extract_all({0}, '[0-9]+') AS INTEGER[])"
-
-
-@query(f"""SELECT rule_id, version, len(v) = 0 OR ((a IS NULL OR v >= a) AND (b IS NULL OR v <= b)) AS active FROM (SELECT rule_id, version, {NUMBERS.format("version")} AS v, {NUMBERS.format("low")} AS a, {NUMBERS.format("high")} AS b FROM (VALUES {SQL_VERSIONS}) t(rule_id, low, high, version))""")
-def version_range(spark, sf):
-    """Version bounds compared number by number; an unknown version passes."""
-    rows = spark.createDataFrame(VERSIONS, "rule_id string, low string, high string, version string")
-    return rows.select("rule_id", "version", T.version_in_range(F.col("version"), F.col("low"), F.col("high")).alias("active"))
-
-
-STANDARDS = ["c89", "c99", "c11", "c17", "c23", "c++98", "c++11", "c++14", "c++17", "c++20", "c++23"]
-
-
-@query("WITH s AS (SELECT * FROM (VALUES " + ", ".join(f"('{s}', {k if k < 5 else k + 5})" for k, s in enumerate(STANDARDS)) + ") t(standard, r)) SELECT standard, CAST(r AS INTEGER) AS standard_rank, r <= 1 AS below_c99, r >= 11 AS from_cpp11 FROM s")
-def standard_range(spark, sf):
-    """C and C++ standards compared by their order."""
-    rows = spark.createDataFrame([(s,) for s in STANDARDS], "standard string")
-    none = F.lit(None).cast("string")
-    rank = T.standard_rank(F.col("standard")).cast("int")
-    return rows.select("standard", rank.alias("standard_rank"), T.standard_in_range(F.col("standard"), none, F.lit("c99")).alias("below_c99"), T.standard_in_range(F.col("standard"), F.lit("c++11"), none).alias("from_cpp11"))
-
-
 SEVERITY_SQL = "CASE event_type WHEN 'error' THEN 'critical' WHEN 'purchase' THEN 'high' WHEN 'signup' THEN 'medium' WHEN 'click' THEN 'low' ELSE 'info' END"
 
 
@@ -473,8 +449,6 @@ def positional_join(spark, sf):
 for module in (code_queries, scale_queries):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES
-QUERIES |= engine_queries.QUERIES
-ORACLES |= {name: engine_queries.sql(name) for name in engine_queries.QUERIES}
 
 
 def queries() -> dict[str, Query]:

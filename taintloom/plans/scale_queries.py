@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import io
+import tarfile
+import uuid
+import zipfile
+
+import pandas as pd
 from pyspark.sql import functions as F
 
-from taintloom.operators import facts, ordered, relational, taint, templates
+from taintloom.functions import text as T
+from taintloom.operators import facts, graph, ordered, relational, report, taint, templates
+from taintloom.sources import corpus
 from taintloom.sources.tables import read_table as t
 
 QUERIES = {}
@@ -154,3 +162,88 @@ def template_names(spark, sf):
     names = pages.select(key(F.col("page_id")).alias("project_id"), F.regexp_replace("url", "^https?://[^/]*", "").alias("name"))
     names = names.union(pages.select(key(F.col("page_id") + 1), F.concat(F.lit("x\\"), F.regexp_extract("url", "[^/]*$", 0)))).where("name <> ''")
     return templates.linked_pairs(paths, names, ["project_id"])
+
+
+# Stores and archives.
+
+
+@query("SELECT d.doc_id AS finding_id, d.source AS project_id, CASE l.quality WHEN 1 THEN 'confirmed' WHEN 0 THEN 'false_positive' ELSE 'pending' END AS status FROM documents d LEFT JOIN labels l USING (doc_id) WHERE d.source <> (SELECT min(source) FROM documents)")
+def stored_verdicts(spark, sf):
+    """Documents stored as findings of their source, labels put in as verdicts, and the first source deleted: a table of
+    folders of which each step touches its own."""
+    docs = t(spark, sf, "documents").select(F.col("doc_id").alias("finding_id"), F.col("source").alias("project_id"))
+    path = f"{cut_folder(spark)}/findings-{uuid.uuid4().hex}"
+    none = F.lit(None).cast("string")
+    report.persist(docs.withColumns({"severity": none, "pipeline_stage": none, "status": none, "line_number": F.lit(1), "sink_line": F.lit(1)}), path)
+    verdicts = t(spark, sf, "labels").select(F.col("doc_id").alias("finding_id"), F.when(F.col("quality") == 1, "confirmed").otherwise("false_positive").alias("status"))
+    report.store_verdicts(spark, path, verdicts.join(docs, "finding_id"))
+    report.delete_partitions(spark, path, docs.agg(F.min("project_id").alias("project_id")))
+    out = graph.cut(spark.read.parquet(path).select("finding_id", "project_id", "status"))
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return out
+
+
+def cut_folder(spark) -> str:
+    """The folder of checkpoints, which all executors share."""
+    graph.cut(spark.range(0))
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
+@query("SELECT 'docs-' || (doc_id // 100) || CASE WHEN doc_id // 100 % 2 = 0 THEN '.zip' ELSE '.tar.gz' END AS archive, source || '/' || doc_id || '.txt' AS name, CAST(strlen(text) AS BIGINT) AS size, text FROM documents")
+def archived_documents(spark, sf):
+    """Documents packed into archives, a hundred each, and unpacked again, row for row."""
+    docs = t(spark, sf, "documents").select(F.floor(F.col("doc_id") / 100).alias("k"), F.concat_ws("", "source", F.lit("/"), "doc_id", F.lit(".txt")).alias("name"), "text")
+
+    def pack(frame):
+        k = int(frame["k"].iloc[0])
+        out = io.BytesIO()
+        files = [(n, x.encode()) for n, x in frame[["name", "text"]].itertuples(index=False)]
+        if k % 2 == 0:
+            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                for n, x in files:
+                    z.writestr(zipfile.ZipInfo(n), x, zipfile.ZIP_DEFLATED)
+        else:
+            with tarfile.open(fileobj=out, mode="w:gz") as tar:
+                for n, x in files:
+                    info = tarfile.TarInfo(n)
+                    info.size = len(x)
+                    tar.addfile(info, io.BytesIO(x))
+        return pd.DataFrame([(f"docs-{k}.{'zip' if k % 2 == 0 else 'tar.gz'}", out.getvalue())], columns=["path", "content"])
+
+    found = corpus.unpacked(docs.groupBy("k").applyInPandas(pack, "path string, content binary"))
+    return found.select("archive", "name", "size", corpus.decoded(F.col("content")).alias("text"))
+
+
+BYTES_SQL = "CASE doc_id % 3 WHEN 0 THEN text ELSE 'é' || doc_id END"
+
+
+@query(f"SELECT doc_id, {BYTES_SQL} AS text FROM documents")
+def decoded_documents(spark, sf):
+    """Bytes as text: those that are no UTF-8 are deleted."""
+    d = t(spark, sf, "documents")
+    bad = F.concat(F.unhex(F.lit("FF")), F.lit("é").cast("binary"), F.unhex(F.lit("FE")), F.col("doc_id").cast("string").cast("binary"))
+    return d.select("doc_id", corpus.decoded(F.when(F.col("doc_id") % 3 == 0, F.col("text").cast("binary")).otherwise(bad)).alias("text"))
+
+
+LIMITS = "CASE p_partkey % 5 WHEN 0 THEN NULL ELSE (p_partkey % 4 + 2) || '.' || (p_partkey % 13) END", "CASE p_partkey % 7 WHEN 0 THEN NULL ELSE (p_partkey % 5 + 3) || '.' || (p_partkey % 11) END", "CASE p_partkey % 17 WHEN 0 THEN 'x' ELSE (p_partkey % 6 + 2) || '.' || (p_size % 12) || '.' || (p_partkey % 3) END"
+NUMBERS = "CAST(regexp_extract_all({0}, '[0-9]+') AS INTEGER[])"
+
+
+@query(f"SELECT p_partkey, len(v) = 0 OR ((a IS NULL OR v >= a) AND (b IS NULL OR v <= b)) AS active FROM (SELECT p_partkey, {NUMBERS.format('version')} AS v, {NUMBERS.format('low')} AS a, {NUMBERS.format('high')} AS b FROM (SELECT p_partkey, {LIMITS[0]} AS low, {LIMITS[1]} AS high, {LIMITS[2]} AS version FROM part))")
+def version_bounds_of_parts(spark, sf):
+    """Version bounds compared number by number; an unknown version passes."""
+    rows = t(spark, sf, "part").select("p_partkey", *(F.expr(e).alias(n) for e, n in zip(LIMITS, ("low", "high", "version"), strict=True)))
+    return rows.select("p_partkey", T.version_in_range(F.col("version"), F.col("low"), F.col("high")).alias("active"))
+
+
+STANDARDS = ["c89", "c99", "c11", "c17", "c23", "c++98", "c++11", "c++14", "c++17", "c++20", "c++23"]
+STANDARD_SQL = "CASE c_custkey % 11 " + " ".join(f"WHEN {k} THEN '{s}'" for k, s in enumerate(STANDARDS)) + " END"
+
+
+@query("SELECT c_custkey, c_custkey % 11 <= 1 AS below_c99, c_custkey % 11 >= 6 AS from_cpp11 FROM customer")
+def standards_of_customers(spark, sf):
+    """C and C++ standards compared by their order."""
+    rows = t(spark, sf, "customer").select("c_custkey", F.expr(STANDARD_SQL).alias("standard"))
+    none = F.lit(None).cast("string")
+    return rows.select("c_custkey", T.standard_in_range(F.col("standard"), none, F.lit("c99")).alias("below_c99"), T.standard_in_range(F.col("standard"), F.lit("c++11"), none).alias("from_cpp11"))

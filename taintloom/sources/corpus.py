@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import io
+import lzma
 import re
 import tarfile
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,16 +61,19 @@ def member_fault(name: str) -> str | None:
     return None
 
 
-def members(data: bytes) -> Iterator[tuple[str, int, bytes]]:
+def members(data: bytes, names: str | None = None) -> Iterator[tuple[str, int, bytes]]:
     """(name, size, bytes) of the regular members of a zip or tar (gz, bz2, xz) archive; all are checked before any is
-    given out. ValueError: no archive, an empty one, a refused member or a limit passed."""
+    given out. ValueError: no archive, an empty one, a refused member or a limit passed. names: a regular expression that
+    names must hold; other members are checked, but not read."""
+    wanted = re.compile(names or "")
     stream = io.BytesIO(data)
     if zipfile.is_zipfile(stream):
         with zipfile.ZipFile(stream) as z:
             infos = [i for i in z.infolist() if not i.is_dir() and (i.external_attr >> 28) in (0, 8)]
             _check([(i.filename, i.file_size) for i in infos])
             for i in infos:
-                yield i.filename, i.file_size, z.read(i)
+                if wanted.search(i.filename):
+                    yield i.filename, i.file_size, z.read(i)
         return
     stream.seek(0)
     try:
@@ -79,7 +84,8 @@ def members(data: bytes) -> Iterator[tuple[str, int, bytes]]:
         infos = [m for m in tar.getmembers() if m.isreg()]
         _check([(m.name, m.size) for m in infos])
         for m in infos:
-            yield m.name, m.size, tar.extractfile(m).read()
+            if wanted.search(m.name):
+                yield m.name, m.size, tar.extractfile(m).read()
 
 
 def _check(found: list[tuple[str, int]]) -> None:
@@ -94,14 +100,22 @@ def _check(found: list[tuple[str, int]]) -> None:
         raise ValueError("the archive has too many files or bytes")
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
+#: Bytes of members that a task gives out at a time.
+FRAME_BYTES = 16 << 20
+
+
+def read_archives(spark: SparkSession, path: str, names: str | None = None) -> DataFrame:
     """(archive, name, size, content, fault) of archives' members, an archive to a task; nothing is written to disk. A
-    refused archive gives one row with its fault instead of an error, so one bad upload doesn't fail a batch."""
-    return unpacked(spark.read.format("binaryFile").load(path).select("path", "content"))
+    refused archive gives one row with its fault instead of an error, so one bad upload doesn't fail a batch. names: a
+    regular expression for the members to read."""
+    return unpacked(spark.read.format("binaryFile").load(path).select("path", "content"), names)
 
 
-def unpacked(archives: DataFrame) -> DataFrame:
-    """The same for archives (path, content) that are rows already."""
+def unpacked(archives: DataFrame, names: str | None = None) -> DataFrame:
+    """The same for archives (path, content) that are rows already. An archive is read through once before any of its members
+    is given out, so a broken one gives its fault alone; members are then given out some FRAME_BYTES at a time, so that a
+    task holds an archive and few of its members."""
+    columns = ["archive", "name", "size", "content", "fault"]
 
     def unpack(frames):
         import pandas as pd
@@ -109,10 +123,19 @@ def unpacked(archives: DataFrame) -> DataFrame:
         for f in frames:
             for archive, content in f[["path", "content"]].itertuples(index=False):
                 try:
-                    rows = [(archive, n, s, c, None) for n, s, c in members(content)]
-                except (ValueError, OSError, EOFError, zipfile.BadZipFile) as e:
-                    rows = [(archive, None, None, None, str(e))]
-                yield pd.DataFrame(rows, columns=["archive", "name", "size", "content", "fault"])
+                    for _ in members(content, names):
+                        pass
+                except (ValueError, OSError, EOFError, zipfile.BadZipFile, zlib.error, lzma.LZMAError) as e:
+                    yield pd.DataFrame([(archive, None, None, None, str(e))], columns=columns)
+                    continue
+                rows, held = [], 0
+                for n, s, c in members(content, names):
+                    rows.append((archive, n, s, c, None))
+                    held += s
+                    if held > FRAME_BYTES:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows, held = [], 0
+                yield pd.DataFrame(rows, columns=columns)
 
     return archives.select("path", "content").mapInPandas(unpack, "archive string, name string, size long, content binary, fault string")
 

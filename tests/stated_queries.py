@@ -1,6 +1,5 @@
-"""Queries of the engine's own operators on small stated inputs. What each must give is stated in `engine_expected`, as rows
-that SQL reads as VALUES. The rows were printed by a run and then held against the rules one by one; from there on they are
-what a change must not alter."""
+"""The engine's own operators on small stated inputs. What each must give is stated in `stated_rows`: rows that were printed
+by a run and then held against the rules one by one; from there on they are what a change must not alter."""
 
 from __future__ import annotations
 
@@ -13,9 +12,8 @@ from taintloom.operators import callgraph, cve, detectors, enrich, facts, graph,
 from taintloom.plans import pipeline
 from taintloom.sources import corpus
 
-from .engine_expected import EXPECTED
+from .stated_rows import EXPECTED
 
-KINDS = {"string": "VARCHAR", "int": "INTEGER", "long": "BIGINT", "boolean": "BOOLEAN", "double": "DOUBLE"}
 QUERIES = {}
 
 
@@ -24,21 +22,6 @@ def stated(f):
     return f
 
 
-def literal(value: object) -> str:
-    if value is None:
-        return "NULL"
-    return str(value).lower() if isinstance(value, bool) else "'" + value.replace("'", "''") + "'" if isinstance(value, str) else repr(value)
-
-
-def sql(name: str) -> str:
-    """The stated rows of a query as SQL."""
-    columns, rows = EXPECTED[name]
-    named = [c.split() for c in columns.split(", ")]
-    values = ", ".join("(" + ", ".join(literal(v) for v in r) + ")" for r in rows)
-    cast = ", ".join(f'CAST("{c}" AS {KINDS[k]}) AS "{c}"' for c, k in named)
-    return f"SELECT {cast} FROM (VALUES {values}) t({', '.join(f'"{c}"' for c, _ in named)})"
-
-
 def sources(spark: SparkSession, *rows: tuple[str, str, str]) -> DataFrame:
     """Files (path, language, text) of one project."""
     return spark.createDataFrame([("p", *r) for r in rows], corpus.FILES)
@@ -738,7 +721,7 @@ def braced_blocks(spark, sf):
 @stated
 def analysis_cases(spark, sf):
     """The whole analysis over the regression projects."""
-    from . import cases
+    from taintloom.plans import cases
 
     return cases.findings(spark).select("project_id", "file_path", "line_number", "vuln_type", "severity", "pipeline_stage")
 
@@ -746,6 +729,6 @@ def analysis_cases(spark, sf):
 @stated
 def analysis_cases_in_order(spark, sf):
     """The same with facts folded in order."""
-    from . import cases
+    from taintloom.plans import cases
 
     return cases.findings(spark, "compat").select("project_id", "file_path", "line_number", "vuln_type", "severity", "pipeline_stage")

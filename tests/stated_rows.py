@@ -1,4 +1,4 @@
-"""What the queries of `engine_queries` must give: per query the columns with their types, and the rows."""
+"""What the queries of `stated_queries` must give: per query the columns with their types, and the rows."""
 
 EXPECTED = {
     "py_scopes": (
