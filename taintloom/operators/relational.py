@@ -26,6 +26,11 @@ def supplement(existing: DataFrame, more: DataFrame, key: list[str]) -> DataFram
     return existing.unionByName(more.join(keys, cond, "left_anti"), allowMissingColumns=True)
 
 
+def without(rows: DataFrame, gone: DataFrame, key: list[str]) -> DataFrame:
+    """Set difference by key: the distinct keys of `rows` that `gone` hasn't; nulls are equal."""
+    return rows.select(*key).subtract(gone.select(*key))
+
+
 def band_covered(rows: DataFrame, spots: DataFrame, key: list[str], line: str, spot_line: str, width: int) -> DataFrame:
     """Adds boolean `covered`: some spot of the same key lies within `width` lines.
 
@@ -87,14 +92,18 @@ def within_spans(points: DataFrame, spans: DataFrame, key: list[str], at: str, s
     return met.drop("__k", "__block")
 
 
-def longest_suffix(rows: DataFrame, suffixes: DataFrame | list[tuple[str, int]], text: str, suffix: str, order: str = "") -> DataFrame:
+def longest_suffix(rows: DataFrame, suffixes: DataFrame | list[tuple[str, int]], text: str, suffix: str, order: str = "", most: int = 0) -> DataFrame:
     """Left join of each row with the longest suffix that its text ends with; ties go to the smaller `order`.
 
     A list of (suffix, order) is a literal that each row searches, without a join. A table of any size is an equi-join: a
     text gives as many keys as suffixes have lengths (the lengths are collected; there are few of them at any number of
     suffixes), each the end of the text of that length. Texts are looked up once each, and the best is a minimum, summed
-    map-side. Null texts and texts without a suffix get null; null suffixes are none.
+    map-side. Null texts and texts without a suffix get null; null suffixes are none. most: tables of at most so many rows,
+    which are counted, are searched as a literal instead, with the same rows.
     """
+    if most and not isinstance(suffixes, list):
+        few = suffixes.where(F.col(suffix).isNotNull()).select(suffix, order).limit(most + 1).collect()
+        suffixes = [tuple(r) for r in few] if len(few) <= most else suffixes
     if isinstance(suffixes, list):
         ranked = sorted(suffixes, key=lambda r: (-len(r[0]), r[1]))
         found = F.filter(F.array(*(F.lit(s) for s, _ in ranked)), lambda s: F.endswith(F.col(text), s)) if ranked else F.array().cast("array<string>")

@@ -189,6 +189,50 @@ def resolved_paths(asked: DataFrame, files: DataFrame, root: str) -> DataFrame:
     return first_found(want, [(exact, ["asked"], "p"), (below, ["__below"], "p"), (ends.withColumnRenamed("path", "p"), ["__end"], "p")], "path").select("asked", "path")
 
 
+def normalised(path: Column) -> Column:
+    """An absolute path without `.`, `..` and empty parts; `..` at the root stays there. Backslashes are slashes."""
+    parts = F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/", -1)
+    step = lambda kept, x: F.when(x.isin("", "."), kept).when(x == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(F.array_append(kept, x))
+    return F.aggregate(parts, F.array().cast("array<string>"), step, lambda kept: F.concat(F.lit("/"), F.array_join(kept, "/")))
+
+
+def contained(asked: DataFrame, files: DataFrame, root: str, column: str = "asked") -> DataFrame:
+    """`asked` with `path`, the normalised path that may be read, and `fault`: why none may (`empty`; `outside` of the root
+    once `..` is resolved; `missing`, no file of `files` (path) is there), or null. Paths are text here: links of a file
+    system aren't followed. Files are looked up by an equi-join."""
+    base = "/" + "/".join(p for p in root.split("/") if p)
+    clean = F.when(F.coalesce(F.col(column), F.lit("")) != "", normalised(F.col(column)))
+    known = files.select(normalised(F.col("path")).alias("__path")).distinct().withColumn("__there", F.lit(True))
+    met = asked.withColumn("__path", clean).join(known, "__path", "left")
+    inside = (F.col("__path") == base) | F.startswith(F.col("__path"), F.lit(base.rstrip("/") + "/"))
+    fault = F.when(F.col("__path").isNull(), "empty").when(~inside, "outside").when(F.col("__there").isNull(), "missing")
+    return met.withColumn("fault", fault).withColumn("path", F.when(F.col("fault").isNull(), F.col("__path"))).drop("__path", "__there")
+
+
+#: Files that an answer may quote beside a finding's own, headers of an answer that are shown.
+MOST_FILES, MOST_HEADERS = 3, 10
+NAMED_FILE = r"([\w./-]+\.(?:php|py|c|cpp|h))\b"
+
+
+def referenced_files(findings: DataFrame, files: DataFrame, root: str, most: int = MOST_FILES) -> DataFrame:
+    """(finding_id, path): the files that a finding's flow or sink names, below the root or else beside the finding's file, but
+    for its own source and sink files: the first `most` by name (the listing's limit). Names meet files by equi-joins."""
+    text = F.concat_ws("\n", "data_flow", "sink_code")
+    named = findings.select("finding_id", "file_path", "source_file", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(NAMED_FILE), F.lit(1)))).alias("name"))
+    folder = F.regexp_replace("file_path", "/?[^/]*$", "")
+    tried = named.select("*", F.posexplode(F.array(normalised(F.concat(F.lit(root + "/"), "name")), normalised(F.concat(folder, F.lit("/"), "name")))).alias("place", "path"))
+    there = tried.join(files.select("path").distinct(), "path")
+    first = there.groupBy("finding_id", "name").agg(F.min_by(F.struct("path", "file_path", "source_file"), "place").alias("f")).select("finding_id", "f.*")
+    other = first.where(~F.col("path").eqNullSafe(F.col("file_path")) & ~F.col("path").eqNullSafe(F.col("source_file"))).select("finding_id", "path").distinct()
+    order = Window.partitionBy("finding_id").orderBy("path")
+    return other.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= most).drop("__n")
+
+
+def first_entries(entries: Column, most: int = MOST_HEADERS) -> Column:
+    """A map's first entries."""
+    return F.map_from_entries(F.slice(F.map_entries(entries), 1, most))
+
+
 def parse_failures(answers: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, text, failed_at): answers that hold no JSON even after repair; append them to a table with `append_failures`."""
     from taintloom.functions.text import json_repair

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from taintloom.functions import patterns as P
 from taintloom.functions import text as T
-from taintloom.operators import callgraph, cve, detectors, enrich, facts, graph, report, rules, taint, templates
+from taintloom.operators import callgraph, cve, detectors, enrich, facts, graph, relational, report, rules, taint, templates
 from taintloom.sources import corpus
 from taintloom.sources.tables import read_table
 
@@ -595,3 +595,71 @@ def sourceless_of_customers(spark, sf):
     files = C.made_files(rows, F.lit("p"), [("i{c}.php", "php", "<?php\n{code};\n")])
     found = read_table(spark, sf, "customer").select(F.lit("p").alias("project_id"), F.concat(F.lit("i"), F.col("c_custkey"), F.lit(".php")).alias("file_path"), F.lit("php").alias("language"), F.lit("xss").alias("vuln_type"), F.when(F.col("c_custkey") % 2 == 0, "call_graph").otherwise("taint").alias("pipeline_stage"), F.col("c_custkey").alias("finding_id"))
     return enrich.without_sourceless(found, files).select("finding_id", F.col("pipeline_stage").alias("stage"))
+
+
+# Paths within a project, files that findings name, differences of sets, protections on the way.
+
+ASKED = ["'/w/p/src/f' || c_custkey || '.py'", "'/w/p/../x/f' || c_custkey || '.py'", "'/w/p/src/./a/../f' || c_custkey || '.py'", "''", "'/w/pp/f' || c_custkey || '.py'"]
+ASKED_SQL = "CASE c_custkey % 5 " + " ".join(f"WHEN {k} THEN {x}" for k, x in enumerate(ASKED)) + " END"
+
+
+@query("SELECT c_custkey, CASE WHEN m IN (0, 2) AND c_custkey % 3 > 0 THEN '/w/p/src/f' || c_custkey || '.py' END AS path, CASE WHEN m = 3 THEN 'empty' WHEN m IN (1, 4) THEN 'outside' WHEN c_custkey % 3 = 0 THEN 'missing' END AS fault FROM (SELECT c_custkey, c_custkey % 5 AS m FROM customer)")
+def contained_of_customers(spark, sf):
+    """Which paths may be read: those of files below the project's root, once their parts are resolved."""
+    rows = read_table(spark, sf, "customer").select("c_custkey", F.expr(ASKED_SQL).alias("asked"))
+    files = read_table(spark, sf, "customer").where("c_custkey % 3 > 0").select(F.concat(F.lit("/w/p/src/f"), F.col("c_custkey"), F.lit(".py")).alias("path"))
+    return report.contained(rows, files, "/w/p").select("c_custkey", "path", "fault")
+
+
+@query("""SELECT o AS finding_id, path FROM (SELECT o, '/w/p/v' || CAST(pick AS VARCHAR) || '.py' AS path FROM (""" + C.LINES_SQL + """) WHERE pick % 3 > 0 GROUP BY o, pick) QUALIFY row_number() OVER (PARTITION BY o ORDER BY path) <= 3""")
+def referenced_of_orders(spark, sf):
+    """The first three files that a finding's flow names and that are there, but for its own."""
+    lines = C.order_lines(spark, sf)
+    flow = lines.groupBy("o").agg(F.array_join(F.collect_list(F.concat(F.lit("v"), F.col("pick"), F.lit(".py"))), " → ").alias("data_flow"))
+    found = flow.select(F.col("o").alias("finding_id"), F.concat(F.lit("/w/p/o"), F.col("o"), F.lit(".py")).alias("file_path"), F.lit(None).cast("string").alias("source_file"), F.concat("data_flow", F.lit(" → o"), F.col("o"), F.lit(".py")).alias("data_flow"), F.lit("gone.c").alias("sink_code"))
+    files = lines.where("pick % 3 > 0").select(F.concat(F.lit("/w/p/v"), F.col("pick"), F.lit(".py")).alias("path")).union(found.select("file_path"))
+    return report.referenced_files(found, files, "/w/p")
+
+
+@query("SELECT doc_id, CAST(least(doc_id % 15, 10) AS INTEGER) AS n FROM documents")
+def headers_of_documents(spark, sf):
+    """The first ten entries of a map."""
+    entries = F.map_from_entries(F.transform(F.sequence(F.lit(1), F.col("doc_id") % 15 + 1), lambda i: F.struct(F.concat(F.lit("h"), i).alias("k"), F.col("source").alias("v"))))
+    all_but_last = F.map_filter(entries, lambda k, v: k != F.concat(F.lit("h"), F.col("doc_id") % 15 + 1))
+    return read_table(spark, sf, "documents").select("doc_id", F.size(report.first_entries(all_but_last)).alias("n"))
+
+
+@query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'")
+def difference_of_customers(spark, sf):
+    """Set difference by key."""
+    gone = read_table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
+    return relational.without(read_table(spark, sf, "customer"), gone, ["c_custkey"])
+
+
+GRADES = "['low', 'medium', 'high', 'critical']"
+
+
+@query(f"""WITH f AS (SELECT l_orderkey * 1000 + l_linenumber AS finding_id, min(l_suppkey) % 50 AS file_id, min(l_partkey) % 300 AS line FROM lineitem GROUP BY l_orderkey, l_linenumber),
+s AS (SELECT DISTINCT o_custkey % 50 AS file_id, o_orderkey % 300 AS line FROM orders WHERE o_orderstatus = 'P'),
+h AS (SELECT f.*, f.line % 5 AS g, EXISTS (SELECT 1 FROM s WHERE s.file_id = f.file_id AND (abs(s.line - f.line) <= 1 OR abs(s.line - f.line - 4) <= 1 OR abs(s.line - f.line - 9) <= 1)) AS hit FROM f)
+SELECT finding_id, CASE WHEN g = 4 THEN 'info' WHEN hit THEN {GRADES}[greatest(g - 1, 1)] ELSE {GRADES}[g + 1] END AS severity FROM h""")
+def safe_spots_of_lines(spark, sf):
+    """A safe spot at a finding's lines or beside them takes two grades, to low at the lowest."""
+    f = read_table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg((F.min("l_suppkey") % 50).alias("file"), (F.min("l_partkey") % 300).alias("line"))
+    grade = F.get(F.array(*(F.lit(x) for x in ("low", "medium", "high", "critical", "info"))), (F.col("line") % 5).cast("int"))
+    rows = f.select((F.col("l_orderkey") * 1000 + F.col("l_linenumber")).alias("finding_id"), F.col("file").cast("string").alias("file_path"), F.col("line").alias("line_number"), (F.col("line") + 4).alias("source_line"), (F.col("line") + 9).alias("sink_line"), grade.alias("severity"))
+    spots = read_table(spark, sf, "orders").where("o_orderstatus = 'P'").select((F.col("o_custkey") % 50).cast("string").alias("file_path"), (F.col("o_orderkey") % 300).alias("line_number"))
+    return detectors.safe_spots(rows, spots).select("finding_id", "severity")
+
+
+MIDDLES = ["$b = htmlspecialchars($a);", "$b = base64_encode($a);", "$b = $a;", "$b = substr($a, 0, 9);"]
+
+
+@query("SELECT c_custkey, CASE m WHEN 0 THEN 'strong' ELSE 'none' END AS protection_level, m > 0 AS is_exploitable, CASE m WHEN 0 THEN 'unlikely' ELSE 'easy' END AS exploit_difficulty, CASE m WHEN 1 THEN 'encode' WHEN 3 THEN 'truncate' ELSE 'none' END AS transforms FROM (SELECT c_custkey, c_custkey % 4 AS m FROM customer)")
+def enriched_of_customers(spark, sf):
+    """Protections and changes between a finding's source and its sink, and what follows from them."""
+    rows = rows_of(spark, sf, "customer", c="c_custkey", mid="CASE c_custkey % 4 " + " ".join(f"WHEN {k} THEN '{m}'" for k, m in enumerate(MIDDLES)) + " END")
+    files = C.made_files(rows, F.lit("p"), [("e{c}.php", "php", "<?php\n$a = $_GET['x'];\n{mid}\necho $b;\n")])
+    found = read_table(spark, sf, "customer").select(F.lit("p").alias("project_id"), F.concat(F.lit("e"), F.col("c_custkey"), F.lit(".php")).alias("file_path"), "c_custkey", F.lit(2).alias("source_line"), F.lit(4).alias("sink_line"), F.lit(4).alias("line_number"), F.lit("xss").alias("vuln_type"), F.array(F.lit("$a"), F.lit("$b")).alias("path"))
+    out = enrich.enrich(found, files)
+    return out.select("c_custkey", "protection_level", "is_exploitable", "exploit_difficulty", F.array_join("transforms", ",").alias("transforms"))
