@@ -19,6 +19,8 @@ from .rpforest import matrix, usable
 
 #: Candidates and queries of one cell; a cell's scores are made in slices of SLICE queries.
 CELL_CANDIDATES, CELL_QUERIES, SLICE = 4000, 2000, 250
+#: Parts in which the lists of a query's cells are merged before the parts are.
+MERGE_SHARES = 64
 
 
 @dataclass
@@ -187,7 +189,7 @@ def _search(points: DataFrame, asking: DataFrame, top: int, recall: float, most_
     def score(left, right):
         node, ids = left["node"].to_numpy(), right["ids"].to_pylist()
         if not len(node) or not ids:
-            return pa.table({"node": pa.array([], pa.int64()), "found": pa.array([], found)})
+            return pa.table({"node": pa.array([], pa.int64()), "leaf": pa.array([], pa.int64()), "ci": pa.array([], pa.int32()), "found": pa.array([], found)})
         q, c = matrix(left["vector"]), matrix(right["vector"])
         out = []
         for at in range(0, len(q), SLICE):
@@ -200,11 +202,13 @@ def _search(points: DataFrame, asking: DataFrame, top: int, recall: float, most_
                 exact = (c[near] * q[at + i]).sum(1)
                 full = sorted((-s, v) for s, j in zip(exact.tolist(), near.tolist(), strict=True) for v in ids[j])[:most]
                 out.append([{"s": s, "v": v} for s, v in full])
-        return pa.table({"node": pa.array(node), "found": pa.array(out, found)})
+        return pa.table({"node": pa.array(node), "leaf": left["leaf"].cast(pa.int64()), "ci": left["ci"].cast(pa.int32()), "found": pa.array(out, found)})
 
     found = pa.list_(pa.struct([("s", pa.float64()), ("v", pa.int64())]))
-    scored = ask.select("leaf", "ci", "qi", "node", "vector").groupBy("leaf", "ci", "qi").cogroup(cand.select("leaf", "ci", "qi", "node", "ids", "vector").groupBy("leaf", "ci", "qi")).applyInArrow(score, "node long, found array<struct<s:double,v:long>>")
-    # A query's lists meet in one row: as many as it visits cells, each of a bounded length.
-    lists = cut(scored.groupBy("node").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, most).alias("found")))
+    scored = ask.select("leaf", "ci", "qi", "node", "vector").groupBy("leaf", "ci", "qi").cogroup(cand.select("leaf", "ci", "qi", "node", "ids", "vector").groupBy("leaf", "ci", "qi")).applyInArrow(score, "node long, leaf long, ci int, found array<struct<s:double,v:long>>")
+    # A query's lists are cut to their best in two steps, so that no row holds more than a share of its cells' lists.
+    best = F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, most).alias("found")
+    shares = scored.groupBy("node", F.pmod(F.xxhash64("leaf", "ci"), F.lit(MERGE_SHARES)).alias("share")).agg(best)
+    lists = cut(shares.groupBy("node").agg(best))
     each = asking.join(lists, "node").select("id", F.slice(F.filter("found", lambda f: f["v"] != F.col("id")), 1, top).alias("found"))
     return each.select(F.col("id").alias("query_id"), F.posexplode("found").alias("p", "f")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("f.v").alias("vec_id"), (-F.col("f.s")).alias("score"))
