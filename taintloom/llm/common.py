@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import os
+import pickle
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -131,6 +133,18 @@ class Scratch:
         self.drop()
 
 
+def in_task(rows: DataFrame, make: Callable[[list[dict]], object]) -> object:
+    """What `make` gives for `rows`, a bounded sample, made in one task: the driver gets the result only, not the rows and
+    what it takes to work on them, and a lost executor's task is run again."""
+
+    def run(batches):
+        got = [r for b in batches for r in b.to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(make(got))], pa.binary())], names=["made"])
+
+    out = rows.repartition(1).mapInArrow(run, "made binary").first()
+    return make([]) if out is None else pickle.loads(out["made"])
+
+
 def remove(spark: SparkSession, folder: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

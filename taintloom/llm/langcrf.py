@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, small_batches, sole_holder
+from .common import chunks, in_task, small_batches, sole_holder
 
 WORD = re.compile(r"[^\W\d_]+")
 BITS = 16
@@ -246,10 +246,11 @@ def is_held_out(key: str = "doc_id"):
     return (F.crc32(F.col(key).cast("string")) % 5) == 0
 
 
-def fit(docs: DataFrame, per_lang: int = 250, most_langs: int = 200, most_chars: int = 200_000, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model | None:
+def fit(docs: DataFrame, per_lang: int = 250, most_langs: int = 200, most_chars: int = 200_000, key: str = "doc_id", text: str = "text", lang: str = "lang", on_executor: bool = False) -> Model | None:
     """Trains on documents that aren't held out and have a language: `per_lang` documents of each language (the bound of
     the sample), the first by a hash of the key. Texts of over `most_chars` characters are not learned from, and more than
-    `most_langs` languages are an error. Only keys and languages are ranked; texts are read for those chosen."""
+    `most_langs` languages are an error. Only keys and languages are ranked; texts are read for those chosen. on_executor:
+    the sample is trained on in a task, so that the driver holds the model only."""
     named = docs.where(~is_held_out(key) & F.col(lang).isNotNull() & (F.length(text) <= most_chars))
     ranked = named.select(key, lang, F.xxhash64(F.lit(11), key).alias("__h"))
     if ranked.select(lang).distinct().limit(most_langs + 1).count() > most_langs:
@@ -257,9 +258,13 @@ def fit(docs: DataFrame, per_lang: int = 250, most_langs: int = 200, most_chars:
     # Each task keeps its first rows of a language before the shuffle, so no language's rows meet in one task.
     order = Window.partitionBy(lang).orderBy("__h", key)
     chosen = ranked.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= per_lang).select(key).distinct()
-    rows = named.join(F.broadcast(chosen), key, "left_semi").select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).collect()
-    rows.sort(key=lambda r: (r["k"], r["l"], r["t"]))
-    return train([r["t"] for r in rows], [r["l"] for r in rows])
+    sample = named.join(F.broadcast(chosen), key, "left_semi").select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"))
+
+    def make(rows):
+        got = sorted(rows, key=lambda r: (r["k"], r["l"], r["t"]))
+        return train([r["t"] for r in got], [r["l"] for r in got])
+
+    return in_task(sample, make) if on_executor else make(sample.collect())
 
 
 def identified(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:

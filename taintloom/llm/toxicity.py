@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, small_batches, sole_holder
+from .common import Memo, in_task, small_batches, sole_holder
 
 WORD = re.compile(r"[^\W\d_]+")
 BITS = 22
@@ -174,19 +174,24 @@ def train(texts: list[str], toxic: list[int], keys: list[int], most_features: in
     return Chain(full, weights, repeats)
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 4000, most_chars: int = 200_000, most_features: int = 4000, repeats: int = 5, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Chain | None:
+def fit(docs: DataFrame, labels: DataFrame, most: int = 4000, most_chars: int = 200_000, most_features: int = 4000, repeats: int = 5, key: str = "doc_id", text: str = "text", label: str = "toxic", on_executor: bool = False) -> Chain | None:
     """Trains on a bounded sample of labelled rows: up to `most` of the rows labelled clean and half as many of those
     labelled toxic, the first by a hash of the key; texts of over `most_chars` characters are not learned from. Only keys
     and labels are ranked; texts are read for those chosen. Null keys, labels and texts aren't used.
 
     `most_features` bounds the hashed features that the chain weighs, `repeats` the hits that one word makes in a text.
+    on_executor: the sample is trained on in a task, so that the driver holds the chain only.
     """
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.max(label).alias("__y"))
     half = [known.where(F.col("__y") == y).orderBy(F.xxhash64(F.lit(3), key), key).limit(n) for y, n in ((0, most), (1, most // 2))]
     chosen = half[0].unionByName(half[1])
-    got = docs.where(F.length(text) <= most_chars).select(key, text).join(F.broadcast(chosen), key).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col("__y").alias("y")).collect()
-    got.sort(key=lambda r: (r["k"], r["t"]))
-    return train([r["t"] for r in got], [int(r["y"]) for r in got], [r["k"] for r in got], most_features, repeats)
+    sample = docs.where(F.length(text) <= most_chars).select(key, text).join(F.broadcast(chosen), key).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col("__y").alias("y"))
+
+    def make(rows):
+        got = sorted(rows, key=lambda r: (r["k"], r["t"]))
+        return train([r["t"] for r in got], [int(r["y"]) for r in got], [r["k"] for r in got], most_features, repeats)
+
+    return in_task(sample, make) if on_executor else make(sample.collect())
 
 
 _MEMOS: dict[str, Memo] = {}

@@ -2,11 +2,12 @@
 
 import itertools
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from taintloom.llm import simhash
+from taintloom.llm import langcrf, simhash, toxicity
 
 from .helpers import awkward, united
 
@@ -85,3 +86,16 @@ def test_queries_and_run(spark, sf):
     out = entry.queries()["pipeline"](spark, sf)
     assert 0.7 * n <= out.select("doc_id").distinct().count() <= n
     assert out.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
+
+
+def test_training_in_a_task_gives_the_models_of_the_driver(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    one, two = (toxicity.fit(docs, labels, on_executor=x) for x in (False, True))
+    assert (one is None) == (two is None)
+    if one is not None:
+        assert (one.lexicon.chosen == two.lexicon.chosen).all() and all(np.allclose(a, b) for a, b in zip(one.weights, two.weights, strict=True))
+    few = docs.where("doc_id < 60")
+    texts = few.select("doc_id", "text")
+    a, b = (langcrf.languages(texts, langcrf.fit(few, per_lang=5, on_executor=x)).collect() for x in (False, True))
+    assert sorted((r.doc_id, r.lang_pred) for r in a) == sorted((r.doc_id, r.lang_pred) for r in b)
+    assert toxicity.fit(docs, labels.limit(0), on_executor=True) is None
