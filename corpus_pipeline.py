@@ -19,7 +19,7 @@ from taintloom.llm.common import remove, shared_folder, table
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain finds toxic go. Null and empty texts stay, and so does everything if `labels`
     has not both classes; equal texts are judged alike, repeated rows each by themselves."""
-    chain = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    chain = toxicity.fit(docs, table(spark, sf_dir, "labels"), on_executor=True)
     return _same_columns(docs, lambda d: toxicity.toxicity(d, chain).where(~F.col("toxic")))
 
 
@@ -27,7 +27,7 @@ def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str, least:
     """Documents without a letter (null and empty texts too), or whose most likely language has a mean marginal below
     `least`, go. Without any language to learn from all go, since none can be identified. Ties of languages go to the
     first name; repeated rows are judged each by themselves."""
-    model = langcrf.fit(docs)
+    model = langcrf.fit(docs, on_executor=True)
     return _same_columns(docs, lambda d: langcrf.identified(d, model).where((F.col("lang_pred") != "und") & (F.col("lang_score") >= least)))
 
 
