@@ -156,8 +156,18 @@ FROM (SELECT 'o' || o || '.{SUFFIX[language]}' AS path, k + {len(HEADS[language]
 JOIN (VALUES {values}) f(form, kind, var, dst, name, vuln_type, types) ON f.form = l.pick % {len(FORMS[language])})"""
 
 
+#: Rows whose files are one task's work: a table of short rows is one file or row group, so one task, however many they are.
+TASK_ROWS = 2_000
+
+
+def dealt(rows: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
+    """Rows dealt over tasks by their number, before anything is made of them; no text is shuffled."""
+    return rows.repartition(min(max(-(-rows.count() // task_rows), 1), 20_000), *rows.columns)
+
+
 def made_files(rows: DataFrame, project, files: list[tuple[str, str, str]]) -> DataFrame:
     """Files (path, language, text) for each row, with the row's columns (strings) put in for {their names}."""
+    rows = dealt(rows)
     put = {c: F.col(c) for c in rows.columns}
     each = F.array(*(F.struct(filled(F.lit(p), **put).alias("path"), F.lit(lang).alias("language"), filled(F.lit(x), **put).alias("text")) for p, lang, x in files))
     return rows.select(project.alias("project_id"), F.explode(each).alias("f")).select("project_id", "f.*")
