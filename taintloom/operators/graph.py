@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +26,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Rows kept as a compressed table beside the checkpoints, of which readers take the columns that they need."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        cut(df.sparkSession.range(0))
+    path = f"{sc._jsc.sc().getCheckpointDir().get()}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def upsert_nodes(rows: DataFrame) -> DataFrame:
     """One node per (project_id, name): flags OR-ed, sanitized types united, the first origin that isn't null, the last
     snippet and line that aren't empty; by `seq`."""
@@ -54,6 +67,22 @@ def argument_edges(rows: DataFrame, key: str = "project_id") -> DataFrame:
     return rows.select(key, "seq", F.col("argument").alias("src"), F.concat_ws("::", "function", "parameter").alias("dst"))
 
 
+@contextlib.contextmanager
+def near_table(edges: DataFrame, key: str = "project_id") -> Iterator[DataFrame]:
+    """Edges (key, seq, src, dst) dealt once by the node that they leave, as a table in buckets, so that the levels of
+    `bfs_paths` don't shuffle them again; of parallel ones the first, which alone can win. The table goes with the block."""
+    spark = edges.sparkSession
+    name = f"taintloom_near_{uuid.uuid4().hex}"
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    rows = edges.select(F.col(key).alias("__of"), "src", "dst", F.col("seq").alias("__seq"))
+    rows = rows.repartition(n, "__of", "src").groupBy("__of", "src", "dst").agg(F.min("__seq").alias("__seq"))
+    rows.write.bucketBy(n, "__of", "src").saveAsTable(name, format="parquet")
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def bfs_paths(edges: DataFrame, sources: DataFrame, most: int = MAX_PATH, key: str = "project_id", label: str | None = None, blocked: DataFrame | None = None) -> DataFrame:
     """(key, source, node, path, order, depth): the breadth-first tree of every source, first edges first, to `most` nodes.
 
@@ -66,13 +95,14 @@ def bfs_paths(edges: DataFrame, sources: DataFrame, most: int = MAX_PATH, key: s
 
     label, blocked: sources have a column `label` too, a tree of its own each, and a tree's paths avoid the nodes that
     `blocked` (key, label, node) has for its label; a source among them has no tree. The result has the column as well.
+    edges may be a `near_table`, which many sources and levels share.
     """
     labels = [label] if label else []
     of = [key, *labels, "source"]
-    e = edges.select(F.col(key).alias("__of"), "src", "dst", F.col("seq").alias("__seq"))
+    e = edges if "__seq" in edges.columns else edges.select(F.col(key).alias("__of"), "src", "dst", F.col("seq").alias("__seq"))
     start = sources.select(*of).distinct()
     closed = blocked.select(key, *labels, "node").distinct() if blocked is not None else None
-    none = F.array().cast(f"array<{edges.schema['seq'].dataType.simpleString()}>")
+    none = F.array().cast(f"array<{e.schema['__seq'].dataType.simpleString()}>")
     first = start.select(*of, F.col("source").alias("node"), F.array("source").alias("path"), none.alias("order"))
     open_ = lambda rows: rows if closed is None else rows.join(closed, [key, *labels, "node"], "left_anti")
     frontier = cut(open_(first).select(*first.columns))

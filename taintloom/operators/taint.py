@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ordered
-from .graph import MAX_PATH, bfs_paths, breadth_first, cut, path_to
+from .graph import MAX_PATH, bfs_paths, breadth_first, cut, near_table, path_to, stored
 from .relational import first_wins
 
 #: `seq` sorts findings of a project: by their source, the length of the path, and the sink.
@@ -54,15 +54,19 @@ def link_edges(facts: DataFrame) -> DataFrame:
 
 #: Edges of a project that a task searches by itself, and the steps that one task's sources may take.
 TASK_EDGES, TASK_STEPS = 2_000_000, 20_000_000
+#: Copies of a project's edges that its sources may be dealt over: with more, it is searched by levels instead, since sources
+#: and edges of a project grow together and copies would grow with their product.
+MOST_SHARDS = 8
 
 
 def flows(facts: DataFrame, mode: str = "declarative", most: int = MAX_PATH, functions: bool = False, around_clean: bool = False, task_edges: int = TASK_EDGES, task_steps: int = TASK_STEPS) -> DataFrame:
     """Findings of every project (FLOWS): a breadth-first tree per source, the first path to each sink, of at most `most`
     nodes.
 
-    A project's sources are dealt over as many shards as keep sources times edges at about `task_steps`, each with the
-    project's edges, and small projects share a call; a project with more than `task_edges` edges is searched level by level with joins instead, with the
-    same rows. In the mode `compat`, which folds a project's facts in order, a project of at most `task_edges` edges is one
+    Files of a project that no edge links with another are searched by themselves (`_units`), and small ones share a call.
+    What is linked is searched as a whole: its sources are dealt over as many shards as keep sources times edges at about
+    `task_steps`, each with its edges; with more than `task_edges` edges or MOST_SHARDS shards it is searched level by level
+    with joins instead, with the same rows. In the mode `compat`, which folds a project's facts in order, a project of at most `task_edges` edges is one
     task; larger ones are folded by ranges (`ordered.folded`), with the same rows.
 
     functions: calls that give a file's or a database's content count as sources too. around_clean (declarative): if the
@@ -70,10 +74,10 @@ def flows(facts: DataFrame, mode: str = "declarative", most: int = MAX_PATH, fun
     """
     if mode not in ("declarative", "compat"):
         raise ValueError(f"no such mode: {mode}")
-    edges = link_edges(facts).select(F.col("project_id").alias("of"), *(F.col(c).alias(c) for c in ("path", "seq", "src", "dst", "line")))
+    edges = stored(link_edges(facts).select(F.col("project_id").alias("of"), *(F.col(c) for c in ("path", "seq", "src", "dst", "line"))))
     kinds = ["source", "sink", "sanitize", *(["function_source"] if functions else [])]
     kind = F.when(F.col("kind") == "function_source", "source").otherwise(F.col("kind")).alias("kind")
-    marks = facts.where(F.col("kind").isin(kinds)).select("project_id", "path", "language", "seq", kind, "var", "name", "vuln_type", "types", "code", "line")
+    marks = stored(facts.where(F.col("kind").isin(kinds)).select("project_id", "path", "language", "seq", kind, "var", "name", "vuln_type", "types", "code", "line"))
     names = [c.split()[0] for c in FLOWS.split(", ")]
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -81,52 +85,72 @@ def flows(facts: DataFrame, mode: str = "declarative", most: int = MAX_PATH, fun
         rows = [(k[0], *r) for k, mine in _by_project(right).items() for r in _search(of.get(k, []), mine, mode, most, around_clean)]
         return pd.DataFrame(rows, columns=names)
 
-    edges = cut(edges)
-    sizes = edges.groupBy("of").count().select(F.col("of").alias("project_id"), F.col("count").alias("edges"))
-    largest = sizes.agg(F.max("edges")).first()[0] or 0
-    of_large = sizes.where(F.col("edges") > task_edges).select("project_id")
-    small_marks, small_edges = marks, edges
-    if largest > task_edges:
-        large_marks = marks.join(of_large, "project_id", "left_semi")
-        large_edges = edges.withColumnRenamed("of", "project_id").join(of_large, "project_id", "left_semi")
-        small_marks = marks.join(of_large, "project_id", "left_anti")
-        small_edges = edges.join(of_large.withColumnRenamed("project_id", "of"), "of", "left_anti").select(*edges.columns)
-
-    sizes = sizes.join(of_large, "project_id", "left_anti")
+    # The fold of `compat` is over a project's facts in order, so a project stays whole there.
+    edges, marks = (edges.withColumn("unit", F.lit("")), marks.withColumn("unit", F.lit(""))) if mode == "compat" else _units(edges, marks)
+    unit = ["project_id", "unit"]
+    sizes = edges.groupBy(F.col("of").alias("project_id"), "unit").agg(F.count("*").alias("edges"))
     if mode == "compat":
         plan = sizes.withColumn("shards", F.lit(1))
     else:
-        found = small_marks.where("kind = 'source'").groupBy("project_id").agg(F.countDistinct("var").alias("sources"))
-        plan = found.join(sizes, "project_id", "left").na.fill(0, ["edges"]).withColumn("shards", F.greatest(F.ceil(F.col("sources") * F.col("edges") / task_steps), F.lit(1)).cast("int"))
+        found = marks.where("kind = 'source'").groupBy(*unit).agg(F.countDistinct("var").alias("sources"))
+        plan = found.join(sizes, unit, "left").na.fill(0, ["edges"]).withColumn("shards", F.greatest(F.ceil(F.col("sources") * F.col("edges") / task_steps), F.lit(1)).cast("int"))
+    plan = stored(plan.select(*unit, "edges", "shards").withColumn("large", (F.col("edges") > task_edges) | (F.col("shards") > MOST_SHARDS)))
+    large = plan.where("large").select(*unit)
+    some_large = not large.isEmpty()
+    small_marks, small_edges = marks, edges
+    if some_large:
+        large_marks = marks.join(large, unit, "left_semi")
+        large_edges = edges.withColumnRenamed("of", "project_id").join(large, unit, "left_semi")
+        if mode == "compat":
+            small_marks = marks.join(large, unit, "left_anti")
+    plan = plan.where("not large")
     # Projects are dealt over groups of some 250,000 edges, so that very many small ones don't cost a call each.
     total = plan.agg(F.sum(F.col("edges") * F.col("shards"))).first()[0] or 0
     groups = max(int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // 250_000))
-    shards = plan.select("project_id", "shards")
-    spread = lambda df: df.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).drop("shards").withColumn("group", F.pmod(F.xxhash64("project_id", "shard"), F.lit(groups)))
+    shards = plan.select(*unit, "shards")
+    spread = lambda df: df.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).drop("shards").withColumn("group", F.pmod(F.xxhash64("project_id", "unit", "shard"), F.lit(groups)))
     mine = F.col("kind") == "source"
     if mode == "compat":
         dealt = spread(small_marks.withColumn("shards", F.lit(1)))
     else:
         mine &= F.pmod(F.xxhash64("var"), "all_shards") == F.col("shard")
-        dealt = spread(small_marks.join(shards.withColumn("all_shards", F.col("shards")), "project_id"))
+        dealt = spread(small_marks.join(shards.withColumn("all_shards", F.col("shards")), unit))
     dealt = dealt.withColumn("mine", mine).drop("all_shards")
-    near = spread(small_edges.withColumnRenamed("of", "project_id").join(shards, "project_id"))
+    near = spread(small_edges.withColumnRenamed("of", "project_id").join(shards, unit))
     out = dealt.groupBy("group").cogroup(near.groupBy("group")).applyInPandas(lambda a, b: search(b, a), FLOWS)
-    if largest <= task_edges:
+    if not some_large:
         return out
     return out.unionByName(_large_folded(large_edges, large_marks, most) if mode == "compat" else _large_flows(large_edges, large_marks, most, around_clean))
 
 
 def _by_project(frame: pd.DataFrame) -> dict[tuple, list[dict]]:
-    """{(project, shard): rows in order}."""
+    """{(project, unit, shard): rows in order}."""
     out: dict[tuple, list[dict]] = {}
     for r in frame.sort_values(["path", "seq"], kind="stable").to_dict("records"):
-        out.setdefault((r["project_id"], r["shard"]), []).append(r)
+        out.setdefault((r["project_id"], r["unit"], r["shard"]), []).append(r)
     return out
 
 
+def _units(edges: DataFrame, marks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges and marks with `unit`, what a path can't leave: a file that no edge links with others, else "" for all that is
+    linked in the project. A variable's file is what stands before its first @; one without is linked."""
+    file = lambda c: F.when(F.instr(c, "@") > 0, F.substring_index(c, "@", 1)).otherwise("")
+    a, b = file("src"), file("dst")
+    ends = edges.where(a != b).select(F.col("of").alias("project_id"), F.explode(F.array(a, b)).alias("unit")).where("unit <> ''").distinct()
+    linked = cut(ends)
+    edges, marks = edges.withColumn("unit", a), marks.withColumn("unit", file("var"))
+    if linked.isEmpty():
+        return edges, marks
+    linked = linked.withColumn("__linked", F.lit(True))
+    one = F.when(F.col("__linked"), "").otherwise(F.col("unit")).alias("unit")
+    joined = edges.join(linked.withColumnRenamed("project_id", "of"), ["of", "unit"], "left").select(*[c for c in edges.columns if c != "unit"], one)
+    return joined, marks.join(linked, ["project_id", "unit"], "left").select(*[c for c in marks.columns if c != "unit"], one)
+
+
 def _tree_edges(edges: DataFrame) -> DataFrame:
-    return edges.select("project_id", F.struct("path", "seq", "src", "dst").alias("seq"), "src", "dst")
+    """Edges in order. Of two ways to a node the first edge that differs decides, and both leave the node that their equal
+    parts end at, so an edge's own start needn't be compared."""
+    return edges.select("project_id", F.struct("path", "seq", "dst").alias("seq"), "src", "dst")
 
 
 def _sinks(marks: DataFrame) -> DataFrame:
@@ -143,7 +167,12 @@ def _large_flows(edges: DataFrame, marks: DataFrame, most: int, around_clean: bo
     the nodes that clean for its type are kept out of."""
     sources = _sources(first_wins(marks.where("kind = 'source'"), ["project_id", "var"], ["path", "seq"]))
     sinks, lost = _sinks(marks), ["project_id", "source", "node", "vuln_type"]
-    tree = bfs_paths(_tree_edges(edges), sources, most)
+    with near_table(_tree_edges(edges)) as near:
+        return _level_flows(near, marks, sources, sinks, lost, most, around_clean)
+
+
+def _level_flows(near: DataFrame, marks: DataFrame, sources: DataFrame, sinks: DataFrame, lost: list[str], most: int, around_clean: bool) -> DataFrame:
+    tree = bfs_paths(near, sources, most)
     met = cut(tree.join(sinks, ["project_id", "node"]).drop("order").withColumnRenamed("path", "nodes").withColumn("vuln_type", F.col("t.vuln_type")))
     clean = marks.where("kind = 'sanitize'").select("project_id", F.col("var").alias("on"), F.explode("types").alias("type")).distinct()
     gone = met.select(*lost, F.explode("nodes").alias("on")).distinct().join(clean, ["project_id", "on"]).where("type = 'all' or type = vuln_type").select(*lost).distinct()
@@ -153,7 +182,7 @@ def _large_flows(edges: DataFrame, marks: DataFrame, most: int, around_clean: bo
         again = gone.select("project_id", "source", "vuln_type").distinct()
         kinds = again.select("project_id", "vuln_type").distinct()
         blocked = clean.join(kinds, "project_id").where("type = 'all' or type = vuln_type").select("project_id", "vuln_type", F.col("on").alias("node")).distinct()
-        around = bfs_paths(_tree_edges(edges), again, most, label="vuln_type", blocked=cut(blocked)).withColumnRenamed("path", "nodes")
+        around = bfs_paths(near, again, most, label="vuln_type", blocked=cut(blocked)).withColumnRenamed("path", "nodes")
         more = around.join(gone, lost, "left_semi").join(sinks, ["project_id", "node"]).where(F.col("t.vuln_type") == F.col("vuln_type"))
         kept = kept.unionByName(more.select(*kept.columns))
     return _rows(kept.join(sources, ["project_id", "source"]))
@@ -203,6 +232,7 @@ def _search(edges: list[dict], marks: list[dict], mode: str, most: int, around_c
     if mode == "compat":
         tainted, clean = _fold(edges, marks, sources, near)
     out = []
+    closed: dict[str, set[str]] = {}
     for start, source in list(sources.items()):
         tree = breadth_first(near, start, most)
         around: dict[str, dict[str, str | None]] = {}
@@ -216,7 +246,9 @@ def _search(edges: list[dict], marks: list[dict], mode: str, most: int, around_c
                     ok = not any(kind in clean[n] or "all" in clean[n] for n in path if n in clean)
                     if not ok and around_clean:
                         if kind not in around:
-                            blocked = {n for n, types in clean.items() if kind in types or "all" in types}
+                            if kind not in closed:
+                                closed[kind] = {n for n, types in clean.items() if kind in types or "all" in types}
+                            blocked = closed[kind]
                             around[kind] = {} if start in blocked else breadth_first(near, start, most, blocked)
                         if ok := node in around[kind]:
                             way = path_to(around[kind], node)

@@ -1,6 +1,6 @@
 """Work is dealt over tasks by its size, and what is not asked for stays in the workers."""
 
-from taintloom.operators import facts
+from taintloom.operators import facts, graph, taint
 from taintloom.plans import code_forms as C
 
 
@@ -18,3 +18,27 @@ def test_only_asked_kinds_leave_a_worker(spark):
     for kinds in (["edge"], ["source", "sink"], ["error"], []):
         got = {r for r in facts.extract(files, kinds).select("kind", "seq", "var", "dst", "name").collect()}
         assert got == {r for r in every if r["kind"] in kinds}
+
+
+def test_unlinked_files_are_searched_by_themselves(spark):
+    """A project of files that nothing links costs the sum of its files, not sources times edges; what is linked stays whole."""
+    alone = [("p", f"a{k}.py", "python", "import os\nx = input()\nos.system(x)\n") for k in range(40)]
+    linked = [("p", "l.py", "python", "import os\ndef run(c):\n    os.system(c)\n"), ("p", "u.py", "python", "from l import run\nrun(input())\n")]
+    extracted = facts.extract(spark.createDataFrame(alone + linked, "project_id string, path string, language string, text string"))
+    edges, marks = taint._units(taint.link_edges(extracted).withColumnRenamed("project_id", "of"), extracted.where("kind in ('source', 'sink')"))
+    assert {r["unit"] for r in edges.select("unit").distinct().collect()} == {"", *(f"a{k}.py" for k in range(40))}
+    assert {r["unit"] for r in marks.where("path in ('l.py', 'u.py')").select("unit").collect()} == {""}
+    columns = ["file_path", "source_file", "vuln_type", "data_flow", "seq"]
+    found = sorted(taint.flows(extracted).select(*columns).collect())
+    assert len({(r["source_file"], r["file_path"]) for r in found}) == 42  # l.py has its parameter and u.py's input
+    for task_edges, task_steps in ((0, 20_000_000), (2_000_000, 1)):  # by levels; by levels where copies would be many
+        assert sorted(taint.flows(extracted, task_edges=task_edges, task_steps=task_steps).select(*columns).collect()) == found
+
+
+def test_near_table_keeps_the_first_of_parallel_edges(spark):
+    edges = spark.createDataFrame([("p", k, "a", "b") for k in range(9, 0, -1)] + [("p", 20, "b", "c")], "project_id string, seq long, src string, dst string")
+    sources = spark.createDataFrame([("p", "a")], "project_id string, source string")
+    with graph.near_table(edges) as near:
+        assert near.count() == 2
+        got = graph.bfs_paths(near, sources)
+    assert sorted(map(tuple, got.select("node", "order").collect())) == [("a", []), ("b", [1]), ("c", [1, 20])]
