@@ -119,7 +119,8 @@ def linked_pairs(pages: DataFrame, names: DataFrame, key: list[str], path: str =
     Two texts one of which ends with the other have the same characters at the end: the shorter one's last few. So a name's
     end of each length that the file names of its project have, and a path's end of each length that names have, are
     keys; what meets is held against the rule itself. Lengths are few at any number of paths, so a path gives a bounded
-    number of keys; a short end that very many paths share costs what it truly joins.
+    number of keys; a short end that very many paths share costs what it truly joins. Joins are merges: a size guessed from a
+    table of few bytes, of which texts are made, would have a whole side sent through the driver.
     """
     paths = pages.select(*key, path).distinct().withColumn("__path", F.replace(path, F.lit("\\"), F.lit("/")))
     bare = names.select(*key, name).where(F.col(name).isNotNull()).distinct().withColumn("__bare", F.ltrim(F.replace(name, F.lit("\\"), F.lit("/")), F.lit("/")))
@@ -131,8 +132,8 @@ def linked_pairs(pages: DataFrame, names: DataFrame, key: list[str], path: str =
     def lengths(df: DataFrame, c: str) -> list[int]:
         return sorted(r[0] for r in df.select(F.length(c)).where(F.col(c).isNotNull()).distinct().collect())
 
-    by_name = paths.withColumn("__end", ends("__path", lengths(bare, "__bare"))).join(bare.withColumnRenamed("__bare", "__end"), [*key, "__end"])
-    by_file = bare.withColumn("__end", ends("__bare", lengths(last, "__last"))).join(last.withColumnRenamed("__last", "__end"), [*key, "__end"])
+    by_name = paths.withColumn("__end", ends("__path", lengths(bare, "__bare"))).join(bare.withColumnRenamed("__bare", "__end").hint("merge"), [*key, "__end"])
+    by_file = bare.withColumn("__end", ends("__bare", lengths(last, "__last"))).join(last.withColumnRenamed("__last", "__end").hint("merge"), [*key, "__end"])
     return by_name.select(*key, path, name).unionByName(by_file.select(*key, path, name)).distinct()
 
 
@@ -141,7 +142,7 @@ def template_variables(files: DataFrame) -> DataFrame:
     templates meet by the ends of their paths, so a project's pages don't all meet all its views."""
     pages = files.where(F.col("language") == "template").select(*KEY)
     views = view_variables(files).where(F.size("variables") > 0)
-    met = linked_pairs(pages, views, ["project_id"]).join(views, ["project_id", "name"])
+    met = linked_pairs(pages, views, ["project_id"]).join(views.hint("merge"), ["project_id", "name"])
     return met.groupBy(*KEY).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("variables")))).alias("variables"))
 
 
@@ -178,7 +179,7 @@ def findings(files: DataFrame, mode: str = "lenient") -> DataFrame:
     if mode == "unlinked":
         lines = lines.withColumn("variables", F.lit(None).cast("array<string>"))
     else:
-        lines = lines.join(template_variables(files), KEY, "inner" if mode == "strict" else "left")
+        lines = lines.join(template_variables(files).hint("merge"), KEY, "inner" if mode == "strict" else "left")
     code = F.col("code")
     user = lambda e: F.col("variables").isNull() | F.arrays_overlap("variables", F.array(F.regexp_extract(F.trim(e), r"^[A-Za-z_]\w*", 0)))
     shown = F.exists(F.regexp_extract_all("code", F.lit(P.TEMPLATE_VARIABLE), F.lit(1)), user)
@@ -186,5 +187,5 @@ def findings(files: DataFrame, mode: str = "lenient") -> DataFrame:
     at = F.when(marked | F.col("in_script") & shown, F.col("line_no"))
     hit = lines.withColumn("at", F.explode(F.array_compact(F.array(at, F.when(shown, F.col("block"))))))
     told = hit.select(*KEY, F.col("at").alias("line_no")).distinct()
-    hit = told.join(lines.select(*KEY, "line_no", F.trim(code).alias("sink_code")), [*KEY, "line_no"])
+    hit = told.join(lines.select(*KEY, "line_no", F.trim(code).alias("sink_code")).hint("merge"), [*KEY, "line_no"])
     return hit.select("project_id", F.col("path").alias("file_path"), F.col("line_no").alias("line_number"), F.col("line_no").alias("sink_line"), F.lit("xss").alias("vuln_type"), F.lit("medium").alias("severity"), F.lit("template").alias("language"), "sink_code", F.lit(0.7).alias("confidence"), F.lit("ast").alias("pipeline_stage"))

@@ -1,6 +1,8 @@
 """Work is dealt over tasks by its size, and what is not asked for stays in the workers."""
 
-from taintloom.operators import facts, graph, taint
+from pyspark.sql import functions as F
+
+from taintloom.operators import facts, graph, taint, templates
 from taintloom.plans import code_forms as C
 
 
@@ -42,3 +44,14 @@ def test_near_table_keeps_the_first_of_parallel_edges(spark):
         assert near.count() == 2
         got = graph.bfs_paths(near, sources)
     assert sorted(map(tuple, got.select("node", "order").collect())) == [("a", []), ("b", [1]), ("c", [1, 20])]
+
+
+def test_template_joins_send_no_side_through_the_driver(spark):
+    """A table of few bytes gives many long texts, so sizes guessed from it mustn't choose broadcasts."""
+    rows = spark.range(50).coalesce(1).selectExpr("cast(id as string) as c")
+    view = "def v(q):\n    return render_template('page{c}.html', a=q)\n"
+    files = C.made_files(rows, F.lit("p"), [("v{c}.py", "python", view), ("t/page{c}.html", "template", "{{ a|safe }}\n")])
+    for mode in ("strict", "lenient"):
+        found = templates.findings(files, mode)
+        assert "BroadcastHashJoin" not in found._jdf.queryExecution().sparkPlan().toString()
+        assert found.count() == 50
