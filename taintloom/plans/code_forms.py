@@ -110,8 +110,15 @@ FORMS: dict[str, list[tuple[str, list[tuple]]]] = {
 LINES_SQL = """SELECT l_orderkey AS o, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS INTEGER) AS k, 'v' || lpad(CAST(min(l_partkey) AS VARCHAR), 7, '0') AS v, 'w' || lpad(CAST(min(l_suppkey) AS VARCHAR), 6, '0') AS w, min(l_partkey) + min(l_suppkey) AS pick FROM lineitem GROUP BY l_orderkey, l_linenumber"""
 
 
+def by_order(rows: DataFrame, order: str) -> DataFrame:
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), order)
+
+
 def order_lines(spark: SparkSession, sf: str) -> DataFrame:
-    rows = read_table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("part"), F.min("l_suppkey").alias("supp"))
+    # Dealt by orders once, in a stated number of parts: aggregate, window and files all keep them, and the few bytes of a
+    # line don't have parts merged that are much work once they are code.
+    rows = by_order(read_table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), "l_orderkey")
+    rows = rows.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("part"), F.min("l_suppkey").alias("supp"))
     number = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber"))
     name = lambda prefix, c, n: F.concat(F.lit(prefix), F.lpad(F.col(c).cast("string"), n, "0"))
     return rows.select(F.col("l_orderkey").alias("o"), number.alias("k"), name("v", "part", 7).alias("v"), name("w", "supp", 6).alias("w"), (F.col("part") + F.col("supp")).alias("pick"))

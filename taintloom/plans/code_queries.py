@@ -185,7 +185,7 @@ def code_chains(spark, sf):
     code = C.filled(F.get(forms, (F.col("pick") % 5).cast("int")), x=step, b=before)
     last = lines.groupBy("o").agg(F.max("k").alias("k")).select("o", (F.col("k") + 1).alias("k"), F.concat(F.lit("os.system(x"), F.col("k").cast("string"), F.lit(")")).alias("code"))
     path = F.concat(F.lit("o"), F.col("o"), F.lit(".py"))
-    files = C.as_files(lines.select("o", "k", code.alias("code")).unionByName(last), F.concat(F.lit("p"), F.col("o") % 97), path, "python", ["import html, os, shlex", "x0 = input()"])
+    files = C.as_files(C.by_order(lines.select("o", "k", code.alias("code")).unionByName(last), "o"), F.concat(F.lit("p"), F.col("o") % 97), path, "python", ["import html, os, shlex", "x0 = input()"])
     found = pipeline.taint_findings(extracted(files, FLOW_KINDS))
     return found.select("file_path", "line_number", "vuln_type", "severity", "cwe", F.col("source_func"))
 
