@@ -55,3 +55,9 @@ def test_template_joins_send_no_side_through_the_driver(spark):
         found = templates.findings(files, mode)
         assert "BroadcastHashJoin" not in found._jdf.queryExecution().sparkPlan().toString()
         assert found.count() == 50
+
+
+def test_order_lines_keep_a_stated_number_of_parts(spark, sf):
+    """Few bytes of a line are much work as code, so parts aren't merged by bytes."""
+    files = C.code_files(spark, sf, "php")
+    assert files.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
