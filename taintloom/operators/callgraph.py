@@ -18,6 +18,8 @@ from .relational import first_wins
 from .syntax import spans
 
 DEPTH = 4  # fixed value: calls below the caller
+#: Nodes of small projects that share a call of the search.
+CALL_NODES = 20_000
 FUNCTIONS = "project_id string, path string, language string, seq int, name string, line int, source_labels array<string>, sink_labels array<string>, vuln_type string, called array<string>"
 
 
@@ -89,30 +91,36 @@ def paths(graph: DataFrame, depth: int = DEPTH, task_nodes: int = 1_000_000) ->
     reaches in at most `depth` calls; sinks end a path, and neither the source nor the caller is met again. Of several
     paths of one length the first in order counts.
 
-    A project is one task's work as long as it has at most `task_nodes` functions; if any has more, all are searched in
-    bounded rounds of joins, with the same rows.
+    A project is one task's work as long as it has at most `task_nodes` functions, and projects are dealt over shared calls
+    of some CALL_NODES functions, since a call costs milliseconds however few it gets; if any project has more, all are
+    searched in bounded rounds of joins, with the same rows.
     """
-    largest = graph.groupBy("project_id").count().agg(F.max("count")).first()[0] or 0
-    if largest > task_nodes:
+    largest, every = graph.groupBy("project_id").count().agg(F.max("count"), F.sum("count")).first()
+    if (largest or 0) > task_nodes:
         return _paths_by_rounds(graph, depth)
 
     def search(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = [(frame["project_id"].iloc[0], *r) for r in _paths_of(frame, depth)]
+        projects: dict[str, list[tuple]] = {}
+        for project, *node in frame[["project_id", "name", "called", "is_source", "is_sink"]].itertuples(index=False):
+            projects.setdefault(project, []).append(node)
+        rows = [(project, *r) for project, nodes in projects.items() for r in _paths_of(nodes, depth)]
         return pd.DataFrame(rows, columns=["project_id", "source", "sink", "path"])
 
-    nodes = graph.select("project_id", "name", "called", (F.size("source_labels") > 0).alias("is_source"), (F.size("sink_labels") > 0).alias("is_sink"))
-    return nodes.groupBy("project_id").applyInPandas(search, "project_id string, source string, sink string, path array<string>")
+    call = F.pmod(F.xxhash64("project_id"), F.lit(-(-(every or 1) // CALL_NODES)))
+    nodes = graph.select(call.alias("call"), "project_id", "name", "called", (F.size("source_labels") > 0).alias("is_source"), (F.size("sink_labels") > 0).alias("is_sink"))
+    return nodes.groupBy("call").applyInPandas(search, "project_id string, source string, sink string, path array<string>")
 
 
-def _paths_of(frame: pd.DataFrame, depth: int) -> Iterator[tuple[str, str, list[str]]]:
-    known = set(frame["name"])
-    calls = {n: sorted({c for c in called if c in known and c != n}) for n, called in zip(frame["name"], frame["called"], strict=True)}
-    sinks = set(frame["name"][frame["is_sink"]])
+def _paths_of(nodes: list[tuple], depth: int) -> Iterator[tuple[str, str, list[str]]]:
+    """Paths of a project's nodes: (name, called, is_source, is_sink)."""
+    known = {n for n, _, _, _ in nodes}
+    calls = {n: sorted({c for c in called if c in known and c != n}) for n, called, _, _ in nodes}
+    sinks = {n for n, _, _, is_sink in nodes if is_sink}
     callers: dict[str, list[str]] = {}
     for n in sorted(calls):
         for c in calls[n]:
             callers.setdefault(c, []).append(n)
-    for source in sorted(frame["name"][frame["is_source"]]):
+    for source in sorted(n for n, _, is_source, _ in nodes if is_source):
         for caller in callers.get(source, ()):
             seen, level = {source, caller}, [[source, caller]]
             for _ in range(depth):
@@ -150,7 +158,9 @@ def _paths_by_rounds(graph: DataFrame, depth: int) -> DataFrame:
 
 
 def findings(graph: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """Call-graph findings: one per (type, file and line of the sink), the first by path."""
+    """Call-graph findings: one per (type, file and line of the sink), the first by path. Nodes are made once: the search and
+    both of its ends read them."""
+    graph = cut(graph)
     sink = graph.select("project_id", F.col("name").alias("sink"), F.col("path").alias("file_path"), F.col("line").alias("line_number"), "language", F.coalesce("vuln_type", F.lit("command_execution")).alias("vuln_type"), "sink_labels")
     source = graph.select("project_id", F.col("name").alias("source"), F.col("path").alias("source_file"), F.col("line").alias("source_line"), "source_labels")
     found = paths(graph, depth).join(sink, ["project_id", "sink"]).join(source, ["project_id", "source"])

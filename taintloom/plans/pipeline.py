@@ -50,7 +50,7 @@ def analyse(files: DataFrame, mode: str = "declarative") -> DataFrame:
     key = ["project_id", "file_path", "line_number", "vuln_type"]
     found = supplement(flows, pattern_findings(detected, files), key)
     found = supplement(found, templates.findings(files), key)
-    found = supplement(found, callgraph.findings(cut(callgraph.nodes(callgraph.functions(files)))), key)
+    found = supplement(found, callgraph.findings(callgraph.nodes(callgraph.functions(files))), key)
     stage = F.when(F.col("pipeline_stage") == "data_flow", 0).when(F.col("pipeline_stage") == "ast", 1).otherwise(2)
     found = first_wins(found.withColumn("sink_line", F.coalesce("sink_line", F.lit(0))), ROW, [stage, F.coalesce("seq", F.lit("\uffff")), "data_flow", "sink_code"])
     found = enrich.without_sourceless(found, files)

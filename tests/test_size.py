@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from taintloom.operators import facts, graph, taint, templates
+from taintloom.operators import callgraph, code_facts, facts, graph, taint, templates
 from taintloom.plans import code_forms as C
 
 
@@ -61,3 +61,31 @@ def test_order_lines_keep_a_stated_number_of_parts(spark, sf):
     """Few bytes of a line are much work as code, so parts aren't merged by bytes."""
     files = C.code_files(spark, sf, "php")
     assert files.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_small_projects_share_calls_of_the_call_graph(spark):
+    """A call of the search costs milliseconds, so it isn't one for each project; rows are the same however they are dealt."""
+    rows = [(f"p{k}", "main", ["get"], False, False) for k in range(50)] + [(f"p{k}", "get", ["run"], True, False) for k in range(50)] + [(f"p{k}", "run", [], False, True) for k in range(50)]
+    rows += [(f"p{k}", "both", ["get", "run"], False, False) for k in range(0, 50, 2)]
+    graph_ = spark.createDataFrame(rows, "project_id string, name string, called array<string>, s boolean, t boolean")
+    label = lambda c: F.when(F.col(c), F.array(F.lit("x"))).otherwise(F.array().cast("array<string>"))
+    found = callgraph.paths(graph_.select("project_id", "name", "called", label("s").alias("source_labels"), label("t").alias("sink_labels")))
+    assert "FlatMapGroupsInPandas [call" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == sorted((f"p{k}", "get", "run", ["get", "both", "run"]) for k in range(0, 50, 2))
+
+
+def test_what_leads_to_no_asked_kind_is_not_looked_at(spark, monkeypatch):
+    text = "import os\nx = input()\ndef f(a):\n    y = a.b[0]\n    return os.path.basename(y)\nos.system(int(x))\nfor z in f(x): eval(z)\n"
+    php = "<?php\n$a = $_GET['x'];\nfunction f() { echo $a; }\n$b = intval($a);\nsystem('ls ' . $a);\n"
+    for language, code in (("python", text), ("php", php), ("c", "int f() { system(getenv(\"x\")); }")):
+        every = facts.facts_of(language, "a", code)
+        assert every
+        bare = lambda rows: [{k: v for k, v in r.items() if k != "seq"} for r in rows]
+        for kind in {r["kind"] for r in every} | {"error"}:
+            got = facts.facts_of(language, "a", code, wanted=frozenset([kind]))
+            assert bare(got) == bare(r for r in every if r["kind"] == kind)
+    monkeypatch.setattr(code_facts, "read", None)  # spans need tokens alone
+    assert [r["name"] for r in facts.facts_of("php", "a", php, wanted=frozenset(["span"]))] == ["f"]
+    rows = spark.createDataFrame([("p", "a.py", "python", text)], "project_id string, path string, language string, text string")
+    columns = ["kind", "var", "dst", "name", "line"]
+    assert facts.extract(rows, ["source"], ordered=False).select(columns).collect() == facts.extract(rows, ["source"]).select(columns).collect()
