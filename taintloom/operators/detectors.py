@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from taintloom.functions import patterns as P
 
 from .graph import cut
+from .literals import needed
 from .relational import first_wins, proximity_first
 
 KEY = ["project_id", "path"]
@@ -49,15 +50,23 @@ def credential(code: Column) -> Column:
     return code.rlike(P.CREDENTIAL) & (F.length(value) >= 3) & word & ~other
 
 
+def holds(code: Column, low: Column, pattern: str) -> Column:
+    """Does a line hold a pattern? What a match needs is looked for in the lower-cased line (`low`) first, since finding text is
+    far cheaper than a pattern."""
+    found = needed(pattern)
+    tested = code.rlike(pattern)
+    return tested if found is None else F.when(functools.reduce(Column.__or__, (low.contains(x) for x in found)), tested).otherwise(False)
+
+
 def tagged(lines: DataFrame) -> DataFrame:
     """(project_id, path, line_no, code, tags) of the lines of code that hold a pattern: the one pass over all lines."""
     code, path = F.col("code"), F.col("path")
-    tests = {name: code.rlike(p) for name, p in P.TAGS.items()}
+    tests = {name: holds(code, F.col("__low"), p) for name, p in P.TAGS.items()}
     tests["debug"] &= ~test_file(path)
     tests["archive"] &= ~test_file(path)
     tests["credential"] = ~sample_file(path) & credential(code)
     tags = F.filter(F.array(*(F.when(t, F.lit(name)) for name, t in tests.items())), lambda x: x.isNotNull())
-    return lines.where(F.col("language").isin(CODE)).select(*KEY, "line_no", "code", tags.alias("tags")).where(F.size("tags") > 0)
+    return lines.where(F.col("language").isin(CODE)).withColumn("__low", F.lower(code)).select(*KEY, "line_no", "code", tags.alias("tags")).where(F.size("tags") > 0)
 
 
 def has(tag: str) -> Column:

@@ -49,7 +49,7 @@ def _fact_queries() -> None:
         for kind, columns in wanted.items():
 
             def run(spark, sf, language=language, kind=kind, columns=columns):
-                rows = facts.extract(C.code_files(spark, sf, language), [kind])
+                rows = facts.extract(C.code_files(spark, sf, language), [kind], ordered=False)
                 return shown(rows, [kind]).select(*columns.split(", "))
 
             run.__name__ = f"code_{language}_{kind}s"
@@ -101,7 +101,7 @@ SCOPES = [
 @query(C.each_row_sql(CUSTOMERS_SQL, ["c", "p"], SCOPES, ["kind", "line", "name", "variable", "params", "kwonly", "prefix"], {"line": "INTEGER"}))
 def code_scopes(spark, sf):
     """Functions with qualified names, parameters as sources, and module variables, of every customer's module."""
-    rows = facts.extract(modules(spark, sf), ["function", "var", "source"]).where("kind in ('function', 'var') or name = 'function.parameter'").where("path like 'src/n%'")
+    rows = facts.extract(modules(spark, sf), ["function", "var", "source"], ordered=False).where("kind in ('function', 'var') or name = 'function.parameter'").where("path like 'src/n%'")
     join = lambda c: F.when(F.col("kind") == "function", F.array_join(c, ",")).alias(c)
     return rows.select("kind", "line", "name", F.col("var").alias("variable"), join("params"), join("kwonly"), "prefix")
 
@@ -109,19 +109,19 @@ def code_scopes(spark, sf):
 @query(C.each_row_sql(CUSTOMERS_SQL, ["c", "n", "p"], [("{p}", "1", "p{c}", "os.path", "true"), ("{p}", "2", "near{c}", "n{n}.near{c}", "true"), ("{p}", "3", "far{c}", "up.far{c}", "true")], ["path", "line", "name", "target"], {"line": "INTEGER"}))
 def code_imports(spark, sf):
     """Aliases of imports: renamed, and relative ones of the own and the next higher package."""
-    return facts.extract(modules(spark, sf), ["alias"]).select("path", "line", "name", F.col("dst").alias("target"))
+    return facts.extract(modules(spark, sf), ["alias"], ordered=False).select("path", "line", "name", F.col("dst").alias("target"))
 
 
 @query(C.each_row_sql(CUSTOMERS_SQL, ["c", "n", "p"], [("{p}", "n{n}.m{c}", "top{c}", "true"), ("{p}", "n{n}.m{c}", "r{c}", "true"), ("src/base{c}.py", "base{c}", "z", "true")], ["path", "module", "name"]))
 def code_modules(spark, sf):
     """Names of modules, below the folder that all files of a project share."""
-    return facts.extract(modules(spark, sf), ["var"]).select("path", "module", "name")
+    return facts.extract(modules(spark, sf), ["var"], ordered=False).select("path", "module", "name")
 
 
 @query(C.each_row_sql(CUSTOMERS_SQL, ["c", "p"], [("{p}", "7", "{p}@K{c}.m{c}:a{c}", "{p}@K{c}.m{c}:#ret", "true"), ("{p}", "9", "{p}@f{c}:x{c}", "{p}@f{c}:#ret", "true")], ["path", "line", "variable", "target"], {"line": "INTEGER"}))
 def code_returns(spark, sf):
     """Edges from what functions return to their results."""
-    return facts.extract(modules(spark, sf), ["edge"]).where("name = 'return'").select("path", "line", F.col("var").alias("variable"), F.col("dst").alias("target"))
+    return facts.extract(modules(spark, sf), ["edge"], ordered=False).where("name = 'return'").select("path", "line", F.col("var").alias("variable"), F.col("dst").alias("target"))
 
 
 @query(C.each_row_sql("SELECT s_suppkey AS c, s_suppkey % 3 = 0 AS bad FROM supplier", ["c"], [("b{c}.py", "error", None, "bad"), ("b{c}.py", "var", "x", "NOT bad")], ["path", "kind", "name"]))
@@ -129,7 +129,7 @@ def code_errors(spark, sf):
     """A file that can't be parsed is an error row, and no file beside it suffers."""
     rows = rows_of(spark, sf, "supplier", c="s_suppkey", code="CASE WHEN s_suppkey % 3 = 0 THEN 'def f(:' ELSE 'x = 1' END")
     files = C.made_files(rows, F.lit("p"), [("b{c}.py", "python", "{code}\n")])
-    return facts.extract(files, ["error", "var"]).select("path", "kind", F.when(F.col("kind") == "var", F.col("name")).alias("name"))
+    return facts.extract(files, ["error", "var"], ordered=False).select("path", "kind", F.when(F.col("kind") == "var", F.col("name")).alias("name"))
 
 
 # A library and its user for each customer.
@@ -417,7 +417,7 @@ BLOCKS = "<?php\nclass A{c} {\n  // }\n  function f() {\n{body}    return '}';\n
 def spans_of_code(spark, sf):
     """Lines of classes and functions, with braces in strings and comments left out, bodies of different lengths."""
     rows = rows_of(spark, sf, "customer", c="c_custkey", body="repeat('    x();\n', int(c_custkey % 4))")
-    found = detectors.block_spans(facts.extract(C.made_files(rows, F.lit("p"), [("s{c}.php", "php", BLOCKS)]), ["span"]))
+    found = detectors.block_spans(facts.extract(C.made_files(rows, F.lit("p"), [("s{c}.php", "php", BLOCKS)]), ["span"], ordered=False))
     return found.select("path", "kind", F.col("start").alias("first_line"), F.col("end").alias("last_line"))
 
 
