@@ -92,6 +92,40 @@ def within_spans(points: DataFrame, spans: DataFrame, key: list[str], at: str, s
     return met.drop("__k", "__block")
 
 
+#: Rows of a key that one task orders; keys with more are dealt over KEY_BLOCKS blocks of their range.
+KEY_ROWS, KEY_BLOCKS = 1_000_000, 64
+
+
+def counted_within_spans(points: DataFrame, spans: DataFrame, key: list[str], at: str, start: str, end: str, by: list[str], name: str = "n") -> DataFrame:
+    """(by, name): for each value of `by`, columns of `spans`, how many pairs `within_spans` has, where it has any; no pair is made.
+
+    Points up to a span's end less those before its start: a running count over points and bounds of a key in order, so
+    each row is shuffled once, whatever the spans' lengths. Keys with more than KEY_ROWS rows (counted first; there are few at
+    any size) are dealt out by blocks of their range, to which the points of the blocks before are added.
+    """
+    ids = [f"__by{k}" for k in range(len(by))]
+    held = spans.where(F.col(start) <= F.col(end)).select(*key, F.explode(F.array(*(F.struct(F.col(c).alias("at"), F.lit(k).alias("kind")) for c, k in ((start, 0), (end, 2))))).alias("__e"), *(F.col(b).alias(i) for b, i in zip(by, ids, strict=True)))
+    bounds = held.select(*key, F.col("__e.at").alias("__at"), F.col("__e.kind").alias("__kind"), *ids)
+    places = points.where(F.col(at).isNotNull()).select(*key, F.col(at).alias("__at"), F.lit(1).alias("__kind"))
+    rows = places.unionByName(bounds, allowMissingColumns=True).dropna(subset=key)
+    v = whole_number(F.col("__at"), rows.schema["__at"].dataType.typeName())
+    large = rows.groupBy(*key).agg(F.count("*").alias("__n"), F.min(v).alias("__low"), F.max(v).alias("__high")).where(F.col("__n") > KEY_ROWS)
+    large = [tuple(r) for r in large.select(*key, "__low", F.floor((F.col("__high") - F.col("__low")) / KEY_BLOCKS + 1).alias("__width")).collect()]
+    is_point, block = (F.col("__kind") == 1).cast("long"), F.lit(0)
+    if large:
+        known = F.broadcast(rows.sparkSession.createDataFrame(large, ", ".join([*(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in key), "__low long", "__width long"])))
+        rows, block = rows.join(known, key, "left"), F.coalesce(F.floor((v - F.col("__low")) / F.col("__width")), F.lit(0))
+    rows = rows.withColumn("__block", block.cast("long"))
+    order = Window.partitionBy(*key, "__block").orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0)
+    seen = rows.withColumn("__seen", F.sum(is_point).over(order)).where("__kind <> 1")
+    if large:
+        sums = rows.where(F.col("__width").isNotNull()).groupBy(*key, "__block").agg(F.sum(is_point).alias("__n"))
+        before = F.sum("__n").over(Window.partitionBy(*key).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1))
+        seen = seen.join(F.broadcast(sums.select(*key, "__block", before.alias("__before"))), [*key, "__block"], "left").withColumn("__seen", F.col("__seen") + F.coalesce("__before", F.lit(0)))
+    counted = seen.groupBy(*ids).agg(F.sum(F.when(F.col("__kind") == 2, F.col("__seen")).otherwise(-F.col("__seen"))).alias(name))
+    return counted.where(F.col(name) > 0).select(*(F.col(i).alias(b) for b, i in zip(by, ids, strict=True)), name)
+
+
 def longest_suffix(rows: DataFrame, suffixes: DataFrame | list[tuple[str, int]], text: str, suffix: str, order: str = "", most: int = 0) -> DataFrame:
     """Left join of each row with the longest suffix that its text ends with; ties go to the smaller `order`.
 
