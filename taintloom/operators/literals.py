@@ -164,6 +164,26 @@ def needed(pattern: str) -> list[str] | None:
     return found if all(len(f) >= SHORTEST and f.isascii() for f in found) else None
 
 
+def spelled(pattern: str) -> list[str] | None:
+    """All texts, lower-cased, that a pattern of plain characters matches, some of which may be absent (`ab?c`): one of them
+    stands in every match, and they narrow more than the longest run that is always there. None for other patterns, for
+    many texts, and for short ones."""
+    reader, out = _Reader(pattern), [""]
+    try:
+        while reader.i < len(reader.p):
+            if reader.p[reader.i] in "()|*+?{":
+                return None
+            one = reader.one()
+            absent = reader.p.startswith("?", reader.i)
+            if one is None or reader.repeat() != (0 if absent else 1) or len(out) > MOST_LITERALS:
+                return None
+            out = [x + one for x in out] + (out if absent else [])
+    except (ValueError, IndexError):
+        return None
+    found = sorted({x.lower() for x in out})
+    return found if len(found) <= MOST_LITERALS and all(len(x) >= SHORTEST and x.isascii() for x in found) else None
+
+
 def literal_index(rules: DataFrame) -> DataFrame:
     """Rules (with `pattern`) with `literals` (null: none that it needs), and one row for each of them as `literal`."""
 
@@ -171,7 +191,7 @@ def literal_index(rules: DataFrame) -> DataFrame:
         for f in frames:
             rows = []
             for pattern in f["pattern"]:
-                found = needed(pattern)
+                found = spelled(pattern) or needed(pattern)
                 rows += [(pattern, found, x) for x in found] if found else [(pattern, None, None)]
             yield pd.DataFrame(rows, columns=["pattern", "literals", "literal"])
 

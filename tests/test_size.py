@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from taintloom.operators import callgraph, code_facts, facts, graph, taint, templates
+from taintloom.operators import callgraph, code_facts, facts, graph, literals, relational, taint, templates
 from taintloom.plans import code_forms as C
 
 
@@ -89,3 +89,25 @@ def test_what_leads_to_no_asked_kind_is_not_looked_at(spark, monkeypatch):
     rows = spark.createDataFrame([("p", "a.py", "python", text)], "project_id string, path string, language string, text string")
     columns = ["kind", "var", "dst", "name", "line"]
     assert facts.extract(rows, ["source"], ordered=False).select(columns).collect() == facts.extract(rows, ["source"]).select(columns).collect()
+
+
+def test_spans_are_counted_without_pairs(spark, monkeypatch):
+    """Counts are those of the join's pairs, for keys dealt out by blocks too; a row is shuffled once, not once a size class."""
+    points = spark.range(400).selectExpr("id % 3 as k", "cast(id * 37 % 101 as long) as at").union(spark.sql("select 1L, null union all select null, 5L"))
+    spans = spark.range(90).selectExpr("id", "id % 4 as k", "id * 13 % 97 as a", "id * 13 % 97 + id * id % 61 - 3 as b").union(spark.sql("select 90L, 1L, null, 7L union all select 91L, null, 1L, 9L union all select 92L, 2L, -9L, 900L"))
+    want = sorted(map(tuple, relational.within_spans(points, spans, ["k"], "at", "a", "b").groupBy("id").count().collect()))
+    assert len(want) > 40
+    for most in (1_000_000, 0, 120):
+        monkeypatch.setattr(relational, "KEY_ROWS", most)
+        got = relational.counted_within_spans(points, spans, ["k"], "at", "a", "b", ["id"])
+        assert sorted(map(tuple, got.collect())) == want
+
+
+def test_absent_characters_are_spelled_out(spark):
+    """A table of word pairs meets the texts that hold both words, not all that hold the longer one."""
+    assert literals.spelled("abc,? def") == ["abc def", "abc, def"]
+    assert literals.spelled("Ab\\.c?d") == ["ab.cd", "ab.d"]
+    for pattern in ("ab?", "(abc)?d", "abc+", "abc|def", "a[bc]def", "abc.d", "abc{2}", "abc\\d", "a?b?c?d?e?f?xyz", "äbc?d", "^abc"):
+        assert literals.spelled(pattern) is None
+    rules = spark.createDataFrame([("r", "abc,? def"), ("s", "abc+")], "rule_id string, pattern string")
+    assert {(r["pattern"], r["literal"]) for r in literals.literal_index(rules).collect()} == {("abc,? def", "abc def"), ("abc,? def", "abc, def"), ("abc+", "abc")}
