@@ -47,7 +47,9 @@ def credential(code: Column) -> Column:
     any_of = lambda tests: functools.reduce(Column.__or__, tests)
     word = any_of([name.contains(x) for x in P.CREDENTIAL_WORDS]) | (name.endswith("key") & (F.length(value) >= 12))
     other = any_of([*(low.contains(x) for x in P.PLACEHOLDERS), *(name.endswith(x) for x in P.EXCLUDED_SUFFIXES), *(name.startswith(x) for x in P.EXCLUDED_PREFIXES), *(low == x for x in P.PLAIN_VALUES), low == name, value.rlike(r"[${(%]")])
-    return code.rlike(P.CREDENTIAL) & (F.length(value) >= 3) & word & ~other
+    # What a line without an assignment needs isn't worked out: only a branch keeps it from being so ahead of the pattern.
+    assigns = code.contains("=") & code.rlike(P.CREDENTIAL)
+    return F.when(assigns, (F.length(value) >= 3) & word & ~other).otherwise(False)
 
 
 def holds(code: Column, low: Column, pattern: str) -> Column:
@@ -64,9 +66,10 @@ def tagged(lines: DataFrame) -> DataFrame:
     tests = {name: holds(code, F.col("__low"), p) for name, p in P.TAGS.items()}
     tests["debug"] &= ~test_file(path)
     tests["archive"] &= ~test_file(path)
-    tests["credential"] = ~sample_file(path) & credential(code)
+    tests["credential"] = credential(code) & ~sample_file(path)
     tags = F.filter(F.array(*(F.when(t, F.lit(name)) for name, t in tests.items())), lambda x: x.isNotNull())
-    return lines.where(F.col("language").isin(CODE)).withColumn("__low", F.lower(code)).select(*KEY, "line_no", "code", tags.alias("tags")).where(F.size("tags") > 0)
+    some = F.explode(F.filter(F.array(tags), lambda x: F.size(x) > 0))  # a condition on tags would work them out twice
+    return lines.where(F.col("language").isin(CODE)).withColumn("__low", F.lower(code)).select(*KEY, "line_no", "code", some.alias("tags"))
 
 
 def has(tag: str) -> Column:

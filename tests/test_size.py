@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from taintloom.operators import callgraph, code_facts, facts, graph, literals, relational, taint, templates
+from taintloom.functions import patterns as P
+from taintloom.operators import callgraph, code_facts, detectors, facts, graph, literals, relational, taint, templates
 from taintloom.plans import code_forms as C
 
 
@@ -111,3 +112,15 @@ def test_absent_characters_are_spelled_out(spark):
         assert literals.spelled(pattern) is None
     rules = spark.createDataFrame([("r", "abc,? def"), ("s", "abc+")], "rule_id string, pattern string")
     assert {(r["pattern"], r["literal"]) for r in literals.literal_index(rules).collect()} == {("abc,? def", "abc def"), ("abc,? def", "abc, def"), ("abc+", "abc")}
+
+
+def test_patterns_of_lines_are_worked_out_once(spark):
+    """No condition repeats the patterns that tags are made of, and the rows are those of the patterns alone."""
+    codes = ["DEBUG = True", "$x = 1;", "PASSWORD = 'hunter22'", "SeLeCt 1", "extract($_POST);", "", None, "eval (x)", "z.EXTRACT(a)"]
+    lines = spark.createDataFrame([("p", f"a{k}.py", "python", k, c) for k, c in enumerate(codes)], "project_id string, path string, language string, line_no int, code string")
+    found = detectors.tagged(lines)
+    assert not [x for x in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Filter" in x and "RLIKE" in x]
+    got = {r["line_no"]: r["tags"] for r in found.collect()}
+    plain = lines.select("line_no", *(F.coalesce(F.col("code").rlike(p), F.lit(False)).alias(t) for t, p in P.TAGS.items())).collect()
+    want = {r["line_no"]: [t for t in P.TAGS if r[t]] + (["credential"] if r["line_no"] == 2 else []) for r in plain}
+    assert {k: set(v) for k, v in got.items()} == {k: set(v) for k, v in want.items() if v}
