@@ -62,3 +62,9 @@ def test_python_forms_are_read_once(monkeypatch):
 
 def test_other_kinds_are_read_whole():
     assert flat.readers(frozenset(["source", "var"])) == {}
+
+
+def test_php_edges_are_those_of_whole_files(monkeypatch):
+    check_same("php", ["edge"])
+    check_same("php", ["source", "function_source", "sink", "edge", "sanitize"])
+    check_forms_are_read_once(monkeypatch, "php", "edge", "read")
