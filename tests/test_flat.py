@@ -68,3 +68,8 @@ def test_php_edges_are_those_of_whole_files(monkeypatch):
     check_same("php", ["edge"])
     check_same("php", ["source", "function_source", "sink", "edge", "sanitize"])
     check_forms_are_read_once(monkeypatch, "php", "edge", "read")
+
+
+def test_php_sanitizers_are_those_of_whole_files(monkeypatch):
+    check_same("php", ["sanitize"])
+    check_forms_are_read_once(monkeypatch, "php", "sanitize", "read")
