@@ -73,3 +73,9 @@ def test_php_edges_are_those_of_whole_files(monkeypatch):
 def test_php_sanitizers_are_those_of_whole_files(monkeypatch):
     check_same("php", ["sanitize"])
     check_forms_are_read_once(monkeypatch, "php", "sanitize", "read")
+
+
+def test_php_sinks_are_those_of_whole_files(monkeypatch):
+    check_same("php", ["sink"])
+    check_same("php", ["source"])
+    check_forms_are_read_once(monkeypatch, "php", "sink", "read")
