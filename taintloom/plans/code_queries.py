@@ -38,8 +38,8 @@ LINK_KINDS = [*CALL_KINDS, "edge", "var", "module_attr"]
 FLOW_KINDS = [*LINK_KINDS, "source", "sink", "sanitize"]
 
 
-def shown(rows: DataFrame, kinds: list[str]) -> DataFrame:
-    return rows.where(F.col("kind").isin(kinds)).select("path", "kind", F.col("line").cast("int").alias("line"), F.col("var").alias("variable"), F.col("dst").alias("target"), "name", "vuln_type", F.array_join("types", ",").alias("types"))
+#: Columns of facts as queries name them.
+SHOWN = {"variable": "var AS variable", "target": "dst AS target", "types": "array_join(types, ',') AS types"}
 
 
 def _fact_queries() -> None:
@@ -49,8 +49,10 @@ def _fact_queries() -> None:
         for kind, columns in wanted.items():
 
             def run(spark, sf, language=language, kind=kind, columns=columns):
-                rows = facts.extract(C.code_files(spark, sf, language), [kind], ordered=False)
-                return shown(rows, [kind]).select(*columns.split(", "))
+                named = columns.split(", ")
+                read = [{"variable": "var", "target": "dst"}.get(c, c) for c in named]
+                rows = facts.extract(C.code_files(spark, sf, language), [kind], ordered=False, columns=read)
+                return rows.selectExpr(*(SHOWN.get(c, c) for c in named))
 
             run.__name__ = f"code_{language}_{kind}s"
             run.__doc__ = f"Facts of kind {kind} of every order's {language} file."
