@@ -115,13 +115,14 @@ def by_order(rows: DataFrame, order: str) -> DataFrame:
 
 
 def order_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """(o, n, k, v, w, pick): n is the line's number of the table, k its place among its order's."""
     # Dealt by orders once, in a stated number of parts: aggregate, window and files all keep them, and the few bytes of a
     # line don't have parts merged that are much work once they are code.
     rows = by_order(read_table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), "l_orderkey")
     rows = rows.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("part"), F.min("l_suppkey").alias("supp"))
     number = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber"))
     name = lambda prefix, c, n: F.concat(F.lit(prefix), F.lpad(F.col(c).cast("string"), n, "0"))
-    return rows.select(F.col("l_orderkey").alias("o"), number.alias("k"), name("v", "part", 7).alias("v"), name("w", "supp", 6).alias("w"), (F.col("part") + F.col("supp")).alias("pick"))
+    return rows.select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n"), number.alias("k"), name("v", "part", 7).alias("v"), name("w", "supp", 6).alias("w"), (F.col("part") + F.col("supp")).alias("pick"))
 
 
 def filled(template, **values):
@@ -131,11 +132,13 @@ def filled(template, **values):
     return template
 
 
-def as_files(lines: DataFrame, project, path, language: str, head: list[str] = (), tail: list[str] = ()) -> DataFrame:
-    """(project_id, path, language, text) of lines (o, k, code): those of an o are a file's, by k. Orders have few lines."""
-    texts = lines.groupBy("o").agg(F.array_sort(F.collect_list(F.struct("k", "code"))).alias("__lines"))
-    body = F.transform("__lines", lambda x: x["code"])
-    whole = F.concat(F.array(*map(F.lit, head)).cast("array<string>"), body, F.array(*map(F.lit, tail)).cast("array<string>"))
+def as_files(lines: DataFrame, project, path, language: str, head: list[str] = (), tail: list[str] = (), by: str = "k") -> DataFrame:
+    """(project_id, path, language, text) of lines (o, `by`, code): those of an o are a file's, by `by`. Orders have few lines.
+    A window over sorted lines gives each order's in turn: an aggregate would sort all of them, as code, twice."""
+    each = Window.partitionBy("o").orderBy(by)
+    body = F.collect_list("code").over(each.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    texts = lines.select("o", body.alias("__lines"), F.row_number().over(each).alias("__at")).where("__at = 1")
+    whole = F.concat(F.array(*map(F.lit, head)).cast("array<string>"), F.col("__lines"), F.array(*map(F.lit, tail)).cast("array<string>"))
     return texts.select(project.alias("project_id"), path.alias("path"), F.lit(language).alias("language"), F.array_join(whole, "\n").alias("text"))
 
 
@@ -145,7 +148,8 @@ def code_files(spark: SparkSession, sf: str, language: str) -> DataFrame:
     forms = F.array(*(F.lit(s) for s, _ in FORMS[language]))
     code = filled(F.get(forms, (F.col("pick") % len(FORMS[language])).cast("int")), v=F.col("v"), w=F.col("w"))
     path = F.concat(F.lit("o"), F.col("o"), F.lit("." + SUFFIX[language]))
-    return as_files(lines.withColumn("code", code), F.concat(F.lit("p"), F.col("o") % 97), path, language, HEADS[language], TAILS[language])
+    # By the table's numbers: lines are numbered no sooner, and the window that gathers them is the only one.
+    return as_files(lines.withColumn("code", code), F.concat(F.lit("p"), F.col("o") % 97), path, language, HEADS[language], TAILS[language], by="n")
 
 
 def text(value: str | None) -> str:

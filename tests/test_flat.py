@@ -99,3 +99,38 @@ def test_only_asked_columns_leave_a_worker(spark):
         assert ("Join" in got._jdf.queryExecution().optimizedPlan().toString()) == ("module" in columns)
         assert sorted(map(str, got.collect())) == sorted(map(str, every.select(columns).collect()))
     assert every.count() == 33
+
+
+@pytest.mark.parametrize("language", ["php", "python"])
+def test_names_of_lines_without_facts_are_not_looked_at(monkeypatch, language):
+    """A form is told by its mask, so the work of a line that gives nothing doesn't grow with its names."""
+    looked, whole = [], flat.names_of
+    monkeypatch.setattr(flat, "names_of", lambda line, mask: looked.append(line) or whole(line, mask))
+    reader = flat.readers(frozenset(["sanitize"]))[language]
+    given = [[s.replace("{v}", f"v{k:07}").replace("{w}", f"w{k:06}") for s, _ in C.FORMS[language]] for k in range(2)]
+    for lines in given:
+        looked.clear()
+        reader.facts("a.x", "\n".join([*C.HEADS[language], *lines]))
+    assert looked == [x for x, (_, found) in zip(given[1], C.FORMS[language], strict=True) if any(f[0] == "sanitize" for f in found)]
+
+
+def test_lines_of_one_mask_that_name_the_same_are_another_form():
+    reader = flat.readers(frozenset(["edge", "sanitize"]))["php"]
+    for lines, n in ((["$v0000001 = intval($v0000002);"], 2), (["$v0000001 = intval($v0000001);"], 1), (["$v0000002 = intval($v0000001);", "$v0000003 = intval($v0000003);"], 3)):
+        text = "\n".join(["<?php", *lines])
+        got = made(reader.facts("a.php", text))
+        assert len(got) == n and held(got) == held(facts.facts_of("php", "a.php", text, "", reader.wanted))
+
+
+def test_lines_of_an_order_are_gathered_by_one_sort(spark, tmp_path):
+    """An aggregate of lists sorts all lines as code, twice; the texts are the same."""
+    rows = [(7, n, 5 * n, n) for n in (3, 1, 7, 2, 12)] + [(7, 1, 4, 9), (8, 2, 1, None), (8, 1, 25, 3), (8, 3, 11, 2)] + [(9, 1, None, 1)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long").repartition(4).write.parquet(f"{tmp_path}/lineitem.parquet")
+    files = C.code_files(spark, str(tmp_path), "php")
+    plan = files._jdf.queryExecution().sparkPlan().toString()
+    assert "collect_list" in plan and "ObjectHashAggregate" not in plan
+    assert files._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
+    forms = [s for s, _ in C.FORMS["php"]]
+    code = lambda part, supp: forms[(part + supp) % len(forms)].replace("{v}", f"v{part:07}").replace("{w}", f"w{supp:06}")
+    seven = [code(4, 1), code(10, 2), code(15, 3), code(35, 7), code(60, 12)]
+    assert {r.path: r.text.split("\n") for r in files.collect()} == {"o7.php": ["<?php", *seven], "o8.php": ["<?php", code(25, 3), code(11, 2)], "o9.php": ["<?php"]}
