@@ -134,3 +134,21 @@ def test_lines_of_an_order_are_gathered_by_one_sort(spark, tmp_path):
     code = lambda part, supp: forms[(part + supp) % len(forms)].replace("{v}", f"v{part:07}").replace("{w}", f"w{supp:06}")
     seven = [code(4, 1), code(10, 2), code(15, 3), code(35, 7), code(60, 12)]
     assert {r.path: r.text.split("\n") for r in files.collect()} == {"o7.php": ["<?php", *seven], "o8.php": ["<?php", code(25, 3), code(11, 2)], "o9.php": ["<?php"]}
+
+
+def test_known_lines_of_php_are_told_by_their_mask_alone(monkeypatch):
+    told, whole = [], flat.form_of
+    monkeypatch.setattr(flat, "form_of", lambda line, mask: told.append(line) or whole(line, mask))
+    reader = flat.PhpLines(frozenset(["sanitize"]))
+    for k in range(400):
+        lines = [s.replace("{v}", f"v{k:07}").replace("{w}", f"w{k:06}") for s, _ in C.FORMS["php"]]
+        assert len(reader.facts("a.php", "\n".join(["<?php", *lines]))) == 3
+    assert len(told) == len(C.FORMS["php"])
+
+
+def test_only_needed_columns_go_to_a_worker(spark):
+    files = spark.createDataFrame([("p", "a.php", "php", "<?php\n$v0000001 = intval($w000002);")], "project_id string, path string, language string, text string")
+    for columns, sent in ((["path", "name"], "run(path#"), (["path", "name", "project_id"], "run(project_id#")):
+        got = facts.extract(files, ["sanitize"], ordered=False, columns=columns)
+        assert sent in got._jdf.queryExecution().optimizedPlan().toString()
+        assert [r.asDict() for r in got.collect()] == [{"path": "a.php", "name": "intval"} | ({"project_id": "p"} if "project_id" in columns else {})]
