@@ -586,7 +586,7 @@ def sessions_of_customers(spark, sf):
     """Session values are shown harmlessly until a user's value has been written to the session."""
     rows = rows_of(spark, sf, "customer", c="c_custkey", value="CASE WHEN c_custkey % 2 = 0 THEN '$u' ELSE '''me''' END")
     files = C.made_files(rows, F.concat(F.lit("p"), F.col("c")), [("{c}/bad.php", "php", "<?php\n$u = $_POST['u'];\n$_SESSION['n'] = {value};\necho $_SESSION['n'];\n")])
-    return taint.flows(extracted(files)).select("file_path", "line_number", "vuln_type", "source_func").distinct()
+    return taint.flows(extracted(files, FLOW_KINDS)).select("file_path", "line_number", "vuln_type", "source_func").distinct()
 
 
 @query(C.each_row_sql("SELECT c_custkey AS c, 'g' || c_custkey || '.php' AS p FROM customer", ["p"], [("{p}@:getenv()@2:5", "getenv()", "true")], ["variable", "name"]))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from taintloom.functions import patterns as P
 from taintloom.operators import callgraph, code_facts, detectors, facts, graph, literals, relational, taint, templates
 from taintloom.plans import code_forms as C
+from taintloom.plans import code_queries
 
 
 def test_rows_of_one_task_are_dealt(spark):
@@ -124,3 +125,12 @@ def test_patterns_of_lines_are_worked_out_once(spark):
     plain = lines.select("line_no", *(F.coalesce(F.col("code").rlike(p), F.lit(False)).alias(t) for t, p in P.TAGS.items())).collect()
     want = {r["line_no"]: [t for t in P.TAGS if r[t]] + (["credential"] if r["line_no"] == 2 else []) for r in plain}
     assert {k: set(v) for k, v in got.items()} == {k: set(v) for k, v in want.items() if v}
+
+
+def test_sessions_are_searched_with_all_kinds_of_flows(spark, tmp_path):
+    """Sources, edges and sinks of sessions leave the workers; no customers give no rows."""
+    for name, keys in (("some", [2, 3, 10]), ("none", [])):
+        spark.createDataFrame([(k,) for k in keys], "c_custkey long").write.parquet(f"{tmp_path}/{name}/customer.parquet")
+    got = code_queries.sessions_of_customers(spark, f"{tmp_path}/some")
+    assert sorted(map(tuple, got.collect())) == [(f"{k}/bad.php", 4, "xss", "$_SESSION") for k in (10, 2)]
+    assert code_queries.sessions_of_customers(spark, f"{tmp_path}/none").count() == 0
