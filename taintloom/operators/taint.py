@@ -10,16 +10,27 @@ from __future__ import annotations
 from collections import deque
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import ordered
+from . import facts as code
+from . import flat, ordered
 from .graph import MAX_PATH, bfs_paths, breadth_first, cut, near_table, path_to, stored
 from .relational import first_wins
 
 #: `seq` sorts findings of a project: by their source, the length of the path, and the sink.
 FLOWS = "project_id string, file_path string, line_number int, source_file string, source_line int, sink_line int, vuln_type string, language string, source_func string, sink_func string, source_code string, sink_code string, data_flow string, path array<string>, seq string"
 
+_FLOWS_SCHEMA = pa.schema([(c.split()[0], {"string": pa.string(), "int": pa.int32(), "array<string>": pa.list_(pa.string()), "boolean": pa.bool_()}[c.split()[1]]) for c in (FLOWS + ", linked boolean").split(", ")])
+
+#: Kinds of facts that a file's own flows are made of, those that may link it with others, and all that flows are made of.
+OWN_KINDS = ["source", "sink", "sanitize", "edge"]
+LINKING = {"function", "module_attr"}
+KINDS = [*OWN_KINDS, "function", "module_attr", "call", "var"]
+#: Findings of one batch that leaves a worker.
+BATCH = 20_000
+
 
 def resolved_calls(facts: DataFrame) -> DataFrame:
     """Calls with the project function that each means: one of its own file, else the one that its full name (after
@@ -123,6 +134,57 @@ def flows(facts: DataFrame, mode: str = "declarative", most: int = MAX_PATH, fun
     return out.unionByName(_large_folded(large_edges, large_marks, most) if mode == "compat" else _large_flows(large_edges, large_marks, most, around_clean))
 
 
+def flows_of_files(files: DataFrame, most: int = MAX_PATH, functions: bool = False, around_clean: bool = False) -> DataFrame:
+    """What `flows` finds in the facts of files (project_id, path, language, text; each path once in its project).
+
+    Only functions and attributes of modules lead from file to file. A project that has neither is searched a file at a time
+    where the files are read: its facts are never stored, shuffled or joined, and flat files are read by the forms of their
+    lines. Projects that have one go by their facts, whole, since their files' modules are named by what all of them share."""
+    own = [*OWN_KINDS, *(["function_source"] if functions else [])]
+    wanted = frozenset(own) | LINKING
+
+    def run(batches):
+        readers = flat.readers(wanted)
+        linked: set[str] = set()
+        out: list[tuple] = []
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("project_id", "path", "language", "text"))
+            for project, path, language, text in zip(*columns, strict=True):
+                if not text or project in linked:
+                    continue
+                found = readers[language].facts(path, text) if language in readers else None
+                rows = code.facts_of(language, path, text, "", wanted) if found is None else None
+                kinds = {r["kind"] for r in rows} if found is None else {t.same["kind"] for t, *_ in found}
+                if kinds & LINKING:
+                    linked.add(project)
+                    out.append((project, *[None] * (len(_FLOWS_SCHEMA) - 2), True))
+                elif "sink" in kinds and kinds & {"source", "function_source"}:
+                    if found is None:
+                        edges = [{"src": r["var"], "dst": r["dst"]} for r in rows if r["kind"] == "edge"]
+                    else:
+                        edges = [{"src": a, "dst": b} for a, b in flat.edges(found)]
+                        rows = flat.rows([f for f in found if f[0].same["kind"] != "edge"])
+                    marks = [{**r, "kind": r["kind"].removeprefix("function_"), "mine": True} for r in rows if r["kind"] != "edge"]
+                    out += [(project, *r, False) for r in _search(edges, marks, "declarative", most, around_clean)]
+                if len(out) >= BATCH:
+                    yield _packed(out)
+                    out = []
+        yield _packed(out)
+
+    read = files.where(F.col("language").isin("python", "php", "c", "cpp")).select("project_id", "path", "language", "text")
+    found = stored(read.mapInArrow(run, FLOWS + ", linked boolean"))
+    linked = found.where("linked").select("project_id").distinct()
+    alone = found.where("not linked").drop("linked")
+    if linked.isEmpty():
+        return alone
+    facts = cut(code.extract(read.join(linked, "project_id", "left_semi"), [*KINDS, *(["function_source"] if functions else [])]))
+    return alone.join(linked, "project_id", "left_anti").unionByName(flows(facts, most=most, functions=functions, around_clean=around_clean))
+
+
+def _packed(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(_FLOWS_SCHEMA), _FLOWS_SCHEMA, strict=True)], schema=_FLOWS_SCHEMA)
+
+
 def _by_project(frame: pd.DataFrame) -> dict[tuple, list[dict]]:
     """{(project, unit, shard): rows in order}."""
     out: dict[tuple, list[dict]] = {}

@@ -1,5 +1,6 @@
 """Work is dealt over tasks by its size, and what is not asked for stays in the workers."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from taintloom.functions import patterns as P
@@ -134,3 +135,45 @@ def test_sessions_are_searched_with_all_kinds_of_flows(spark, tmp_path):
     got = code_queries.sessions_of_customers(spark, f"{tmp_path}/some")
     assert sorted(map(tuple, got.collect())) == [(f"{k}/bad.php", 4, "xss", "$_SESSION") for k in (10, 2)]
     assert code_queries.sessions_of_customers(spark, f"{tmp_path}/none").count() == 0
+
+
+ALONE = {
+    "c.py": "import html, os, shlex\nx0 = input()\nx1 = html.escape(x0)\nos.system(x1)\nx2 = shlex.quote(x1)\nos.system(x2)\n",
+    "d.py": "import os, sys\nx1 = sys.argv[1]\nif x1:\n    os.system(x1)\nos.system(input())\n",
+    "e.php": "<?php\n$a = $_GET['x'];\n$b = intval($a);\necho $a;\nsystem($b);\n$c = getenv('x');\nsystem($c);\n",
+    "f.php": "<?php\n$u = $_POST['u'];\n$_SESSION['n'] = $u;\necho $_SESSION['n'];\n",
+    "g.c": "int main(int argc, char **argv) { char *x = getenv(\"a\"); system(x); }",
+    "h.py": "def f(:\n",
+    "i.py": "",
+    "j.py": "import os\nv0000001 = input()\nv0000002 = 'rm ' + v0000001\nv0000003 = int(v0000001)\nw000001 = v0000002 + v0000003\nos.system(w000001)\n",
+}
+LINKED = {
+    "functions": {"l.py": "import os\ndef run(c):\n    os.system(c)\n", "u.py": "from l import run\nrun(input())\n"},
+    "attributes": {"conf.py": "import sys\nuser = sys.argv[1]\n", "use.py": "import os, conf\nx = conf.user\nos.system(x)\n"},
+}
+
+
+@pytest.mark.parametrize("options", [{}, {"functions": True}, {"around_clean": True}, {"most": 3}])
+def test_files_searched_where_they_are_read_give_the_flows_of_their_facts(spark, options):
+    projects = {"alone": ALONE, **LINKED, "both": {**ALONE, **LINKED["functions"]}, "empty": {"h.py": "def f(:\n"}}
+    rows = [(p, path, path.split(".")[1].replace("py", "python"), text) for p, held in projects.items() for path, text in held.items()] + [("alone", "n.py", "python", None), ("alone", "t.html", "template", "{{ a }}")]
+    files = spark.createDataFrame(rows, "project_id string, path string, language string, text string").repartition(3)
+    columns = [c.split()[0] for c in taint.FLOWS.split(", ") if c != "seq string"]
+    want = sorted(map(repr, taint.flows(facts.extract(files), **options).select(*columns).collect()))
+    found = taint.flows_of_files(files, **options)
+    assert found.schema == taint.flows(facts.extract(files), **options).schema
+    got = found.collect()
+    assert sorted(repr(r) for r in found.select(*columns).collect()) == want
+    assert {r["project_id"] for r in got} >= {"alone", "functions", "both"}
+    order = lambda rows: [(r["project_id"], r["file_path"], r["line_number"], r["vuln_type"], r["data_flow"]) for r in sorted(rows, key=lambda r: (r["project_id"], r["seq"]))]
+    assert order(got) == order(taint.flows(facts.extract(files), **options).collect())
+
+
+def test_facts_of_chains_never_leave_a_worker(spark, sf, monkeypatch):
+    """Files that nothing links are searched in the task that reads them, each form of their lines read once, and no facts
+    are stored; before, facts of 9 million files were."""
+    monkeypatch.setattr(facts, "extract", None)
+    files = C.code_files(spark, sf, "python")
+    assert taint.flows_of_files(files).count() > 0
+    assert code_queries.code_chains(spark, sf).count() > 0
+    assert code_queries.sessions_of_customers(spark, sf).count() > 0
