@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from taintloom.functions import patterns as P
 
+from .graph import cut
+
 KEY = ["project_id", "path"]
 MODES = ("lenient", "strict", "unlinked")
 
@@ -119,8 +121,10 @@ def linked_pairs(pages: DataFrame, names: DataFrame, key: list[str], path: str =
     Two texts one of which ends with the other have the same characters at the end: the shorter one's last few. So a name's
     end of each length that the file names of its project have, and a path's end of each length that names have, are
     keys; what meets is held against the rule itself. Lengths are few at any number of paths, so a path gives a bounded
-    number of keys; a short end that very many paths share costs what it truly joins. Joins are merges: a size guessed from a
-    table of few bytes, of which texts are made, would have a whole side sent through the driver.
+    number of keys; a short end that very many paths share costs what it truly joins, dealt over tasks by blocks (`_met`). A
+    pair meets by its name's whole path, else by its file name, once each, so that pairs need no distinct and aren't shuffled.
+    Joins are merges: a size guessed from a table of few bytes, of which texts are made, would have a whole side sent through
+    the driver.
     """
     paths = pages.select(*key, path).distinct().withColumn("__path", F.replace(path, F.lit("\\"), F.lit("/")))
     bare = names.select(*key, name).where(F.col(name).isNotNull()).distinct().withColumn("__bare", F.ltrim(F.replace(name, F.lit("\\"), F.lit("/")), F.lit("/")))
@@ -132,9 +136,33 @@ def linked_pairs(pages: DataFrame, names: DataFrame, key: list[str], path: str =
     def lengths(df: DataFrame, c: str) -> list[int]:
         return sorted(r[0] for r in df.select(F.length(c)).where(F.col(c).isNotNull()).distinct().collect())
 
-    by_name = paths.withColumn("__end", ends("__path", lengths(bare, "__bare"))).join(bare.withColumnRenamed("__bare", "__end").hint("merge"), [*key, "__end"])
-    by_file = bare.withColumn("__end", ends("__bare", lengths(last, "__last"))).join(last.withColumnRenamed("__last", "__end").hint("merge"), [*key, "__end"])
-    return by_name.select(*key, path, name).unionByName(by_file.select(*key, path, name)).distinct()
+    on = [*key, "__end"]
+    by_name = _met(paths.withColumn("__end", ends("__path", lengths(bare, "__bare"))).select(*on, path), bare.select(*key, F.col("__bare").alias("__end"), name), on)
+    by_file = _met(last.select(*key, F.col("__last").alias("__end"), path, "__path"), bare.withColumn("__end", ends("__bare", lengths(last, "__last"))).select(*on, name, "__bare"), on)
+    return by_name.select(*key, path, name).unionByName(by_file.where(~F.col("__path").endswith(F.col("__bare"))).select(*key, path, name))
+
+
+#: Rows of each side that a task pairs at a time.
+BLOCK = 500
+
+
+def _met(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """The merge join of both sides. Where a key has more pairs than a block's, its rows are dealt into blocks on both sides
+    and each block of one side is copied for each of the other, so that no task pairs all of a key; copies are fewer than
+    pairs by a block's size. Parts are of a stated number: few bytes are many pairs, so they aren't merged by bytes."""
+    count = lambda df, c: df.groupBy(*on).agg(F.count("*").alias(c))
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int").alias(c)
+    large = cut(count(left, "__l").join(count(right, "__r").hint("merge"), on).where(F.col("__l") * F.col("__r") > BLOCK * BLOCK).select(*on, blocks("__l"), blocks("__r")))
+    if large.isEmpty():
+        return left.join(right.hint("merge"), on)
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
+        n = lambda c: F.coalesce(c, F.lit(1))
+        rows = df.join(large.hint("merge"), on, "left").withColumns({own: F.pmod(F.xxhash64(*df.columns), n(own)).cast("int"), other: F.explode(F.sequence(F.lit(0), n(other) - 1))})
+        return rows.repartition(parts, *on, "__l", "__r")
+
+    return dealt(left, "__l", "__r").join(dealt(right, "__r", "__l").hint("merge"), [*on, "__l", "__r"])
 
 
 def template_variables(files: DataFrame) -> DataFrame:

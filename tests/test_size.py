@@ -173,7 +173,19 @@ def test_facts_of_chains_never_leave_a_worker(spark, sf, monkeypatch):
     """Files that nothing links are searched in the task that reads them, each form of their lines read once, and no facts
     are stored; before, facts of 9 million files were."""
     monkeypatch.setattr(facts, "extract", None)
-    files = C.code_files(spark, sf, "python")
-    assert taint.flows_of_files(files).count() > 0
     assert code_queries.code_chains(spark, sf).count() > 0
     assert code_queries.sessions_of_customers(spark, sf).count() > 0
+
+
+def test_pairs_of_a_short_end_are_dealt_and_not_shuffled(spark, monkeypatch):
+    """An end that all paths of a project share makes pairs of all of them: dealt over tasks by blocks, each pair made once, so
+    that no distinct shuffles them."""
+    monkeypatch.setattr(templates, "BLOCK", 10)
+    pages = spark.range(80).selectExpr("if(id < 70, 'p', 'q') as project_id", "concat('h/', id % 75, if(id % 9 = 0, '.x', '/')) as path")
+    names = spark.range(90).selectExpr("if(id < 80, 'p', 'q') as project_id", "concat('/', if(id % 4 = 0, string(id % 60), ''), if(id % 7 = 0, '.x', '/')) as name")
+    rule = pages.distinct().join(names.distinct(), "project_id").where(templates.linked(F.col("path"), F.col("name")))
+    found = templates.linked_pairs(pages, names, ["project_id"])
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, rule.select("project_id", "path", "name").collect()))
+    assert not found._jdf.queryExecution().optimizedPlan().toString().startswith("Aggregate")
+    sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < sum(sizes) / 2
