@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MAX_PATH = 20  # fixed value: a path has no more nodes than this
@@ -26,13 +26,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextlib.contextmanager
+def tidied(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the queries in the block go when those end. Else they stay until the driver happens to collect its
+    garbage, and rounds of a long search pile them up."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """Rows kept as a compressed table beside the checkpoints, of which readers take the columns that they need."""
+    """Rows kept as a compressed table beside the checkpoints, of which readers take the columns that they need. What was
+    shuffled for them isn't kept."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         cut(df.sparkSession.range(0))
     path = f"{sc._jsc.sc().getCheckpointDir().get()}/rows-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with tidied(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -68,55 +83,72 @@ def argument_edges(rows: DataFrame, key: str = "project_id") -> DataFrame:
 
 
 @contextlib.contextmanager
-def near_table(edges: DataFrame, key: str = "project_id") -> Iterator[DataFrame]:
+def near_table(edges: DataFrame, key: str = "project_id", ranked: bool = False, types: DataFrame | None = None) -> Iterator[DataFrame]:
     """Edges (key, seq, src, dst) dealt once by the node that they leave, as a table in buckets, so that the levels of
-    `bfs_paths` don't shuffle them again; of parallel ones the first, which alone can win. The table goes with the block."""
+    `bfs_paths` don't shuffle them again; of parallel ones the first, which alone can win. The table goes with the block.
+
+    ranked: an edge's place among those of its node, an int, stands for its `seq`, with `dst` behind that in order. Of two ways
+    from a source the first edge that differs decides, and both leave the node that their equal parts end at, so no other edges
+    need be compared. types (key, node, types, each node once): what nodes are cleaned for goes along with their edges."""
     spark = edges.sparkSession
     name = f"taintloom_near_{uuid.uuid4().hex}"
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     rows = edges.select(F.col(key).alias("__of"), "src", "dst", F.col("seq").alias("__seq"))
     rows = rows.repartition(n, "__of", "src").groupBy("__of", "src", "dst").agg(F.min("__seq").alias("__seq"))
-    rows.write.bucketBy(n, "__of", "src").saveAsTable(name, format="parquet")
+    if ranked:
+        rows = rows.withColumn("__seq", F.row_number().over(Window.partitionBy("__of", "src").orderBy("__seq", "dst")))
+    if types is not None:
+        rows = rows.join(types.select(F.col(key).alias("__of"), F.col("node").alias("src"), F.col("types").alias("__types")), ["__of", "src"], "left")
+    with tidied(spark):
+        rows.write.bucketBy(n, "__of", "src").saveAsTable(name, format="parquet")
     try:
         yield spark.table(name)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
-def bfs_paths(edges: DataFrame, sources: DataFrame, most: int = MAX_PATH, key: str = "project_id", label: str | None = None, blocked: DataFrame | None = None) -> DataFrame:
+def cleaned(types: Column, kind: Column) -> Column:
+    """Is what is cleaned for some types (null: none) cleaned for one?"""
+    return F.coalesce(F.array_contains(types, kind) | F.array_contains(types, "all"), F.lit(False))
+
+
+def bfs_paths(edges: DataFrame, sources: DataFrame, most: int = MAX_PATH, key: str = "project_id", label: str | None = None) -> DataFrame:
     """(key, source, node, path, order, depth): the breadth-first tree of every source, first edges first, to `most` nodes.
 
     Level by level for graphs of any size: the frontier meets the edges, nodes that their source has seen go, and of
     several arrivals at a node the first wins. A queue takes nodes of one level in the order of the edges that led to
     them, from the source on, so arrivals compare by their lists of `seq`: the first is a minimum, summed map-side, and no
     window orders a level. One join with the edges and one with what has been seen per level; each level is
-    checkpointed, and an empty one ends the search. edges: key, seq (any type with an order, no two alike), src, dst.
-    sources: key, source.
+    stored by columns, compressed, and an empty one ends the search. edges: key, seq (any type with an order, no two alike), src,
+    dst. sources: key, source.
+
+    edges may be a `near_table`, which many sources and levels share. With types, the result has `types` too, the united types
+    of a path's nodes but its last, whose edges aren't taken.
 
-    label, blocked: sources have a column `label` too, a tree of its own each, and a tree's paths avoid the nodes that
-    `blocked` (key, label, node) has for its label; a source among them has no tree. The result has the column as well.
-    edges may be a `near_table`, which many sources and levels share.
+    label: sources have a column `label` too, a tree of its own each, and paths don't go on from nodes that the types of such
+    a table clean for their label. They may end there: who asks knows what the last node is cleaned for.
     """
     labels = [label] if label else []
     of = [key, *labels, "source"]
     e = edges if "__seq" in edges.columns else edges.select(F.col(key).alias("__of"), "src", "dst", F.col("seq").alias("__seq"))
+    carried = ["types"] if "__types" in e.columns and not label else []
     start = sources.select(*of).distinct()
-    closed = blocked.select(key, *labels, "node").distinct() if blocked is not None else None
     none = F.array().cast(f"array<{e.schema['__seq'].dataType.simpleString()}>")
-    first = start.select(*of, F.col("source").alias("node"), F.array("source").alias("path"), none.alias("order"))
-    open_ = lambda rows: rows if closed is None else rows.join(closed, [key, *labels, "node"], "left_anti")
-    frontier = cut(open_(first).select(*first.columns))
+    frontier = stored(start.select(*of, F.col("source").alias("node"), F.array("source").alias("path"), none.alias("order"), *(F.array().cast("array<string>").alias(c) for c in carried)))
     seen = frontier
+    won = F.min(F.struct("order", "path", *carried)).alias("__w")
     for _ in range(most - 1):
         step = frontier.join(e, (F.col(key) == F.col("__of")) & (F.col("node") == F.col("src")))
-        step = step.select(*of, F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"), F.concat("order", F.array("__seq")).alias("order"))
-        fresh = open_(step).join(seen.select(*of, "node"), [*of, "node"], "left_anti")
-        won = fresh.groupBy(*of, "node").agg(F.min(F.struct("order", "path")).alias("__w"))
-        frontier = cut(won.select(*of, "node", "__w.path", "__w.order"))
+        if label:
+            step = step.where(~cleaned(F.col("__types"), F.col(label)))
+        more = [F.when(F.col("__types").isNull(), F.col(c)).otherwise(F.array_union(c, "__types")).alias(c) for c in carried]
+        step = step.select(*of, F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"), F.concat("order", F.array("__seq")).alias("order"), *more)
+        fresh = step.join(seen.select(*of, "node"), [*of, "node"], "left_anti")
+        frontier = stored(fresh.groupBy(*of, "node").agg(won).select(*of, "node", *(f"__w.{c}" for c in ("path", "order", *carried))))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
-    return seen.select(*of, "node", "path", "order", F.size("path").alias("depth"))
+    return seen.select(*of, "node", "path", "order", *carried, F.size("path").alias("depth"))
 
 
 def breadth_first(near: dict[str, list[str]], source: str, most: int, blocked: set[str] | frozenset[str] = frozenset()) -> dict[str, str | None]:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from . import facts as code
 from . import flat, ordered
-from .graph import MAX_PATH, bfs_paths, breadth_first, cut, near_table, path_to, stored
+from .graph import MAX_PATH, bfs_paths, breadth_first, cleaned, cut, near_table, path_to, stored
 from .relational import first_wins
 
 #: `seq` sorts findings of a project: by their source, the length of the path, and the sink.
@@ -224,29 +224,31 @@ def _sources(marks: DataFrame) -> DataFrame:
 
 
 def _large_flows(edges: DataFrame, marks: DataFrame, most: int, around_clean: bool) -> DataFrame:
-    """What `_search` finds, by joins: the level search of all sources, and sinks that no node of a path cleans. Paths around
-    cleaned nodes are a second level search, of the pairs of a source and a type that lost a path: a tree for each, which
-    the nodes that clean for its type are kept out of."""
-    sources = _sources(first_wins(marks.where("kind = 'source'"), ["project_id", "var"], ["path", "seq"]))
-    sinks, lost = _sinks(marks), ["project_id", "source", "node", "vuln_type"]
-    with near_table(_tree_edges(edges)) as near:
-        return _level_flows(near, marks, sources, sinks, lost, most, around_clean)
-
-
-def _level_flows(near: DataFrame, marks: DataFrame, sources: DataFrame, sinks: DataFrame, lost: list[str], most: int, around_clean: bool) -> DataFrame:
-    tree = bfs_paths(near, sources, most)
-    met = cut(tree.join(sinks, ["project_id", "node"]).drop("order").withColumnRenamed("path", "nodes").withColumn("vuln_type", F.col("t.vuln_type")))
-    clean = marks.where("kind = 'sanitize'").select("project_id", F.col("var").alias("on"), F.explode("types").alias("type")).distinct()
-    gone = met.select(*lost, F.explode("nodes").alias("on")).distinct().join(clean, ["project_id", "on"]).where("type = 'all' or type = vuln_type").select(*lost).distinct()
-    gone = cut(gone)
-    kept = met.join(gone, lost, "left_anti").select("project_id", "source", "nodes", "t", "vuln_type")
+    """What `_search` finds, by joins: the level search of all sources, and sinks that no node of a path cleans; paths take along
+    what their nodes clean for. Paths around cleaned nodes are a second level search, of the pairs of a source and a type that
+    lost a path: a tree for each, which goes on from no node that cleans for its type."""
+    sources = stored(_sources(first_wins(marks.where("kind = 'source'"), ["project_id", "var"], ["path", "seq"])))
+    clean = marks.where("kind = 'sanitize'").select("project_id", F.col("var").alias("node"), F.explode("types").alias("type"))
+    clean = stored(clean.groupBy("project_id", "node").agg(F.array_sort(F.collect_set("type")).alias("types")))
+    sinks = _sinks(marks).join(clean.withColumnRenamed("types", "own"), ["project_id", "node"], "left")
+    sinks = stored(sinks.withColumn("vuln_type", F.col("t.vuln_type")).withColumn("own", cleaned(F.col("own"), F.col("vuln_type"))))
+    first = edges.select("project_id", F.struct("path", "seq").alias("seq"), "src", "dst")
+    with near_table(first, ranked=True, types=clean) as near:
+        return _level_flows(near, sources, sinks, most, around_clean)
+
+
+def _level_flows(near: DataFrame, sources: DataFrame, sinks: DataFrame, most: int, around_clean: bool) -> DataFrame:
+    """sinks: with `own`, are they cleaned for their type themselves?"""
+    met = bfs_paths(near, sources, most).withColumnRenamed("path", "nodes").join(sinks, ["project_id", "node"])
+    met = met.withColumn("lost", F.col("own") | cleaned(F.col("types"), F.col("vuln_type")))
+    columns = ["project_id", "source", "nodes", "t", "vuln_type"]
+    kept = met.where("not lost").select(*columns)
     if around_clean:
-        again = gone.select("project_id", "source", "vuln_type").distinct()
-        kinds = again.select("project_id", "vuln_type").distinct()
-        blocked = clean.join(kinds, "project_id").where("type = 'all' or type = vuln_type").select("project_id", "vuln_type", F.col("on").alias("node")).distinct()
-        around = bfs_paths(near, again, most, label="vuln_type", blocked=cut(blocked)).withColumnRenamed("path", "nodes")
-        more = around.join(gone, lost, "left_semi").join(sinks, ["project_id", "node"]).where(F.col("t.vuln_type") == F.col("vuln_type"))
-        kept = kept.unionByName(more.select(*kept.columns))
+        lost = ["project_id", "source", "node", "vuln_type"]
+        gone = stored(met.where("lost and not own").select(*lost).distinct())
+        around = bfs_paths(near, gone.select("project_id", "source", "vuln_type").distinct(), most, label="vuln_type").withColumnRenamed("path", "nodes")
+        more = around.join(sinks.where("not own"), ["project_id", "node", "vuln_type"]).join(gone, lost, "left_semi")
+        kept = kept.unionByName(more.select(*columns))
     return _rows(kept.join(sources, ["project_id", "source"]))
 
 

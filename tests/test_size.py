@@ -1,5 +1,7 @@
 """Work is dealt over tasks by its size, and what is not asked for stays in the workers."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,3 +191,42 @@ def test_pairs_of_a_short_end_are_dealt_and_not_shuffled(spark, monkeypatch):
     assert not found._jdf.queryExecution().optimizedPlan().toString().startswith("Aggregate")
     sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
     assert max(sizes) < sum(sizes) / 2
+
+
+def test_what_was_shuffled_for_stored_rows_is_not_kept(spark):
+    """Rounds of a level search don't pile up shuffle files, and the session's setting stays as it was."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    kept = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(" ").count("shuffle_")
+    rows = spark.range(1_000).selectExpr("'p' as project_id", "id as seq", "concat('n', id % 90) as src", "concat('n', id * 7 % 91) as dst")
+    before, set_ = kept(), spark.conf.get(name, "false")
+    got = graph.stored(rows.groupBy("src").count())
+    with graph.near_table(rows) as near:
+        assert near.count() > 90
+    assert got.count() == 90 and spark.conf.get(name, "false") == set_
+    assert kept() <= before + 40  # those of the two counts; a level's would be parts times parts
+
+
+def test_ranks_of_edges_order_paths_as_their_seqs_do(spark):
+    """Paths of a ranked table are those of the edges themselves, parallel ones and hubs included, and take along what all
+    nodes but the last are cleaned for; with a label none goes on from what is closed to it."""
+    rnd = random.Random(5)
+    rows = [("p", ("f", rnd.randrange(60)), f"n{rnd.choice([0, rnd.randrange(30)])}", f"n{rnd.randrange(30)}") for _ in range(160)]
+    edges = spark.createDataFrame(rows, "project_id string, seq struct<path string, seq long>, src string, dst string")
+    held = {f"n{k}": (["all"], ["x"], ["y", "x"])[k % 3] for k in range(0, 30, 4)}
+    types = spark.createDataFrame([("p", n, x) for n, x in held.items()], "project_id string, node string, types array<string>")
+    sources = spark.createDataFrame([("p", f"n{k}") for k in range(12)], "project_id string, source string")
+    full = edges.withColumn("seq", F.struct("seq.path", "seq.seq", "dst"))
+    want = sorted((r["source"], r["node"], r["path"]) for r in graph.bfs_paths(full, sources, 5).collect())
+    near = {}
+    for *_, s, d in sorted(rows, key=lambda r: (r[1], r[3])):
+        near.setdefault(s, []).append(d)
+    with graph.near_table(edges, ranked=True, types=types) as table:
+        got = graph.bfs_paths(table, sources, 5).collect()
+        assert sorted((r["source"], r["node"], r["path"]) for r in got) == want
+        for r in got:
+            assert set(r["types"]) == {x for n in r["path"][:-1] for x in held.get(n, ())}
+        for kind in ("x", "y"):
+            closed = {n for n, x in held.items() if kind in x or "all" in x}
+            trees = {(s, n): graph.path_to(tree, n) for s in {f"n{k}" for k in range(12)} - closed for tree in [graph.breadth_first(near, s, 5, closed)] for n in tree}
+            found = graph.bfs_paths(table, sources.withColumn("kind", F.lit(kind)), 5, label="kind").collect()
+            assert {(r["source"], r["node"]): r["path"] for r in found if r["node"] not in closed} == trees
