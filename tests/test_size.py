@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from taintloom.functions import patterns as P
 from taintloom.operators import callgraph, code_facts, detectors, facts, graph, literals, relational, taint, templates
 from taintloom.plans import code_forms as C
-from taintloom.plans import code_queries
+from taintloom.plans import code_queries, scale_queries
 
 
 def test_rows_of_one_task_are_dealt(spark):
@@ -230,3 +230,12 @@ def test_ranks_of_edges_order_paths_as_their_seqs_do(spark):
             trees = {(s, n): graph.path_to(tree, n) for s in {f"n{k}" for k in range(12)} - closed for tree in [graph.breadth_first(near, s, 5, closed)] for n in tree}
             found = graph.bfs_paths(table, sources.withColumn("kind", F.lit(kind)), 5, label="kind").collect()
             assert {(r["source"], r["node"]): r["path"] for r in found if r["node"] not in closed} == trees
+
+
+def test_levels_are_tables_by_columns(spark, sf, monkeypatch):
+    """No level is a checkpoint of whole rows, and no nodes of paths are exploded and joined again to see what cleans them."""
+    graph.cut(spark.range(0))
+    monkeypatch.setattr(graph, "cut", None)
+    found = scale_queries.flow_layers_by_levels(spark, sf)
+    assert "Generate explode(nodes" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count() > 0
